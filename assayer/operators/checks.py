@@ -1,0 +1,326 @@
+"""Check registry and runner of the tabular quality engine.
+
+A check is either batched, contributing aggregate expressions to one shared
+aggregate over the table, or has its own small plan. Both end in the same
+columns: index, test, status, dimension, interpretation, metric.
+"""
+
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType, TimestampNTZType, TimestampType
+
+from assayer import fixed_values as fv
+from assayer.functions import pii
+from assayer.functions.keys import missing, row_key
+from assayer.functions.numeric import share_status
+from assayer.functions.times import days_between
+from assayer.operators import drift, profile, scoring, statistics, timeseries
+
+RESULT_COLUMNS = ("index", "test", "status", "dimension", "interpretation", "metric")
+
+
+@dataclass
+class Context:
+    """Table, comparison and column roles; schema-level facts only."""
+
+    df: DataFrame
+    compare: DataFrame | None = None
+    id_col: str | None = None
+    time_col: str | None = None
+    target_col: str | None = None
+    as_of: Column | None = None
+    warnings: list[str] = field(default_factory=list)
+
+    @property
+    def numeric(self) -> list[str]:
+        return profile.numeric_columns(self.df)
+
+    @property
+    def strings(self) -> list[str]:
+        return profile.string_columns(self.df)
+
+
+@dataclass(frozen=True)
+class Outcome:
+    """Status, message and metric of one check, over the columns of its row."""
+
+    status: Column
+    interpretation: Column
+    metric: Mapping[str, Column] = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class Check:
+    name: str
+    category: str
+    judge: Callable[[Context], Outcome | None]
+    measures: Callable[[Context], dict[str, Column]] | None = None  # shared aggregate
+    table: Callable[[Context], DataFrame] | None = None  # own one-row plan
+    needs: tuple[str, ...] = ()  # context fields; absent means SKIP
+
+
+def _cells(ctx: Context, per_field: Callable) -> Column:
+    total = F.lit(0)
+    for f in ctx.df.schema.fields:
+        total = total + per_field(f).cast("int")
+    return total
+
+
+def _pct(value: Column) -> Column:
+    return F.format_string("%.3f%%", value)
+
+
+def _share_outcome(column: str, limits, text: str) -> Callable[[Context], Outcome]:
+    def judge(_: Context) -> Outcome:
+        pct = F.col(column)
+        return Outcome(share_status(pct, limits), F.concat(F.lit(f"{text} "), _pct(pct)), {column: pct})
+
+    return judge
+
+
+def _worst(table: DataFrame, value: str) -> DataFrame:
+    return table.agg(F.max(value).alias(value), F.max_by("column", value).alias("worst"))
+
+
+def _missing_measure(ctx: Context) -> dict[str, Column]:
+    cells = F.sum(_cells(ctx, missing)) / (F.count("*") * len(ctx.df.columns))
+    return {"missing_pct": 100.0 * cells}
+
+
+def _duplicate_measure(ctx: Context) -> dict[str, Column]:
+    n = F.count("*")
+    return {"duplicate_pct": 100.0 * (n - F.count_distinct(row_key(ctx.df))) / F.greatest(F.lit(1), n)}
+
+
+def _blank_measure(ctx: Context) -> dict[str, Column]:
+    total, n = F.lit(0), 0
+    for f in ctx.df.schema.fields:
+        if isinstance(f.dataType, StringType):
+            total, n = total + F.coalesce(F.trim(F.col(f"`{f.name}`")) == "", F.lit(False)).cast("int"), n + 1
+    return {"blank_pct": 100.0 * F.sum(total) / (F.count("*") * max(1, n))}
+
+
+def _pii_measure(ctx: Context) -> dict[str, Column]:
+    hit = F.lit(False)
+    for c in ctx.strings:
+        for label in pii.FOUR_LABELS:
+            hit = hit | F.coalesce(pii.has_match(F.col(f"`{c}`"), label), F.lit(False))
+    return {"pii_rows": F.count_if(hit)}
+
+
+def _utf8_measure(ctx: Context) -> dict[str, Column]:
+    good = F.lit(True)
+    for c in ctx.strings:
+        good = good & F.coalesce(F.is_valid_utf8(F.col(f"`{c}`")), F.lit(True))
+    return {"bad_encoding_rows": F.count_if(~good)}
+
+
+def _freshness_measure(ctx: Context) -> dict[str, Column]:
+    return {"age_days": days_between(ctx.as_of, F.max(F.col(ctx.time_col)))}
+
+
+def _zero_outcome(column: str, text: str, bad: str = "WARN") -> Callable[[Context], Outcome]:
+    def judge(_: Context) -> Outcome:
+        n = F.col(column)
+        return Outcome(F.when(n == 0, "PASS").otherwise(bad), F.format_string(f"{text}: %d", n), {column: n})
+
+    return judge
+
+
+def _first_numeric(ctx: Context) -> str | None:
+    return next((c for c in ctx.numeric if c not in (ctx.id_col, ctx.target_col)), None)
+
+
+def _drift_table(ctx: Context) -> DataFrame:
+    column = _first_numeric(ctx)
+    return drift.psi(ctx.df, ctx.compare, column, drift.quantile_edges(ctx.df, column))
+
+
+def _shift_table(ctx: Context) -> DataFrame:
+    return drift.cdf_distances(ctx.df, ctx.compare, _first_numeric(ctx))
+
+
+def _status_from(column: str, text: str, metric: Sequence[str]) -> Callable[[Context], Outcome]:
+    def judge(_: Context) -> Outcome:
+        return Outcome(F.col(column), F.lit(text), {m: F.col(m) for m in metric})
+
+    return judge
+
+
+def _parity_outcome(_: Context) -> Outcome:
+    p = F.col("prevalence_parity")
+    text = F.when(p.isNull(), "No non-null labels").otherwise(F.format_string("Label prevalence parity=%.3f", p))
+    return Outcome(F.col("status"), text, {"prevalence_parity": p})
+
+
+def _balance_outcome(_: Context) -> Outcome:
+    b = F.col("balance")
+    status = F.when(F.col("classes") < 2, "SKIP").when(b >= 70, "PASS").when(b >= 40, "WARN").otherwise("FAIL")
+    return Outcome(status, F.format_string("Class balance score %.1f", b), {"balance": b})
+
+
+def _range_outcome(column: str, warn: float, fail: float, text: str) -> Callable[[Context], Outcome]:
+    def judge(_: Context) -> Outcome:
+        v = F.col(column)
+        return Outcome(share_status(v, (warn, fail)), F.concat(F.lit(f"{text} "), F.format_string("%.4f", v)), {column: v})
+
+    return judge
+
+
+CHECKS: tuple[Check, ...] = (
+    Check("Missing value ratio", "Missingness Analysis", _share_outcome("missing_pct", fv.MISSING_PCT, "Missing cells"), _missing_measure),
+    Check("Blank string format", "Data Integrity & Validation", _share_outcome("blank_pct", fv.MISSING_PCT, "Blank strings"), _blank_measure),
+    Check("Duplicate row ratio", "Data Integrity & Validation", _share_outcome("duplicate_pct", fv.MISSING_PCT, "Duplicate rows"), _duplicate_measure),
+    Check("PII pattern scan", "Privacy & Anonymity", _zero_outcome("pii_rows", "Rows with personal data"), _pii_measure),
+    Check("Text encoding", "Text Quality", _zero_outcome("bad_encoding_rows", "Rows with invalid UTF-8", "FAIL"), _utf8_measure),
+    Check("Timeliness freshness", "Time Series: Stationarity", _range_outcome("age_days", 365.0, 1095.0, "Age in days"), _freshness_measure, needs=("time_col", "as_of")),
+    Check("Primary-key uniqueness", "Data Integrity & Validation", _status_from("status", "Identifier is unique and filled", ("repeated_keys", "null_keys")),
+          table=lambda c: statistics.key_uniqueness(c.df, [c.id_col]), needs=("id_col",)),
+    Check("IQR outlier share", "Outlier Detection", _range_outcome("outlier_pct", *fv.OUTLIER_PCT, "Worst column outlier share"),
+          table=lambda c: _worst(statistics.iqr_outliers(c.df, [x for x in c.numeric if x != c.id_col]), "outlier_pct"), needs=("numeric",)),
+    Check("Z-score outlier share", "Outlier Detection", _range_outcome("outlier_pct", *fv.OUTLIER_PCT, "Worst column outlier share"),
+          table=lambda c: _worst(statistics.zscore_outliers(c.df, [x for x in c.numeric if x != c.id_col]), "outlier_pct"), needs=("numeric",)),
+    Check("PSI drift", "Two-Sample/Drift Tests", _status_from("status", "Population stability index of the first measure", ("psi",)), table=_drift_table, needs=("compare", "numeric")),
+    Check("Kolmogorov-Smirnov shift", "Two-Sample/Drift Tests", _range_outcome("kolmogorov_smirnov", 0.1, 0.25, "Largest gap of the distributions"), table=_shift_table, needs=("compare", "numeric")),
+    Check("Row leakage overlap", "Data Leakage", _range_outcome("overlap_share", 0.0, 0.05, "Share of rows also in the comparison"),
+          table=lambda c: drift.row_overlap(c.df, c.compare), needs=("compare",)),
+    Check("Label class balance", "Label Quality", _balance_outcome, table=lambda c: statistics.class_balance(c.df, c.target_col), needs=("target_col",)),
+    Check("Fairness coverage", "Label Quality", _parity_outcome, table=lambda c: statistics.class_parity(c.df, c.target_col), needs=("target_col",)),
+    Check("Time gap autocorrelation", "Time Series: Autocorrelation", _range_outcome("late_share", 0.05, 0.2, "Share of gaps above a day"),
+          table=lambda c: timeseries.time_gaps(c.df, [], c.time_col, c.id_col or c.time_col, 86400.0, "month"), needs=("time_col",)),
+)
+
+KNOWN_STATUS = tuple(fv.STATUS_SCORE)
+
+
+def _present(ctx: Context, need: str) -> bool:
+    value = getattr(ctx, need)
+    return bool(value) if isinstance(value, (list, str)) else value is not None
+
+
+def _result(index: int, check: Check, outcome: Outcome) -> Column:
+    """One result struct; an unknown status becomes WARN, long metrics are cut."""
+    status = F.when(outcome.status.isin(*KNOWN_STATUS), outcome.status).otherwise("WARN")
+    pairs = [x for k, v in list(outcome.metric.items())[:12] for x in (F.lit(k), v.cast("string"))]
+    metric = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    default = fv.CHECK_CATEGORY_DIMENSION.get(check.category, fv.DEFAULT_DIMENSION)
+    return F.struct(
+        F.lit(index).alias("index"), F.lit(check.name).alias("test"), F.coalesce(status, F.lit("WARN")).alias("status"),
+        scoring.keyword_dimension(F.lit(check.name), F.lit(default)).alias("dimension"),
+        F.coalesce(outcome.interpretation, F.lit("")).alias("interpretation"), metric.alias("metric"),
+    )
+
+
+def _fixed(status: str, text: str, **metric: str) -> Outcome:
+    return Outcome(F.lit(status), F.lit(text), {k: F.lit(v) for k, v in metric.items()})
+
+
+def run_checks(ctx: Context, checks: Sequence[Check] = CHECKS) -> DataFrame:
+    """Result rows in check order.
+
+    Missing roles give SKIP, a check that cannot be built gives FAIL with the
+    reason. Batched checks share one pass over the table.
+    """
+    spark = ctx.df.sparkSession
+    batched: dict[int, tuple[Check, dict[str, Column]]] = {}
+    constant: list[Column] = []
+    frames: list[DataFrame] = []
+    for index, check in enumerate(checks, 1):
+        lacking = [n for n in check.needs if not _present(ctx, n)]
+        if lacking:
+            constant.append(_result(index, check, _fixed("SKIP", f"No {lacking[0]} for this check.")))
+            continue
+        try:
+            if check.measures is not None:
+                measures = check.measures(ctx)
+                ctx.df.agg(*[m.alias(n) for n, m in measures.items()]).schema
+                batched[index] = (check, measures)
+            elif check.table is not None:
+                frames.append(check.table(ctx).select(_result(index, check, check.judge(ctx)).alias("r")))
+            else:
+                constant.append(_result(index, check, _fixed("SKIP", "No implementation mapped for this test.")))
+        except Exception as error:  # a broken check must not stop the others
+            text = str(error).splitlines()[0]
+            constant.append(_result(index, check, _fixed("FAIL", f"Exception during execution: {text}", error=text)))
+    if batched:
+        columns = {n: m for _, ms in batched.values() for n, m in ms.items()}
+        row = ctx.df.agg(*[m.alias(n) for n, m in columns.items()])
+        results = [_result(i, c, c.judge(ctx)) for i, (c, _) in batched.items()]
+        frames.append(row.select(F.explode(F.array(*results)).alias("r")))
+    if constant:
+        frames.append(spark.range(1).select(F.explode(F.array(*constant)).alias("r")))
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out.select("r.*")
+
+
+def make_context(
+    df: DataFrame, compare: DataFrame | None = None, id_col: str | None = None, time_col: str | None = None,
+    target_col: str | None = None, as_of: Column | None = None, max_rows: int | None = None, sample_key: str | None = None,
+) -> Context:
+    """Trim headers, align with the comparison, check roles, read time columns.
+
+    The row cap is off unless asked for.
+    """
+    if max_rows is not None:
+        df = profile.sample_rows(df, sample_key or df.columns[0], max_rows)
+    df = profile.trim_headers(df)
+    notes = []
+    if compare is not None:
+        df, compare = profile.align_columns(df, compare)
+        if compare is None:
+            notes.append("No shared columns with the comparison; drift checks are skipped.")
+    roles, warnings = profile.valid_roles(df, id_col=id_col, time_col=time_col, target_col=target_col)
+    time = roles["time_col"]
+    if time and not isinstance(df.schema[time].dataType, (TimestampType, TimestampNTZType)):
+        df = profile.coerce_dates(df, [time])
+    return Context(df, compare, as_of=as_of, warnings=notes + warnings, **roles)
+
+
+def assess_table(ctx: Context, checks: Sequence[Check] = CHECKS) -> DataFrame:
+    """One report row: scores, tier, advice, actions and status counts."""
+    results = run_checks(ctx, checks)
+    return report_results(results)
+
+
+def report_results(results: DataFrame) -> DataFrame:
+    """Report row from result rows, in one aggregate over them."""
+    parts = [
+        F.coalesce(F.avg(F.when(F.col("dimension") == d, scoring.status_score(F.col("status")))), F.lit(fv.NEUTRAL_SCORE)).alias(d)
+        for d in fv.DIMENSIONS
+    ]
+    counts = [F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in ("PASS", "WARN", "FAIL", "SKIP")]
+    listed = F.sort_array(F.collect_list(F.struct("index", "test", "status", "dimension", "interpretation")))
+    row = scoring.with_overall(results.agg(*parts, *counts, F.count("*").alias("total_tests"), listed.alias("tests")))
+    lines = F.filter("tests", lambda r: r["status"].isin("FAIL", "WARN"))
+
+    def action(name: Column) -> Column:
+        out = None
+        for words, text in fv.REMEDIATION_KEYWORDS:
+            cond = F.lower(name).rlike("|".join(words))
+            out = F.when(cond, text) if out is None else out.when(cond, text)
+        return out
+
+    actions = F.slice(F.array_distinct(F.array_compact(F.transform(lines, lambda r: action(r["test"])))), 1, 8)
+    fixes = F.when(F.size(actions) > 0, actions).otherwise(F.array(F.lit(fv.REMEDIATION_NONE)))
+
+    def first(status: str) -> Column:
+        return F.slice(F.filter("tests", lambda r: r["status"] == status), 1, 25)
+
+    return scoring.report(
+        row, "tabular",
+        {
+            "fix_actions": fixes,
+            "summary": F.struct("total_tests", *[F.col(f"n_{s}").alias(s) for s in ("pass", "warn", "fail", "skip")]),
+            "failed_tests": first("FAIL"), "warning_tests": first("WARN"),
+        },
+    )
+
+
+def quality_summary(df: DataFrame) -> DataFrame:
+    """Score, tier and dimensions of a batch of rows."""
+    return assess_table(make_context(df)).select("overall_score", "quality_tier", "dimension_scores")
+

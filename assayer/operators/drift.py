@@ -1,0 +1,119 @@
+"""Two-sample comparisons: drift, distances, coverage and overlap.
+
+Both samples are reduced to counts per value or bin before they meet, so a
+value that holds a third of the rows is one row by then.
+"""
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from assayer.functions.keys import row_key
+from assayer.functions.ordered import edge_bucket, value_edges, with_previous, with_running_sums
+
+
+def _sides(base: DataFrame, other: DataFrame, value: Column) -> DataFrame:
+    """(value, p, q): both samples in one frame with 0/1 weights."""
+    left = base.select(value.alias("value"), F.lit(1).alias("p"), F.lit(0).alias("q"))
+    right = other.select(value.alias("value"), F.lit(0).alias("p"), F.lit(1).alias("q"))
+    return left.unionByName(right).filter("value IS NOT NULL")
+
+
+def _shares(base: DataFrame, other: DataFrame, value: Column) -> DataFrame:
+    """(value, p, q): relative frequency of each value in both samples.
+
+    One grouped union replaces the full outer join of two grouped tables.
+    """
+    counts = _sides(base, other, value).groupBy("value").agg(F.sum("p").cast("double").alias("np"), F.sum("q").cast("double").alias("nq"))
+    totals = counts.agg(F.struct(F.sum("np").alias("p"), F.sum("nq").alias("q")).alias("t")).scalar()
+    return counts.withColumn("t", totals).select("value", (F.col("np") / F.col("t.p")).alias("p"), (F.col("nq") / F.col("t.q")).alias("q"))
+
+
+def psi(base: DataFrame, other: DataFrame, column: str, edges: list[float], floor: float = 1e-4) -> DataFrame:
+    """Population stability index over the bins cut by ``edges``."""
+    bins = edge_bucket(F.col(f"`{column}`").cast("double"), edges)
+    value = F.when(F.col(f"`{column}`").isNotNull(), bins)
+    shares = _shares(base, other, value)
+    p, q = F.greatest("p", F.lit(floor)), F.greatest("q", F.lit(floor))
+    out = shares.agg(F.sum((q - p) * F.log(q / p)).alias("psi"))
+    v = F.col("psi")
+    return out.withColumn("status", F.when(v > 0.25, "FAIL").when(v > 0.1, "WARN").otherwise("PASS"))
+
+
+def quantile_edges(base: DataFrame, column: str, bins: int = 10) -> list[float]:
+    """Baseline decile edges (a few numbers), for binned comparisons."""
+    return value_edges(base.select(F.col(f"`{column}`").cast("double").alias("v")), ["v"], bins)["v"]
+
+
+def share_distances(base: DataFrame, other: DataFrame, value: Column) -> DataFrame:
+    """Hellinger, total variation, Jensen-Shannon and Kullback-Leibler (smoothed) distances."""
+    p, q = F.col("p"), F.col("q")
+    m = (p + q) / 2
+
+    def part(a: Column, b: Column) -> Column:
+        return F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
+
+    small = F.lit(1e-12)
+    return _shares(base, other, value).agg(
+        F.sqrt(F.greatest(F.lit(0.0), 1.0 - F.sum(F.sqrt(p * q)))).alias("hellinger"),
+        (F.sum(F.abs(p - q)) / 2).alias("total_variation"),
+        F.sum((part(p, m) + part(q, m)) / 2).alias("jensen_shannon"),
+        F.sum(F.when(p > 0, p * F.log(p / F.greatest(q, small))).otherwise(0.0)).alias("kullback_leibler"),
+    )
+
+
+def distribution_gaps(base: DataFrame, other: DataFrame, column: str, buckets: int = 64) -> DataFrame:
+    """(value, piece, f, g): both cumulative distributions at each distinct value.
+
+    Values are counted, cut into pieces at approximate quantiles and summed
+    piece by piece.
+    """
+    value = F.col(f"`{column}`").cast("double")
+    both = _sides(base, other, value)
+    edges = value_edges(both, ["value"], buckets)["value"]
+    counts = both.groupBy("value").agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
+    piece = edge_bucket(F.col("value"), edges)
+    placed = with_running_sums(counts, [], ["value"], {"cp": F.col("np"), "cq": F.col("nq")}, piece)
+    return placed.select(
+        "value", piece.alias("piece"),
+        (F.col("cp") / F.col("cp_total")).alias("f"), (F.col("cq") / F.col("cq_total")).alias("g"),
+    )
+
+
+def cdf_distances(base: DataFrame, other: DataFrame, column: str, buckets: int = 64) -> DataFrame:
+    """Wasserstein-1, energy distance and Kolmogorov-Smirnov statistic."""
+    # Integrals run over the gap that ends at a value, with both distributions
+    # as they were at the value before.
+    at = distribution_gaps(base, other, column, buckets)
+    steps = with_previous(at, [], ["value"], ["value", "f", "g"], F.col("piece"))
+    gap = F.col("value") - F.col("prev.value")
+    diff = F.abs(F.col("prev.f") - F.col("prev.g"))
+    return steps.agg(
+        F.coalesce(F.sum(gap * diff), F.lit(0.0)).alias("wasserstein"),
+        F.coalesce(2.0 * F.sum(gap * diff * diff), F.lit(0.0)).alias("energy_distance"),
+        F.max(F.abs(F.col("f") - F.col("g"))).alias("kolmogorov_smirnov"),
+    )
+
+
+def category_coverage(base: DataFrame, other: DataFrame, column: str) -> DataFrame:
+    """Share of the baseline's categories that the comparison also has."""
+    seen = _sides(base, other, F.col(column)).groupBy("value").agg(F.max("p").alias("p"), F.max("q").alias("q"))
+    both = F.count_if((F.col("p") == 1) & (F.col("q") == 1))
+    n = F.count_if(F.col("p") == 1)
+    return seen.agg(n.alias("baseline_categories"), both.alias("covered"), (both / n).alias("coverage"))
+
+
+def uncovered_categories(base: DataFrame, other: DataFrame, column: str) -> DataFrame:
+    seen = _sides(base, other, F.col(column)).groupBy("value").agg(F.max("p").alias("p"), F.max("q").alias("q"))
+    return seen.filter("p = 1 AND q = 0").select(F.col("value").alias(column))
+
+
+def row_overlap(base: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows of ``base`` that also occur in ``other``, compared by whole row.
+
+    Copies are counted before the two sides meet, so a row copied many times is
+    one group with a count.
+    """
+    left = base.select(row_key(base).alias("k"), F.lit(1).alias("l"), F.lit(0).alias("r"))
+    right = other.select(row_key(other).alias("k"), F.lit(0).alias("l"), F.lit(1).alias("r"))
+    groups = left.unionByName(right).groupBy("k").agg(F.sum("l").alias("l"), F.max("r").alias("r"))
+    n, hit = F.coalesce(F.sum("l"), F.lit(0)), F.coalesce(F.sum(F.col("l") * F.col("r")), F.lit(0))
+    return groups.agg(n.alias("rows"), hit.alias("overlapping_rows"), (hit / n).alias("overlap_share"))
