@@ -81,15 +81,15 @@ def assess(df: DataFrame, filename: str, order: Sequence) -> DataFrame:
     )
 
 
-def assess_unread(files: DataFrame, filename: str = "filename") -> DataFrame:
+def assess_unread(files: DataFrame, filename: str = "filename", keep: Sequence[str] = ("filename",)) -> DataFrame:
     """Reports for files that are not tables: name and suffix give the category,
-    the score is the default."""
+    the score is the default. ``keep`` columns are carried along."""
     name = F.col(filename)
     score = F.lit(fv.UNREAD_SCORE)
     use = F.lit(fv.UNREAD_BEST_USE)
     labelled = files.withColumn("__c", categorise(F.concat_ws(" ", name, suffix_of(F.lower(name)))))
     return labelled.select(
-        name.alias("filename"),
+        *keep,
         F.col("__c.category").alias("predicted_category"),
         F.col("__c.confidence").alias("confidence"),
         score.alias("quality_score"),

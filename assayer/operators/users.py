@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from assayer import fixed_values as fv
 from assayer.functions.text import strip
 from assayer.operators.catalog import latest
+from assayer.session import durable
 
 PUBLIC_COLUMNS = ("id", "username", "email", "plan", "kyb_status", "restricted")
 
@@ -32,10 +33,11 @@ def public_view(users: DataFrame) -> DataFrame:
 def register(requests: DataFrame, users: DataFrame, order: Sequence[str]) -> DataFrame:
     """Registrations (id, username, email, plan) with ``reason``, null when accepted.
 
-    Within a batch the first request in ``order`` takes a name or e-mail. A
-    request refused for one of them does not block the other: requests are
-    compared with the accepted ones, found by dropping those that lose to an
-    earlier request with the same name or e-mail.
+    Requests count in ``order``: a name or e-mail belongs to the first request
+    accepted with it, and a refused request blocks nobody. Requests that share
+    neither are settled at once. The contested ones are settled in rounds: the
+    earliest open request of both its name and its e-mail is accepted, those
+    that clash with it are refused, and the rest goes on.
     """
     clean = requests.withColumns(
         {
@@ -55,13 +57,27 @@ def register(requests: DataFrame, users: DataFrame, order: Sequence[str]) -> Dat
         .when(F.col("__mail_used"), "email_exists")
     )
     judged = known.withColumn("reason", basic).drop("__name_used", "__mail_used")
-    rounds = judged.withColumn("__open", F.col("reason").isNull())
-    # The earliest open request of a name (or e-mail) is what later ones meet.
-    by_name = rounds.filter("__open").groupBy("username").agg(F.min("__at").alias("__first_name"))
-    by_mail = rounds.filter("__open").groupBy("email").agg(F.min("__at").alias("__first_mail"))
-    met = rounds.join(by_name, "username", "left").join(by_mail, "email", "left")
-    clash = F.when(F.col("__at") > F.col("__first_name"), "username_exists").when(F.col("__at") > F.col("__first_mail"), "email_exists")
-    return met.withColumn("reason", F.when(F.col("__open"), clash).otherwise(F.col("reason"))).drop("__at", "__open", "__first_name", "__first_mail")
+    settled = judged.filter("reason IS NOT NULL").drop("__at")
+    open_ones = judged.filter("reason IS NULL").drop("reason")
+    while True:
+        by_name = open_ones.groupBy("username").agg(F.min("__at").alias("__first_name"))
+        by_mail = open_ones.groupBy("email").agg(F.min("__at").alias("__first_mail"))
+        met = open_ones.join(by_name, "username").join(by_mail, "email")
+        wins = (F.col("__at") == F.col("__first_name")) & (F.col("__at") == F.col("__first_mail"))
+        met = durable(met.withColumn("__wins", wins).drop("__first_name", "__first_mail"))
+        winners = met.filter("__wins")
+        rest = (
+            met.filter(~F.col("__wins"))
+            .join(winners.select("username", F.lit("username_exists").alias("__n")), "username", "left")
+            .join(winners.select("email", F.lit("email_exists").alias("__m")), "email", "left")
+            .withColumn("reason", F.coalesce("__n", "__m"))
+        )
+        columns = settled.columns
+        settled = settled.unionByName(winners.withColumn("reason", F.lit(None).cast("string")).select(columns))
+        settled = settled.unionByName(rest.filter("reason IS NOT NULL").select(columns))
+        open_ones = durable(rest.filter("reason IS NULL").select(*[c for c in met.columns if c != "__wins"]))
+        if open_ones.isEmpty():
+            return settled
 
 
 def accepted_users(registered: DataFrame, at: Column) -> DataFrame:

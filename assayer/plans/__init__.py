@@ -1 +1,15 @@
+"""Registered queries over the given tables."""
 
+from assayer.plans.registry import Query
+
+
+def all_queries() -> dict[str, Query]:
+    from assayer.plans import profiling
+
+    out: dict[str, Query] = {}
+    for module in (profiling,):
+        for name, query in module.QUERIES.items():
+            if name in out:
+                raise KeyError(f"query registered twice: {name}")
+            out[name] = query
+    return out

@@ -1,5 +1,7 @@
 """Session settings the jobs rely on."""
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -18,16 +20,24 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_folder(spark: SparkSession, fallback: str | None = None) -> str:
-    """Shared folder for durable intermediate tables.
-
-    The cluster names it in ``spark.checkpoint.dir``; ``fallback`` is only for
-    sessions without one, such as tests.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or fallback
-    if not folder:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback folder was given")
-    return folder
+def checkpoint_folder(spark: SparkSession) -> str:
+    """Shared folder for durable intermediate tables, as the cluster names it in
+    ``spark.checkpoint.dir``. Only a local session may do without: it gets a
+    folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    return tempfile.mkdtemp(prefix="assayer-checkpoint-")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint, which outlives executors."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
+    return df.checkpoint()
 
 
 def spread(df: DataFrame, *keys: str, bytes_per_core: int = 64 << 20) -> DataFrame:

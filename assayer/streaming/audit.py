@@ -1,0 +1,18 @@
+"""Audit events as a stream."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from assayer.operators.audit import audit_rows
+
+
+def masked_events(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """Masked audit rows; an event sent again within ``lateness`` is dropped."""
+    return audit_rows(events).withWatermark("created_at", lateness).dropDuplicatesWithinWatermark(["id"])
+
+
+def start_audit(events: DataFrame, path: str, checkpoint: str, lateness: str = "1 hour") -> StreamingQuery:
+    return (
+        masked_events(events, lateness).writeStream.format("parquet").partitionBy("dt")
+        .option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
