@@ -35,15 +35,13 @@ def categorise(text: Column, whole_word: bool = False) -> Column:
         for i, (name, hits) in enumerate(keyword_hits(text, whole_word).items())
     ]
 
-    def verdict(best: Column) -> Column:
-        none, one, two, more = (F.lit(c) for c in fv.CATEGORY_CONFIDENCE)
-        hits = best["hits"]
-        return F.struct(
-            F.when(hits > 0, best["name"]).otherwise(F.lit(fv.DEFAULT_CATEGORY)).alias("category"),
-            F.when(hits >= 3, more).when(hits == 2, two).when(hits == 1, one).otherwise(none).alias("confidence"),
-        )
-
-    return F.transform(F.array(F.array_max(F.array(*ranked))), verdict)[0]
+    best = F.array_max(F.array(*ranked))
+    hits = best["hits"]
+    none, one, two, more = (F.lit(c) for c in fv.CATEGORY_CONFIDENCE)
+    return F.struct(
+        F.when(hits > 0, best["name"]).otherwise(F.lit(fv.DEFAULT_CATEGORY)).alias("category"),
+        F.when(hits >= 3, more).when(hits == 2, two).when(hits == 1, one).otherwise(none).alias("confidence"),
+    )
 
 
 def tags(category: Column, score: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.functions.keys import row_key
 from assayer.functions.ordered import edge_bucket, value_edges, with_previous, with_running_sums
+from assayer.operators.statistics import exact_quantiles
 
 
 def _sides(base: DataFrame, other: DataFrame, value: Column) -> DataFrame:
@@ -39,8 +40,11 @@ def psi(base: DataFrame, other: DataFrame, column: str, edges: list[float], floo
 
 
 def quantile_edges(base: DataFrame, column: str, bins: int = 10) -> list[float]:
-    """Baseline decile edges (a few numbers), for binned comparisons."""
-    return value_edges(base.select(F.col(f"`{column}`").cast("double").alias("v")), ["v"], bins)["v"]
+    """Exact baseline quantile edges (deciles by default): a few numbers reach the
+    driver."""
+    probs = [i / bins for i in range(1, bins)]
+    row = exact_quantiles(base, [column], probs).first()
+    return [] if row is None else sorted({row[f"q{i}"] for i in range(1, bins)})
 
 
 def share_distances(base: DataFrame, other: DataFrame, value: Column) -> DataFrame:

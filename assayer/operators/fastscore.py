@@ -81,13 +81,15 @@ def assess(df: DataFrame, filename: str, order: Sequence) -> DataFrame:
     )
 
 
-def assess_unread(files: DataFrame, filename: str = "filename", keep: Sequence[str] = ("filename",)) -> DataFrame:
+def assess_unread(files: DataFrame, filename: str = "filename", keep: Sequence[str] = ("filename",), suffix: bool = True) -> DataFrame:
     """Reports for files that are not tables: name and suffix give the category,
-    the score is the default. ``keep`` columns are carried along."""
+    the score is the default. ``keep`` columns are carried along; without
+    ``suffix`` the name alone decides."""
     name = F.col(filename)
     score = F.lit(fv.UNREAD_SCORE)
     use = F.lit(fv.UNREAD_BEST_USE)
-    labelled = files.withColumn("__c", categorise(F.concat_ws(" ", name, suffix_of(F.lower(name)))))
+    text = F.concat_ws(" ", name, suffix_of(F.lower(name))) if suffix else name
+    labelled = files.withColumn("__c", categorise(text))
     return labelled.select(
         *keep,
         F.col("__c.category").alias("predicted_category"),

@@ -16,6 +16,7 @@ from assayer.operators.access import intake_gate
 from assayer.operators.audit import AUDIT_COLUMNS, audit_rows
 from assayer.operators.catalog import build_records, mime_choice, safe_name, upsert
 from assayer.operators.fastscore import assess_unread, detail_lines, with_quality_score
+from assayer.session import durable
 from assayer.sources.files import cell_kinds, null_spellings
 
 KINDS = ("bigint", "double", "boolean")
@@ -178,18 +179,26 @@ def ingest(uploads: DataFrame, lines: DataFrame, users: DataFrame, catalog: Data
     gated = gate_uploads(uploads, users)
     accepted = gated.filter("reason IS NULL")
     tables = accepted.filter(is_delimited(F.col("filename")))
-    wanted = lines.join(tables.select("file"), "file", "left_semi")
-    read = tables.join(assess_files(wanted, tables).drop("filename"), "file")
+    wanted = lines.join(tables.select("file").distinct(), "file", "left_semi")
+    reports = assess_files(wanted, tables.select("file", "filename")).drop("filename")
+    read = tables.join(reports, "file")
+    # Tables without a single line keep the default report, with the reason.
+    empty = tables.join(reports.select("file"), "file", "left_anti")
     unread = with_unread_report(accepted.filter(~is_delimited(F.col("filename"))))
-    both = read.unionByName(unread).withColumn("owner", F.col("user_id"))
-    records = build_records(both, as_of, storage_provider)
+    failed = with_unread_report(empty, suffix=False).withColumn("pii_status", F.lit(EMPTY_TABLE))
+    both = read.unionByName(unread).unionByName(failed).withColumn("owner", F.col("user_id"))
+    # Used by the catalogue and by the audit: assessed once.
+    records = durable(build_records(both, as_of, storage_provider))
     following = upsert(catalog, records, ["timestamp", "filename"]).select(*catalog.columns)
     return following, upload_audit(gated, records, as_of)
 
 
-def with_unread_report(uploads: DataFrame) -> DataFrame:
+EMPTY_TABLE = "Fast pipeline fallback used: No columns to parse from file"
+
+
+def with_unread_report(uploads: DataFrame, suffix: bool = True) -> DataFrame:
     """Uploads that are not delimited tables, with the default report columns."""
-    reported = assess_unread(uploads, "filename", keep=uploads.columns)
+    reported = assess_unread(uploads, "filename", keep=uploads.columns, suffix=suffix)
     return reported.withColumnRenamed("generated_tags", "tags").withColumn("stats", F.lit("{}"))
 
 

@@ -471,19 +471,22 @@ FILE_TABLES = {
 }
 
 
-def file_names(spark, lines):
+FILE_STRINGS = {"customer": ("c_name", "c_mktsegment"), "events": ("event_type", "props"), "part": ("p_name", "p_type")}
+
+
+def file_names(lines):
     return lines.select("file").distinct().withColumn("filename", F.concat("file", F.lit(".csv")))
 
 
 def _assess_files(spark, d):
     lines = delimited_lines(spark, d)
-    return intake.assess_files(lines, file_names(spark, lines)).select(
+    return intake.assess_files(lines, file_names(lines)).select(
         "file", "predicted_category", "confidence", "quality_score", "redacted_cells", "stats", F.array_join("tags", ",").alias("tags")
     )
 
 
 def _assess_files_sql() -> str:
-    strings = {"customer": ("c_name", "c_mktsegment"), "events": ("event_type", "props"), "part": ("p_name", "p_type")}
+    strings = FILE_STRINGS
     parts = []
     for name, (columns, order) in FILE_TABLES.items():
         source = f"SELECT {', '.join(columns)} FROM {name}"
@@ -499,11 +502,15 @@ def _assess_files_sql() -> str:
 QUERIES.add("assess_files", _assess_files, _assess_files_sql())
 
 
-def _scrubbed_lines(spark, d):
-    return intake.scrubbed_lines(delimited_lines(spark, d).filter("file = 'customer'")).select(F.col("at.row").alias("row"), "line").filter("row > 0")
-
-
 QUERIES.add(
-    "scrubbed_lines", _scrubbed_lines,
-    f"SELECT c_custkey AS row, concat_ws(',', c_custkey, {q.scrub('c_name')}, c_nationkey, {q.scrub('c_mktsegment')}) AS line FROM customer WHERE c_custkey > 0",
+    "scrubbed_lines",
+    lambda spark, d: intake.scrubbed_lines(delimited_lines(spark, d)).select("file", F.col("at.block").cast("bigint").alias("block"), F.col("at.row").alias("row"), "line"),
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS file, CAST(0 AS BIGINT) AS block, CAST(0 AS BIGINT) AS row, '{','.join(columns)}' AS line UNION ALL SELECT '{name}', 1, {order}, concat_ws(',', "
+        + ", ".join(
+            f"CASE WHEN contains({c}, ',') OR contains({c}, '\"') THEN '\"' || replace({q.scrub(c)}, '\"', '\"\"') || '\"' ELSE {q.scrub(c)} END" if c in FILE_STRINGS[name] else c for c in columns
+        )
+        + f") FROM {name}"
+        for name, (columns, order) in FILE_TABLES.items()
+    ),
 )

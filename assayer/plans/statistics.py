@@ -237,7 +237,13 @@ def _psi_deciles(spark, d):
     return drift.psi(a, b, "l_extendedprice", drift.quantile_edges(a, "l_extendedprice"))
 
 
-QUERIES.add("psi_drift_deciles", _psi_deciles)
+_DECILES = "(SELECT " + ", ".join(f"quantile_cont(l_extendedprice, {i / 10}) AS e{i}" for i in range(1, 10)) + " FROM lineitem WHERE l_returnflag = 'A')"
+_BY_DECILE = _share_sql(" + ".join(f"CAST(l_extendedprice > e{i} AS INT)" for i in range(1, 10))).replace("l_returnflag FROM lineitem WHERE l_returnflag IN", f"l_returnflag FROM lineitem, {_DECILES} WHERE l_returnflag IN")
+QUERIES.add(
+    "psi_drift_deciles", lambda spark, d: rounded(_psi_deciles(spark, d), "psi"),
+    "SELECT round(psi, 6) AS psi, CASE WHEN psi > 0.25 THEN 'FAIL' WHEN psi > 0.1 THEN 'WARN' ELSE 'PASS' END AS status FROM (SELECT sum((greatest(q, 1e-4) - greatest(p, 1e-4)) "
+    f"* ln(greatest(q, 1e-4) / greatest(p, 1e-4))) AS psi FROM ({_BY_DECILE}))",
+)
 _DIST = (
     "SELECT round(sqrt(greatest(0.0, 1.0 - sum(sqrt(p * q)))), 6) AS hellinger, round(sum(abs(p - q)) / 2, 6) AS total_variation, "
     "round(sum((CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / 2), 6) AS jensen_shannon, "
