@@ -1,47 +1,46 @@
-"""Keyword categorisation, tags and type match as column expressions."""
+"""Keyword categorisation, tags and type match."""
 
-from pyspark.sql import Column, functions as F
+from functools import cache
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer import fixed_values as fv
 from assayer.functions.text import WORD
 
+LOWERED = "__lowered"
 
-def keyword_hits(text: Column, whole_word: bool = False) -> dict[str, Column]:
-    """Number of distinct keywords of each category found in the text.
 
-    Keywords match inside words unless ``whole_word`` is set.
-    """
-    lowered = F.lower(F.coalesce(text, F.lit("")))
+@cache
+def category_rule(whole_word: bool = False) -> str:
+    """Expression over the lower-cased text: struct(hits, rank, name) of the best
+    category; most distinct keywords found, the first category on ties.
 
-    def found(keyword: str) -> Column:
+    Kept as text, since it has close to a hundred terms and is parsed in one go.
+    """
+    def found(keyword: str) -> str:
         if whole_word:
-            return lowered.rlike(f"(?<!{WORD}){keyword}(?!{WORD})")
-        return F.contains(lowered, F.lit(keyword))
-
-    out = {}
-    for category, keywords in fv.CATEGORY_KEYWORDS.items():
-        flags = [found(k).cast("int") for k in keywords]
-        total = flags[0]
-        for flag in flags[1:]:
-            total = total + flag
-        out[category] = total
-    return out
+            return f"rlike({LOWERED}, r'(?<!{WORD}){keyword}(?!{WORD})')"
+        return f"contains({LOWERED}, '{keyword}')"
 
-
-def categorise(text: Column, whole_word: bool = False) -> Column:
-    """Struct(category, confidence): most keyword hits, first category on ties."""
     ranked = [
-        F.struct(hits.alias("hits"), F.lit(-i).alias("rank"), F.lit(name).alias("name"))
-        for i, (name, hits) in enumerate(keyword_hits(text, whole_word).items())
+        f"named_struct('hits', {' + '.join(f'CAST({found(k)} AS INT)' for k in keywords)}, 'rank', {-i}, 'name', '{name}')"
+        for i, (name, keywords) in enumerate(fv.CATEGORY_KEYWORDS.items())
     ]
+    return f"array_max(array({', '.join(ranked)}))"
+
+
+def with_category(df: DataFrame, text: Column, out: str = "category", whole_word: bool = False) -> DataFrame:
+    """Add struct ``out`` (category, confidence) by the keywords found in ``text``.
 
-    best = F.array_max(F.array(*ranked))
-    hits = best["hits"]
-    none, one, two, more = (F.lit(c) for c in fv.CATEGORY_CONFIDENCE)
-    return F.struct(
-        F.when(hits > 0, best["name"]).otherwise(F.lit(fv.DEFAULT_CATEGORY)).alias("category"),
-        F.when(hits >= 3, more).when(hits == 2, two).when(hits == 1, one).otherwise(none).alias("confidence"),
+    Keywords match inside words unless ``whole_word`` is set.
+    """
+    none, one, two, more = fv.CATEGORY_CONFIDENCE
+    best = df.withColumn(LOWERED, F.lower(F.coalesce(text, F.lit("")))).withColumn("__best", F.expr(category_rule(whole_word)))
+    verdict = F.expr(
+        f"named_struct('category', if(__best.hits > 0, __best.name, '{fv.DEFAULT_CATEGORY}'), 'confidence', "
+        f"CASE WHEN __best.hits >= 3 THEN {more}D WHEN __best.hits = 2 THEN {two}D WHEN __best.hits = 1 THEN {one}D ELSE {none}D END)"
     )
+    return best.withColumn(out, verdict).drop(LOWERED, "__best")
 
 
 def tags(category: Column, score: Column) -> Column:

@@ -13,22 +13,16 @@ def half_even(value: Column, digits: int) -> Column:
     fraction is split in two so that both products fit a double.
     Meant for report-sized rows.
     """
-    scale = 10.0**digits
-
-    def rounded(v: Column) -> Column:
-        size = F.abs(v)
-        whole = F.floor(size).cast("double")
-        frac = size - whole
-        step = F.floor(frac * scale).cast("double")
-        high = F.floor(frac * 67108864.0) / 67108864.0
-        above = (high * (2 * scale) - (step * 2 + 1)) + (frac - high) * (2 * scale)
-        units = whole * scale + step
-        odd = units % 2
-        units = F.when(above > 0, units + 1).when(above == 0, units + odd).otherwise(units)
-        return F.signum(v) * units / scale
-
-    bound = F.transform(F.array(value.cast("double")), lambda v: F.when(F.isnan(v), v).otherwise(rounded(v)))
-    return bound[0]
+    scale = f"{10 ** digits}D"
+    rule = f"""v -> if(isnan(v), v, element_at(transform(array(named_struct(
+        'whole', cast(floor(abs(v)) AS DOUBLE), 'frac', abs(v) - floor(abs(v)))), p -> element_at(transform(array(
+        cast(floor(p.frac * {scale}) AS DOUBLE)), step -> element_at(transform(array(named_struct(
+            'units', p.whole * {scale} + step,
+            'above', (floor(p.frac * 67108864D) / 67108864D * (2 * {scale}) - (step * 2 + 1))
+                     + (p.frac - floor(p.frac * 67108864D) / 67108864D) * (2 * {scale}))),
+            u -> signum(v) * (u.units + CASE WHEN u.above > 0 THEN 1D WHEN u.above = 0 THEN u.units % 2 ELSE 0D END) / {scale}
+        ), 1)), 1)), 1))"""
+    return F.call_function("transform", F.array(value.cast("double")), F.expr(rule))[0]
 
 
 def clamp(value: Column, low: float = 0.0, high: float = 100.0) -> Column:

@@ -5,7 +5,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer import fixed_values as fv
-from assayer.functions.category import categorise
+from assayer.functions.category import with_category
 from assayer.functions.text import strip
 
 
@@ -14,8 +14,8 @@ def categorise_rows(df: DataFrame, text_column: str = "text", out: str = "catego
     if text_column not in df.columns or dict(df.dtypes)[text_column] != "string":
         return df.withColumn(out, F.lit(fv.DEFAULT_CATEGORY))
     text = F.col(f"`{text_column}`")
-    label = F.when(strip(text) != "", categorise(text)["category"]).otherwise(F.lit(fv.DEFAULT_CATEGORY))
-    return df.withColumn(out, label)
+    label = F.when(strip(text) != "", F.col("__c.category")).otherwise(F.lit(fv.DEFAULT_CATEGORY))
+    return with_category(df, text, "__c").withColumn(out, label).drop("__c")
 
 
 def head_text(df: DataFrame, order: Sequence, n: int = 10, clean: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -36,7 +36,7 @@ def with_dataset_category(row: DataFrame, df: DataFrame, filename: str, order: S
     first rows of ``df``."""
     named = F.concat_ws(" ", F.lit(filename), F.lit(" ".join(df.columns)), F.col("__head"))
     head = head_text(df, order, clean=clean)
-    return row.withColumn("__head", head.scalar()).withColumn("category", categorise(named)).drop("__head")
+    return with_category(row.withColumn("__head", head.scalar()), named).drop("__head")
 
 
 def categorise_dataset(df: DataFrame, filename: str, order: Sequence) -> DataFrame:
@@ -46,7 +46,7 @@ def categorise_dataset(df: DataFrame, filename: str, order: Sequence) -> DataFra
 def categorise_filename(df: DataFrame, filename: str) -> DataFrame:
     """Category of files that are not read: by name and suffix."""
     name = F.col(filename)
-    return df.withColumn("__c", categorise(F.concat_ws(" ", name, suffix_of(F.lower(name))))).select("*", "__c.*").drop("__c")
+    return with_category(df, F.concat_ws(" ", name, suffix_of(F.lower(name))), "__c").select("*", "__c.*").drop("__c")
 
 
 def suffix_of(name: Column) -> Column:
@@ -59,4 +59,4 @@ def categorise_first_row(df: DataFrame, order: Sequence) -> DataFrame:
     row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
     first = df.orderBy(*order).limit(1).select(row.alias("t"))
     out = first.agg(F.max("t").alias("t"))  # one row, also for an empty table
-    return out.select(categorise(F.col("t"))["category"].alias("category"))
+    return with_category(out, F.col("t"), "c").select("c.category")

@@ -208,7 +208,7 @@ def _result(index: int, check: Check, outcome: Outcome) -> Column:
     default = fv.CHECK_CATEGORY_DIMENSION.get(check.category, fv.DEFAULT_DIMENSION)
     return F.struct(
         F.lit(index).alias("index"), F.lit(check.name).alias("test"), F.coalesce(status, F.lit("WARN")).alias("status"),
-        scoring.keyword_dimension(F.lit(check.name), F.lit(default)).alias("dimension"),
+        F.lit(scoring.dimension_of(check.name, default)).alias("dimension"),
         F.coalesce(outcome.interpretation, F.lit("")).alias("interpretation"), metric.alias("metric"),
     )
 

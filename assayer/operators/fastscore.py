@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer import fixed_values as fv
 from assayer.functions import numeric
-from assayer.functions.category import categorise, tags
+from assayer.functions.category import tags, with_category
 from assayer.functions.pii import redaction_status
 from assayer.operators.categorise import suffix_of, with_dataset_category
 from assayer.operators.profile import preview, string_columns, table_stats
@@ -89,7 +89,7 @@ def assess_unread(files: DataFrame, filename: str = "filename", keep: Sequence[s
     score = F.lit(fv.UNREAD_SCORE)
     use = F.lit(fv.UNREAD_BEST_USE)
     text = F.concat_ws(" ", name, suffix_of(F.lower(name))) if suffix else name
-    labelled = files.withColumn("__c", categorise(text))
+    labelled = with_category(files, text, "__c")
     return labelled.select(
         *keep,
         F.col("__c.category").alias("predicted_category"),

@@ -4,19 +4,17 @@ Files are read as lines, so one huge file is many tasks and thousands of small
 ones are a few. Everything per file is an aggregate keyed by file.
 """
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from assayer import fixed_values as fv
 from assayer.functions import numeric, pii
-from assayer.functions.category import categorise, tags
+from assayer.functions.category import tags, with_category
 from assayer.functions.keys import narrow_text
 from assayer.operators.access import intake_gate
 from assayer.operators.audit import AUDIT_COLUMNS, audit_rows
 from assayer.operators.catalog import build_records, mime_choice, safe_name, upsert
 from assayer.operators.fastscore import assess_unread, detail_lines, with_quality_score
-from assayer.session import durable
+from assayer.session import durable, spread
 from assayer.sources.files import cell_kinds, null_spellings
 
 KINDS = ("bigint", "double", "boolean")
@@ -39,38 +37,32 @@ def split_line(line: Column) -> Column:
     )
 
 
-@dataclass
-class FileTable:
-    """Typed rows of many files in long form, and one row of facts per file."""
+def parse_files(lines: DataFrame) -> DataFrame:
+    """(file, head_at, header, kinds): header cells and promoted column types.
 
-    rows: DataFrame  # file, at, cells
-    facts: DataFrame  # file, header, kinds
+    The header line takes part in the counts and is taken off again, so that no
+    join is needed to skip it. The counts are plain numbers per (file, column)
+    and are combined before the shuffle.
+    """
+    heads = lines.groupBy("file").agg(F.min(F.struct("at", "line")).alias("h"))
+    heads = heads.select("file", F.col("h.at").alias("head_at"), split_line(F.col("h.line")).alias("header"))
+    cells = lines.select("file", F.posexplode(split_line(F.col("line"))).alias("pos", "raw"))
+    cells = cells.select("file", "pos", null_spellings(F.col("raw")).alias("cell"))
+    fits = cell_kinds(F.col("cell"))
+    counted = cells.groupBy("file", "pos").agg(F.count("cell").alias("filled"), *[F.count_if(~fits[k]).alias(k) for k in KINDS])
+    by_file = counted.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("pos", "filled", *KINDS))).alias("columns"))
 
+    def kind(name: Column, column: Column) -> Column:
+        own = null_spellings(name)
+        tests = cell_kinds(own)
+        clean = {k: column[k] == (~tests[k]).cast("int") for k in KINDS}
+        return (
+            F.when(column["filled"] == own.isNotNull().cast("int"), "double").when(clean["bigint"], "bigint")
+            .when(clean["double"], "double").when(clean["boolean"], "boolean").otherwise("string")
+        )
 
-def parse_files(lines: DataFrame) -> FileTable:
-    """Headers, rows and the promoted type of each column of each file."""
-    headers = lines.groupBy("file").agg(F.min(F.struct("at", "line")).alias("h"))
-    headers = headers.select("file", F.col("h.at").alias("head_at"), split_line(F.col("h.line")).alias("header"))
-    joined = lines.join(headers, "file").filter("at > head_at")
-    cells = F.transform(split_line(F.col("line")), null_spellings)
-    width = F.size("header")
-    # Short rows are filled with nulls, as readers do.
-    padded = F.slice(F.concat(cells, F.array_repeat(F.lit(None).cast("string"), width)), F.lit(1), width)
-    rows = joined.select("file", "at", padded.alias("cells"))
-    long = rows.select("file", F.posexplode("cells").alias("pos", "cell"))
-    fits = cell_kinds(F.col("cell"))
-    typed = long.groupBy("file", "pos").agg(
-        F.count("cell").alias("filled"), *[F.bool_and(fits[k]).alias(k) for k in KINDS]
-    )
-    kind = (
-        F.when(F.col("filled") == 0, "double").when(F.col("bigint"), "bigint").when(F.col("double"), "double")
-        .when(F.col("boolean"), "boolean").otherwise("string")
-    )
-    kinds = typed.groupBy("file").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", kind.alias("kind")))), lambda r: r["kind"]).alias("kinds")
-    )
-    facts = headers.join(kinds, "file", "left").select("file", "header", F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))
-    return FileTable(rows, facts)
+    own_columns = F.slice("columns", F.lit(1), F.size("header"))
+    return heads.join(by_file, "file").select("file", "head_at", "header", F.zip_with("header", own_columns, kind).alias("kinds"))
 
 
 def _typed_text(cell: Column, kind: Column) -> Column:
@@ -82,9 +74,14 @@ def _typed_text(cell: Column, kind: Column) -> Column:
     )
 
 
-def scrub_files(table: FileTable) -> DataFrame:
-    """(file, at, cells, clean, missing, redacted, key): rows with string cells scrubbed."""
-    joined = table.rows.join(table.facts, "file")
+def scrub_files(lines: DataFrame, facts: DataFrame) -> DataFrame:
+    """(file, at, header, clean, key, missing, redacted): data rows with string
+    cells scrubbed. ``facts`` has one row per file."""
+    width = F.size("header")
+    cells = F.transform(split_line(F.col("line")), null_spellings)
+    # Short rows are filled with nulls, as readers do.
+    padded = F.slice(F.concat(cells, F.array_repeat(F.lit(None).cast("string"), width)), F.lit(1), width)
+    joined = lines.join(facts, "file").filter("at > head_at").select("file", "at", "header", "kinds", padded.alias("cells"))
     clean = F.zip_with(
         "cells", "kinds",
         lambda c, k: F.when(k == "string", pii.scrub(F.coalesce(c, F.lit("")))).otherwise(_typed_text(c, k)),
@@ -106,19 +103,21 @@ def assess_files(lines: DataFrame, names: DataFrame) -> DataFrame:
     """One report row per file; ``names`` holds (file, filename).
 
     Counts and distinct rows are partial aggregates; the first ten rows come from
-    a ranked window whose limit Spark applies before the shuffle.
+    a ranked window whose limit Spark applies before the shuffle, and only those
+    are scrubbed for the category.
     """
-    table = parse_files(lines)
-    rows = scrub_files(table)
+    lines = spread(lines, "file", "at")
+    facts = parse_files(lines)
+    rows = scrub_files(lines, facts)
     stats = rows.groupBy("file").agg(
         F.count("*").alias("row_count"), F.sum("missing").alias("missing_cells"),
         F.count_distinct("key").alias("__distinct"), F.sum("redacted").cast("long").alias("redacted_cells"),
     )
-    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy("at"))).filter("rank <= 10")
+    first = lines.withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy("at"))).filter("rank <= 11").drop("rank")
     shown = F.concat_ws(" ", F.transform("clean", lambda c: F.coalesce(c, F.lit(""))))
-    heads = first.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("rank", shown.alias("cells")))).alias("h"))
+    heads = scrub_files(first, facts).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("at", shown.alias("cells")))).alias("h"))
     heads = heads.select("file", F.array_join(F.transform("h", lambda r: r["cells"]), " ").alias("head"))
-    joined = table.facts.join(stats, "file", "left").join(heads, "file", "left").fillna(0, ["row_count", "missing_cells", "__distinct", "redacted_cells"])
+    joined = facts.join(stats, "file", "left").join(heads, "file", "left").fillna(0, ["row_count", "missing_cells", "__distinct", "redacted_cells"])
     width = F.size("header").cast("long")
     total = F.col("row_count") * width
     pct = F.when(total > 0, F.col("missing_cells") / total * 100).otherwise(0.0)
@@ -129,7 +128,7 @@ def assess_files(lines: DataFrame, names: DataFrame) -> DataFrame:
     )
     scored = with_quality_score(measured).join(names.select("file", "filename"), "file")
     text = F.concat_ws(" ", "filename", F.array_join("header", " "), "head")
-    labelled = scored.withColumn("c", categorise(text))
+    labelled = with_category(scored, text, "c")
     parts = [(name, F.col(name.lower())) for name in fv.FAST_WEIGHTS]
     return labelled.select(
         "file", "filename", F.col("c.category").alias("predicted_category"), F.col("c.confidence").alias("confidence"),
@@ -150,9 +149,9 @@ def join_line(cells: Column) -> Column:
 
 def scrubbed_lines(lines: DataFrame) -> DataFrame:
     """(file, at, line) of the scrubbed files, headers included."""
-    table = parse_files(lines)
-    heads = lines.groupBy("file").agg(F.min("at").alias("at")).join(table.facts, "file").select("file", "at", join_line(F.col("header")).alias("line"))
-    return heads.unionByName(scrub_files(table).select("file", "at", join_line(F.col("clean")).alias("line")))
+    facts = parse_files(lines)
+    heads = facts.select("file", F.col("head_at").alias("at"), join_line(F.col("header")).alias("line"))
+    return heads.unionByName(scrub_files(lines, facts).select("file", "at", join_line(F.col("clean")).alias("line")))
 
 
 def is_delimited(name: Column) -> Column:
@@ -183,7 +182,7 @@ def ingest(uploads: DataFrame, lines: DataFrame, users: DataFrame, catalog: Data
     reports = assess_files(wanted, tables.select("file", "filename")).drop("filename")
     read = tables.join(reports, "file")
     # Tables without a single line keep the default report, with the reason.
-    empty = tables.join(reports.select("file"), "file", "left_anti")
+    empty = tables.join(lines.select("file").distinct(), "file", "left_anti")
     unread = with_unread_report(accepted.filter(~is_delimited(F.col("filename"))))
     failed = with_unread_report(empty, suffix=False).withColumn("pii_status", F.lit(EMPTY_TABLE))
     both = read.unionByName(unread).unionByName(failed).withColumn("owner", F.col("user_id"))

@@ -31,6 +31,12 @@ def keyword_dimension(name: Column, default: Column) -> Column:
     return out.otherwise(default)
 
 
+def dimension_of(name: str, default: str) -> str:
+    """The same rule for a name known when the plan is built."""
+    lowered = name.lower()
+    return next((d for d, words in fv.DIMENSION_KEYWORDS if any(w in lowered for w in words)), default)
+
+
 def check_dimensions(checks: DataFrame) -> DataFrame:
     """Dimension of each (test, category): by category, then keyword override."""
     lookup = literal_table(checks.sparkSession, ["category", "by_category"], list(fv.CHECK_CATEGORY_DIMENSION.items()))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from assayer import fixed_values as fv
 from assayer.functions import numeric, pii
-from assayer.functions.category import categorise, tags, type_match
+from assayer.functions.category import tags, type_match, with_category
 from assayer.operators import categorise as cat, fastscore, intake, profile, redaction
 from assayer.plans import sqltext as q
 from assayer.plans.registry import Registry
@@ -294,8 +294,8 @@ QUERIES.add(
 
 QUERIES.add(
     "keyword_category",
-    lambda spark, d: spread(load(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    .select("doc_id", categorise(F.col("text")).alias("c")).select("doc_id", "c.category", "c.confidence"),
+    lambda spark, d: with_category(spread(load(spark, d, "documents").select("doc_id", "text"), "doc_id"), F.col("text"), "c")
+    .select("doc_id", "c.category", "c.confidence"),
     q.categorised("SELECT doc_id, text FROM documents", "text", "doc_id"),
 )
 QUERIES.add(
@@ -319,16 +319,16 @@ QUERIES.add(
 _TAGGED = q.categorised("SELECT c_custkey, c_mktsegment, CAST(c_custkey % 101 AS DOUBLE) AS score FROM customer", "c_mktsegment", "c_custkey, score")
 QUERIES.add(
     "tags",
-    lambda spark, d: load(spark, d, "customer").select(
-        "c_custkey", F.array_join(tags(categorise(F.col("c_mktsegment"))["category"], (F.col("c_custkey") % 101).cast("double")), ",").alias("tags")
+    lambda spark, d: with_category(load(spark, d, "customer"), F.col("c_mktsegment"), "c").select(
+        "c_custkey", F.array_join(tags(F.col("c.category"), (F.col("c_custkey") % 101).cast("double")), ",").alias("tags")
     ),
     "SELECT c_custkey, concat(replace(lower(category), '/', '-'), ',', CASE WHEN score >= 90 THEN 'production-ready' WHEN score >= 75 THEN 'high-quality' "
     f"ELSE 'needs-cleaning' END) AS tags FROM ({_TAGGED})",
 )
 QUERIES.add(
     "type_match",
-    lambda spark, d: project(spark, d, "catalog").select(
-        "file_hash", type_match(F.col("category"), F.when(F.col("confidence").isNotNull(), categorise(F.col("filename"))["category"])).alias("match"),
+    lambda spark, d: with_category(project(spark, d, "catalog"), F.col("filename"), "c").select(
+        "file_hash", type_match(F.col("category"), F.when(F.col("confidence").isNotNull(), F.col("c.category"))).alias("match"),
         type_match(F.col("category"), F.col("file_type")).alias("match_suffix"),
     ),
     with_sql(

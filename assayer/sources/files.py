@@ -19,8 +19,10 @@ def cell_kinds(cell: Column) -> dict[str, Column]:
     """Whether a cell, null included, fits each promoted type."""
     text = F.trim(cell)
     empty = cell.isNull()
+    # The pattern comes first: a failing cast is slow. Up to 18 digits always fit.
+    short, long = text.rlike(r"\A[+-]?\d{1,18}\z"), text.rlike(LONG_TEXT)
     return {
-        "bigint": empty | (text.rlike(LONG_TEXT) & text.try_cast("bigint").isNotNull()),
+        "bigint": empty | short | (long & text.try_cast("bigint").isNotNull()),
         "double": empty | text.rlike(DOUBLE_TEXT),
         "boolean": empty | cell.isin(*fv.BOOLEAN_SPELLINGS),
     }
