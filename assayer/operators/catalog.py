@@ -213,7 +213,9 @@ def latest(batch: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 def upsert(current: DataFrame, batch: DataFrame, order: Sequence[str], key: str = "file_hash") -> DataFrame:
     """Replace rows by key, last write wins, and add new ones."""
     newest = latest(batch, key, order)
-    return current.join(newest.select(key), key, "left_anti").unionByName(newest.select(*current.columns), allowMissingColumns=True)
+    kept = current.join(newest.select(key), key, "left_anti").select(*current.columns)
+    known = [c for c in current.columns if c in batch.columns]
+    return kept.unionByName(newest.select(*known), allowMissingColumns=True)
 
 
 def add_columns(current: DataFrame, defaults: dict[str, Column]) -> DataFrame:

@@ -1,6 +1,7 @@
 """User registration, updates and projections, in batches."""
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -57,27 +58,34 @@ def register(requests: DataFrame, users: DataFrame, order: Sequence[str]) -> Dat
         .when(F.col("__mail_used"), "email_exists")
     )
     judged = known.withColumn("reason", basic).drop("__name_used", "__mail_used")
-    settled = judged.filter("reason IS NOT NULL").drop("__at")
-    open_ones = judged.filter("reason IS NULL").drop("reason")
+    refused = judged.filter("reason IS NOT NULL")
+    open_ones, accepted, clashed = judged.filter("reason IS NULL"), [], []
     while True:
         by_name = open_ones.groupBy("username").agg(F.min("__at").alias("__first_name"))
         by_mail = open_ones.groupBy("email").agg(F.min("__at").alias("__first_mail"))
         met = open_ones.join(by_name, "username").join(by_mail, "email")
         wins = (F.col("__at") == F.col("__first_name")) & (F.col("__at") == F.col("__first_mail"))
-        met = durable(met.withColumn("__wins", wins).drop("__first_name", "__first_mail"))
-        winners = met.filter("__wins")
+        met = durable(met.withColumn("__wins", wins).select(*judged.columns, "__wins"))
+        winners = met.filter("__wins").select(*judged.columns)
         rest = (
             met.filter(~F.col("__wins"))
-            .join(winners.select("username", F.lit("username_exists").alias("__n")), "username", "left")
-            .join(winners.select("email", F.lit("email_exists").alias("__m")), "email", "left")
-            .withColumn("reason", F.coalesce("__n", "__m"))
+            .join(winners.select("username", F.lit(True).alias("__n")), "username", "left")
+            .join(winners.select("email", F.lit(True).alias("__m")), "email", "left")
+            .withColumn("__out", F.coalesce("__n", "__m").isNotNull()).select(*judged.columns, "__out")
         )
-        columns = settled.columns
-        settled = settled.unionByName(winners.withColumn("reason", F.lit(None).cast("string")).select(columns))
-        settled = settled.unionByName(rest.filter("reason IS NOT NULL").select(columns))
-        open_ones = durable(rest.filter("reason IS NULL").select(*[c for c in met.columns if c != "__wins"]))
+        rest = durable(rest)
+        accepted.append(winners)
+        clashed.append(rest.filter("__out").select(*judged.columns))
+        open_ones = rest.filter(~F.col("__out")).select(*judged.columns)
         if open_ones.isEmpty():
-            return settled
+            break
+    won, lost = reduce(DataFrame.unionByName, accepted), reduce(DataFrame.unionByName, clashed)
+    # The name is looked at first, but only when its owner came earlier.
+    owners = won.select("username", F.col("__at").alias("__owner_at"))
+    why = F.when(F.col("__owner_at") < F.col("__at"), "username_exists").otherwise("email_exists")
+    lost = lost.unionByName(refused.filter("reason = 'email_exists'"))
+    lost = lost.join(owners, "username", "left").withColumn("reason", why).select(*judged.columns)
+    return refused.filter("reason <> 'email_exists'").unionByName(won).unionByName(lost).drop("__at")
 
 
 def accepted_users(registered: DataFrame, at: Column) -> DataFrame:

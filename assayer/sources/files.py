@@ -94,31 +94,55 @@ def _glob(suffixes: Sequence[str]) -> str:
     return "*{" + ",".join(both(s) for s in suffixes) + "}"
 
 
-def list_files(spark: SparkSession, path: str | Sequence[str], recursive: bool = True, glob: str | None = None) -> DataFrame:
-    """(path, modificationTime, length, suffix); file contents are not read."""
+def _binary(spark: SparkSession, path: str | Sequence[str], recursive: bool = True, glob: str | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select("path", "modificationTime", "length", _suffix(F.col("path")).alias("suffix"))
+    return reader.load(path)
+
+
+def empty_files(raw: DataFrame) -> DataFrame:
+    """(path) of files without a byte: readers list them but give no row.
+
+    The names come from the file index, which the driver holds anyway.
+    """
+    listed = raw.sparkSession.createDataFrame([(p,) for p in raw.inputFiles()], "uri string")
+    listed = listed.select(F.regexp_replace("uri", "^file:/+", "file:/").alias("uri"))
+    missing = listed.join(raw.select(F.col("_metadata.file_path").alias("uri")), "uri", "left_anti")
+    return missing.select(F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B"))).alias("path"))
+
+
+def list_files(spark: SparkSession, path: str | Sequence[str], recursive: bool = True, glob: str | None = None) -> DataFrame:
+    """(path, modificationTime, length, suffix); file contents are not read.
+    Empty files have no time."""
+    raw = _binary(spark, path, recursive, glob)
+    listed = raw.select("path", "modificationTime", "length")
+    empty = empty_files(raw).withColumn("length", F.lit(0).cast("bigint"))
+    return listed.unionByName(empty, allowMissingColumns=True).withColumn("suffix", _suffix(F.col("path")))
 
 
 def read_text_corpus(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """(path, text): one document per .txt, .md or .log file; bytes that are not
     UTF-8 are dropped."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", _glob(fv.TEXT_SUFFIXES))
-    raw = reader.load(path).select("path", "content")
-    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
-    return raw.select("path", text.alias("text"))
+    raw = _binary(spark, path, glob=_glob(fv.TEXT_SUFFIXES))
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
+    return raw.select("path", text.alias("text")).unionByName(empty_files(raw).withColumn("text", F.lit("")))
 
 
 def read_image_corpus(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(path, width, height, channels, mode, data), undecodable files with width -1."""
+    """(path, width, height, channels, data), undecodable files with width -1."""
+    glob = _glob(fv.IMAGE_SUFFIXES)
     reader = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True)
-    raw = reader.option("pathGlobFilter", _glob(fv.IMAGE_SUFFIXES)).load(path)
-    return raw.select(
+    raw = reader.option("pathGlobFilter", glob).load(path)
+    images = raw.select(
         F.col("image.origin").alias("path"), "image.width", "image.height",
         F.col("image.nChannels").alias("channels"), "image.data",
     )
+    none = F.lit(-1)
+    empty = empty_files(_binary(spark, path, glob=glob)).select(
+        "path", none.alias("width"), none.alias("height"), none.alias("channels"), F.lit(b"").alias("data")
+    )
+    return images.unionByName(empty)
 
 
 def modality_counts(files: DataFrame) -> DataFrame:

@@ -1,0 +1,260 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from assayer import fixed_values as fv
+from assayer.functions import policy
+from assayer.operators import access, audit, catalog as ct, retention, reviews as rv, rights, users as us
+from assayer.plans import tables
+
+NOW = "2026-06-08 12:00:00"
+USER = "id string, username string, email string, plan string, kyb_status string, restricted boolean"
+
+
+def at(text=NOW):
+    return F.lit(text).cast("timestamp")
+
+
+def rows_of(df, *columns):
+    return sorted(tuple(r) for r in df.select(*columns).collect())
+
+
+def records(spark, *rows):
+    """Catalogue rows from (hash, owner, extra, policy, status, expiry)."""
+    df = spark.createDataFrame([], ct.CATALOG_SCHEMA)
+    plain = spark.createDataFrame(list(rows), "file_hash string, owner string, extra map<string,string>, restriction_status string, retention_expires_at string, object_key string")
+    plain = plain.withColumn("retention_expires_at", F.col("retention_expires_at").cast("timestamp"))
+    return df.unionByName(plain, allowMissingColumns=True)
+
+
+def test_policy_inputs(spark):
+    df = spark.createDataFrame([("retail", 0), ("finance", 2), (" Medical ", 3), ("unknown", 0)], "category string, n int")
+    got = [tuple(r[0])[:3] for r in df.select(policy.access_policy(F.col("category"), F.col("n"))).collect()]
+    assert got == [("internal", "basic", False), ("sensitive", "business", True), ("special_category", "enterprise", True), ("internal", "basic", False)]
+
+
+def test_access_ladder(spark):
+    users = spark.createDataFrame(
+        [("owner", "own", "o@x", "free", "pending", False), ("basic", "b", "b@x", "basic", "verified", False), ("biz", "z", "z@x", "business", "pending", False),
+         ("ok", "k", "k@x", "business", "verified", False), ("locked", "l", "l@x", "enterprise", "verified", True), ("boss", "Root", "r@x", "free", "pending", False)], USER)
+    rule = policy.access_policy(F.lit("finance"), F.lit(2))
+    base = records(spark, ("d1", "owner", {}, "active", None, None), ("d2", "owner", {}, "restricted", None, None), ("d3", "locked", {}, "active", None, None))
+    catalog = base.withColumn("access_policy", rule.cast(base.schema["access_policy"].dataType))
+    asked = [("owner", "d1", "resale"), ("basic", "d1", "analytics"), ("biz", "d1", "analytics"), ("ok", "d1", "analytics"), ("ok", "d1", "resale"), ("ok", "d1", "buyer_preview"),
+             ("owner", "d2", "analytics"), (None, "d1", "analytics"), ("ghost", "d1", "analytics"), ("locked", "d1", "analytics"), ("locked", "d3", "analytics"), ("boss", "d1", "resale"), ("ok", "d9", "analytics")]
+    requests = spark.createDataFrame(asked, "requester_id string, file_hash string, purpose string")
+    got = {(r["requester_id"], r["file_hash"], r["purpose"]): (r["code"], r["reason"]) for r in access.decide_access(requests, catalog, users, admin_names=" root ").collect()}
+    assert [got[a] for a in asked] == [
+        (200, None), (403, "plan_too_low"), (403, "kyb_required"), (200, None), (403, "purpose_not_permitted"), (200, None), (423, "dataset_restricted"), (403, "not_authorized"),
+        (403, "not_authorized"), (423, "account_restricted"), (200, None), (200, None), (404, "not_found"),
+    ]
+    log = access.access_log(access.decide_access(requests, catalog, users), at()).filter("result = 'DENIED' AND actor_id = 'biz'").collect()
+    assert log[0]["metadata"] == {"reason": "KYB verification required"}
+
+
+def test_admin_lists(spark):
+    df = spark.createDataFrame([("u2", "x"), ("u3", "x"), ("u9", "alice"), ("u9", " BOB "), ("u9", "carol"), ("u9", None)], "id string, n string")
+    assert [r[0] for r in df.select(policy.is_admin(F.col("id"), F.col("n"), "u1,u2", "Alice, Bob ")).collect()] == [True, False, True, True, False, False]
+
+
+def test_upsert_last_write_wins_and_hot_key(spark):
+    current = records(spark, ("a", "u", {}, "active", None, None), ("b", "u", {}, "active", None, None))
+    batch = records(spark, *[("a", f"u{i}", {}, "active", None, None) for i in range(200)], ("c", "n", {}, "active", None, None)).withColumn("seq", F.regexp_extract("owner", r"\d+", 0).try_cast("int"))
+    assert rows_of(ct.upsert(current, batch, ["seq"]), "file_hash", "owner") == [("a", "u199"), ("b", "u"), ("c", "n")]
+
+
+def test_controls_merge_shallowly(spark):
+    current = records(spark, ("a", "u", {"x": "1", "y": "2"}, "active", None, None), ("b", "u", None, "active", None, None))
+    updates = spark.createDataFrame([("a", {"y": "3"}, None), ("b", {"z": "4"}, "restricted")], "file_hash string, extra map<string,string>, restriction_status string")
+    got = {r["file_hash"]: (r["extra"], r["restriction_status"]) for r in ct.update_controls(current, updates).collect()}
+    assert got == {"a": ({"x": "1", "y": "3"}, "active"), "b": ({"z": "4"}, "restricted")}
+
+
+def test_description_rules(spark):
+    current = records(spark, ("a", "u1", {"owner_user_id": "u1"}, "active", None, None), ("b", "u1", {}, "active", None, None))
+    users = spark.createDataFrame([("u1", "ann", "a@x", "free", "pending", False)], USER)
+    asked = spark.createDataFrame(
+        [("a", "u1", None, "new", 1), ("a", None, "ann", "newer", 2), ("a", None, "bob", "x", 3), ("a", "u2", None, "x", 4), ("b", "u1", None, "x", 5), ("q", "u1", None, "x", 6), ("a", "u1", None, "y" * 1001, 7), ("a", "u1", None, None, 8)],
+        "file_hash string, requester_id string, requester_username string, description string, seq int")
+    decided = ct.decide_descriptions(current, asked, users)
+    assert [r["reason"] for r in decided.orderBy("seq").collect()] == [None, None, "missing_requester", "not_owner", "not_owner", "not_found", "description_too_long", "invalid_description_type"]
+    assert rows_of(ct.apply_descriptions(current, decided, ["seq"]).fillna("", ["description"]), "file_hash", "description") == [("a", "newer"), ("b", "")]
+
+
+def test_lists_and_sorts_are_in_order(spark, data):
+    catalog = tables.catalog(spark, data)
+    stamps = [(r["timestamp"], r["file_hash"]) for r in ct.list_records(catalog, 50).collect()]
+    assert stamps == sorted(stamps, key=lambda s: (-s[0].timestamp(), s[1]))
+    scores = [r["quality_score"] or 0.0 for r in ct.market_sort(catalog, "trending").limit(100).collect()]
+    assert scores == sorted(scores, reverse=True)
+    sizes = [r["bytes"] for r in ct.history_sort(catalog, "size_asc", "file_hash").limit(100).collect()]
+    assert sizes == sorted(sizes)
+    assert ct.list_records(catalog, 0).count() == catalog.count()
+
+
+def test_mime_and_names(spark):
+    df = spark.createDataFrame([("a.csv", None), ("a.csv", "text/x"), ("a.bin", "binary/octet-stream"), ("x", None), ("../../p.PNG", "")], "f string, c string")
+    got = [tuple(r["m"]) for r in df.select(ct.mime_choice(ct.safe_name(F.col("f")), F.col("c")).alias("m")).collect()]
+    assert got == [("text/csv", "filename"), ("text/x", "client"), ("binary/octet-stream", "default"), ("application/octet-stream", "default"), ("image/png", "filename")]
+    names = spark.createDataFrame([("a/b/c.csv",), (None,), ("",), ("d/",)], "n string").select(ct.safe_name(F.col("n")).alias("s")).collect()
+    assert [r["s"] for r in names] == ["c.csv", "upload", "upload", ""]
+
+
+def test_retention(spark):
+    stamp, expires = retention.stamp(30, at())
+    r = spark.range(1).select(stamp.alias("p"), F.date_format(expires, "yyyy-MM-dd HH:mm:ss").alias("e")).first()
+    assert r["p"]["issued_at"] == "2026-06-08T12:00:00Z" and r["e"] == "2026-07-08 12:00:00"
+    catalog = records(spark, ("due", "u", {"k": "v"}, "active", "2026-06-01 00:00:00", "key"), ("later", "u", {}, "active", "2027-01-01 00:00:00", "key"), ("held", "u", {}, "restricted", "2020-01-01 00:00:00", None), ("none", "u", {}, "active", None, None))
+    items = retention.sweep_items(catalog, at()).collect()
+    assert [(i["file_hash"], i["action"], i["object_deleted"]) for i in items] == [("due", "would_restrict", False)]
+    done = {r["file_hash"]: r for r in retention.apply_sweep(catalog, at()).collect()}
+    assert {k: v["restriction_status"] for k, v in done.items()} == {"due": "retention_expired", "later": "active", "held": "restricted", "none": "active"}
+    assert done["due"]["extra"] == {"k": "v", "restriction_status": "retention_expired", "retention_last_action_at": "2026-06-08T12:00:00Z"}
+    assert '"retention_expires_at":"2026-06-01T00:00:00Z"' in done["due"]["compliance_evidence"]["retention"]
+
+
+def test_lifting_a_restriction_activates_everything_owned(spark):
+    users = spark.createDataFrame([("u1", "a", "a@x", "free", "pending", True), ("u2", "b", "b@x", "free", "pending", False)], USER)
+    catalog = records(spark, ("a", "u1", {}, "retention_expired", None, None), ("b", None, {"owner_user_id": "u1"}, "restricted", None, None), ("c", "u2", {}, "active", None, None))
+    asked = spark.createDataFrame([("u1", False, "done"), ("ghost", True, "x")], "user_id string, restricted boolean, reason string")
+    people, following = retention.restrict_users(users, catalog, asked)
+    assert rows_of(people, "id", "restricted") == [("u1", False), ("u2", False)]
+    assert rows_of(following, "file_hash", "restriction_status") == [("a", "active"), ("b", "active"), ("c", "active")]
+
+
+def test_export_and_erasure(spark):
+    users = spark.createDataFrame([("user-1", "a", "a@x", "free", "pending", False), ("user-2", "b", "b@x", "free", "pending", True)], USER)
+    catalog = records(spark, ("dataset-1", "user-1", {}, "active", None, None), ("other", "user-2", {"owner_user_id": "user-2"}, "active", None, "k2"), ("noted", None, {"owner_user_id": "user-1", "object_key": "k1"}, "active", None, None))
+    said = spark.createDataFrame([("review-1", "user-1", "t", 5, "approved"), ("review-2", "user-2", "t", 5, "approved")], "id string, user_id string, review_text string, rating int, status string")
+    subjects = spark.createDataFrame([("user-1",), ("ghost",)], "user_id string")
+    assert rows_of(rights.export_sections(subjects, users, catalog, said), "section", "id") == [("dataset", "dataset-1"), ("dataset", "noted"), ("review", "review-1"), ("user", "user-1")]
+    gone = rights.erase(subjects, users, catalog, said)
+    assert rows_of(gone.users, "id") == [("user-2",)] and rows_of(gone.reviews, "id") == [("review-2",)]
+    assert rows_of(gone.catalog, "file_hash") == [("dataset-1",), ("other",)]  # only what is noted in extra
+    assert rows_of(gone.object_keys, "file_hash", "object_key") == [("noted", "k1")]
+
+
+def test_export_files(spark, tmp_path):
+    users = spark.createDataFrame([("user-1", "a", "a@x", "free", "pending", False)], USER)
+    said = spark.createDataFrame([], "id string, user_id string, review_text string, rating int, status string")
+    sections = rights.export_sections(users.select(F.col("id").alias("user_id")), users, records(spark, ("d1", "user-1", {}, "active", None, None)), said)
+    rights.write_export(sections, str(tmp_path / "out"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "out"))
+    assert back.columns[:8] == list(rights.EXPORT_COLUMNS) and back.count() == 2
+
+
+def test_review_rules(spark):
+    texts = [("   ", 5), ("fine text but rating too low, far too low", 0), ("fine text but rating too high, far too high", 6), ("x" * 29, 5), ("x" * 1001, 5), ("<b>" + "x" * 30 + "</b>", 5), ("a\x00" + "y" * 30, 3), (None, 3)]
+    df = spark.createDataFrame(texts, "review_text string, rating int")
+    got = [(r["reason"], r["cleaned_text"]) for r in rv.validate(df).collect()]
+    assert [g[0] for g in got] == ["empty", "rating_out_of_range", "rating_out_of_range", "too_short", "too_long", None, None, "empty"]
+    assert got[5][1] == "x" * 30 and got[6][1] == "a" + "y" * 30
+
+
+def test_visibility_and_months(spark):
+    df = spark.createDataFrame([("approved", "2024-03-09 00:00:00"), ("approved", "2024-03-08 23:59:00"), ("pending", "2024-03-10 00:00:00"), ("rejected", "2020-01-01 00:00:00"), ("approved", None)], "status string, created_at string")
+    edge = rv.cutoff(at("2026-03-09 00:00:00"))
+    assert [tuple(r) for r in df.select(rv.is_visible(edge), rv.is_archived(edge)).collect()] == [(True, False), (False, True), (False, False), (False, False), (False, False)]
+    assert [rv.visibility_months(x) for x in (None, "", "0", "999", "12", "x")] == [24, 24, 1, 120, 12, 24]
+    with pytest.raises(ValueError):
+        rv.moderation_list(df, df, "odd", at())
+
+
+def test_review_stats(spark):
+    schema = "id string, user_id string, review_text string, rating int, status string, created_at timestamp"
+    day = dt.datetime(2026, 6, 1)
+    df = spark.createDataFrame([("1", "u", "", 5, "approved", day), ("2", "u", "", 4, "approved", day), ("3", "u", "", 1, "rejected", day)], schema)
+    r = rv.rating_stats(df, at()).first()
+    assert (r["visible_avg"], r["visible_count"], r["lifetime_avg"], r["lifetime_count"]) == (4.5, 2, 10 / 3, 3)
+    empty = rv.rating_stats(df.limit(0), at()).first()
+    assert tuple(empty) == (0.0, 0, 0.0, 0, 0.0, 0)
+
+
+def _brute_limit(events, wait):
+    last, out = {}, {}
+    for user, t, i in sorted(events, key=lambda e: (e[1], e[2])):
+        out[i] = user not in last or t - last[user] > wait
+        if out[i]:
+            last[user] = t
+    return out
+
+
+def test_rate_limit_against_sequence(spark):
+    import random
+
+    rng = random.Random(5)
+    events = [(rng.choice(["hot", "hot", "hot", "b", "c"]), rng.randrange(0, 4000), i) for i in range(600)] + [("edge", 0, 700), ("edge", 60, 701), ("edge", 61, 702)]
+    df = spark.createDataFrame(events, "u string, t long, i int").withColumn("at", F.timestamp_seconds("t"))
+    got = {r["i"]: r["accepted"] for r in rv.rate_limit(df, "u", "at", "i", 60, "hour").collect()}
+    assert got == _brute_limit(events, 60)
+    assert [got[i] for i in (700, 701, 702)] == [True, False, True]  # sixty seconds are not enough
+
+
+def test_review_upsert(spark):
+    schema = "id string, user_id string, review_text string, rating int, status string, created_at timestamp, updated_at timestamp"
+    old, base = dt.datetime(2026, 1, 1), dt.datetime(2026, 6, 1)
+    stored = spark.createDataFrame([("r1", "u1", "old", 1, "approved", old, base), ("r2", "u2", "keep", 2, "approved", old, old)], schema)
+    sent = spark.createDataFrame(
+        [("s1", "u1", "too soon", 5, base + dt.timedelta(seconds=60)), ("s2", "u1", "fine", 4, base + dt.timedelta(seconds=61)), ("s3", "u3", "first", 3, base), ("s4", "u3", "second", 2, base + dt.timedelta(seconds=90))],
+        "id string, user_id string, review_text string, rating int, submitted_at timestamp")
+    following, decisions = rv.upsert_reviews(stored, sent)
+    assert rows_of(decisions, "id", "accepted") == [("s1", False), ("s2", True), ("s3", True), ("s4", True)]
+    got = {r["user_id"]: r for r in following.collect()}
+    assert (got["u1"]["id"], got["u1"]["review_text"], got["u1"]["status"], got["u1"]["created_at"]) == ("r1", "fine", "pending", old)
+    assert (got["u2"]["status"], got["u2"]["rating"]) == ("approved", 2)
+    assert (got["u3"]["id"], got["u3"]["review_text"], got["u3"]["created_at"]) == ("s3", "second", base)
+
+
+def _brute_register(requests, names, mails):
+    names, mails, out = set(names), set(mails), {}
+    for i, n, m in requests:
+        n, m = n.strip(), m.strip().lower()
+        reason = "username_required" if not n else "email_required" if not m else "username_exists" if n in names else "email_exists" if m in mails else None
+        out[i] = reason
+        if reason is None:
+            names.add(n)
+            mails.add(m)
+    return out
+
+
+def test_registration_against_sequence(spark):
+    import random
+
+    rng = random.Random(8)
+    asked = [(i, rng.choice([" ", *[f" n{k}" for k in range(25)]]), rng.choice(["", *[f"M{k}@x" for k in range(25)]])) for i in range(150)]
+    users = spark.createDataFrame([("u0", "n0", "m1@x", "free", "pending", False)], USER)
+    df = spark.createDataFrame([(str(i), n, m, "Gold" if i % 2 else "BUSINESS", i) for i, n, m in asked], "id string, username string, email string, plan string, seq int")
+    done = us.register(df, users, ["seq"])
+    assert {int(r["id"]): r["reason"] for r in done.collect()} == _brute_register(asked, ["n0"], ["m1@x"])
+    added = us.accepted_users(done, at())
+    assert {r["plan"] for r in added.select("plan").distinct().collect()} <= {"free", "business"}
+
+
+def test_user_fields(spark):
+    users = spark.createDataFrame([("u1", "alice", "alice@example.com", "business", "pending", False)], USER)
+    asked = spark.createDataFrame([("u1", " Verified ", 1), ("u1", "odd", 2), ("ghost", "verified", 3)], "user_id string, value string, seq int")
+    decided = us.decide_field(users, asked, "kyb_status", fv.KYB_STATUSES)
+    assert [r["reason"] for r in decided.orderBy("seq").collect()] == [None, "invalid_kyb_status", "user_not_found"]
+    assert us.apply_field(users, decided, "kyb_status", ["seq"]).first()["kyb_status"] == "verified"
+
+
+def test_audit_masking(spark, tmp_path):
+    df = spark.createDataFrame([("e1", '{"filename":"f","api_key":"k","Password":"p","nested":{"token":"t"}}', NOW), ("e2", None, NOW)], "id string, metadata string, created_at string")
+    rows = audit.audit_rows(df)
+    got = {r["id"]: r["metadata"] for r in rows.collect()}
+    assert got == {"e1": {"filename": "f", "api_key": "[REDACTED]", "Password": "[REDACTED]", "nested": '{"token":"t"}'}, "e2": {}}
+    audit.append_audit(rows, str(tmp_path / "audit"))
+    audit.append_audit(rows, str(tmp_path / "audit"))
+    assert spark.read.parquet(str(tmp_path / "audit")).filter("dt = '2026-06-08'").count() == 4
+    ips = spark.createDataFrame([(" 1.2.3.4 , 5.6.7.8",), ("",), (None,)], "f string").select(audit.client_address(F.col("f"), F.lit("9.9.9.9"))).collect()
+    assert [r[0] for r in ips] == ["1.2.3.4", "9.9.9.9", "9.9.9.9"]
+
+
+def test_moderation_changes_only_known(spark):
+    schema = "id string, user_id string, review_text string, rating int, status string, created_at timestamp, updated_at timestamp"
+    day = dt.datetime(2026, 1, 1)
+    df = spark.createDataFrame([("1", "u", "", 5, "pending", day, day), ("2", "v", "", 5, "pending", day, day)], schema)
+    verdicts = spark.createDataFrame([("1", "approved"), ("2", "maybe"), ("9", "approved")], "id string, status string")
+    assert rows_of(rv.moderate(df, verdicts, at()), "id", "status") == [("1", "approved"), ("2", "pending")]
+    assert rows_of(rv.delete_reviews(df, verdicts), "id") == []
