@@ -6,6 +6,7 @@ third of all rows is therefore spread over as many tasks as it has buckets.
 """
 
 from collections.abc import Sequence
+from math import isfinite
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -77,12 +78,20 @@ def value_edges(df: DataFrame, columns: Sequence[str], buckets: int = 64) -> dic
     Edges only balance the pieces; results do not depend on them.
     """
     probs = [i / buckets for i in range(1, buckets)]
-    found = df.approxQuantile(list(columns), probs, 0.5 / buckets)
-    return {c: sorted(set(e)) for c, e in zip(columns, found)}
+    row = df.agg(*[F.percentile_approx(F.col(f"`{c}`"), probs, 10 * buckets).alias(f"e{i}") for i, c in enumerate(columns)]).first()
+    return {c: sorted(set(row[f"e{i}"] or [])) for i, c in enumerate(columns)}
 
 
-def edge_bucket(value: Column, edges: Sequence[float]) -> Column:
-    """Number of edges below the value."""
-    if not edges:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < value))
+def edge_bucket(column: str, edges: Sequence[float]) -> Column:
+    """Number of edges below the value of a column, by binary search in the plan."""
+    def literal(edge: float) -> str:
+        return f"{edge!r}D" if isfinite(edge) else f"double('{edge}')"
+
+    def search(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        middle = (low + high) // 2
+        return f"if(`{column}` > {literal(edges[middle])}, {search(middle + 1, high)}, {search(low, middle)})"
+
+    edges = sorted(float(e) for e in edges)
+    return F.expr(search(0, len(edges)))

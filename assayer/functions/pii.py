@@ -22,6 +22,8 @@ def _engine_pattern(label: str, pattern: str) -> str:
     if label == "EMAIL" and pattern == fv.PII_PATTERNS["EMAIL"]:
         local, rest = pattern.split("+@", 1)
         return rf"(?:\G|(?<!{local})){local}++@{rest}"
+    if label == "PHONE" and pattern == fv.PII_PATTERNS["PHONE"]:
+        return rf"(?=[+(\p{{Nd}}]){unicode_pattern(pattern)}"  # the only first characters
     return unicode_pattern(pattern)
 
 

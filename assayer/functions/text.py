@@ -4,6 +4,8 @@ Java's ``\w``, ``\d``, ``\s`` and ``\b`` are ASCII or JDK dependent, so every
 pattern here spells its classes out.
 """
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from assayer import fixed_values as fv
@@ -15,21 +17,32 @@ WORD = f"[{WORD_INNER}]"
 BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 
 
+BLANKS = "".join(
+    chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
+
+
 def unicode_pattern(pattern: str) -> str:
-    r"""Give ``\b``, ``\d`` and ``\s`` of a pattern their Unicode meaning in Java."""
+    r"""Give ``\b``, ``\d`` and ``\s`` of a pattern their Unicode meaning in Java.
+
+    A boundary next to a digit needs one look only; the digit is looked at first,
+    since few positions have one.
+    """
+    if pattern.startswith((r"\b\d", r"\b(?:\d")):
+        pattern = rf"(?=\d)(?<!{WORD}){pattern[2:]}"
+    if re.search(r"\\d\{\d\}\\b$", pattern):
+        pattern = rf"{pattern[:-2]}(?!{WORD})"
     return pattern.replace(r"\b", BOUNDARY).replace(r"\d", r"\p{Nd}").replace(r"\s", SPACE_INNER)
 
 
 def strip(text: Column) -> Column:
-    """Drop white space of every kind at both ends (``trim`` drops only blanks).
-
-    The look-behind keeps long inner runs of white space linear.
-    """
-    return F.regexp_replace(text, rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
+    """Drop white space of every kind at both ends; only the ends are looked at."""
+    return F.trim(text, F.lit(BLANKS))
 
 
 def collapse_spaces(text: Column) -> Column:
-    return F.regexp_replace(text, f"{SPACE}++", " ")
+    """Runs of white space as one blank; single blanks are passed over."""
+    return F.regexp_replace(text, f"[{SPACE_INNER}&&[^ ]]{SPACE}*+| {SPACE}++", " ")
 
 
 def normal_form(text: Column) -> Column:

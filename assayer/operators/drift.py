@@ -30,8 +30,7 @@ def _shares(base: DataFrame, other: DataFrame, value: Column) -> DataFrame:
 
 def psi(base: DataFrame, other: DataFrame, column: str, edges: list[float], floor: float = 1e-4) -> DataFrame:
     """Population stability index over the bins cut by ``edges``."""
-    bins = edge_bucket(F.col(f"`{column}`").cast("double"), edges)
-    value = F.when(F.col(f"`{column}`").isNotNull(), bins)
+    value = F.when(F.col(f"`{column}`").isNotNull(), edge_bucket(column, edges))
     shares = _shares(base, other, value)
     p, q = F.greatest("p", F.lit(floor)), F.greatest("q", F.lit(floor))
     out = shares.agg(F.sum((q - p) * F.log(q / p)).alias("psi"))
@@ -74,7 +73,7 @@ def distribution_gaps(base: DataFrame, other: DataFrame, column: str, buckets: i
     both = _sides(base, other, value)
     edges = value_edges(both, ["value"], buckets)["value"]
     counts = both.groupBy("value").agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
-    piece = edge_bucket(F.col("value"), edges)
+    piece = edge_bucket("value", edges)
     placed = with_running_sums(counts, [], ["value"], {"cp": F.col("np"), "cq": F.col("nq")}, piece)
     return placed.select(
         "value", piece.alias("piece"),

@@ -42,7 +42,7 @@ def value_counts(df: DataFrame, columns: Sequence[str], buckets: int = 64) -> Da
     counts = numeric_long(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
     piece = F.lit(0)
     for c in columns:
-        piece = F.when(F.col("column") == c, edge_bucket(F.col("value"), edges[c])).otherwise(piece)
+        piece = F.when(F.col("column") == c, edge_bucket("value", edges[c])).otherwise(piece)
     return with_running_sums(counts, ["column"], ["value"], {"seen": F.col("n")}, piece)
 
 

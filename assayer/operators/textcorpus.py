@@ -42,8 +42,10 @@ def completeness(docs: DataFrame) -> DataFrame:
 
 def uniqueness(docs: DataFrame) -> DataFrame:
     """Distinct normal forms; texts are shuffled as digests, after local grouping."""
-    forms = docs.filter("text <> ''").select(narrow_text(tx.normal_form(F.col("text"))).alias("form"))
-    distinct, n = F.count_distinct("form"), F.count("*")
+    t = F.col("text")
+    filled = t != ""
+    forms = docs.select(filled.alias("filled"), F.when(filled, narrow_text(tx.normal_form(t))).alias("form"))
+    distinct, n = F.count_distinct("form"), F.count_if("filled")
     return forms.agg(distinct.alias("distinct_texts"), (100.0 * distinct / F.greatest(F.lit(1), n)).alias("uniqueness"))
 
 
@@ -88,9 +90,14 @@ def language_summary(measures: DataFrame) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """Distinct and all tokens of the corpus, counted by partial aggregation."""
-    tokens = docs.filter("text <> ''").select(F.explode(tx.latin_tokens(F.col("text"))).alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    """Distinct and all tokens of the corpus.
+
+    Each document sends its distinct tokens once; the first of them carries the
+    number of all its tokens.
+    """
+    tokens = docs.select(tx.latin_tokens(F.col("text")).alias("tokens"))
+    sent = tokens.select(F.size("tokens").alias("n"), F.posexplode(F.array_distinct("tokens")).alias("pos", "token"))
+    counts = sent.groupBy("token").agg(F.sum(F.when(F.col("pos") == 0, F.col("n")).otherwise(0)).alias("n"))
     distinct, total = F.count("*"), F.coalesce(F.sum("n"), F.lit(0))
     return counts.agg(
         distinct.alias("distinct_tokens"), total.alias("all_tokens"),
