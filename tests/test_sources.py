@@ -307,3 +307,18 @@ def test_text_freshness(spark, tmp_path):
     assert fresh > 99.0
     report = assess_text(files.read_text_corpus(spark, str(tmp_path)), "text", "path", listing, F.lit("2100-01-01").cast("timestamp")).first()
     assert report["dimension_scores"]["Timeliness"] == 0.0 and fv.NEUTRAL_SCORE == report["dimension_scores"]["Balance"]
+
+
+def test_assessment_by_path(spark, tmp_path, data):
+    from assayer.operators.assessment import run_assessment
+
+    put(tmp_path / "t/a.txt", "the cat and the dog")
+    put(tmp_path / "t/b.md", "the bird")
+    put(tmp_path / "i/a.png", png(np.random.default_rng(1).integers(0, 256, (20, 20, 3), dtype=np.uint8)))
+    now = F.lit("2100-01-01").cast("timestamp")
+    assert run_assessment(spark, str(tmp_path / "t"), as_of=now).first()["modality"] == "text"
+    assert run_assessment(spark, str(tmp_path / "i"), as_of=now).first()["modality"] == "image"
+    r = run_assessment(spark, f"{data}/customer.parquet", id_col="c_custkey").first()
+    assert r["modality"] == "tabular" and len(r["input_hash"]) == 64
+    with pytest.raises(ValueError):
+        run_assessment(spark, str(tmp_path), modality="graph")
