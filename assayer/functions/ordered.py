@@ -10,22 +10,17 @@ from math import isfinite
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKET = "__bucket"
+from assayer.session import plan_bytes
 
+BUCKET, SERIES = "__bucket", "__series"
+PIECE = [SERIES, BUCKET]
 
-def _whole(keys: Sequence[str]) -> list:
-    return list(keys) or [F.lit(0)]
 
-
-def _attach(local: DataFrame, summary: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Join piece summaries back; keys may be null."""
-    renamed = summary.select(*[F.col(k).alias(f"__s_{k}") for k in on], *[c for c in summary.columns if c not in on])
-    cond = None
-    for k in on:
-        right = F.col(f"__s_{k}")
-        part = F.col(k) == right if k == BUCKET else F.col(k).eqNullSafe(right)
-        cond = part if cond is None else cond & part
-    return local.join(renamed, cond, "left").drop(*[f"__s_{k}" for k in on])
+def _pieces(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
+    """Add the piece columns. The keys become one struct, which is never null
+    itself and equal when its fields are, nulls included: so pieces join by plain
+    equality and the rows keep the partitioning of their window."""
+    return df.withColumns({SERIES: F.struct(*keys) if keys else F.lit(0), BUCKET: bucket})
 
 
 def with_previous(
@@ -35,44 +30,45 @@ def with_previous(
 
     ``bucket`` must grow with ``order``, as a truncated time does.
     """
-    piece = [*keys, BUCKET]
-    df = df.withColumn(BUCKET, bucket)
+    cut = _pieces(df, keys, bucket)
     state = F.struct(*values)
-    inside = Window.partitionBy(*piece).orderBy(*order)
-    local = df.withColumn("__local", F.lag(state).over(inside))
-    tails = df.groupBy(*piece).agg(F.max_by(state, F.struct(*order)).alias("__tail"))
-    across = Window.partitionBy(*_whole(keys)).orderBy(BUCKET)
-    carried = tails.select(*piece, F.lag("__tail").over(across).alias("__carried"))
-    joined = _attach(local, carried, piece)
-    return joined.withColumn(name, F.coalesce("__local", "__carried")).drop("__local", "__carried", BUCKET)
+    local = cut.withColumn("__local", F.lag(state).over(Window.partitionBy(*PIECE).orderBy(*order)))
+    tails = cut.groupBy(*PIECE).agg(F.max_by(state, F.struct(*order)).alias("__tail"))
+    across = Window.partitionBy(SERIES).orderBy(BUCKET)
+    carried = tails.select(*PIECE, F.lag("__tail").over(across).alias("__carried"))
+    joined = local.join(carried, PIECE, "left")
+    return joined.withColumn(name, F.coalesce("__local", "__carried")).select(*df.columns, name)
 
 
 def with_running_sums(
-    df: DataFrame, keys: Sequence[str], order: Sequence, values: dict[str, Column], bucket: Column
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], bucket: Column
 ) -> DataFrame:
     """Add running sums, the current row included: ``values`` maps name to term.
 
     The sum over the whole series comes along as ``<name>_total``.
     """
-    piece = [*keys, BUCKET]
-    df = df.withColumn(BUCKET, bucket)
-    inside = Window.partitionBy(*piece).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = df.select("*", *[F.sum(term).over(inside).alias(name) for name, term in values.items()])
-    sums = df.groupBy(*piece).agg(*[F.sum(term).alias(f"__t_{n}") for n, term in values.items()])
-    series = Window.partitionBy(*_whole(keys))
+    cut = _pieces(df, keys, bucket)
+    inside = Window.partitionBy(*PIECE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = cut.select("*", *[F.sum(term).over(inside).alias(name) for name, term in values.items()])
+    sums = cut.groupBy(*PIECE).agg(*[F.sum(term).alias(f"__t_{n}") for n, term in values.items()])
+    series = Window.partitionBy(SERIES)
     before = series.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        *piece,
+        *PIECE,
         *[F.sum(f"__t_{n}").over(before).alias(f"__o_{n}") for n in values],
         *[F.sum(f"__t_{n}").over(series).alias(f"{n}_total") for n in values],
     )
-    joined = _attach(local, offsets, piece)
-    for name in values:
-        joined = joined.withColumn(name, F.col(name) + F.coalesce(F.col(f"__o_{name}"), F.lit(0)))
-    return joined.drop(BUCKET, *[f"__o_{n}" for n in values])
+    joined = local.join(offsets, PIECE, "left")
+    running = [(F.col(n) + F.coalesce(F.col(f"__o_{n}"), F.lit(0))).alias(n) for n in values]
+    return joined.select(*df.columns, *running, *[f"{n}_total" for n in values])
+
+
+def piece_count(df: DataFrame, least: int = 64, most: int = 1024, piece_bytes: int = 128 << 20) -> int:
+    """Pieces for one ordered column, growing with the size of the input."""
+    return max(least, min(most, plan_bytes(df) // piece_bytes))
 
 
-def value_edges(df: DataFrame, columns: Sequence[str], buckets: int = 64) -> dict[str, list[float]]:
+def value_edges(df: DataFrame, columns: Sequence[str], buckets: int) -> dict[str, list[float]]:
     """Approximate quantile edges per numeric column: a few numbers, one pass.
 
     Edges only balance the pieces; results do not depend on them.

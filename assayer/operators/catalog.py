@@ -383,7 +383,7 @@ def facets(catalog: DataFrame, position: str, n: int = 8) -> DataFrame:
     listed = top.agg(F.transform(F.sort_array(F.collect_list(F.struct("first_seen", "facet"))), lambda r: r["facet"]).alias("f"))
     fixed = F.array(*[F.lit(c) for c in fv.UPLOAD_CATEGORIES])
     chosen = F.when(F.size("f") >= n, F.col("f")).otherwise(fixed)
-    return listed.select(F.posexplode(chosen).alias("pos", "facet")).select((F.col("pos") + 1).alias("position"), "facet")
+    return listed.select(F.posexplode(chosen).alias("pos", "facet")).select((F.col("pos") + 1).cast("bigint").alias("position"), "facet")
 
 
 def detail_view(catalog: DataFrame) -> DataFrame:

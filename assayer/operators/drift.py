@@ -7,7 +7,7 @@ value that holds a third of the rows is one row by then.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.functions.keys import row_key
-from assayer.functions.ordered import edge_bucket, value_edges, with_previous, with_running_sums
+from assayer.functions.ordered import edge_bucket, piece_count, value_edges, with_previous, with_running_sums
 from assayer.operators.statistics import exact_quantiles
 
 
@@ -63,7 +63,7 @@ def share_distances(base: DataFrame, other: DataFrame, value: Column) -> DataFra
     )
 
 
-def distribution_gaps(base: DataFrame, other: DataFrame, column: str, buckets: int = 64) -> DataFrame:
+def distribution_gaps(base: DataFrame, other: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
     """(value, piece, f, g): both cumulative distributions at each distinct value.
 
     Values are counted, cut into pieces at approximate quantiles and summed
@@ -71,7 +71,7 @@ def distribution_gaps(base: DataFrame, other: DataFrame, column: str, buckets: i
     """
     value = F.col(f"`{column}`").cast("double")
     both = _sides(base, other, value)
-    edges = value_edges(both, ["value"], buckets)["value"]
+    edges = value_edges(both, ["value"], buckets or piece_count(both))["value"]
     counts = both.groupBy("value").agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
     piece = edge_bucket("value", edges)
     placed = with_running_sums(counts, [], ["value"], {"cp": F.col("np"), "cq": F.col("nq")}, piece)
@@ -81,7 +81,7 @@ def distribution_gaps(base: DataFrame, other: DataFrame, column: str, buckets: i
     )
 
 
-def cdf_distances(base: DataFrame, other: DataFrame, column: str, buckets: int = 64) -> DataFrame:
+def cdf_distances(base: DataFrame, other: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
     """Wasserstein-1, energy distance and Kolmogorov-Smirnov statistic."""
     # Integrals run over the gap that ends at a value, with both distributions
     # as they were at the value before.

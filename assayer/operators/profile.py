@@ -66,8 +66,10 @@ def valid_roles(df: DataFrame, **roles: str | None) -> tuple[dict[str, str | Non
 
 
 def parse_date(text: Column) -> Column:
-    """Timestamp by the first fitting format, else null."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS])
+    """Timestamp by the first fitting format, else null. Only text that looks
+    like a date is parsed: a failing parse is slow."""
+    shaped = text.rlike(r"\A\d{2,4}[-/]\d{2}[-/]\d{2,4}")
+    return F.when(shaped, F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]))
 
 
 def coerce_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -178,7 +178,7 @@ def action_list(modality: str, weakest: int = 4, n: int = 8) -> Column:
 def improvement_actions(scores: DataFrame, modality: str, weakest: int = 4, n: int = 8) -> DataFrame:
     """(position, action) rows."""
     listed = summary_row(scores).select(F.posexplode(action_list(modality, weakest, n)).alias("pos", "action"))
-    return listed.select((F.col("pos") + 1).alias("position"), "action")
+    return listed.select((F.col("pos") + 1).cast("bigint").alias("position"), "action")
 
 
 def advice_columns(modality: str) -> dict[str, Column]:

@@ -9,7 +9,7 @@ from assayer import fixed_values as fv
 from assayer.functions.keys import missing, value_key
 from assayer.functions.literal import literal_table
 from assayer.functions.numeric import share_status
-from assayer.functions.ordered import edge_bucket, value_edges, with_running_sums
+from assayer.functions.ordered import edge_bucket, piece_count, value_edges, with_running_sums
 from assayer.operators.profile import numeric_columns
 
 
@@ -31,14 +31,15 @@ def numeric_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def value_counts(df: DataFrame, columns: Sequence[str], buckets: int = 64) -> DataFrame:
+def value_counts(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> DataFrame:
     """(column, value, n, seen, seen_total): how often each value occurs, the
     running count and the count of the column.
 
     Values are counted first, so copies collapse before anything is ordered;
     the ordering runs in pieces cut at approximate quantiles.
     """
-    edges = value_edges(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]), columns, buckets)
+    doubles = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    edges = value_edges(doubles, columns, buckets or piece_count(doubles))
     counts = numeric_long(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
     piece = F.lit(0)
     for c in columns:
@@ -175,25 +176,29 @@ def mahalanobis_outliers(df: DataFrame, columns: Sequence[str], cutoff: float, l
 def histogram_scores(df: DataFrame, key: str, columns: Sequence[str], bins: int = 10) -> DataFrame:
     """Histogram-based outlier score per row: sum of -ln(bin height / tallest bin).
 
-    The bin table has ``bins`` rows per column, so it is broadcast.
+    The bin costs, ``bins`` numbers per column, reach each row as one constant
+    struct of maps, so the rows themselves are never shuffled.
     """
-    bounds = df.agg(*[f(F.col(f"`{c}`").cast("double")).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
-    low_high = bounds.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`lo_{c}`").alias("lo"), F.col(f"`hi_{c}`").alias("hi")) for c in columns]))
-    )
-    long = (
-        df.select(F.col(key).alias("key"), *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-        .unpivot(["key"], list(columns), "column", "value")
-        .filter("value IS NOT NULL")
-        .join(F.broadcast(low_high), "column")
-    )
-    at = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
-    binned = long.select("key", "column", F.when(F.col("hi") > F.col("lo"), F.least(at, F.lit(bins - 1))).otherwise(0).alias("bin"))
-    heights = binned.groupBy("column", "bin").agg(F.count("*").alias("n"))
-    tallest = heights.groupBy("column").agg(F.max("n").alias("top"))
-    cost = heights.join(F.broadcast(tallest), "column").select("column", "bin", (-F.log(F.col("n") / F.col("top"))).alias("cost"))
-    scored = binned.join(F.broadcast(cost), ["column", "bin"])
-    return scored.groupBy("key").agg(F.sum("cost").alias("hbos")).withColumnRenamed("key", key)
+    def num(c: str) -> Column:
+        return F.col(f"`{c}`").cast("double")
+
+    limits = df.agg(F.struct(*[F.struct(F.min(num(c)).alias("lo"), F.max(num(c)).alias("hi")).alias(c) for c in columns]).alias("b"))
+
+    def bin_of(c: str) -> Column:
+        lo, hi = F.col(f"__b.`{c}`.lo"), F.col(f"__b.`{c}`.hi")
+        at = F.least(F.floor((num(c) - lo) / (hi - lo) * bins), F.lit(bins - 1))
+        return F.when(num(c).isNotNull(), F.when(hi > lo, at).otherwise(0))
+
+    binned = df.withColumn("__b", limits.scalar()).select(F.col(key), *[bin_of(c).alias(f"__bin{i}") for i, c in enumerate(columns)])
+    names = [f"__bin{i}" for i in range(len(columns))]
+    heights = binned.select(*names).unpivot([], names, "column", "bin").filter("bin IS NOT NULL").groupBy("column", "bin").agg(F.count("*").alias("n"))
+    lists = heights.groupBy("column").agg(F.max("n").alias("top"), F.collect_list(F.struct("bin", "n")).alias("l"))
+    costs = lists.select("column", F.map_from_entries(F.transform("l", lambda e: F.struct(e["bin"], -F.log(e["n"] / F.col("top"))))).alias("m"))
+    table = costs.agg(F.map_from_entries(F.collect_list(F.struct("column", "m"))).alias("t"))
+    total = F.lit(0.0)
+    for name in names:
+        total = total + F.coalesce(F.col("__t")[name][F.col(name)], F.lit(0.0))
+    return binned.withColumn("__t", table.scalar()).select(key, total.alias("hbos"))
 
 
 def key_uniqueness(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -317,7 +317,7 @@ QUERIES.add(
 )
 QUERIES.add(
     "facets_fixed", lambda spark, d: ct.facets(project(spark, d, "catalog"), "file_hash"),
-    "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(fv.UPLOAD_CATEGORIES, 1)) + ") t(position, facet) WHERE (SELECT count(*) FROM orders) > 0",
+    "SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{c}')" for i, c in enumerate(fv.UPLOAD_CATEGORIES, 1)) + ") t(position, facet) WHERE (SELECT count(*) FROM orders) > 0",
 )
 QUERIES.add(
     "detail_view", lambda spark, d: ct.detail_view(catalog(spark, d)).withColumn("ask_price_usd", F.col("ask_price_usd").cast("double")),

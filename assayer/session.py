@@ -40,6 +40,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Size of a plan's output as the optimizer estimates it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame, *keys: str, bytes_per_core: int = 64 << 20) -> DataFrame:
     """Spread a small input over all cores before CPU-heavy text work.
 
@@ -49,7 +54,6 @@ def spread(df: DataFrame, *keys: str, bytes_per_core: int = 64 << 20) -> DataFra
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > bytes_per_core * cores:
+    if plan_bytes(df) > bytes_per_core * cores:
         return df
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
