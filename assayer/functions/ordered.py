@@ -6,7 +6,7 @@ third of all rows is therefore spread over as many tasks as it has buckets.
 """
 
 from collections.abc import Sequence
-from math import isfinite
+from math import ceil, isfinite, sqrt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -79,15 +79,26 @@ def value_edges(df: DataFrame, columns: Sequence[str], buckets: int) -> dict[str
 
 
 def edge_bucket(column: str, edges: Sequence[float]) -> Column:
-    """Number of edges below the value of a column, by binary search in the plan."""
+    """Number of edges below the value of a column.
+
+    A few edges are a binary search in the plan. Many edges are searched in two
+    steps, a search over groups and a count inside one, since a very deep
+    expression would not be compiled.
+    """
     def literal(edge: float) -> str:
         return f"{edge!r}D" if isfinite(edge) else f"double('{edge}')"
 
-    def search(low: int, high: int) -> str:
+    def search(tops: Sequence[float], low: int, high: int) -> str:
         if low == high:
             return str(low)
         middle = (low + high) // 2
-        return f"if(`{column}` > {literal(edges[middle])}, {search(middle + 1, high)}, {search(low, middle)})"
+        return f"if(`{column}` > {literal(tops[middle])}, {search(tops, middle + 1, high)}, {search(tops, low, middle)})"
 
     edges = sorted(float(e) for e in edges)
-    return F.expr(search(0, len(edges)))
+    if len(edges) <= 64:
+        return F.expr(search(edges, 0, len(edges)))
+    step = ceil(sqrt(len(edges)))
+    groups = [edges[i : i + step] for i in range(0, len(edges), step)]
+    group = search([g[-1] for g in groups[:-1]], 0, len(groups) - 1)
+    table = ", ".join(f"array({', '.join(map(literal, g))})" for g in groups)
+    return F.expr(f"{step} * ({group}) + size(filter(element_at(array({table}), ({group}) + 1), e -> e < `{column}`))")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from assayer import fixed_values as fv
 from assayer.functions.numeric import quality_tier
-from assayer.functions.ordered import with_previous, with_running_sums
+from assayer.functions.ordered import edge_bucket, with_previous, with_running_sums
 from assayer.operators import categorise, checks, drift, fastscore, profile, redaction, scoring, statistics, textcorpus, timeseries
 
 
@@ -145,6 +145,15 @@ def test_quantiles_match_numpy_under_ties(spark):
         assert np.allclose([r[f"q{i}"] for i in range(1, 7)], expected)
 
 
+def test_edge_bucket_counts_edges_below(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(float(v),) for v in np.round(rng.normal(size=500), 2)], "v double")
+    for n in (0, 1, 5, 64, 65, 1023):
+        edges = sorted(set(np.round(rng.normal(size=n), 2).tolist()))
+        for r in df.select("v", edge_bucket("v", edges).alias("b")).collect():
+            assert r["b"] == sum(e < r["v"] for e in edges)
+
+
 def test_distances_match_numpy(spark):
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 40, 500) / 4, rng.integers(5, 50, 300) / 4
