@@ -3,7 +3,7 @@
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer import fixed_values as fv
 from assayer.functions.keys import missing, value_key
@@ -11,6 +11,7 @@ from assayer.functions.literal import literal_table
 from assayer.functions.numeric import share_status
 from assayer.functions.ordered import edge_bucket, piece_count, value_edges, with_running_sums
 from assayer.operators.profile import numeric_columns
+from assayer.session import spread
 
 
 def missingness(df: DataFrame, limits=fv.MISSING_PCT) -> DataFrame:
@@ -31,33 +32,61 @@ def numeric_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def value_counts(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> DataFrame:
-    """(column, value, n, seen, seen_total): how often each value occurs, the
-    running count and the count of the column.
+SUB_PIECES = 64
 
-    Values are counted first, so copies collapse before anything is ordered;
-    the ordering runs in pieces cut at approximate quantiles.
-    """
-    doubles = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    edges = value_edges(doubles, columns, buckets or piece_count(doubles))
-    counts = numeric_long(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
+
+def _with_pieces(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, piece): pieces cut at approximate quantiles of each column."""
+    edges = value_edges(df, columns, piece_count(df))
     piece = F.lit(0)
     for c in columns:
         piece = F.when(F.col("column") == c, edge_bucket("value", edges[c])).otherwise(piece)
-    return with_running_sums(counts, ["column"], ["value"], {"seen": F.col("n")}, piece)
+    return numeric_long(df, columns).withColumn("piece", piece)
+
+
+def _doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as doubles; read several times, so small inputs are spread."""
+    return spread(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]), *columns)
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = (0.25, 0.75)) -> DataFrame:
     """(column, q1, q2, ...): linear-interpolated quantiles, exact at any size."""
-    placed = value_counts(df, columns)
+    return _quantiles(_doubles(df, columns), columns, probs)
+
+
+def _quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Quantiles by narrowing down to the pieces that hold the wanted ranks.
+
+    Counting rows per piece tells which pieces hold the wanted ranks; only those
+    rows are counted by value and put in order, again in smaller pieces. No
+    shuffle carries more than that.
+    """
+    long = _with_pieces(df, columns)
+    sizes = long.groupBy("column", "piece").agg(F.count("*").alias("size"), F.min("value").alias("low"), F.max("value").alias("high"))
+    column = Window.partitionBy("column")
+    before = F.sum("size").over(column.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    placed = sizes.select("*", F.coalesce(before, F.lit(0)).alias("before"), F.sum("size").over(column).alias("total"))
+    ranks = [(F.col("total") - 1) * p for p in probs]
+    wanted = F.lit(False)
+    for rank in ranks:
+        for at in (F.floor(rank), F.ceil(rank)):
+            wanted = wanted | ((F.col("before") <= at) & (at < F.col("before") + F.col("size")))
+    # At most two pieces per probability and column.
+    targets = placed.filter(wanted).drop("size")
+    counts = long.join(F.broadcast(targets), ["column", "piece"]).groupBy("column", "piece", "value").agg(
+        F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("before", "total", "low", "high")]
+    )
+    width = F.col("high") - F.col("low")
+    inner = F.least(F.floor((F.col("value") - F.col("low")) / width * SUB_PIECES), F.lit(SUB_PIECES - 1))
+    ordered = with_running_sums(counts, ["column", "piece"], ["value"], {"seen": F.col("n")}, F.when(width > 0, inner).otherwise(0))
     parts = []
-    for i, p in enumerate(probs, 1):
-        rank = (F.col("seen_total") - 1) * p
+    end = F.col("before") + F.col("seen")
+    for i, rank in enumerate(ranks, 1):
         for side, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            inside = (F.col("seen") - F.col("n") <= at) & (at < F.col("seen"))
+            inside = (end - F.col("n") <= at) & (at < end)
             parts.append(F.max(F.when(inside, F.col("value"))).alias(f"{side}{i}"))
         parts.append(F.max(rank - F.floor(rank)).alias(f"f{i}"))
-    found = placed.groupBy("column").agg(*parts)
+    found = ordered.groupBy("column").agg(*parts)
     return found.select(
         "column",
         *[
@@ -71,7 +100,8 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, limits=fv.
     """Share of values outside the 1.5 IQR fences per column. The quartile table
     has one row per column."""
     columns = list(columns or numeric_columns(df))
-    quartiles = exact_quantiles(df, columns)
+    df = _doubles(df, columns)
+    quartiles = _quantiles(df, columns, (0.25, 0.75))
     fence = (F.col("q2") - F.col("q1")) * 1.5
     outside = (F.col("value") < F.col("q1") - fence) | (F.col("value") > F.col("q2") + fence)
     joined = numeric_long(df, columns).join(F.broadcast(quartiles), "column")
