@@ -1,0 +1,55 @@
+"""Registered queries of the training-data operators: op<N>_<name>."""
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from assayer.llm import decontaminate, lines, neardup, pieces, quality
+from assayer.llm.words import table
+from assayer.plans.registry import Registry
+
+QUERIES = Registry()
+
+
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = lines.remove_boilerplate(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    scored = quality.score(docs.select("doc_id", "text"), quality.train(docs, labels))
+    return scored.select("doc_id", F.coalesce(quality.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode(table(spark, folder, "documents").select("doc_id", "text"), with_ids=False)
+
+
+def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
+
+
+LINES_SQL = """
+WITH rows AS (
+  SELECT doc_id, coalesce(source, '') AS site, string_split(text, chr(10)) AS cut FROM documents
+), spread AS (
+  SELECT trim(line) AS line, count(DISTINCT site) AS n, min(doc_id) AS first FROM (SELECT doc_id, site, unnest(cut) AS line FROM rows)
+  WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT site) >= 5
+), lines AS (
+  SELECT doc_id, unnest(cut) AS line, generate_subscripts(cut, 1) AS at FROM rows
+), marked AS (
+  SELECT l.doc_id, l.at, l.line, s.line IS NOT NULL AND s.first <> l.doc_id AS gone FROM lines l LEFT JOIN spread s ON trim(l.line) = s.line
+)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(CASE WHEN gone THEN NULL ELSE line END, chr(10) ORDER BY at), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+QUERIES.add("op1_decontaminate", op1_decontaminate)
+QUERIES.add("op3_line_dedup", op3_line_dedup, LINES_SQL)
+QUERIES.add("op4_quality", op4_quality)
+QUERIES.add("op9_pieces", op9_pieces)
+QUERIES.add("op10_near_duplicates", op10_near_duplicates)
