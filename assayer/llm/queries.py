@@ -39,12 +39,12 @@ WITH rows AS (
   SELECT trim(line) AS line, count(DISTINCT site) AS n, min(doc_id) AS first FROM (SELECT doc_id, site, unnest(cut) AS line FROM rows)
   WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT site) >= 5
 ), lines AS (
-  SELECT doc_id, unnest(cut) AS line, generate_subscripts(cut, 1) AS at FROM rows
+  SELECT doc_id, unnest(cut) AS line, generate_subscripts(cut, 1) AS place FROM rows
 ), marked AS (
-  SELECT l.doc_id, l.at, l.line, s.line IS NOT NULL AND s.first <> l.doc_id AS gone FROM lines l LEFT JOIN spread s ON trim(l.line) = s.line
+  SELECT l.doc_id, l.place, l.line, s.line IS NOT NULL AND s.first <> l.doc_id AS gone FROM lines l LEFT JOIN spread s ON trim(l.line) = s.line
 )
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
-  sha256(coalesce(string_agg(CASE WHEN gone THEN NULL ELSE line END, chr(10) ORDER BY at), '')) AS kept_sha256
+  sha256(coalesce(string_agg(CASE WHEN gone THEN NULL ELSE line END, chr(10) ORDER BY place), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
 
