@@ -107,55 +107,48 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     candidates: a pair at 0.8 shares no band with a probability below 1e-7. A
     bucket is never paired out: pivots are compared with the rest of their bucket
     and leave it, buckets whose rest lies in one component are done, and the
-    number of pivots per bucket grows fourfold from round to round. So each pair
-    of a bucket is compared or already connected, and a bucket of copies is done
-    after one round.
+    number of pivots per bucket grows eightfold from round to round. So each pair
+    of a bucket is compared, connected already or too different in size, and a
+    bucket of copies is done after one round.
     """
     signed = durable(words.map_texts(docs.select("doc_id", "text"), partial(_signed, size=size), "doc_id bigint, n_shingles bigint, s0 bigint, s1 bigint, bands array<bigint>"))
     named = signed.where("n_shingles > 0 and doc_id is not null")
     equal = durable(named.groupBy("s0", "s1").agg(F.min("doc_id").alias("node")))
-    nodes = durable(named.join(equal.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket")))
-    full = durable(nodes.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
-    members = durable(nodes.join(full, "bucket").distinct())
+    first = equal.select(F.col("node").alias("doc_id"), "s0", "s1")
+    nodes = named.join(first, ["doc_id", "s0", "s1"], "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    full = durable(nodes.groupBy("bucket").agg(F.count("*").alias("__rows")).where("__rows > 1").select("bucket"))
+    members = durable(nodes.join(full, "bucket").distinct().withColumn("root", F.col("node")))
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
     sets = durable(words.map_texts(texts, partial(_shingled, size=size), "doc_id bigint, items array<bigint>"))
-
-    links = named.join(equal, ["s0", "s1"]).where("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    found, tried, pivots = None, None, 1
+    found, pivots = None, 1
     while not members.isEmpty():
         slices = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
-        chosen = durable(members.groupBy("bucket", slices.alias("slice")).agg(F.min("node").alias("pivot")).select("bucket", "pivot"))
-        pairs = members.join(chosen, "bucket").where("node != pivot")
-        if found is not None:
-            pairs = _labelled(_labelled(pairs, found, "node"), found, "pivot").where("node_root != pivot_root")
-        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = durable(pairs)
-        sized = F.size(F.array_intersect("x", "y"))
-        alike = durable(
-            pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
-            .withColumn("same", sized).where(100 * F.col("same") >= percent * (F.size("x") + F.size("y") - F.col("same"))).select("a", "b")
-        )
-        tried = pairs if tried is None else durable(tried.union(pairs))
-        edges = alike if found is None else alike.union(found.select(F.col("root").alias("a"), F.col("node").alias("b")))
-        found = components(edges)
-        members = members.join(chosen.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
-        rest = _labelled(members, found, "node")
-        split = durable(rest.groupBy("bucket").agg(F.min("node_root").alias("low"), F.max("node_root").alias("high")).where("low < high").select("bucket"))
-        members = durable(members.join(split, "bucket"))
-        pivots *= 4
-    # equal sets hang on their node, nodes on the root of their component
-    roots = components(links.union(found.select(F.col("root").alias("a"), F.col("node").alias("b"))) if found is not None else links)
-    grouped = signed.select("doc_id", "n_shingles").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
-    group = F.coalesce("root", "doc_id")
+        chosen = members.groupBy("bucket", slices.alias("slice")).agg(F.min(F.struct("node", "n", "root")).alias("p"))
+        chosen = durable(chosen.select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.root").alias("pivot_root")))
+        sizes_fit = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
+        pairs = members.join(chosen, "bucket").where((F.col("root") != F.col("pivot_root")) & sizes_fit)
+        pairs = pairs.select("node", "root", "pivot", "pivot_root").distinct()
+        both = pairs.join(sets.select(F.col("doc_id").alias("node"), F.col("items").alias("x")), "node").join(sets.select(F.col("doc_id").alias("pivot"), F.col("items").alias("y")), "pivot")
+        alike = both.withColumn("same", F.size(F.array_intersect("x", "y"))).where(100 * F.col("same") >= percent * (F.size("x") + F.size("y") - F.col("same")))
+        step = components(alike.select(F.col("root").alias("a"), F.col("pivot_root").alias("b")))
+        found = step if found is None else durable(_moved(found, step).union(step))
+        rest = _moved(members.join(chosen.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti"), step)
+        split = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+        members = durable(rest.join(split, "bucket").select(*members.columns))
+        pivots *= 8
+    grouped = signed.select("doc_id", "n_shingles", "s0", "s1").join(equal, ["s0", "s1"], "left")
+    if found is not None:
+        grouped = grouped.join(found, "node", "left").withColumn("node", F.coalesce("root", "node"))
+    group = F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id"))
+    group = F.when(F.col("doc_id").isNotNull(), group)
     return grouped.select("doc_id", "n_shingles", group.alias("component_id"), F.col("doc_id").eqNullSafe(group).alias("kept"))
 
 
-def _labelled(df: DataFrame, found: DataFrame, column: str) -> DataFrame:
-    to = found.select(F.col("node").alias(column), F.col("root").alias(f"{column}_root"))
-    return df.join(to, column, "left").withColumn(f"{column}_root", F.coalesce(f"{column}_root", column))
+def _moved(df: DataFrame, step: DataFrame) -> DataFrame:
+    """``root`` of a table brought up to date."""
+    to = step.select(F.col("node").alias("root"), F.col("root").alias("__to"))
+    return df.join(to, "root", "left").withColumn("root", F.coalesce("__to", "root")).select(*df.columns)
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
