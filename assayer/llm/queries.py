@@ -1,10 +1,13 @@
 """Registered queries of the training-data operators: op<N>_<name>."""
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import decontaminate, lines, neardup, pieces, quality
+from assayer.llm import decontaminate, fuzzyhash, lines, neardup, personal, pieces, quality, secrets, warc
 from assayer.llm.words import table
 from assayer.plans.registry import Registry
+from assayer.session import checkpoint_folder
 
 QUERIES = Registry()
 
@@ -13,6 +16,10 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fuzzyhash.fingerprints(table(spark, folder, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = lines.remove_boilerplate(table(spark, folder, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -24,6 +31,28 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(quality.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{checkpoint_folder(spark)}/warc-{uuid4().hex}"
+    warc.write_archives(table(spark, folder, "pages"), path)
+    found = warc.transactions(warc.read_archives(spark, path, payload=False))
+    again = F.col("main.record_type") == "revisit"
+    declared = F.try_element_at(F.col("metadata.headers"), F.lit("payload-bytes")).cast("bigint")
+    return found.select(
+        F.try_to_number(F.split("capture_id", ":")[2], F.lit("S9999999999999999999")).cast("bigint").alias("page_id"),
+        F.when(again, declared).otherwise(F.col("main.payload_bytes")).alias("payload_bytes"),
+        F.when(again, F.col("main.payload_digest")).otherwise(F.col("main.payload_sha1")).alias("payload_digest"),
+        F.col("main.record_type").alias("record_type"), F.regexp_extract("main.refers_to", "^<urn:page:(-?[0-9]+)>$", 1).cast("bigint").alias("refers_to"),
+    )
+
+
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, folder, "documents")))
+
+
+def op7_personal(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.digest(personal.find_personal(table(spark, folder, "documents")))
+
+
 def op9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(table(spark, folder, "documents").select("doc_id", "text"), with_ids=False)
 
@@ -48,8 +77,28 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) A
 FROM marked GROUP BY doc_id
 """
 
+WARC_SQL = """
+WITH own AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), first AS (
+  SELECT body, min(page_id) AS first FROM own GROUP BY body
+), joined AS (
+  SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS hex, first FROM own JOIN first USING (body)
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1 AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM joined
+"""
+
 QUERIES.add("op1_decontaminate", op1_decontaminate)
+QUERIES.add("op2_fingerprints", op2_fingerprints)
 QUERIES.add("op3_line_dedup", op3_line_dedup, LINES_SQL)
 QUERIES.add("op4_quality", op4_quality)
+QUERIES.add("op5_warc", op5_warc, WARC_SQL)
+QUERIES.add("op6_secrets", op6_secrets)
+QUERIES.add("op7_personal", op7_personal)
 QUERIES.add("op9_pieces", op9_pieces)
 QUERIES.add("op10_near_duplicates", op10_near_duplicates)
