@@ -4,7 +4,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import decontaminate, fuzzyhash, lines, neardup, personal, pieces, quality, secrets, warc
+from assayer.llm import decontaminate, fuzzyhash, lines, neardup, personal, pieces, quality, repeats, secrets, warc
 from assayer.llm.words import table
 from assayer.plans.registry import Registry
 from assayer.session import checkpoint_folder
@@ -53,6 +53,10 @@ def op7_personal(spark: SparkSession, folder: str) -> DataFrame:
     return personal.digest(personal.find_personal(table(spark, folder, "documents")))
 
 
+def op8_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 def op9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(table(spark, folder, "documents").select("doc_id", "text"), with_ids=False)
 
@@ -100,5 +104,6 @@ QUERIES.add("op4_quality", op4_quality)
 QUERIES.add("op5_warc", op5_warc, WARC_SQL)
 QUERIES.add("op6_secrets", op6_secrets)
 QUERIES.add("op7_personal", op7_personal)
+QUERIES.add("op8_repeats", op8_repeats)
 QUERIES.add("op9_pieces", op9_pieces)
 QUERIES.add("op10_near_duplicates", op10_near_duplicates)
