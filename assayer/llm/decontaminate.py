@@ -17,26 +17,25 @@ from assayer.llm import words
 SHINGLE, LEAST = 5, 0.8
 RADIUS, PARTS = 7, 4
 ITEM_BLOCK = 4 << 20
-ROWS = 1 << 13
+ROWS = 1 << 12
+WIDEST = 255
 SCHEMA = "doc_id bigint, item_id bigint, similarity double, distance int, first_word bigint, n_words bigint"
 
 
-def simhash_windows(shingles: np.ndarray, width: int) -> np.ndarray:
-    """64-bit SimHash of each run of ``width`` shingles: bit by bit the majority."""
-    n = len(shingles) - width + 1
-    out = np.empty(max(n, 0), np.uint64)
-    for low in range(0, n, ROWS):
-        high = min(low + ROWS, n)
-        bits = np.unpackbits(shingles[low : high + width - 1].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.zeros((64, len(bits) + 1), np.int16)
-        np.cumsum(bits.T, axis=1, dtype=np.int16, out=sums[:, 1:])
-        out[low:high] = _majority(sums, width, high - low)
-    return out
+def bit_sums(shingles: np.ndarray) -> np.ndarray:
+    """Running counts of the bits of 64-bit hashes, modulo 256: one row more than hashes."""
+    bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    sums = np.zeros((len(bits) + 1, 64), np.uint8)
+    np.cumsum(bits, axis=0, dtype=np.uint8, out=sums[1:])
+    return sums
 
 
-def _majority(sums: np.ndarray, width: int, n: int) -> np.ndarray:
-    more = (sums[:, width : width + n] - sums[:, :n]) > width // 2
-    return np.ascontiguousarray(np.packbits(more, axis=0, bitorder="little").T).view(np.uint64).reshape(-1)
+def majority(sums: np.ndarray, width: int) -> np.ndarray:
+    """64-bit SimHash of each run of ``width`` hashes, 255 at most: bit by bit the majority."""
+    if len(sums) <= width:
+        return np.zeros(0, np.uint64)
+    more = (sums[width:] - sums[:-width]) > width // 2
+    return np.packbits(more, axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
 def _near(values: np.ndarray, bits: int, flips: int) -> np.ndarray:
@@ -65,7 +64,7 @@ class Index:
 
 def _size(most: float) -> int:
     size = 1
-    while max(size + 1, int(size * 1.2)) <= most:
+    while max(size + 1, int(size * 1.2)) <= min(most, WIDEST):
         size = max(size + 1, int(size * 1.2))
     return size
 
@@ -83,7 +82,7 @@ def build(items: list[tuple[int, str]]) -> Index:
         whole = _size(max(1, length * LEAST))
         for size in {whole, _size(whole / 2) if whole >= 28 else whole} if length else ():
             wide = min(SHINGLE, size)
-            marks = simhash_windows(runs(hashes[a : a + length], wide), size - wide + 1)
+            marks = majority(bit_sums(runs(hashes[a : a + length], wide)), size - wide + 1)
             for offset in sorted({0, (length - size) // 2, length - size}):
                 index.sizes.setdefault(size, []).append((int(marks[offset]), item, offset))
     for size, rows in index.sizes.items():
@@ -114,7 +113,7 @@ def _candidates(marks: np.ndarray, known: np.ndarray, table: np.ndarray) -> Iter
     for low in range(0, len(at), ROWS):
         some = at[low : low + ROWS]
         distance = np.bitwise_count(marks[some][:, None] ^ known[None, :])
-        row, column = np.nonzero(distance <= RADIUS)
+        row, column = np.divmod(np.flatnonzero((distance <= RADIUS).reshape(-1)), len(known))
         yield some[row], column, distance[row, column]
 
 
@@ -135,11 +134,12 @@ def _matches(batch: pa.RecordBatch, index: Index) -> pa.RecordBatch:
     best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
     checked = set()
     by_width = {w: runs(hashes, w) for w in {min(SHINGLE, s) for s in index.sizes}}
-    for size, (known, table) in index.tables.items():
-        wide = min(SHINGLE, size)
-        shingles = by_width[wide]
-        for low in range(0, len(shingles) - (size - wide), 1 << 16):
-            marks = simhash_windows(shingles[low : low + (1 << 16) + size - wide], size - wide + 1)
+    longest = max(index.sizes, default=0)
+    for low in range(0, len(hashes), ROWS):
+        sums = {w: bit_sums(shingles[low : low + ROWS + longest]) for w, shingles in by_width.items()}
+        for size, (known, table) in index.tables.items():
+            wide = min(SHINGLE, size)
+            marks = majority(sums[wide], size - wide + 1)[:ROWS]
             for window, mark, distance in _candidates(marks, known, table):
                 window = window + low
                 inside = owner[window] == owner[window + size - 1]
