@@ -10,9 +10,11 @@ that the text itself defines:
    Consecutive windows with one sample make a run. Samples are grouped by name
    (the hash of their k bytes); one that is alone rules its whole run out.
 2. Where all runs of a name are alike, all their windows repeat.
-3. Recursion on names: the other runs ("mixed") are named at full depth, 200 bytes
-   at each position, from the names of their bytes by prefix sums.
-4. Merge and compare neighbours: equal names of 200 bytes meet in one group.
+3. Recursion on names: of the other runs ("mixed"), equal ones are settled too; one
+   of each kind is named at full depth, 200 bytes at each position, from the names
+   of its bytes by prefix sums.
+4. Merge and compare neighbours: equal names of 200 bytes meet in one group. Only
+   the runs without an equal then need their windows looked up.
 
 Names are 64-bit fingerprints instead of ranks, so no order among unequal
 suffixes is made, which nothing needs. Between the steps a bitmap of fixed size
@@ -31,7 +33,7 @@ from assayer.llm import words
 from assayer.llm.spans import row_key
 from assayer.session import durable
 
-LENGTH, SAMPLE = 200, 120
+LENGTH, SAMPLE = 200, 96
 BITS = 27
 BLOCK = 1 << 19
 _LOW = np.uint64((1 << 20) - 1)
@@ -91,34 +93,42 @@ def _samples(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*found, strict=True)], names=["name", "content"])
 
 
-def _runs(batch: pa.RecordBatch, bitmap: np.ndarray) -> pa.RecordBatch:
-    """Runs whose name is in the bitmap: name, row, place of the first window, windows."""
-    data, offsets = words.text_bytes(batch.column("text"))
-    names, starts, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for low, b in _blocks(data, offsets):
-        use = _has(bitmap, b.name)
-        names.append(b.name[use])
-        starts.append(b.first[use] + low)
-        counts.append((b.last - b.first + 1)[use])
-    return _placed(batch, offsets, np.concatenate(names), np.concatenate(starts), np.concatenate(counts))
+def _identity(k1: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Number of a run by the row it is in and its place; chance equality only
+    lets more through a bitmap."""
+    return words.mix(k1.view(np.uint64) ^ words.mix(at.astype(np.uint64)))
 
 
-def _placed(batch: pa.RecordBatch, offsets: np.ndarray, names: np.ndarray, starts: np.ndarray, counts: np.ndarray | None) -> pa.RecordBatch:
+def _rows(batch: pa.RecordBatch, offsets: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, pa.Array, np.ndarray]:
     row = np.searchsorted(offsets, starts, side="right") - 1
-    take = pa.array(row)
-    columns = {"name": pa.array(names.view(np.int64)), "k1": batch.column("k1").take(take), "k2": batch.column("k2").take(take), "at": pa.array(starts - offsets[row])}
-    if counts is not None:
-        columns["windows"] = pa.array(counts)
-    return pa.record_batch(list(columns.values()), names=list(columns))
+    return batch.column("k1").take(pa.array(row)), batch.column("k2").take(pa.array(row)), starts - offsets[row]
 
 
-def _depths(batch: pa.RecordBatch, mixed: np.ndarray, repeated: np.ndarray | None = None) -> pa.RecordBatch:
-    """Names at full depth of the windows of mixed runs; with places once it is
-    known which names may repeat."""
+def _runs(batch: pa.RecordBatch, bitmap: np.ndarray, mixed: bool) -> pa.RecordBatch:
+    """Runs whose name is in the bitmap: name, row, place of the first window,
+    windows, and for mixed ones content and identity."""
+    data, offsets = words.text_bytes(batch.column("text"))
+    found = []
+    for low, b in _blocks(data, offsets):
+        use = _has(bitmap, b.name)
+        found.append((b.name[use], b.first[use] + low, (b.last - b.first + 1)[use], b.content()[use] if mixed else b.name[:0]))
+    names, starts, counts, content = (np.concatenate(c) for c in zip(*found, (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)), strict=True))
+    k1, k2, at = _rows(batch, offsets, starts)
+    columns = [pa.array(names.view(np.int64)), k1, k2, pa.array(at.astype(np.int32)), pa.array(counts.astype(np.int32))]
+    if mixed:
+        columns += [pa.array(content.view(np.int64)), pa.array(_identity(k1.to_numpy(zero_copy_only=False), at).view(np.int64))]
+    return pa.record_batch(columns, names=["name", "k1", "k2", "at", "windows", "content", "identity"][: len(columns)])
+
+
+def _depths(batch: pa.RecordBatch, mixed: np.ndarray, wanted: np.ndarray, repeated: np.ndarray | None = None) -> pa.RecordBatch:
+    """Names at full depth of the windows of the wanted mixed runs; with places
+    once it is known which names may repeat."""
     data, offsets = words.text_bytes(batch.column("text"))
     names, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for low, b in _blocks(data, offsets):
-        use = _has(mixed, b.name)
+        use = np.flatnonzero(_has(mixed, b.name))
+        k1, _, place = _rows(batch, offsets, b.first[use] + low)
+        use = use[_has(wanted, _identity(k1.to_numpy(zero_copy_only=False), place))]
         first, counts = b.first[use], (b.last - b.first + 1)[use]
         at = np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         own = b.names(at)
@@ -127,9 +137,11 @@ def _depths(batch: pa.RecordBatch, mixed: np.ndarray, repeated: np.ndarray | Non
             own, at = own[hold], at[hold]
         names.append(own)
         starts.append(at + low)
+    name = pa.array(np.concatenate(names).view(np.int64))
     if repeated is None:
-        return pa.record_batch([pa.array(np.concatenate(names).view(np.int64))], names=["name"])
-    return _placed(batch, offsets, np.concatenate(names), np.concatenate(starts), None)
+        return pa.record_batch([name], names=["name"])
+    k1, k2, at = _rows(batch, offsets, np.concatenate(starts))
+    return pa.record_batch([name, k1, k2, pa.array(at.astype(np.int32))], names=["name", "k1", "k2", "at"])
 
 
 def _bitmap(names: DataFrame) -> np.ndarray:
@@ -153,7 +165,7 @@ def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
             starts, counts = starts_of[i].values.to_numpy(zero_copy_only=False), counts_of[i].values.to_numpy(zero_copy_only=False)
             edges = np.zeros(len(raw) + 1, np.int64)
             np.add.at(edges, starts, 1)
-            np.add.at(edges, starts + counts + LENGTH - 1, -1)
+            np.add.at(edges, starts.astype(np.int64) + counts + LENGTH - 1, -1)
             gone = np.cumsum(edges)[:-1] > 0
             kept, removed = np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(gone.sum())
             spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
@@ -178,13 +190,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     samples = words.map_texts(texts.select("text"), _samples, "name bigint, content bigint", **piece)
     shared = durable(samples.groupBy("name").agg(F.count("*").alias("__n"), F.min("content").alias("low"), F.max("content").alias("high")).where("__n > 1").select("name", (F.col("low") != F.col("high")).alias("mixed")))
     alike, mixed = shared.where("not mixed").select("name"), _bitmap(shared.where("mixed"))
-    runs = words.map_texts(texts, partial(_runs, bitmap=_bitmap(alike)), "name bigint, k1 bigint, k2 bigint, at bigint, windows bigint", **piece)
+    placed = "name bigint, k1 bigint, k2 bigint, at int"
+    runs = words.map_texts(texts, partial(_runs, bitmap=_bitmap(alike), mixed=False), f"{placed}, windows int", **piece)
     whole = runs.join(alike, "name").select("k1", "k2", "at", "windows")
-    depths = words.map_texts(texts.select("text"), partial(_depths, mixed=mixed), "name bigint", **piece)
+    others = durable(words.map_texts(texts, partial(_runs, bitmap=mixed, mixed=True), f"{placed}, windows int, content bigint, identity bigint", **piece).drop("name"))
+    kinds = durable(others.groupBy("content").agg(F.count("*").alias("__n"), F.min("identity").alias("name")))
+    twins = others.join(kinds.where("__n > 1").select("content"), "content").select("k1", "k2", "at", "windows")
+    depths = words.map_texts(texts, partial(_depths, mixed=mixed, wanted=_bitmap(kinds)), "name bigint", **piece)
     repeated = durable(depths.groupBy("name").agg(F.count("*").alias("__n")).where("__n > 1").select("name"))
-    single = words.map_texts(texts, partial(_depths, mixed=mixed, repeated=_bitmap(repeated)), "name bigint, k1 bigint, k2 bigint, at bigint", **piece)
-    places = whole.union(single.join(repeated, "name").select("k1", "k2", "at", F.lit(1).cast("bigint").alias("windows")))
-    hits = places.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "windows")).alias("hits"))
+    lone = partial(_depths, mixed=mixed, wanted=_bitmap(kinds.where("__n = 1")), repeated=_bitmap(repeated))
+    single = words.map_texts(texts, lone, placed, **piece).join(repeated, "name").select("k1", "k2", "at", F.lit(1).alias("windows"))
+    hits = whole.union(twins).union(single).groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "windows")).alias("hits"))
     hits = durable(hits.select("k1", "k2", F.col("hits.at").alias("starts"), F.col("hits.windows").alias("counts")))
-    joined = docs.select(*row_key(), "doc_id", "text").join(hits, ["k1", "k2"], "left").select("doc_id", "starts", "counts", "text")
-    return words.map_texts(joined, _cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    rows = _bitmap(hits.select(F.col("k1").alias("name")))
+
+    @F.pandas_udf("boolean")
+    def may_hit(k1):  # texts without repeats need not be shuffled to learn so
+        import pandas as pd
+
+        return pd.Series(_has(rows, k1.to_numpy().view(np.uint64)))
+
+    keyed = docs.select(*row_key(), "doc_id", "text").withColumn("__may", may_hit("k1"))
+    joined = keyed.where("__may").join(hits, ["k1", "k2"], "left").select("doc_id", "starts", "counts", "text")
+    none = F.lit(None).cast("array<int>")
+    free = keyed.where("not __may").select("doc_id", none.alias("starts"), none.alias("counts"), "text")
+    return words.map_texts(joined.union(free), _cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
