@@ -34,7 +34,7 @@ from assayer.llm.spans import row_key
 from assayer.session import durable
 
 LENGTH, SAMPLE = 200, 96
-BITS = 27
+BITS = 25
 BLOCK = 1 << 19
 _LOW = np.uint64((1 << 20) - 1)
 
