@@ -29,7 +29,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 BYTE, UNKNOWN, CONTROL, UNIGRAM, BPE = 6, 2, 3, 1, 2
 INFINITE = float("inf")
-REMEMBERED, LONGEST_REMEMBERED = 200_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 400_000, 48
 
 
 def _fields(raw: bytes):
@@ -82,7 +82,7 @@ class Transducer:
                 if piece not in self.ids:
                     self.ids[piece] = i
                     self._accept(piece, i)
-        self.known, self.allowed = {}, {}
+        self.allowed: dict[str, dict[str, bool]] = {}
         self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
     def _accept(self, piece: str, number: int) -> None:
@@ -108,44 +108,49 @@ class Transducer:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _neighbours(self, left: str, right: str) -> bool:
-        key = (left, right)
-        if key not in self.allowed:
-            if len(self.allowed) >= 4 * REMEMBERED:
-                self.allowed.clear()
-            self.allowed[key] = self.merged(left + right) == [left, right]
-        return self.allowed[key]
-
-    def lattice(self, text: str) -> list[list[tuple[int, float]]]:
-        """Composition with the input: from each position, (end, weight) of each arc."""
-        out = []
-        for start in range(len(text)):
-            state, found = 0, []
-            for end in range(start, len(text)):
-                state = self.arcs[state].get(text[end], -1)
-                if state < 0:
-                    break
-                if self.final[state] >= 0:
-                    found.append((end + 1, -self.scores[self.final[state]] if self.model_type == UNIGRAM else 1.0))
-            if not found or found[0][0] != start + 1:
-                found.append((start + 1, 1e3 if self.model_type == UNIGRAM else 1.0))
-            out.append(found)
-        return out
+    def _meet(self, left: str, right: str) -> bool:
+        """Whether two pieces can stand side by side."""
+        return self.merged(left + right) == [left, right]
 
     def shortest(self, text: str) -> list[str]:
-        """Pieces, and characters left to byte fallback, along the shortest path."""
-        far = [INFINITE] * (len(text) + 1)
-        far[0], came = 0.0, [0] * (len(text) + 1)
-        bound = self.model_type == BPE
-        for start, arcs in enumerate(self.lattice(text)):
+        """Pieces, and characters left to byte fallback, along the shortest path.
+
+        Composition with the input is lazy: arcs leave a position only once it is
+        reached. For a BPE model one segmentation of each prefix passes the test
+        of neighbours, so a position has one piece that ends there.
+        """
+        size, bound, arcs, final, allowed = len(text), self.model_type == BPE, self.arcs, self.final, self.allowed
+        far, came = [INFINITE] * (size + 1), [0] * (size + 1)
+        far[0] = 0.0
+        for start in range(size):
             here = far[start]
             if here == INFINITE:
                 continue
             last = text[came[start] : start]
-            for end, weight in arcs:
-                if here + weight < far[end] and (not bound or not start or self._neighbours(last, text[start:end])) and (not bound or self._whole(text[start:end])):
+            known = allowed.get(last)
+            if known is None:
+                if len(allowed) >= REMEMBERED:
+                    allowed.clear()
+                known = allowed[last] = {}
+            state = 0
+            for end in range(start + 1, size + 1):
+                state = arcs[state].get(text[end - 1], -1) if state >= 0 else -1
+                number = final[state] if state >= 0 else -1
+                if number < 0 and end > start + 1:
+                    if state < 0:
+                        break
+                    continue
+                piece = text[start:end]
+                if bound:
+                    weight = 1.0
+                    good = known.get(piece)
+                    if good is None:
+                        good = known[piece] = self._whole(piece) and (not start or self._meet(last, piece))
+                else:
+                    weight, good = (-self.scores[number] if number >= 0 else 1e3), True
+                if good and here + weight < far[end]:
                     far[end], came[end] = here + weight, start
-        out, end = [], len(text)
+        out, end = [], size
         while end:
             out.append(text[came[end] : end])
             end = came[end]
@@ -153,9 +158,7 @@ class Transducer:
 
     def _whole(self, piece: str) -> bool:
         """Whether the merges make this piece from its characters at all."""
-        if piece not in self.known:
-            self.known[piece] = len(piece) == 1 or self.merged(piece) == [piece]
-        return self.known[piece]
+        return len(piece) == 1 or self.merged(piece) == [piece]
 
     def _word(self, text: str) -> bytes:
         ids = []
