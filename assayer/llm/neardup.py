@@ -4,7 +4,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from assayer.llm import words
 from assayer.llm.components import components
@@ -105,51 +105,83 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     Equal sets are merged first. Bands of six of 252 SuperMinHash registers give
     candidates: a pair at 0.8 shares no band with a probability of 3e-6, one at 0.85
-    of 3e-9, while texts that share a passage only seldom meet. A
-    bucket is never paired out: pivots are compared with the rest of their bucket
-    and leave it, buckets whose rest lies in one component are done, and the
-    number of pivots per bucket grows eightfold from round to round. So each pair
-    of a bucket is compared, connected already or too different in size, and a
-    bucket of copies is done after one round.
+    of 3e-9, while texts that share a passage only seldom meet. A bucket is never
+    paired out: its most central document is the pivot, all others are compared
+    with it, and what that leaves unconnected goes through ``_beside_pivots``.
     """
     signed = durable(words.map_texts(docs.select("doc_id", "text"), partial(_signed, size=size), "doc_id bigint, n_shingles bigint, s0 bigint, s1 bigint, bands array<bigint>"))
     named = signed.where("n_shingles > 0 and doc_id is not null")
     equal = durable(named.groupBy("s0", "s1").agg(F.min("doc_id").alias("node")))
     first = equal.select(F.col("node").alias("doc_id"), "s0", "s1")
     nodes = named.join(first, ["doc_id", "s0", "s1"], "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    full = durable(nodes.groupBy("bucket").agg(F.count("*").alias("__rows")).where("__rows > 1").select("bucket"))
-    members = durable(nodes.join(full, "bucket").distinct().withColumn("root", F.col("node")))
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    full = durable(nodes.groupBy("bucket").agg(F.count("*").alias("__rows")).where("__rows > 1"))
+    members = durable(nodes.join(full, "bucket"))
+    central = members.groupBy("node").agg(F.sum("__rows").alias("__met"))
+    members = members.select("bucket", "node", "n").distinct()
+    texts = docs.select("doc_id", "text").join(central.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     sets = durable(words.map_texts(texts, partial(_shingled, size=size), "doc_id bigint, items array<bigint>"))
-    found, pivots = None, 1
-    while not members.isEmpty():
-        slices = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
-        chosen = members.groupBy("bucket", slices.alias("slice")).agg(F.min(F.struct("node", "n", "root")).alias("p"))
-        chosen = durable(chosen.select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.root").alias("pivot_root")))
-        sizes_fit = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
-        pairs = members.join(chosen, "bucket").where((F.col("root") != F.col("pivot_root")) & sizes_fit)
-        pairs = pairs.select("node", "root", "pivot", "pivot_root").distinct()
-        both = pairs.join(sets.select(F.col("doc_id").alias("node"), F.col("items").alias("x")), "node").join(sets.select(F.col("doc_id").alias("pivot"), F.col("items").alias("y")), "pivot")
-        alike = both.withColumn("same", F.size(F.array_intersect("x", "y"))).where(100 * F.col("same") >= percent * (F.size("x") + F.size("y") - F.col("same")))
-        step = components(alike.select(F.col("root").alias("a"), F.col("pivot_root").alias("b")))
-        found = step if found is None else durable(_moved(found, step).union(step))
-        rest = _moved(members.join(chosen.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti"), step)
-        split = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-        members = durable(rest.join(split, "bucket").select(*members.columns))
-        pivots *= 8
-    grouped = signed.select("doc_id", "n_shingles", "s0", "s1").join(equal, ["s0", "s1"], "left")
-    if found is not None:
-        grouped = grouped.join(found, "node", "left").withColumn("node", F.coalesce("root", "node"))
-    group = F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id"))
+    chosen = members.join(central, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "n"), F.struct("__met", -F.col("node"))).alias("p"))
+    pivots = durable(chosen.select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")))
+    stars = durable(members.join(pivots, "bucket").where("node != pivot").select("bucket", "node", "n", "pivot", "pivot_n"))
+    fits = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
+    found = components(_alike(stars.where(fits).select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets, percent))
+    rooted = _moved(stars.withColumn("root", F.col("node")).withColumn("pivot_root", F.col("pivot")), found)
+    rooted = durable(_moved(rooted, found, "pivot_root"))
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    around = rooted.join(several, "bucket").select("pivot", "pivot_n", "pivot_root", "node", "n", "root").distinct()
+    more = _alike(_beside_pivots(around, sets, percent / 100), sets, percent)
+    found = components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
+    grouped = signed.select("doc_id", "n_shingles", "s0", "s1").join(equal, ["s0", "s1"], "left").join(found, "node", "left")
+    group = F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).otherwise(F.col("doc_id"))
     group = F.when(F.col("doc_id").isNotNull(), group)
     return grouped.select("doc_id", "n_shingles", group.alias("component_id"), F.col("doc_id").eqNullSafe(group).alias("kept"))
 
 
-def _moved(df: DataFrame, step: DataFrame) -> DataFrame:
-    """``root`` of a table brought up to date."""
-    to = step.select(F.col("node").alias("root"), F.col("root").alias("__to"))
-    return df.join(to, "root", "left").withColumn("root", F.coalesce("__to", "root")).select(*df.columns)
+def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their full sets confirm."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
+    same = F.col("same")
+    return both.withColumn("same", F.size(F.array_intersect("x", "y"))).where(100 * same >= percent * (F.size("x") + F.size("y") - same)).select("a", "b")
+
+
+def _beside_pivots(around: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of documents around one pivot, in different components, that
+    may be alike.
+
+    Let d be the number of shingles in which a document differs from the pivot.
+    Two sets of n and m shingles are alike when they differ in at most
+    D = (1 - t) / (1 + t) * (n + m), so their differences from the pivot share
+    (d + e - D) / 2 or more. A prefix filter finds such pairs without meeting the
+    others: differences are ordered by how rare they are around the pivot, and two
+    lists that share s elements have one in common in their first d - s + 1 and
+    e - s + 1. What remains after an element's place bounds the rest. A document
+    not connected with the pivot differs from it in more than D, which bounds s
+    from below; lists that need share nothing meet under one extra element.
+    """
+    both = around.join(sets.select(F.col("doc_id").alias("node"), F.col("items").alias("x")), "node").join(sets.select(F.col("doc_id").alias("pivot"), F.col("items").alias("y")), "pivot")
+    delta = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    most, apart = F.col("n") * ((1 - least) / least), (F.col("n") * least + F.col("pivot_n")) * ((1 - least) / (1 + least))
+    lists = both.withColumn("delta", delta).withColumn("d", F.size("delta"))
+    share = F.when(F.col("root") == F.col("pivot_root"), F.ceil((F.col("d") + apart - most) / 2 - 1e-6)).otherwise(F.ceil(F.col("d") - most - 1e-6))
+    lists = lists.withColumn("s", share).select("pivot", "node", "n", "root", "d", "s", "delta")
+    rows = durable(lists.select("pivot", "node", "n", "root", "d", "s", F.explode("delta").alias("element")))
+    rare = rows.groupBy("pivot", "element").agg(F.count("*").alias("__df")).where("__df > 1")
+    placed = rows.join(rare, ["pivot", "element"], "left")
+    place = F.row_number().over(Window.partitionBy("pivot", "node").orderBy(F.coalesce("__df", F.lit(1)), "element"))
+    prefix = placed.withColumn("at", place).where((F.col("at") <= F.col("d") - F.greatest("s", F.lit(1)) + 1) & F.col("__df").isNotNull()).select("pivot", "element", "node", "n", "root", "d", "at")
+    free = lists.where("s <= 0").select("pivot", F.lit(0).cast("bigint").alias("element"), "node", "n", "root", "d", F.lit(1).alias("at"))
+    left = durable(prefix.union(free))
+    right = left.select("pivot", "element", *[F.col(c).alias(f"{c}_") for c in ("node", "n", "root", "d", "at")])
+    needed = F.col("d") + F.col("d_") - (F.col("n") + F.col("n_")) * ((1 - least) / (1 + least)) - 1e-6
+    possible = 2 * (1 + F.least(F.col("d") - F.col("at"), F.col("d_") - F.col("at_"))) >= needed
+    return left.join(right, ["pivot", "element"]).where((F.col("node") < F.col("node_")) & (F.col("root") != F.col("root_")) & possible).select(F.col("node").alias("a"), F.col("node_").alias("b"))
+
+
+def _moved(df: DataFrame, step: DataFrame, column: str = "root") -> DataFrame:
+    """Roots in a column brought up to date."""
+    to = step.select(F.col("node").alias(column), F.col("root").alias("__to"))
+    return df.join(to, column, "left").withColumn(column, F.coalesce("__to", column)).select(*df.columns)
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
