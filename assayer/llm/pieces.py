@@ -29,7 +29,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 BYTE, UNKNOWN, CONTROL, UNIGRAM, BPE = 6, 2, 3, 1, 2
 INFINITE = float("inf")
-REMEMBERED, LONGEST_REMEMBERED = 400_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 800_000, 48
 
 
 def _fields(raw: bytes):
@@ -112,56 +112,83 @@ class Transducer:
         """Whether two pieces can stand side by side."""
         return self.merged(left + right) == [left, right]
 
+    def _leaves(self, text: str, start: int) -> list[int]:
+        """Where arcs from a position end, nearest first; the character itself counts."""
+        arcs, final, state, out = self.arcs, self.final, 0, [start + 1]
+        for end in range(start, len(text)):
+            state = arcs[state].get(text[end], -1)
+            if state < 0:
+                break
+            if final[state] >= 0 and end > start:
+                out.append(end + 1)
+        return out
+
     def shortest(self, text: str) -> list[str]:
         """Pieces, and characters left to byte fallback, along the shortest path.
 
         Composition with the input is lazy: arcs leave a position only once it is
-        reached. For a BPE model one segmentation of each prefix passes the test
-        of neighbours, so a position has one piece that ends there.
+        reached.
         """
-        size, bound, arcs, final, allowed = len(text), self.model_type == BPE, self.arcs, self.final, self.allowed
-        far, came = [INFINITE] * (size + 1), [0] * (size + 1)
-        far[0] = 0.0
+        ends = self._only(text) if self.model_type == BPE else self._least(text)
+        return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _least(self, text: str) -> list[int]:
+        size = len(text)
+        far, came = [0.0] + [INFINITE] * size, [0] * (size + 1)
         for start in range(size):
-            here = far[start]
-            if here == INFINITE:
-                continue
-            last = text[came[start] : start]
+            for end in self._leaves(text, start):
+                number = self.ids.get(text[start:end])
+                weight = far[start] + (1e3 if number is None else -self.scores[number])
+                if weight < far[end]:
+                    far[end], came[end] = weight, start
+        ends = [size] if size else []
+        while ends and came[ends[-1]]:
+            ends.append(came[ends[-1]])
+        return ends[::-1]
+
+    def _only(self, text: str) -> list[int]:
+        """The one path of finite weight of a BPE model, depth first, longest arcs first.
+
+        Each prefix has one segmentation that passes the test of neighbours, so a
+        position that led nowhere never needs another visit.
+        """
+        size, allowed, path, dead = len(text), self.allowed, [0], set()
+        if not size:
+            return []
+        leaves = [self._leaves(text, 0)]
+        while path[-1] < size:
+            start = path[-1]
+            last = text[path[-2] : start] if len(path) > 1 else ""
             known = allowed.get(last)
             if known is None:
                 if len(allowed) >= REMEMBERED:
                     allowed.clear()
                 known = allowed[last] = {}
-            state = 0
-            for end in range(start + 1, size + 1):
-                state = arcs[state].get(text[end - 1], -1) if state >= 0 else -1
-                number = final[state] if state >= 0 else -1
-                if number < 0 and end > start + 1:
-                    if state < 0:
-                        break
+            ways = leaves[-1]
+            while ways:
+                end = ways.pop()
+                if end in dead:
                     continue
                 piece = text[start:end]
-                if bound:
-                    weight = 1.0
-                    good = known.get(piece)
-                    if good is None:
-                        good = known[piece] = self._whole(piece) and (not start or self._meet(last, piece))
-                else:
-                    weight, good = (-self.scores[number] if number >= 0 else 1e3), True
-                if good and here + weight < far[end]:
-                    far[end], came[end] = here + weight, start
-        out, end = [], size
-        while end:
-            out.append(text[came[end] : end])
-            end = came[end]
-        return out[::-1]
+                good = known.get(piece)
+                if good is None:
+                    good = known[piece] = self._whole(piece) and (not start or self._meet(last, piece))
+                if good:
+                    path.append(end)
+                    leaves.append(self._leaves(text, end) if end < size else [])
+                    break
+            else:
+                dead.add(start)
+                path.pop()
+                leaves.pop()
+        return path[1:]
 
     def _whole(self, piece: str) -> bool:
         """Whether the merges make this piece from its characters at all."""
         return len(piece) == 1 or self.merged(piece) == [piece]
 
     def _word(self, text: str) -> bytes:
-        ids = []
+        ids: list[int] = []
         for piece in self.shortest(text):
             number = self.ids.get(piece)
             if number is not None:
@@ -170,7 +197,7 @@ class Transducer:
                 ids.extend(self.bytes_to_id[b] for b in piece.encode())
             else:
                 ids.append(self.unknown)
-        return np.array(ids, np.int32).tobytes()
+        return pack(f"<{len(ids)}i", *ids)
 
     def encode(self, text: str, remembered: dict[str, bytes]) -> np.ndarray:
         """Ids of a whole text. No piece has the mark behind another character, so
