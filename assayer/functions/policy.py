@@ -1,6 +1,7 @@
 """Access policy rules as column expressions over fixed rule tables."""
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -50,10 +51,8 @@ def listing_decision(level: Column) -> Column:
     return F.when(level.isin("sensitive", "special_category"), "needs_review").otherwise("listable")
 
 
-def is_admin(user_id: Column, username: Column, admin_ids: str = "", admin_names: str = "") -> Column:
-    """Admin by exact id or by name in any case; lists are comma separated."""
-    ids = [s.strip() for s in admin_ids.split(",") if s.strip()]
-    names = [s.strip().lower() for s in admin_names.split(",") if s.strip()]
-    by_id = F.coalesce(user_id.isin(*ids), F.lit(False)) if ids else F.lit(False)
-    by_name = F.coalesce(F.lower(F.trim(username)).isin(*names), F.lit(False)) if names else F.lit(False)
-    return by_id | by_name
+def is_admin(user_id: Column, username: Column, admin_ids: Sequence[str] = (), admin_names: Sequence[str] = ()) -> Column:
+    """Admin by exact id or by name in any case and without outer blanks."""
+    name = F.lower(F.trim(username))
+    hits = [user_id.eqNullSafe(i) for i in admin_ids] + [name.eqNullSafe(n.strip().lower()) for n in admin_names]
+    return reduce(Column.__or__, hits, F.lit(False))

@@ -1,5 +1,7 @@
 """Upload gate and access decisions, many requests per run."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer import fixed_values as fv
@@ -38,7 +40,7 @@ def intake_gate(intake: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def decide_access(
-    requests: DataFrame, catalog: DataFrame, users: DataFrame, admin_ids: str = "", admin_names: str = ""
+    requests: DataFrame, catalog: DataFrame, users: DataFrame, admin_ids: Sequence[str] = (), admin_names: Sequence[str] = ()
 ) -> DataFrame:
     """One decision per request (requester_id, file_hash, purpose).
 
@@ -51,7 +53,7 @@ def decide_access(
     level = policy.normalise_sensitivity(rule["sensitivity"])
     datasets = catalog.select(
         "file_hash", F.lit(True).alias("__d"), F.col("restriction_status").alias("__lock"),
-        F.coalesce("owner", extra["owner_user_id"]).alias("__owner"),
+        F.coalesce(F.nullif("owner", F.lit("")), extra["owner_user_id"]).alias("__owner"),
         F.coalesce(F.when(rule["min_plan"] != "", rule["min_plan"]), policy.least_plan(level)).alias("__plan"),
         F.coalesce(rule["kyb_required"], policy.kyb_needed(level)).alias("__kyb"),
         F.coalesce(rule["permitted_uses"], F.array().cast("array<string>")).alias("__uses"),
@@ -59,7 +61,7 @@ def decide_access(
     people = users.select(
         F.col("id").alias("requester_id"), F.lit(True).alias("__u"), F.coalesce("plan", F.lit("free")).alias("__has_plan"),
         F.col("kyb_status").alias("__has_kyb"), F.coalesce("restricted", F.lit(False)).alias("__locked"),
-        policy.is_admin(F.col("id"), F.col("username"), admin_ids, admin_names).alias("__admin"),
+        F.col("username").alias("__name"),
     )
     joined = requests.join(datasets, "file_hash", "left").join(people, "requester_id", "left")
     known = F.col("__u").isNotNull()
@@ -67,10 +69,11 @@ def decide_access(
         (F.size("__uses") == 0) | F.array_contains(F.col("__uses"), F.col("purpose"))
         | F.col("purpose").isin(*fv.ALWAYS_PERMITTED_PURPOSES)
     )
-    # An admin by the name sent along with the request counts as well.
-    admin = F.col("__admin")
+    # A name sent along with the request is tested instead of the stored one.
+    name = F.col("__name")
     if "requester_username" in requests.columns:
-        admin = admin | policy.is_admin(F.lit(None).cast("string"), F.col("requester_username"), "", admin_names)
+        name = F.coalesce(F.nullif("requester_username", F.lit("")), name)
+    admin = policy.is_admin(F.col("requester_id"), name, admin_ids, admin_names)
     reason = (
         F.when(F.col("__d").isNull(), "not_found")
         .when(F.coalesce(F.col("__lock") != "active", F.lit(True)), "dataset_restricted")

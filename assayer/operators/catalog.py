@@ -194,7 +194,7 @@ def resolve_fields(records: DataFrame, as_of: Column) -> DataFrame:
             "compliance_evidence": mapping("compliance_evidence"),
             "retention_policy": mapping("retention_policy"),
             "restriction_status": text("restriction_status", F.lit("active")),
-            "retention_expires_at": parse_instant(text("retention_expires_at")),
+            "retention_expires_at": F.when(text("retention_expires_at").isNotNull(), parse_instant(text("retention_expires_at"), as_of)),
             "ask_price_usd": price,
         }
     )
@@ -300,7 +300,7 @@ def list_records(catalog: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def owner_id() -> Column:
-    return F.coalesce("owner", owner_in_extra())
+    return F.coalesce(F.nullif("owner", F.lit("")), owner_in_extra())
 
 
 def list_by_owner(catalog: DataFrame, owner: str, limit: int | None = None, filter_first: bool = False, owner_column: Column | None = None) -> DataFrame:
@@ -332,9 +332,9 @@ def market_filter(
     min > max is ignored."""
     out = catalog
     if category != "all":
-        out = out.filter(F.coalesce("category", F.lit("general")) == category)
+        out = out.filter(F.coalesce(F.nullif("category", F.lit("")), F.lit("general")) == category)
     if suffix != "all":
-        out = out.filter(F.lower(F.coalesce("file_type", F.lit("other"))) == suffix)
+        out = out.filter(F.lower(F.coalesce(F.nullif("file_type", F.lit("")), F.lit("other"))) == suffix)
     conf = confidence_column if confidence_column is not None else F.coalesce(
         F.col("category_verification.confidence"), F.col("extra")["prediction_confidence"].try_cast("double"))
     score = score_column if score_column is not None else market_score()
@@ -377,7 +377,7 @@ def history_sort(records: DataFrame, key: str, position: str) -> DataFrame:
 def facets(catalog: DataFrame, position: str, n: int = 8) -> DataFrame:
     """First ``n`` distinct lower-cased categories by position, or the fixed bins
     when there are fewer."""
-    name = F.lower(F.coalesce("category", F.lit("general")))
+    name = F.lower(F.coalesce(F.nullif("category", F.lit("")), F.lit("general")))
     found = catalog.groupBy(name.alias("facet")).agg(F.min(position).alias("first_seen"))
     top = found.orderBy("first_seen").limit(n)
     listed = top.agg(F.transform(F.sort_array(F.collect_list(F.struct("first_seen", "facet"))), lambda r: r["facet"]).alias("f"))

@@ -7,6 +7,7 @@ columns: index, test, status, dimension, interpretation, metric.
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType, TimestampNTZType, TimestampType
@@ -129,17 +130,19 @@ def _zero_outcome(column: str, text: str, bad: str = "WARN") -> Callable[[Contex
     return judge
 
 
-def _first_numeric(ctx: Context) -> str | None:
-    return next((c for c in ctx.numeric if c not in (ctx.id_col, ctx.target_col)), None)
+def _worst_column(ctx: Context, measure: str, make: Callable[[str], DataFrame]) -> DataFrame:
+    """The row of the numeric column, shared with the comparison, that scores worst."""
+    columns = [c for c in ctx.numeric if c not in (ctx.id_col, ctx.target_col) and c in ctx.compare.columns]
+    rows = reduce(DataFrame.unionByName, [make(c).withColumn("column", F.lit(c)) for c in columns])
+    return rows.agg(F.max_by(F.struct(*rows.columns), F.coalesce(measure, F.lit(-1.0))).alias("w")).select("w.*")
 
 
 def _drift_table(ctx: Context) -> DataFrame:
-    column = _first_numeric(ctx)
-    return drift.psi(ctx.df, ctx.compare, column, drift.quantile_edges(ctx.df, column))
+    return _worst_column(ctx, "psi", lambda c: drift.psi(ctx.df, ctx.compare, c, drift.quantile_edges(ctx.df, c)))
 
 
 def _shift_table(ctx: Context) -> DataFrame:
-    return drift.cdf_distances(ctx.df, ctx.compare, _first_numeric(ctx))
+    return _worst_column(ctx, "kolmogorov_smirnov", lambda c: drift.cdf_distances(ctx.df, ctx.compare, c))
 
 
 def _status_from(column: str, text: str, metric: Sequence[str]) -> Callable[[Context], Outcome]:
@@ -182,7 +185,7 @@ CHECKS: tuple[Check, ...] = (
           table=lambda c: _worst(statistics.iqr_outliers(c.df, [x for x in c.numeric if x != c.id_col]), "outlier_pct"), needs=("numeric",)),
     Check("Z-score outlier share", "Outlier Detection", _range_outcome("outlier_pct", *fv.OUTLIER_PCT, "Worst column outlier share"),
           table=lambda c: _worst(statistics.zscore_outliers(c.df, [x for x in c.numeric if x != c.id_col]), "outlier_pct"), needs=("numeric",)),
-    Check("PSI drift", "Two-Sample/Drift Tests", _status_from("status", "Population stability index of the first measure", ("psi",)), table=_drift_table, needs=("compare", "numeric")),
+    Check("PSI drift", "Two-Sample/Drift Tests", _status_from("status", "Population stability index of the worst column", ("psi", "column")), table=_drift_table, needs=("compare", "numeric")),
     Check("Kolmogorov-Smirnov shift", "Two-Sample/Drift Tests", _range_outcome("kolmogorov_smirnov", 0.1, 0.25, "Largest gap of the distributions"), table=_shift_table, needs=("compare", "numeric")),
     Check("Row leakage overlap", "Data Leakage", _range_outcome("overlap_share", 0.0, 0.05, "Share of rows also in the comparison"),
           table=lambda c: drift.row_overlap(c.df, c.compare), needs=("compare",)),
@@ -201,9 +204,9 @@ def _present(ctx: Context, need: str) -> bool:
 
 
 def _result(index: int, check: Check, outcome: Outcome) -> Column:
-    """One result struct; an unknown status becomes WARN, long metrics are cut."""
+    """One result struct; an unknown status becomes WARN."""
     status = F.when(outcome.status.isin(*KNOWN_STATUS), outcome.status).otherwise("WARN")
-    pairs = [x for k, v in list(outcome.metric.items())[:12] for x in (F.lit(k), v.cast("string"))]
+    pairs = [x for k, v in outcome.metric.items() for x in (F.lit(k), v.cast("string"))]
     metric = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
     default = fv.CHECK_CATEGORY_DIMENSION.get(check.category, fv.DEFAULT_DIMENSION)
     return F.struct(

@@ -101,7 +101,7 @@ def category_coverage(base: DataFrame, other: DataFrame, column: str) -> DataFra
     seen = _sides(base, other, F.col(column)).groupBy("value").agg(F.max("p").alias("p"), F.max("q").alias("q"))
     both = F.count_if((F.col("p") == 1) & (F.col("q") == 1))
     n = F.count_if(F.col("p") == 1)
-    return seen.agg(n.alias("baseline_categories"), both.alias("covered"), (both / n).alias("coverage"))
+    return seen.agg(n.alias("baseline_categories"), both.alias("covered"), F.try_divide(both, n).alias("coverage"))
 
 
 def uncovered_categories(base: DataFrame, other: DataFrame, column: str) -> DataFrame:
@@ -119,4 +119,4 @@ def row_overlap(base: DataFrame, other: DataFrame) -> DataFrame:
     right = other.select(row_key(other).alias("k"), F.lit(0).alias("l"), F.lit(1).alias("r"))
     groups = left.unionByName(right).groupBy("k").agg(F.sum("l").alias("l"), F.max("r").alias("r"))
     n, hit = F.coalesce(F.sum("l"), F.lit(0)), F.coalesce(F.sum(F.col("l") * F.col("r")), F.lit(0))
-    return groups.agg(n.alias("rows"), hit.alias("overlapping_rows"), (hit / n).alias("overlap_share"))
+    return groups.agg(n.alias("rows"), hit.alias("overlapping_rows"), F.try_divide(hit, n).alias("overlap_share"))

@@ -19,7 +19,7 @@ def missingness(df: DataFrame, limits=fv.MISSING_PCT) -> DataFrame:
     fields = df.schema.fields
     row = df.agg(F.count("*").alias("n"), *[F.count_if(missing(f)).alias(f"m{i}") for i, f in enumerate(fields)])
     rows = [F.struct(F.lit(f.name).alias("column"), F.col(f"m{i}").alias("missing")) for i, f in enumerate(fields)]
-    pct = 100.0 * F.col("missing") / F.col("n")
+    pct = F.try_divide(100.0 * F.col("missing"), F.col("n"))
     return row.select("n", F.inline(F.array(*rows))).select(
         "column", "missing", pct.alias("missing_pct"), share_status(pct, limits).alias("status")
     )
@@ -62,7 +62,7 @@ def _quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) ->
     shuffle carries more than that.
     """
     long = _with_pieces(df, columns)
-    sizes = long.groupBy("column", "piece").agg(F.count("*").alias("size"), F.min("value").alias("low"), F.max("value").alias("high"))
+    sizes = long.groupBy("column", "piece").agg(F.count("*").alias("size"))
     column = Window.partitionBy("column")
     before = F.sum("size").over(column.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
     placed = sizes.select("*", F.coalesce(before, F.lit(0)).alias("before"), F.sum("size").over(column).alias("total"))
@@ -74,11 +74,13 @@ def _quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) ->
     # At most two pieces per probability and column.
     targets = placed.filter(wanted).drop("size")
     counts = long.join(F.broadcast(targets), ["column", "piece"]).groupBy("column", "piece", "value").agg(
-        F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("before", "total", "low", "high")]
+        F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("before", "total")]
     )
-    width = F.col("high") - F.col("low")
-    inner = F.least(F.floor((F.col("value") - F.col("low")) / width * SUB_PIECES), F.lit(SUB_PIECES - 1))
-    ordered = with_running_sums(counts, ["column", "piece"], ["value"], {"seen": F.col("n")}, F.when(width > 0, inner).otherwise(0))
+    # Inner pieces are cut by count, so a far value does not fill one of them.
+    cuts = counts.groupBy("column", "piece").agg(F.percentile_approx("value", [i / SUB_PIECES for i in range(1, SUB_PIECES)], 20 * SUB_PIECES).alias("cuts"))
+    counts = counts.join(F.broadcast(cuts), ["column", "piece"])
+    inner = F.size(F.filter("cuts", lambda e: e < F.col("value")))
+    ordered = with_running_sums(counts, ["column", "piece"], ["value"], {"seen": F.col("n")}, inner)
     parts = []
     end = F.col("before") + F.col("seen")
     for i, rank in enumerate(ranks, 1):
@@ -130,6 +132,11 @@ def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     )
 
 
+def number(c: str) -> Column:
+    """A column as double; not-a-number counts as missing."""
+    return F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
+
+
 def _pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
 
@@ -139,10 +146,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     columns = list(columns or numeric_columns(df))
     pairs = _pairs(columns)
 
-    def num(c: str) -> Column:
-        return F.col(f"`{c}`").cast("double")
-
-    row = df.agg(*[F.corr(num(a), num(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[F.corr(number(a), number(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
     return row.select(F.inline(F.array(*rows)))
 
@@ -165,11 +169,15 @@ def covariance(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.nd
 
 
 def vif(df: DataFrame, columns: Sequence[str], limits=fv.VIF_LIMITS) -> DataFrame:
-    """Variance inflation factor per column: diagonal of the inverse correlation matrix."""
+    """Variance inflation factor per column: diagonal of the inverse correlation
+    matrix. A constant column, or any column without whole rows, has none."""
     _, cov = covariance(df, columns)
     sd = np.sqrt(np.diag(cov))
-    values = np.diag(np.linalg.pinv(cov / np.outer(sd, sd)))
+    vary = np.flatnonzero(np.isfinite(sd) & (sd > 0))
+    values = np.full(len(columns), np.nan)
+    values[vary] = np.diag(np.linalg.pinv((cov / np.outer(np.where(sd > 0, sd, 1), np.where(sd > 0, sd, 1)))[np.ix_(vary, vary)]))
     table = literal_table(df.sparkSession, ["column", "vif"], [(c, float(v)) for c, v in zip(columns, values)])
+    table = table.withColumn("vif", F.nanvl("vif", F.lit(None).cast("double")))
     return table.withColumn("status", share_status(F.col("vif"), limits))
 
 
@@ -198,7 +206,7 @@ def mahalanobis(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def mahalanobis_outliers(df: DataFrame, columns: Sequence[str], cutoff: float, limits=fv.OUTLIER_PCT) -> DataFrame:
     far = F.col("distance2") > cutoff
-    pct = 100.0 * F.count_if(far) / F.count("distance2")
+    pct = F.try_divide(100.0 * F.count_if(far), F.count("distance2"))
     out = mahalanobis(df, columns).agg(F.count_if(far).alias("outliers"), pct.alias("outlier_pct"))
     return out.withColumn("status", share_status(F.col("outlier_pct"), limits))
 
@@ -209,9 +217,7 @@ def histogram_scores(df: DataFrame, key: str, columns: Sequence[str], bins: int
     The bin costs, ``bins`` numbers per column, reach each row as one constant
     struct of maps, so the rows themselves are never shuffled.
     """
-    def num(c: str) -> Column:
-        return F.col(f"`{c}`").cast("double")
-
+    num = number
     limits = df.agg(F.struct(*[F.struct(F.min(num(c)).alias("lo"), F.max(num(c)).alias("hi")).alias(c) for c in columns]).alias("b"))
 
     def bin_of(c: str) -> Column:
@@ -317,7 +323,7 @@ def anonymity(df: DataFrame, quasi: Sequence[str], sensitive: str) -> DataFrame:
 
 def target_leakage(df: DataFrame, target: str, columns: Sequence[str], bound: float = 0.99) -> DataFrame:
     """|correlation| of each feature with the target; close to one is a leak."""
-    row = df.agg(*[F.corr(F.col(f"`{c}`").cast("double"), F.col(f"`{target}`").cast("double")).alias(f"r{i}") for i, c in enumerate(columns)])
+    row = df.agg(*[F.corr(number(c), number(target)).alias(f"r{i}") for i, c in enumerate(columns)])
     rows = [F.struct(F.lit(c).alias("column"), F.abs(F.col(f"r{i}")).alias("abs_corr")) for i, c in enumerate(columns)]
     r = F.col("abs_corr")
     return row.select(F.inline(F.array(*rows))).withColumn("status", F.when(r.isNull(), "SKIP").when(r >= bound, "FAIL").otherwise("PASS"))

@@ -404,7 +404,7 @@ QUERIES.add(
 
 # --------------------------------------------------------------------- access
 
-ADMIN_IDS, ADMIN_NAMES = "user-7, user-8", "Customer#000000012, customer#000000013"
+ADMIN_IDS, ADMIN_NAMES = ("user-7", "user-8"), ("Customer#000000012", "customer#000000013")
 _DECIDED = (
     f"SELECT r.*, CASE WHEN c.file_hash IS NULL THEN 'not_found' WHEN c.restriction_status <> 'active' THEN 'dataset_restricted' WHEN u.id IS NULL THEN 'not_authorized' "
     "WHEN r.requester_id = coalesce(c.owner, c.extra_owner) THEN NULL WHEN u.restricted THEN 'account_restricted' WHEN u.id IN ('user-7', 'user-8') OR u.username IN ('customer#000000012', 'customer#000000013') THEN NULL "
@@ -563,13 +563,13 @@ QUERIES.add(
 
 
 def _submitted(spark, d):
-    """Cut conversation turns as review texts; ratings run from 0 to 6."""
+    """Conversation turns as review texts; ratings run from 0 to 6."""
     return load(spark, d, "conversations").select(
-        "conv_id", "turn", F.when(F.col("conv_id") % 5 == 0, " ").otherwise(F.concat(F.lit(" <b>"), F.substring(F.col("text"), 1, 45), F.lit("</b> "))).alias("review_text"), ((F.col("conv_id") + F.col("turn")) % 7).alias("rating")
+        "conv_id", "turn", F.when(F.col("conv_id") % 5 == 0, " ").otherwise(F.concat(F.lit(" <b>"), F.col("text"), F.lit("</b> "))).alias("review_text"), ((F.col("conv_id") + F.col("turn")) % 7).alias("rating")
     )
 
 
-_SUBMITTED = "SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN ' ' ELSE concat(' <b>', substring(text, 1, 45), '</b> ') END AS review_text, (conv_id + turn) % 7 AS rating FROM conversations"
+_SUBMITTED = "SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN ' ' ELSE concat(' <b>', text, '</b> ') END AS review_text, (conv_id + turn) % 7 AS rating FROM conversations"
 _REFUSED = "CASE WHEN c = '' THEN 'empty' WHEN length(c) < 30 THEN 'too_short' WHEN length(c) > 1000 THEN 'too_long' WHEN rating < 1 OR rating > 5 THEN 'rating_out_of_range' END"
 QUERIES.add(
     "review_validate", lambda spark, d: rv.validate(_submitted(spark, d)).select("conv_id", "turn", "cleaned_text", "reason"),

@@ -44,7 +44,7 @@ def test_access_ladder(spark):
     asked = [("owner", "d1", "resale"), ("basic", "d1", "analytics"), ("biz", "d1", "analytics"), ("ok", "d1", "analytics"), ("ok", "d1", "resale"), ("ok", "d1", "buyer_preview"),
              ("owner", "d2", "analytics"), (None, "d1", "analytics"), ("ghost", "d1", "analytics"), ("locked", "d1", "analytics"), ("locked", "d3", "analytics"), ("boss", "d1", "resale"), ("ok", "d9", "analytics")]
     requests = spark.createDataFrame(asked, "requester_id string, file_hash string, purpose string")
-    got = {(r["requester_id"], r["file_hash"], r["purpose"]): (r["code"], r["reason"]) for r in access.decide_access(requests, catalog, users, admin_names=" root ").collect()}
+    got = {(r["requester_id"], r["file_hash"], r["purpose"]): (r["code"], r["reason"]) for r in access.decide_access(requests, catalog, users, admin_names=[" root "]).collect()}
     assert [got[a] for a in asked] == [
         (200, None), (403, "plan_too_low"), (403, "kyb_required"), (200, None), (403, "purpose_not_permitted"), (200, None), (423, "dataset_restricted"), (403, "not_authorized"),
         (403, "not_authorized"), (423, "account_restricted"), (200, None), (200, None), (404, "not_found"),
@@ -55,7 +55,7 @@ def test_access_ladder(spark):
 
 def test_admin_lists(spark):
     df = spark.createDataFrame([("u2", "x"), ("u3", "x"), ("u9", "alice"), ("u9", " BOB "), ("u9", "carol"), ("u9", None)], "id string, n string")
-    assert [r[0] for r in df.select(policy.is_admin(F.col("id"), F.col("n"), "u1,u2", "Alice, Bob ")).collect()] == [True, False, True, True, False, False]
+    assert [r[0] for r in df.select(policy.is_admin(F.col("id"), F.col("n"), ["u1", "u2"], ["Alice", "Bob "])).collect()] == [True, False, True, True, False, False]
 
 
 def test_upsert_last_write_wins_and_hot_key(spark):
@@ -258,3 +258,18 @@ def test_moderation_changes_only_known(spark):
     verdicts = spark.createDataFrame([("1", "approved"), ("2", "maybe"), ("9", "approved")], "id string, status string")
     assert rows_of(rv.moderate(df, verdicts, at()), "id", "status") == [("1", "approved"), ("2", "pending")]
     assert rows_of(rv.delete_reviews(df, verdicts), "id") == []
+
+
+def test_blank_values_and_unreadable_times(spark):
+    base = records(spark, ("d1", "", {"owner_user_id": "u"}, "active", None, None), ("d2", "v", {}, "active", None, None))
+    assert sorted(r[0] for r in base.select(ct.owner_id()).collect()) == ["u", "v"]
+    blank = base.withColumn("category", F.lit("")).withColumn("file_type", F.lit(""))
+    assert ct.market_filter(blank, category="general", suffix="other").count() == 2
+    users = spark.createDataFrame([("boss", "root", "r@x", "free", "pending", False)], USER)
+    asked = spark.createDataFrame([("boss", "d2", "resale", "other"), ("boss", "d2", "resale", "")], "requester_id string, file_hash string, purpose string, requester_username string")
+    got = {r["requester_username"]: r["allowed"] for r in access.decide_access(asked, base, users, admin_names=["root"]).collect()}
+    assert got[""] and not got["other"]
+    now = F.lit("2026-06-08 00:00:00").cast("timestamp")
+    loose = base.withColumn("retention_expires_at", F.when(F.col("file_hash") == "d1", "soon").otherwise("")).withColumn("timestamp", F.lit(None).cast("string"))
+    found = {r["file_hash"]: r["retention_expires_at"] for r in ct.resolve_fields(loose, now).collect()}
+    assert found["d1"] is not None and found["d2"] is None

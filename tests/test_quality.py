@@ -271,3 +271,20 @@ def test_text_corpus_edge_cases(spark):
     assert r["details"]["dominant_language"] == "en" and r["details"]["min_tokens"] == 5
     blank = one(textcorpus.assess_text(docs.filter("i = 2"), "text", "i"))
     assert blank["details"]["dominant_language"] == "unknown"
+
+
+def test_empty_nan_and_constant_input(spark):
+    from assayer.operators import drift, statistics
+
+    table = spark.createDataFrame([(1.0, 2.0, 5.0), (float("nan"), 3.0, 5.0), (3.0, 7.0, 5.0), (4.0, 8.0, 5.0)], "a double, b double, k double")
+    none = table.where("b < 0")
+    assert {r["status"] for r in statistics.missingness(none).collect()} == {"SKIP"}
+    assert drift.row_overlap(none, table).first()["overlap_share"] is None
+    assert drift.category_coverage(none, table, "b").first()["coverage"] is None
+    assert abs(statistics.correlation_pairs(table, ["a", "b"]).first()["r"]) <= 1.0
+    clean = spark.createDataFrame([(1.0, 5.0), (float("nan"), 1.0), (2.0, 1.0), (3.0, 4.0)], "x double, y double")
+    assert statistics.target_leakage(clean, "y", ["x"]).first()["status"] == "PASS"
+    vif = {r["column"]: r for r in statistics.vif(table.dropna(), ["a", "b", "k"]).collect()}
+    assert vif["k"]["vif"] is None and vif["k"]["status"] == "SKIP" and vif["a"]["vif"] > 1
+    far = spark.createDataFrame([(float(i),) for i in range(400)] + [(1e300,)], "v double")
+    assert [round(x, 6) for x in statistics.exact_quantiles(far, ["v"]).first()[1:]] == [100.0, 300.0]
