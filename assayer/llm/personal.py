@@ -36,13 +36,14 @@ def _address(match: Column) -> Column:
 
 
 class _Context:
-    """Lexical pattern around a token: up to two words before and the token's shape."""
+    """Lexical pattern around a token: up to two words before and the
+    marks of the token."""
 
     names = ["pattern", "token"]
 
     def __call__(self, match: Column, before: Column) -> list[Column]:
         words = F.lower(F.regexp_extract(F.right(before, F.lit(80)), r"((?:\S+\s+)?\S+)\s*$", 1))
-        shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(match, "[0-9]+", "9"), r"\p{L}+", "a"), "[^a9@.+()-]+", "_")
+        shape = F.regexp_replace(match, "[^@+()]+", "x")
         masked = F.regexp_replace(F.regexp_replace(words, "[0-9]", "9"), r"\s+", " ")
         return [F.concat(masked, F.lit(" | "), F.substring(shape, 1, 40)).alias("pattern"), F.sha1(F.lower(match)).alias("token")]
 
