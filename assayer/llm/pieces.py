@@ -29,7 +29,31 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 BYTE, UNKNOWN, CONTROL, UNIGRAM, BPE = 6, 2, 3, 1, 2
 INFINITE = float("inf")
-REMEMBERED, LONGEST_REMEMBERED = 800_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 120_000, 48
+
+
+class Memory(dict):
+    """What a worker knows of words met before, in two generations of bounded size.
+
+    Workers outlive a stage, so this must stay small. When the young generation is
+    full it becomes the old one, and words that are met again come back to it.
+    """
+
+    def __init__(self, most: int = 0) -> None:
+        super().__init__()
+        self.most, self.old = most or REMEMBERED, {}
+
+    def __missing__(self, word: str) -> bytes | None:
+        ids = self.old.get(word)
+        if ids is not None:
+            self.add(word, ids)
+        return ids
+
+    def add(self, word: str, ids: bytes) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
 
 
 def _fields(raw: bytes):
@@ -199,7 +223,7 @@ class Transducer:
                 ids.append(self.unknown)
         return pack(f"<{len(ids)}i", *ids)
 
-    def encode(self, text: str, remembered: dict[str, bytes]) -> np.ndarray:
+    def encode(self, text: str, remembered: Memory) -> np.ndarray:
         """Ids of a whole text. No piece has the mark behind another character, so
         words are encoded apart; ``remembered`` holds those met before."""
         if not text:
@@ -207,13 +231,11 @@ class Transducer:
         text = text.replace(" ", MARK)
         out = []
         for word in self.split.findall(MARK + text if self.mark_in_front else text):
-            ids = remembered.get(word)
+            ids = remembered[word]
             if ids is None:
                 ids = self._word(word)
                 if len(word) <= LONGEST_REMEMBERED:
-                    if len(remembered) >= REMEMBERED:
-                        remembered.clear()
-                    remembered[word] = ids
+                    remembered.add(word, ids)
             out.append(ids)
         return np.frombuffer(b"".join(out), np.int32)
 
@@ -246,12 +268,12 @@ def compile_model(path: str = MODEL) -> Transducer:
     return Transducer(pieces, scores, kinds, model_type, front)
 
 
-_compiled: dict[str, tuple[Transducer, dict[str, bytes]]] = {}
+_compiled: dict[str, tuple[Transducer, Memory]] = {}
 
 
 def _encoded(batch: pa.RecordBatch, path: str, with_ids: bool) -> pa.RecordBatch:
     if path not in _compiled:
-        _compiled[path] = (compile_model(path), {})
+        _compiled[path] = (compile_model(path), Memory())
     model, remembered = _compiled[path]
     counts, fallback, digests, same, ids = [], [], [], [], []
     is_byte = np.array([k == BYTE for k in model.kinds])

@@ -155,7 +155,7 @@ def test_contexts_discover_identifiers(spark):
 def test_pieces_equal_the_library(spark, data):
     import sentencepiece
 
-    model, library, remembered = pieces.compile_model(), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), {}
+    model, library, remembered = pieces.compile_model(), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.Memory(50)
     texts = [r[0] or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect()]
     texts += ["", "a" * 300, "  x  y ", "漢字\t\U0001F600é", "aaaa bbb" * 40, "1234567890" * 20, "\n\n  \n", "\x00"]
     for text in texts:
