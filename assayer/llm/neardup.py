@@ -11,7 +11,7 @@ from assayer.llm.components import components
 from assayer.session import durable
 
 HASHES, BANDS = 252, 42
-CHUNK = 1 << 17
+CHUNK, PIECE = 1 << 15, 1 << 20
 
 
 def superminhash(items: np.ndarray, owner: np.ndarray, texts: int, hashes: int = HASHES) -> np.ndarray:
@@ -109,7 +109,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     paired out: its most central document is the pivot, all others are compared
     with it, and what that leaves unconnected goes through ``_beside_pivots``.
     """
-    signed = durable(words.map_texts(docs.select("doc_id", "text"), partial(_signed, size=size), "doc_id bigint, n_shingles bigint, s0 bigint, s1 bigint, bands array<bigint>"))
+    signed = durable(words.map_texts(docs.select("doc_id", "text"), partial(_signed, size=size), "doc_id bigint, n_shingles bigint, s0 bigint, s1 bigint, bands array<bigint>", PIECE))
     named = signed.where("n_shingles > 0 and doc_id is not null")
     equal = durable(named.groupBy("s0", "s1").agg(F.min("doc_id").alias("node")))
     first = equal.select(F.col("node").alias("doc_id"), "s0", "s1")
@@ -119,7 +119,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     central = members.groupBy("node").agg(F.sum("__rows").alias("__met"))
     members = members.select("bucket", "node", "n").distinct()
     texts = docs.select("doc_id", "text").join(central.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    sets = durable(words.map_texts(texts, partial(_shingled, size=size), "doc_id bigint, items array<bigint>"))
+    sets = durable(words.map_texts(texts, partial(_shingled, size=size), "doc_id bigint, items array<bigint>", PIECE))
     chosen = members.join(central, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "n"), F.struct("__met", -F.col("node"))).alias("p"))
     pivots = durable(chosen.select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")))
     stars = durable(members.join(pivots, "bucket").where("node != pivot").select("bucket", "node", "n", "pivot", "pivot_n"))

@@ -149,7 +149,7 @@ def map_texts(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return small_batches(df).mapInArrow(run, schema)
 
 
-def small_batches(df: DataFrame, rows: int = 2000, size: int = 16 << 20) -> DataFrame:
+def small_batches(df: DataFrame, rows: int = 2000, size: int = 4 << 20) -> DataFrame:
     """Bound what one Arrow batch to a Python worker may hold."""
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
