@@ -1,7 +1,8 @@
 """Upload intake: many delimited files assessed, scrubbed and catalogued at once.
 
 Files are read as lines, so one huge file is many tasks and thousands of small
-ones are a few. Everything per file is an aggregate keyed by file.
+ones are a few. Rows meet the facts of their file by (file, block), so a huge file
+stays spread; everything per file is an aggregate that is combined before its shuffle.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -38,14 +39,15 @@ def split_line(line: Column) -> Column:
 
 
 def parse_files(lines: DataFrame) -> DataFrame:
-    """(file, head_at, header, kinds): header cells and promoted column types.
+    """(file, head_at, header, blocks, kinds): header cells, the blocks that the file
+    was read in, and promoted column types.
 
     The header line takes part in the counts and is taken off again, so that no
     join is needed to skip it. The counts are plain numbers per (file, column)
     and are combined before the shuffle.
     """
-    heads = lines.groupBy("file").agg(F.min(F.struct("at", "line")).alias("h"))
-    heads = heads.select("file", F.col("h.at").alias("head_at"), split_line(F.col("h.line")).alias("header"))
+    heads = lines.groupBy("file").agg(F.min(F.struct("at", "line")).alias("h"), F.collect_set("at.block").alias("blocks"))
+    heads = heads.select("file", F.col("h.at").alias("head_at"), split_line(F.col("h.line")).alias("header"), "blocks")
     cells = lines.select("file", F.posexplode(split_line(F.col("line"))).alias("pos", "raw"))
     cells = cells.select("file", "pos", null_spellings(F.col("raw")).alias("cell"))
     fits = cell_kinds(F.col("cell"))
@@ -62,7 +64,7 @@ def parse_files(lines: DataFrame) -> DataFrame:
         )
 
     own_columns = F.slice("columns", F.lit(1), F.size("header"))
-    return heads.join(by_file, "file").select("file", "head_at", "header", F.zip_with("header", own_columns, kind).alias("kinds"))
+    return heads.join(by_file, "file").select("file", "head_at", "header", "blocks", F.zip_with("header", own_columns, kind).alias("kinds"))
 
 
 def _typed_text(cell: Column, kind: Column) -> Column:
@@ -76,12 +78,13 @@ def _typed_text(cell: Column, kind: Column) -> Column:
 
 def scrub_files(lines: DataFrame, facts: DataFrame) -> DataFrame:
     """(file, at, header, clean, key, missing, redacted): data rows with string
-    cells scrubbed. ``facts`` has one row per file."""
+    cells scrubbed. ``facts`` has one row per file, and goes to each of its blocks."""
     width = F.size("header")
     cells = F.transform(split_line(F.col("line")), null_spellings)
     # Short rows are filled with nulls, as readers do.
     padded = F.slice(F.concat(cells, F.array_repeat(F.lit(None).cast("string"), width)), F.lit(1), width)
-    joined = lines.join(facts, "file").filter("at > head_at").select("file", "at", "header", "kinds", padded.alias("cells"))
+    by_block = facts.select("file", "head_at", "header", "kinds", F.explode("blocks").alias("__block"))
+    joined = lines.withColumn("__block", F.col("at.block")).join(by_block, ["file", "__block"]).filter("at > head_at").select("file", "at", "header", "kinds", padded.alias("cells"))
     clean = F.zip_with(
         "cells", "kinds",
         lambda c, k: F.when(k == "string", pii.scrub(F.coalesce(c, F.lit("")))).otherwise(_typed_text(c, k)),
