@@ -29,7 +29,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 BYTE, UNKNOWN, CONTROL, UNIGRAM, BPE = 6, 2, 3, 1, 2
 INFINITE = float("inf")
-REMEMBERED, LONGEST_REMEMBERED = 120_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 160_000, 48
 
 
 class Memory(dict):
@@ -107,7 +107,7 @@ class Transducer:
                     self.ids[piece] = i
                     self._accept(piece, i)
         self.allowed: dict[str, dict[str, bool]] = {}
-        self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.split = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
 
     def _accept(self, piece: str, number: int) -> None:
         state = 0
@@ -138,13 +138,17 @@ class Transducer:
 
     def _leaves(self, text: str, start: int) -> list[int]:
         """Where arcs from a position end, nearest first; the character itself counts."""
-        arcs, final, state, out = self.arcs, self.final, 0, [start + 1]
-        for end in range(start, len(text)):
-            state = arcs[state].get(text[end], -1)
-            if state < 0:
+        arcs, final, end, out = self.arcs, self.final, start + 1, [start + 1]
+        state = arcs[0].get(text[start])
+        if state is None:
+            return out
+        for char in text[end:]:
+            state = arcs[state].get(char)
+            if state is None:
                 break
-            if final[state] >= 0 and end > start:
-                out.append(end + 1)
+            end += 1
+            if final[state] >= 0:
+                out.append(end)
         return out
 
     def shortest(self, text: str) -> list[str]:
@@ -213,7 +217,7 @@ class Transducer:
 
     def _word(self, text: str) -> bytes:
         ids: list[int] = []
-        for piece in self.shortest(text):
+        for piece in self.shortest(text.replace(" ", MARK)):
             number = self.ids.get(piece)
             if number is not None:
                 ids.append(number)
@@ -228,9 +232,8 @@ class Transducer:
         words are encoded apart; ``remembered`` holds those met before."""
         if not text:
             return np.zeros(0, np.int32)
-        text = text.replace(" ", MARK)
         out = []
-        for word in self.split.findall(MARK + text if self.mark_in_front else text):
+        for word in self.split.findall(" " + text if self.mark_in_front else text):
             ids = remembered[word]
             if ids is None:
                 ids = self._word(word)
