@@ -1,5 +1,5 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming
-search, exact weighted-shingle similarity."""
+search, shingles that a passage cannot do without, exact weighted-shingle similarity."""
 
 from collections import Counter
 from collections.abc import Iterator
@@ -19,6 +19,8 @@ RADIUS, PARTS = 7, 4
 ITEM_BLOCK = 4 << 20
 ROWS = 1 << 12
 WIDEST = 255
+#: Bits of the table that spares looking up most shingles; slack of float sums.
+ANCHOR_BITS, SLACK = 22, 1e-9
 SCHEMA = "doc_id bigint, item_id bigint, similarity double, distance int, first_word bigint, n_words bigint"
 
 
@@ -52,6 +54,10 @@ class Index:
     whole. Fingerprints within ``RADIUS`` of each other agree up to
     ``RADIUS // PARTS`` bits in one of ``PARTS`` blocks of their bits; a table per
     block marks all such values, so no fingerprint within the radius is missed.
+
+    Edits in each of these windows hide a passage from them, so an item also has
+    anchors: its rarest shingles, up to more than 0.2 of its weight. A passage
+    without any of them has less than 0.8 of the item and cannot be alike by 0.8.
     """
 
     item_ids: list[int]
@@ -60,6 +66,8 @@ class Index:
     weights: dict[int, float]
     sizes: dict[int, list[tuple[int, int, int]]] = field(default_factory=dict)  # size -> (fingerprint, item, offset)
     tables: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    anchors: dict[int, list[int]] = field(default_factory=dict)  # shingle -> items
+    anchored: np.ndarray | None = None
 
 
 def _size(most: float) -> int:
@@ -92,6 +100,15 @@ def build(items: list[tuple[int, str]]) -> Index:
         for part in range(PARTS):
             table[part, _near(((marks >> np.uint64(bits * part)) & np.uint64((1 << bits) - 1)).astype(np.int64), bits, RADIUS // PARTS)] = True
         index.tables[size] = (marks, table)
+    for item, theirs in enumerate(index.shingles):
+        left = (1 - LEAST) * sum(theirs.values()) * (1 + SLACK)
+        for s in sorted(theirs, key=lambda s: (-weights[s], s)):
+            index.anchors.setdefault(s, []).append(item)
+            left -= theirs[s]
+            if left < 0:
+                break
+    index.anchored = np.zeros(1 << ANCHOR_BITS, bool)
+    index.anchored[np.array(list(index.anchors), np.uint64) & np.uint64((1 << ANCHOR_BITS) - 1)] = True
     return index
 
 
@@ -126,17 +143,68 @@ def similarity(index: Index, item: int, shingles: list[int]) -> float:
     return both / (total - both) if total > both else 1.0
 
 
+def _anchored(index: Index, shingles: dict[int, np.ndarray], owner: np.ndarray) -> dict[tuple[int, int], list[int]]:
+    """Words at which an anchor begins, in order, by document and item."""
+    found: dict[tuple[int, int], list[int]] = {}
+    for width in {min(SHINGLE, n) for n in index.lengths if n}:
+        own = shingles[width]
+        at = np.flatnonzero(index.anchored[own & np.uint64((1 << ANCHOR_BITS) - 1)])
+        at = at[owner[at] == owner[at + width - 1]]
+        for word, shingle in zip(at.tolist(), own[at].tolist(), strict=True):
+            for item in index.anchors.get(shingle, ()):
+                found.setdefault((int(owner[word]), item), []).append(word)
+    return found
+
+
+def _windows(index: Index, item: int, own: np.ndarray, hits: list[int], low: int, high: int) -> Iterator[tuple[float, int]]:
+    """Windows of a document [low, high) that hold a hit and could be alike enough:
+    (bound of the similarity, first word), the largest bound first.
+
+    A window may begin before the document or end after it; it is cut there. No
+    similarity is above the share of the item's weight that the window's shingles
+    have, repeats counted.
+    """
+    theirs, width = index.shingles[item], min(SHINGLE, index.lengths[item])
+    reach, total = index.lengths[item] - width, sum(theirs.values())
+    ends = [i for i in range(len(hits)) if i + 1 == len(hits) or hits[i + 1] - hits[i] > reach]
+    bounds, starts = [], []
+    for first, last in zip([0] + [i + 1 for i in ends[:-1]], ends, strict=True):
+        start = np.arange(hits[first] - reach, hits[last] + 1)
+        a, b = max(low, hits[first] - reach), min(high - width, hits[last] + reach) + 1
+        sums = np.zeros(b - a + 1)
+        np.cumsum([index.weights[s] if s in theirs else 0.0 for s in own[a:b].tolist()], out=sums[1:])
+        bounds.append((sums[np.minimum(start + reach + 1, b) - a] - sums[np.maximum(start, a) - a]) / total)
+        starts.append(start)
+    bound, start = np.concatenate(bounds), np.concatenate(starts)
+    at = np.flatnonzero(bound >= LEAST - SLACK)
+    at = at[np.argsort(-np.minimum(bound[at], 1.0), kind="stable")]
+    yield from zip(np.minimum(bound[at] + SLACK, 1.0).tolist(), start[at].tolist(), strict=True)
+
+
+def _distance(index: Index, item: int, hashes: np.ndarray, start: int, low: int, high: int) -> int | None:
+    """Least distance of the item's fingerprints from those at their places in a
+    window; none if each place is partly outside the document."""
+    found = []
+    for size, rows in index.sizes.items():
+        for mark, _, offset in (r for r in rows if r[1] == item):
+            if start + offset >= low and start + offset + size <= high:
+                wide = min(SHINGLE, size)
+                own = majority(bit_sums(runs(hashes[start + offset : start + offset + size], wide)), size - wide + 1)
+                found.append((int(own[0]) ^ mark).bit_count())
+    return min(found, default=None)
+
+
 def _matches(batch: pa.RecordBatch, index: Index) -> pa.RecordBatch:
     data, offsets = words.text_bytes(batch.column("text"))
     starts, ends, bounds = words.find_words(data, offsets, words.ALNUM)
     hashes = words.word_hashes(data, starts, ends)
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
+    best: dict[tuple[int, int], tuple[float, int | None, int, int]] = {}
     checked = set()
-    by_width = {w: runs(hashes, w) for w in {min(SHINGLE, s) for s in index.sizes}}
+    by_width = {w: runs(hashes, w) for w in {min(SHINGLE, s) for s in [*index.sizes, *index.lengths] if s}}
     longest = max(index.sizes, default=0)
     for low in range(0, len(hashes), ROWS):
-        sums = {w: bit_sums(shingles[low : low + ROWS + longest]) for w, shingles in by_width.items()}
+        sums = {w: bit_sums(by_width[w][low : low + ROWS + longest]) for w in {min(SHINGLE, s) for s in index.sizes}}
         for size, (known, table) in index.tables.items():
             wide = min(SHINGLE, size)
             marks = majority(sums[wide], size - wide + 1)[:ROWS]
@@ -155,6 +223,22 @@ def _matches(batch: pa.RecordBatch, index: Index) -> pa.RecordBatch:
                     alike = similarity(index, item, own)
                     if alike >= LEAST and alike > best.get((doc, item), (0,))[0]:
                         best[doc, item] = (alike, d, first - int(bounds[doc]), last - first)
+    for (doc, item), hits in _anchored(index, by_width, owner).items():
+        low, high, width = int(bounds[doc]), int(bounds[doc + 1]), min(SHINGLE, index.lengths[item])
+        found = None
+        for bound, start in _windows(index, item, by_width[width], hits, low, high):
+            if bound <= best.get((doc, item), (0,))[0]:
+                break
+            first, last = max(low, start), min(high, start + index.lengths[item])
+            if (first, last, item) in checked:
+                continue
+            checked.add((first, last, item))
+            alike = similarity(index, item, by_width[width][first : last - width + 1].tolist())
+            if alike >= LEAST and alike > best.get((doc, item), (0,))[0]:
+                best[doc, item], found = (alike, None, first - low, last - first), start
+        if found is not None:
+            alike, _, *place = best[doc, item]
+            best[doc, item] = (alike, _distance(index, item, hashes, found, low, high), *place)
     ids = batch.column("doc_id").to_pylist()
     rows = [(ids[doc], index.item_ids[item], *value) for (doc, item), value in best.items()]
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
@@ -181,9 +265,11 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     letter), A-Z in lower case. One row per document row and item whose best
     window of the item's number of words is alike by 0.8 or more in weighted
     five-word shingles: doc_id, item_id, similarity, distance (of the SimHash
-    that found it), first_word and n_words of the window. Candidates are all
-    windows with a fingerprint within ``RADIUS`` bits of one of the item's; exact
-    passages have distance 0, so they are always found. Null and empty texts on
+    that found it, else the least of the item's at their places, null if none of
+    these is inside the document), first_word and n_words of the window. Candidates
+    are all windows with a fingerprint within ``RADIUS`` bits of one of the item's,
+    and all with an anchor of the item, so no passage alike by 0.8 is missed.
+    Windows are cut at the ends of a document. Null and empty texts on
     either side match nothing; repeated rows each give their rows; other columns
     are ignored. The items are the stated query set: they are read in blocks of
     ``ITEM_BLOCK`` characters and each block meets all documents in one pass.

@@ -1,0 +1,59 @@
+"""Training-data operators against brute force on what they once left out."""
+
+import random
+from collections import Counter
+from math import log2
+
+from assayer.llm import decontaminate
+
+
+def _runs(words, size=5):
+    return [tuple(words[k : k + size]) for k in range(len(words) - size + 1)] if len(words) >= size else [tuple(words)] * bool(words)
+
+
+def _alike(docs, items):
+    """Best similarity of every document and item over all windows of the item's size, by definition."""
+    spread = Counter(s for v in items.values() for s in set(_runs(v)))
+    weigh = lambda c: {s: n / (1 + log2(spread[s])) if s in spread else n for s, n in c.items()}
+    best = {}
+    for j, v in items.items():
+        theirs = weigh(Counter(_runs(v)))
+        for i, w in docs.items():
+            if len(v) >= 5 and not set(_runs(w)) & set(theirs):
+                continue
+            for a in range(-len(v), len(w)):
+                mine = weigh(Counter(_runs(w[max(0, a) : max(0, a + len(v))])))
+                both = sum(min(x, theirs[s]) for s, x in mine.items() if s in theirs)
+                best[i, j] = max(best.get((i, j), 0), both / (sum(mine.values()) + sum(theirs.values()) - both))
+    return best
+
+
+def _edited(rng, words, edits, even, kinds="r"):
+    out, n = list(words), len(words)
+    places = [int((k + 0.5) * n / edits) for k in range(edits)] if even else rng.sample(range(n), edits)
+    for k in sorted(places, reverse=True):
+        out[k : k + 1] = {"r": [f"x{rng.random()}"[:9].replace(".", "")], "d": [], "i": [out[k], "inserted"]}[rng.choice(kinds)]
+    return out
+
+
+def test_decontamination_finds_every_edited_passage(spark):
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    common = fresh(12)
+    items, docs = {}, {}
+    for n, edits, times in ((100, 2, 2), (150, 3, 4), (250, 5, 3), (300, 6, 3), (600, 12, 1)):
+        for even in (True, False):
+            for _ in range(times):
+                j = len(items)
+                items[j] = (common if j % 3 == 0 else []) + fresh(n - 12 * (j % 3 == 0))
+                head, tail = fresh(rng.randrange(40)), fresh(rng.randrange(40))
+                docs[2 * j] = head + _edited(rng, items[j], edits, even) + tail
+                docs[2 * j + 1] = _edited(rng, items[j], edits, even, "rdi")[n // 12 :] + tail
+    docs[1000] = items[0][:50] + fresh(9) + items[3] + ["w"] * 300
+    items[900], items[901], items[902] = ["w"] * 20, ["w", "x"], ["inserted"]
+    want = _alike(docs, items)
+    frames = [spark.createDataFrame([(i, " ".join(w)) for i, w in x.items()], f"{name} long, text string") for name, x in (("doc_id", docs), ("item_id", items))]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(frames[0].repartition(3), frames[1]).collect()}
+    assert set(got) == {k for k, x in want.items() if x >= 0.8}
+    assert all(abs(r.similarity - want[k]) < 1e-9 for k, r in got.items())
+    assert any(r.distance > decontaminate.RADIUS for r in got.values())
