@@ -13,8 +13,9 @@ CARD = r"(?<![0-9])[0-9](?:[\x20-]?+[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ["email", "ip", "card", "phone", "context"]
 
-#: Words with a digit, six characters at least: what an identifier can look like.
-TOKEN = r"(?<!\S)(?=\S{6})[^\s0-9]*+[0-9]\S*+"
+#: Words with a digit, @ or +, with the groups of digits that follow: what can
+#: have the shape of a match. All of these hold a digit or @, or begin with +.
+TOKEN = r"(?<!\S)[^\s0-9@+]*+[0-9@+]\S*+(?:\x20(?=[().+-]*+[0-9])[0-9().+-]++(?![^\s,;:!?]))*+"
 
 ROUNDS, SEEDS, CONFIDENT = 3, 3, 0.8
 
@@ -36,13 +37,14 @@ def _address(match: Column) -> Column:
 
 
 class _Context:
-    """Lexical pattern around a token: up to two words before and the
-    marks of the token."""
+    """Lexical pattern around a token or base span: up to two words before and
+    its marks."""
 
     names = ["pattern", "token"]
+    reach = 80
 
     def __call__(self, match: Column, before: Column) -> list[Column]:
-        words = F.lower(F.regexp_extract(F.right(before, F.lit(80)), r"((?:\S+\s+)?\S+)\s*$", 1))
+        words = F.lower(F.regexp_extract(before, r"((?:\S+\s+)?\S+)\s*$", 1))
         shape = F.regexp_replace(match, "[^@+()]+", "x")
         masked = F.regexp_replace(F.regexp_replace(words, "[0-9]", "9"), r"\s+", " ")
         return [F.concat(masked, F.lit(" | "), F.substring(shape, 1, 40)).alias("pattern"), F.sha1(F.lower(match)).alias("token")]
@@ -51,23 +53,29 @@ class _Context:
 def _scanned(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     phone = lambda m: F.length(_digits(m)).between(9, 15)
-    base = F.concat(matches(text, EMAIL, 0), matches(text, IP, 1, _address), matches(text, CARD, 2, _luhn), matches(text, PHONE, 3, phone))
-    tokens = matches(text, TOKEN, 4, None, _Context())
-    return durable(docs.select("doc_id", "text").select(*row_key(), "doc_id", base.alias("base"), tokens.alias("tokens")))
+    kinds = [(EMAIL, None), (IP, _address), (CARD, _luhn), (PHONE, phone)]
+    seeds = F.concat(*[matches(text, pattern, kind, ok, _Context()) for kind, (pattern, ok) in enumerate(kinds)])
+    tokens = matches(text, TOKEN, len(kinds), None, _Context())
+    return durable(docs.select("doc_id", "text").select(*row_key(), "doc_id", seeds.alias("seeds"), tokens.alias("tokens")))
+
+
+def _span(x: Column) -> Column:
+    return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
 
 
 def _discovered(scanned: DataFrame, rounds: int) -> DataFrame:
     """Tokens that confident patterns hold, by row.
 
-    Tokens that overlap a base span are the seeds. In each round a pattern scores
+    Base spans are the seeds; tokens that overlap one are left to it. In each round a pattern scores
     the sum of its distinct tokens' scores over their number plus one, and a token
     that is no seed the best score of its patterns; only patterns with ``SEEDS``
     distinct seeds or more count. Hot patterns and tokens are aggregated by
     (pattern, token) first.
     """
-    seen = scanned.where("size(tokens) > 0").select("k1", "k2", "base", F.explode("tokens").alias("x")).select(
-        "k1", "k2", F.struct("x.start", "x.kind", "x.end").alias("span"), F.col("x.pattern").alias("pattern"), F.col("x.token").alias("token"),
-        F.exists("base", lambda b: (b["start"] < F.col("x.end")) & (F.col("x.start") < b["end"])).alias("seed"),
+    spread = scanned.where("size(seeds) + size(tokens) > 0").select("k1", "k2", "seeds", F.explode(F.concat("seeds", "tokens")).alias("x"))
+    context, overlaps = KINDS.index("context"), F.exists("seeds", lambda b: (b["start"] < F.col("x.end")) & (F.col("x.start") < b["end"]))
+    seen = spread.where((F.col("x.kind") != context) | ~overlaps).select(
+        "k1", "k2", _span(F.col("x")).alias("span"), F.col("x.pattern").alias("pattern"), F.col("x.token").alias("token"), (F.col("x.kind") != context).alias("seed")
     )
     graph = durable(seen.groupBy("pattern", "token").agg(F.max(F.col("seed").cast("int")).alias("seed")))
     useful = graph.groupBy("pattern").agg(F.sum("seed").alias("n")).where(F.col("n") >= SEEDS).select("pattern")
@@ -92,7 +100,7 @@ def find_personal(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """
     scanned = _scanned(docs)
     none = F.array().cast("array<struct<start: int, kind: int, end: int>>")
-    joined = scanned.select("k1", "k2", "doc_id", "base").join(_discovered(scanned, rounds), ["k1", "k2"], "left")
+    joined = scanned.select("k1", "k2", "doc_id", F.transform("seeds", _span).alias("base")).join(_discovered(scanned, rounds), ["k1", "k2"], "left")
     return joined.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.coalesce("more", none)).alias("more"))
 
 

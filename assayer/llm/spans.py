@@ -13,25 +13,26 @@ def matches(text: Column, pattern: str, kind: int, ok=None, extra=None) -> Colum
     Places count code points, the end is exclusive. Splitting at the pattern gives
     the text between the matches, so places are running lengths. ``ok(match)``
     drops matches; ``extra(match, before)`` adds fields from the match and the
-    text since the match before.
+    ``extra.reach`` characters before it.
     """
     def span(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["before"])
         fields = [start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(x["match"])).alias("end")]
-        return F.struct(*fields, *(extra(x["match"], x["before"]) if extra else []))
+        return F.struct(*fields, *(extra(x["match"], F.right(F.concat(acc["tail"], x["before"]), F.lit(extra.reach))) if extra else []))
 
     def step(acc: Column, x: Column) -> Column:
         hold = x["match"].isNotNull()
         if ok is not None:
             hold = hold & ok(x["match"])
         at = acc["at"] + F.length(x["before"]) + F.coalesce(F.length(x["match"]), F.lit(0))
-        return F.struct(at.alias("at"), F.when(hold, F.concat(acc["found"], F.array(span(acc, x)))).otherwise(acc["found"]).alias("found"))
+        tail = [F.right(F.concat(acc["tail"], x["before"], F.coalesce(x["match"], F.lit(""))), F.lit(extra.reach)).alias("tail")] if extra else []
+        return F.struct(at.alias("at"), *tail, F.when(hold, F.concat(acc["found"], F.array(span(acc, x)))).otherwise(acc["found"]).alias("found"))
 
     more = ", " + ", ".join(f"{c}: string" for c in extra_names(extra)) if extra else ""
     kind_of = f"array<struct<start: int, kind: int, end: int{more}>>"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("before"), found.alias("match"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind_of).alias("found"))
+    start = F.struct(F.lit(0).alias("at"), *([F.lit("").alias("tail")] if extra else []), F.array().cast(kind_of).alias("found"))
     located = F.aggregate(zipped, start, step, lambda acc: acc["found"])
     return F.when(F.regexp_like(text, F.lit(pattern)), located).otherwise(F.array().cast(kind_of))
 

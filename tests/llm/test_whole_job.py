@@ -4,7 +4,7 @@ import random
 from collections import Counter
 from math import log2
 
-from assayer.llm import decontaminate
+from assayer.llm import decontaminate, personal
 
 
 def _runs(words, size=5):
@@ -57,3 +57,18 @@ def test_decontamination_finds_every_edited_passage(spark):
     assert set(got) == {k for k, x in want.items() if x >= 0.8}
     assert all(abs(r.similarity - want[k]) < 1e-9 for k, r in got.items())
     assert any(r.distance > decontaminate.RADIUS for r in got.values())
+
+
+def test_contexts_of_matches_without_digits_and_with_blanks(spark):
+    names = ["".join(random.Random(i).choices("abcdefgh", k=9)) for i in range(30)]
+    pay = ["4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009", "6011 0000 0000 0004", "4012 8888 8888 1881"]
+    rows = [(i, f"or write to {n}.smith@example.com thanks, please call +1 (555) 555-{1000 + i} today") for i, n in enumerate(names)]
+    rows += [(50 + i, f"paid with card {p} today") for i, p in enumerate(pay)]
+    rows += [(100, "or write to anna@localhost thanks"), (101, "please call +1 (555) 55-12 today"), (102, "paid with card 4111 1111 1111 1112 today"), (103, "room 5 or write to a@b"), (104, "write to us, call me, with card")]
+    rows += [(105, "costs 1 + 2 (3) at noon"), (106, "7 please call +1 (555) 55-13, or not")]
+    found = personal.find_personal(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    texts = dict(rows)
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.more] for r in found}
+    want = {100: ["anna@localhost"], 101: ["+1 (555) 55-12"], 102: ["4111 1111 1111 1112"], 103: ["a@b"], 106: ["+1 (555) 55-13"]}
+    assert {i: x for i, x in got.items() if x} == want
+    assert all(len(r.base) == (2 if r.doc_id < 50 else r.doc_id < 100) for r in found)
