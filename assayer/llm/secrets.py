@@ -33,15 +33,16 @@ def _scanned(docs: DataFrame) -> DataFrame:
 def _linked(scanned: DataFrame, scope: int) -> DataFrame:
     """Weak parts that have what completes them within ``scope`` characters.
 
-    Interval join: a part meets the others of its row in its own and the two
-    neighbouring pieces of ``scope`` characters; what lies in such a piece is
-    bounded by its length. A weak identifier needs a secret, a weak secret an
+    Interval join: a part meets the others of its row in all pieces of ``scope``
+    characters that it touches and the two neighbouring ones; what lies in such a
+    piece is bounded by its length. A weak identifier needs a secret, a weak secret an
     identifier, an endpoint both.
     """
     parts = scanned.where("size(weak) > 0").select("k1", "k2", F.explode(F.concat("weak", F.filter("base", lambda x: x["kind"] < 2))).alias("x")).distinct()
     parts = parts.select("k1", "k2", "x", F.when(F.col("x.kind").isin(1, 3), "identifier").when(F.col("x.kind").isin(0, 4), "secret").otherwise("endpoint").alias("role"))
-    weak = parts.where("x.kind >= 3").withColumn("piece", F.floor(F.col("x.start") / scope))
-    pieces = F.explode(F.sequence(F.floor(F.col("x.start") / scope) - 1, F.floor((F.col("x.end") - 1) / scope) + 1))
+    first, last = F.floor(F.col("x.start") / scope), F.floor(F.col("x.end") / scope)
+    weak = parts.where("x.kind >= 3").withColumn("piece", F.explode(F.sequence(first, last)))
+    pieces = F.explode(F.sequence(first - 1, last + 1))
     others = parts.where("role != 'endpoint'").select("k1", "k2", F.col("x").alias("y"), F.col("role").alias("other"), pieces.alias("piece"))
     near = (F.col("y.start") - F.col("x.end") <= scope) & (F.col("x.start") - F.col("y.end") <= scope)
     apart = (F.col("y.start") >= F.col("x.end")) | (F.col("x.start") >= F.col("y.end"))
