@@ -66,7 +66,7 @@ def _share(count: Column, total: Column, size: Column) -> Column:
     return F.call_function("div", top.cast("decimal(38,0)"), below).cast("bigint") + 1
 
 
-def _tile_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+def _tile_pairs(rows: pd.DataFrame, size: int) -> pd.DataFrame:
     """Sums of |p - q| over one block of terms, for the pairs of two tiles of sources.
 
     Only terms that occur are looked at: a source's own terms against what all
@@ -74,26 +74,26 @@ def _tile_pairs(rows: pd.DataFrame) -> pd.DataFrame:
     """
     first = rows.iloc[0]
     width, left_tile, right_tile = int(first.width), int(first.left_tile), int(first.right_tile)
-    rows = rows.sort_values(["member", "code"], kind="stable")
+    rows = rows.sort_values(["member", "place"], kind="stable")
     member, heads = np.unique(rows.member.to_numpy(), return_index=True)
     ends = np.r_[heads[1:], len(rows)]
     lacking = rows.lacking.to_numpy()[heads]
     # a row without a term stands for a source that has none in this block
-    code, p = rows.place.to_numpy(), rows.p.to_numpy()
-    held = code >= 0
-    tile = member // TILE
+    place, p = rows.place.to_numpy(), rows.p.to_numpy()
+    held = place >= 0
+    tile = member // size
     out = []
     for i in np.flatnonzero(tile == left_tile):
         others = np.flatnonzero((tile == right_tile) & (member > member[i]))
         if not len(others):
             continue
         own = slice(heads[i], ends[i])
-        at, mine = code[own][held[own]], p[own][held[own]]
+        at, mine = place[own][held[own]], p[own][held[own]]
         dense = np.full(width, lacking[i], np.int64)
         dense[at] = mine
         base = np.abs(mine[:, None] - lacking[others][None, :]).sum(axis=0) + (width - len(at)) * np.abs(lacking[i] - lacking[others])
         low, high = heads[others[0]], ends[others[-1]]
-        here = dense[np.maximum(code[low:high], 0)]
+        here = dense[np.maximum(place[low:high], 0)]
         theirs = np.repeat(lacking[others], ends[others] - heads[others])
         change = np.where(held[low:high], np.abs(here - p[low:high]) - np.abs(here - theirs), 0)
         total = base + np.add.reduceat(change, heads[others] - low)
@@ -101,7 +101,7 @@ def _tile_pairs(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"lang": pd.Series(dtype=str), "a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "value": pd.Series(dtype="int64")})
 
 
-def audit(docs: DataFrame, least: int = LEAST, best: int = BEST, part: int = PART) -> DataFrame:
+def audit(docs: DataFrame, least: int = LEAST, best: int = BEST, part: int = PART, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """Differences between sources of a language, and each source's own terms.
 
     Rows (lang, source, kind, item, value, rank). ``pair``: item is each other
@@ -129,10 +129,10 @@ def audit(docs: DataFrame, least: int = LEAST, best: int = BEST, part: int = PAR
     sums = entries.groupBy("lang", "source", F.col("e.codes").alias("code")).agg(F.sum(F.col("e.counts").cast("bigint")).alias("count"))
     sums.write.parquet(f"{folder}/sums")
     sums = spark.read.parquet(f"{folder}/sums")
-    sizes = vocabulary.groupBy("lang").agg(F.count("*").alias("size"), F.max("code").alias("last"))
+    sizes = vocabulary.groupBy("lang").agg(F.count("*").alias("size"))
     totals = groups.join(sums.groupBy("lang", "source").agg(F.sum("count").alias("total")), ["lang", "source"], "left").na.fill({"total": 0}).join(sizes, "lang")
     shares = sums.join(totals, ["lang", "source"]).withColumn("p", _share(F.col("count"), F.col("total"), F.col("size")))
-    pairs = _pairs(shares, totals, vocabulary)
+    pairs = _pairs(shares, totals, vocabulary, block, tile)
     valued = others.join(pairs, ["lang", "a", "b"], "left").select("lang", "source", F.lit("pair").alias("kind"), "item", F.coalesce("value", F.lit(0).cast("bigint")).alias("value"))
     whole = sums.groupBy("lang", "code").agg(F.sum("count").alias("all"))
     whole = whole.join(totals.groupBy("lang").agg(F.sum("total").alias("everything"), F.max("size").alias("size")), "lang").select("lang", "code", _share(F.col("all"), F.col("everything"), F.col("size")).alias("q"))
@@ -141,20 +141,22 @@ def audit(docs: DataFrame, least: int = LEAST, best: int = BEST, part: int = PAR
     return _ranked(valued).unionByName(_ranked(own, best))
 
 
-def _pairs(shares: DataFrame, totals: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(lang, a, b, value) with a < b, by blocks of ``BLOCK`` codes and tiles of sources."""
+def _pairs(shares: DataFrame, totals: DataFrame, vocabulary: DataFrame, block: int, tile: int) -> DataFrame:
+    """(lang, a, b, value) with a < b, by blocks of ``block`` codes and tiles of ``tile`` sources."""
+    number = F.floor(F.col("code") / block)
+    placed = vocabulary.select("lang", "code", number.alias("block"), (F.row_number().over(Window.partitionBy("lang", number).orderBy("code")) - 1).cast("bigint").alias("place"))
+    widths = placed.groupBy("lang", "block").agg(F.count("*").alias("width"))
     empty = totals.select("lang", "member", _share(F.lit(0), F.col("total"), F.col("size")).alias("lacking"))
-    blocks = vocabulary.groupBy("lang", F.floor(F.col("code") / BLOCK).alias("block")).agg(F.count("*").alias("width"))
-    # codes of a block need not follow each other where a vocabulary came in parts
-    placed = vocabulary.select("lang", "code", F.floor(F.col("code") / BLOCK).alias("block"), (F.row_number().over(Window.partitionBy("lang", F.floor(F.col("code") / BLOCK)).orderBy("code")) - 1).cast("bigint").alias("place"))
-    held = shares.select("lang", "member", "code", "p").join(placed, ["lang", "code"])
-    blank = empty.join(blocks, "lang").select("lang", "member", F.lit(-1).cast("bigint").alias("code"), F.lit(0).cast("bigint").alias("p"), "block", F.lit(-1).cast("bigint").alias("place"))
-    rows = held.unionByName(blank).join(empty, ["lang", "member"]).join(blocks, ["lang", "block"])
-    tiles = totals.groupBy("lang").agg(F.floor(F.max("member") / TILE).alias("last_tile"))
-    own = F.floor(F.col("member") / TILE)
+    nothing = F.lit(-1).cast("bigint")
+    held = shares.select("lang", "member", "code", "p").join(placed, ["lang", "code"]).select("lang", "member", "block", "place", "p")
+    blank = empty.join(widths, "lang").select("lang", "member", "block", nothing.alias("place"), nothing.alias("p"))
+    rows = held.unionByName(blank).join(empty, ["lang", "member"]).join(widths, ["lang", "block"])
+    tiles = totals.groupBy("lang").agg(F.floor(F.max("member") / tile).alias("last_tile"))
+    own = F.floor(F.col("member") / tile)
     rows = rows.join(tiles, "lang").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last_tile"))).alias("other"))
-    rows = rows.withColumn("left_tile", F.least(own, "other")).withColumn("right_tile", F.greatest(own, "other")).select("lang", "block", "left_tile", "right_tile", "member", "code", "place", "p", "lacking", "width")
-    sums = rows.groupBy("lang", "block", "left_tile", "right_tile").applyInPandas(_tile_pairs, "lang string, a bigint, b bigint, value bigint")
+    keys = ["lang", "block", F.least(own, "other").alias("left_tile"), F.greatest(own, "other").alias("right_tile")]
+    rows = rows.select(*keys, "member", "place", "p", "lacking", "width")
+    sums = rows.groupBy("lang", "block", "left_tile", "right_tile").applyInPandas(lambda found: _tile_pairs(found, tile), "lang string, a bigint, b bigint, value bigint")
     return sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 

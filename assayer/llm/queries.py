@@ -4,7 +4,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import decontaminate, divergence, fuzzyhash, lines, neardup, personal, pieces, quality, repeats, runs, secrets, warc
+from assayer.llm import decontaminate, divergence, fuzzyhash, lines, neardup, neural, personal, pieces, quality, repeats, runs, secrets, warc
 from assayer.llm.words import table
 from assayer.plans.registry import Registry
 from assayer.session import checkpoint_folder
@@ -65,6 +65,10 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
 
 
+def op11_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return neural.score(table(spark, folder, "documents"))
+
+
 def _periodic(docs: DataFrame) -> DataFrame:
     """The edit of the contract: one text in ten goes on in a period from word a on."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -166,5 +170,6 @@ QUERIES.add("op7_personal", op7_personal)
 QUERIES.add("op8_repeats", op8_repeats)
 QUERIES.add("op9_pieces", op9_pieces)
 QUERIES.add("op10_near_duplicates", op10_near_duplicates)
+QUERIES.add("op11_language_model", op11_language_model)
 QUERIES.add("op12_periodic_runs", op12_periodic_runs)
 QUERIES.add("op13_source_divergence", op13_source_divergence, DIVERGENCE_SQL)
