@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,12 +156,31 @@ def test_contexts_discover_identifiers(spark):
 def test_pieces_equal_the_library(spark, data):
     import sentencepiece
 
-    model, library, remembered = pieces.compile_model(), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.Memory(50)
+    model, library, rng = pieces.compile_model(), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), random.Random(3)
     texts = [r[0] or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect()]
-    texts += ["", "a" * 300, "  x  y ", "漢字\t\U0001F600é", "aaaa bbb" * 40, "1234567890" * 20, "\n\n  \n", "\x00"]
-    for text in texts:
-        ids = model.encode(text, remembered)
-        assert ids.tolist() == library.encode(text) and model.decode(ids) == text
+    texts += ["", "a" * 300, "  x  y ", "漢字\t\U0001F600é", "aaaa bbb" * 40, "1234567890" * 20, "\n\n  \n", "\x00", " ", "x "]
+    spelled = [p.replace(pieces.MARK, " ") for p in model.pieces[300:]]
+    texts += ["".join(rng.choices("".join(spelled), k=rng.randrange(1, 40))) for _ in range(1000)] + ["".join(rng.choices(spelled, k=rng.randrange(1, 6))) for _ in range(1000)]
+    ids, bounds = model.encode_all([t.encode() for t in texts])
+    assert model.decode_all(ids, bounds) == [t.encode() for t in texts]
+    for text, low, high in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        assert ids[low:high].tolist() == library.encode(text)
+    for text in texts[-40:]:
+        own = model.encode(text)
+        assert own.tolist() == library.encode(text) and model.decode(own) == text
+    assert model.decode(model.encode("▁a▁ ▁")) == " a   "
+
+
+def test_numbers_by_key():
+    rng = random.Random(1)
+    held, table = {}, pieces.Numbers()
+    for _ in range(40):
+        new = list({rng.randrange(1 << 40) * 1024 for _ in range(rng.randrange(300))} - set(held))
+        values = [rng.randrange(99) for _ in new]
+        held.update(zip(new, values, strict=True))
+        table.add(np.array(new, np.int64), np.array(values, np.int64))
+    keys = [*held, *(rng.randrange(1 << 40) for _ in range(500))]
+    assert table.get(np.array(keys, np.int64)).tolist() == [held.get(k, -1) for k in keys]
 
 
 def test_unigram_weights():
