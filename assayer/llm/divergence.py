@@ -14,48 +14,67 @@ from uuid import uuid4
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from assayer.llm import words
 from assayer.session import checkpoint_folder
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What each byte counts as: letters in lower case, bytes beyond ASCII, else a blank.
+TERM_BYTES = np.where(np.arange(256) < 128, 32, np.arange(256)).astype(np.uint8)
+TERM_BYTES[97:123] = TERM_BYTES[65:91] = np.arange(97, 123)
 LEAST, SCALE, ADDED, BEST = 30, 1_000_000_000, 5, 50
 PART, BLOCK, TILE = 1 << 18, 4096, 256
 
 
-def terms_of(docs: DataFrame) -> DataFrame:
-    """(lang, source, terms): runs of ASCII letters and characters beyond ASCII,
-    only A-Z lower-cased; nulls are ''."""
-    text, lang, source = (F.coalesce(F.col(n).cast("string"), F.lit("")) for n in ("text", "lang", "source"))
-    return docs.select(lang.alias("lang"), source.alias("source"), F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0)).alias("terms"))
+def _spaced(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Texts with a blank for each byte that is in no term."""
+    data, offsets = words.text_bytes(batch.column("text"))
+    text = pa.Array.from_buffers(pa.large_string(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(TERM_BYTES[data])])
+    return pa.record_batch([batch.column("lang"), batch.column("source"), text.cast(pa.string())], names=["lang", "source", "text"])
 
 
-def vectorize(found: DataFrame, folder: str, least: int = LEAST, part: int = PART) -> tuple[DataFrame, DataFrame] | None:
+def spaced_texts(docs: DataFrame, folder: str) -> tuple[DataFrame, dict[str, int]]:
+    """(lang, source, text, part_of) with the terms of each text between blanks, a
+    folder per language; and the number of each language in part_of.
+
+    Terms are runs of ASCII letters and characters beyond ASCII, only A-Z
+    lower-cased; nulls are ''.
+    """
+    lang, source = (F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) for n in ("lang", "source"))
+    docs = docs.select(lang, source, F.col("text").cast("string").alias("text"))
+    langs = sorted(r.lang for r in docs.select("lang").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(langs)), "part_of int, lang string")
+    words.map_texts(docs, _spaced, "lang string, source string, text string").join(F.broadcast(numbers), "lang").write.partitionBy("part_of").parquet(f"{folder}/texts")
+    return docs.sparkSession.read.schema("lang string, source string, text string, part_of int").parquet(f"{folder}/texts"), {x: i for i, x in enumerate(langs)}
+
+
+def vectorize(texts: DataFrame, langs: dict[str, int], folder: str, least: int = LEAST, part: int = PART) -> tuple[DataFrame, DataFrame] | None:
     """Vocabulary (lang, term, code) and document vectors (lang, source, codes, counts).
 
     None if no term is in ``least`` documents of its language. Codes number the
     terms of a language; both tables are written below ``folder``.
     """
+    spark = texts.sparkSession
+    found = texts.select("part_of", "lang", "source", F.array_remove(F.split("text", " "), "").alias("terms"))
     spread = found.select("lang", F.explode(F.array_distinct("terms")).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("held")).where(F.col("held") >= least)
     sizes = spread.groupBy("lang").agg(F.count("*").alias("kept")).orderBy("lang").collect()
     for lang, kept in sizes:
         parts = -(-kept // part)
         for number in range(parts):
-            own = found.where(F.col("lang") == lang)
+            own = found.where(F.col("part_of") == langs[lang])
             if parts > 1:
                 own = own.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(parts)) == number))  # noqa: B023
             model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(least), vocabSize=2**31 - 1).fit(own)
             vector = F.unwrap_udt(F.col("vector"))
             codes = F.transform(vector["indices"], lambda i: i.cast("bigint") * parts + number)  # noqa: B023
             model.transform(own).select("lang", "source", codes.alias("codes"), vector["values"].alias("counts")).write.mode("append").parquet(f"{folder}/vectors")
-            names = own.sparkSession.createDataFrame([(lang, t, i * parts + number) for i, t in enumerate(model.vocabulary)], "lang string, term string, code bigint")
+            names = spark.createDataFrame([(lang, t, i * parts + number) for i, t in enumerate(model.vocabulary)], "lang string, term string, code bigint")
             names.write.mode("append").parquet(f"{folder}/terms")
     if not sizes:
         return None
-    read = found.sparkSession.read
-    return read.parquet(f"{folder}/terms"), read.parquet(f"{folder}/vectors")
+    return spark.read.parquet(f"{folder}/terms"), spark.read.parquet(f"{folder}/vectors")
 
 
 def _share(count: Column, total: Column, size: Column) -> Column:
@@ -115,11 +134,13 @@ def audit(docs: DataFrame, least: int = LEAST, best: int = BEST, part: int = PAR
     """
     spark = docs.sparkSession
     folder = f"{checkpoint_folder(spark)}/divergence-{uuid4().hex}"
-    found = terms_of(docs)
-    groups = found.select("lang", "source").distinct()
+    texts, langs = spaced_texts(docs, folder)
+    if not langs:
+        return spark.createDataFrame([], "lang string, source string, kind string, item string, value bigint, rank int")
+    groups = texts.select("lang", "source").distinct()
     groups.withColumn("member", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("bigint") - 1).write.parquet(f"{folder}/groups")
     groups = spark.read.parquet(f"{folder}/groups")
-    vectors = vectorize(found, folder, least, part)
+    vectors = vectorize(texts, langs, folder, least, part)
     others = groups.alias("a").join(groups.alias("b"), F.expr("a.lang = b.lang AND a.member <> b.member"))
     others = others.select("a.lang", "a.source", F.col("b.source").alias("item"), F.least("a.member", "b.member").alias("a"), F.greatest("a.member", "b.member").alias("b"))
     if vectors is None:
@@ -130,30 +151,34 @@ def audit(docs: DataFrame, least: int = LEAST, best: int = BEST, part: int = PAR
     sums.write.parquet(f"{folder}/sums")
     sums = spark.read.parquet(f"{folder}/sums")
     sizes = vocabulary.groupBy("lang").agg(F.count("*").alias("size"))
-    totals = groups.join(sums.groupBy("lang", "source").agg(F.sum("count").alias("total")), ["lang", "source"], "left").na.fill({"total": 0}).join(sizes, "lang")
+    totals = groups.join(sums.groupBy("lang", "source").agg(F.sum("count").alias("total")), ["lang", "source"], "left").na.fill({"total": 0}).join(F.broadcast(sizes), "lang")
     shares = sums.join(totals, ["lang", "source"]).withColumn("p", _share(F.col("count"), F.col("total"), F.col("size")))
     pairs = _pairs(shares, totals, vocabulary, block, tile)
     valued = others.join(pairs, ["lang", "a", "b"], "left").select("lang", "source", F.lit("pair").alias("kind"), "item", F.coalesce("value", F.lit(0).cast("bigint")).alias("value"))
     whole = sums.groupBy("lang", "code").agg(F.sum("count").alias("all"))
-    whole = whole.join(totals.groupBy("lang").agg(F.sum("total").alias("everything"), F.max("size").alias("size")), "lang").select("lang", "code", _share(F.col("all"), F.col("everything"), F.col("size")).alias("q"))
+    everything = totals.groupBy("lang").agg(F.sum("total").alias("everything"), F.max("size").alias("size"))
+    whole = whole.join(F.broadcast(everything), "lang").select("lang", "code", _share(F.col("all"), F.col("everything"), F.col("size")).alias("q"))
     own = shares.select("lang", "source", "code", "p").join(whole, ["lang", "code"]).where("p > q").join(vocabulary, ["lang", "code"])
     own = own.select("lang", "source", F.lit("term").alias("kind"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     return _ranked(valued).unionByName(_ranked(own, best))
 
 
 def _pairs(shares: DataFrame, totals: DataFrame, vocabulary: DataFrame, block: int, tile: int) -> DataFrame:
-    """(lang, a, b, value) with a < b, by blocks of ``block`` codes and tiles of ``tile`` sources."""
+    """(lang, a, b, value) with a < b, by blocks of ``block`` codes and tiles of ``tile`` sources.
+
+    Broadcast are tables with a row per language, or per language and block.
+    """
     number = F.floor(F.col("code") / block)
     placed = vocabulary.select("lang", "code", number.alias("block"), (F.row_number().over(Window.partitionBy("lang", number).orderBy("code")) - 1).cast("bigint").alias("place"))
     widths = placed.groupBy("lang", "block").agg(F.count("*").alias("width"))
     empty = totals.select("lang", "member", _share(F.lit(0), F.col("total"), F.col("size")).alias("lacking"))
     nothing = F.lit(-1).cast("bigint")
     held = shares.select("lang", "member", "code", "p").join(placed, ["lang", "code"]).select("lang", "member", "block", "place", "p")
-    blank = empty.join(widths, "lang").select("lang", "member", "block", nothing.alias("place"), nothing.alias("p"))
-    rows = held.unionByName(blank).join(empty, ["lang", "member"]).join(widths, ["lang", "block"])
+    blank = empty.join(F.broadcast(widths), "lang").select("lang", "member", "block", nothing.alias("place"), nothing.alias("p"))
+    rows = held.unionByName(blank).join(empty, ["lang", "member"]).join(F.broadcast(widths), ["lang", "block"])
     tiles = totals.groupBy("lang").agg(F.floor(F.max("member") / tile).alias("last_tile"))
     own = F.floor(F.col("member") / tile)
-    rows = rows.join(tiles, "lang").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last_tile"))).alias("other"))
+    rows = rows.join(F.broadcast(tiles), "lang").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last_tile"))).alias("other"))
     keys = ["lang", "block", F.least(own, "other").alias("left_tile"), F.greatest(own, "other").alias("right_tile")]
     rows = rows.select(*keys, "member", "place", "p", "lacking", "width")
     sums = rows.groupBy("lang", "block", "left_tile", "right_tile").applyInPandas(lambda found: _tile_pairs(found, tile), "lang string, a bigint, b bigint, value bigint")
