@@ -1,81 +1,102 @@
 """Ordered computations that never sort one whole series in one task.
 
-Rows are cut into (key, bucket) pieces. Windows run inside a piece; one small
-summary row per piece carries the state across pieces. A series that holds a
-third of all rows is therefore spread over as many tasks as it has buckets.
+Rows are cut into pieces by a range exchange over series, order and row number.
+Its bounds lie at counted rows, so pieces are of even size wherever the rows are: a
+series with most of the rows is many pieces, and equal times are cut as well. The
+cut is checkpointed, for its bounds are sampled. Windows run inside a piece; a
+summary row per series and piece carries the state across, in a tree: no window
+sees more than ``FAN`` summary rows of a series.
 """
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from math import ceil, isfinite, sqrt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assayer.session import plan_bytes
+from assayer.session import durable
 
-BUCKET, SERIES = "__bucket", "__series"
-PIECE = [SERIES, BUCKET]
+SERIES, PIECE, TIE, BLOCK = "__series", "__piece", "__tie", "__block"
+KEYS = [SERIES, PIECE]
+FAN = 256
 
 
-def _pieces(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
-    """Add the piece columns. The keys become one struct, which is never null
-    itself and equal when its fields are, nulls included: so pieces join by plain
-    equality and the rows keep the partitioning of their window."""
-    return df.withColumns({SERIES: F.struct(*keys) if keys else F.lit(0), BUCKET: bucket})
+class Pieces:
+    """Rows of ``df`` in pieces by ``order`` within series; nulls come first.
 
-
-def with_previous(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], bucket: Column, name: str = "prev"
-) -> DataFrame:
-    """Add struct ``name`` with ``values`` of the row before, in ``order`` per key.
-
-    ``bucket`` must grow with ``order``, as a truncated time does.
+    Series are equal ``keys``, nulls included. Without ``pieces`` there are as many
+    as the session has shuffle partitions, or fewer where these would be small.
     """
-    cut = _pieces(df, keys, bucket)
-    state = F.struct(*values)
-    local = cut.withColumn("__local", F.lag(state).over(Window.partitionBy(*PIECE).orderBy(*order)))
-    tails = cut.groupBy(*PIECE).agg(F.max_by(state, F.struct(*order)).alias("__tail"))
-    across = Window.partitionBy(SERIES).orderBy(BUCKET)
-    carried = tails.select(*PIECE, F.lag("__tail").over(across).alias("__carried"))
-    joined = local.join(carried, PIECE, "left")
-    return joined.withColumn(name, F.coalesce("__local", "__carried")).select(*df.columns, name)
-
-
-def with_running_sums(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], bucket: Column
-) -> DataFrame:
-    """Add running sums, the current row included: ``values`` maps name to term.
-
-    The sum over the whole series comes along as ``<name>_total``.
-    """
-    cut = _pieces(df, keys, bucket)
-    inside = Window.partitionBy(*PIECE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = cut.select("*", *[F.sum(term).over(inside).alias(name) for name, term in values.items()])
-    sums = cut.groupBy(*PIECE).agg(*[F.sum(term).alias(f"__t_{n}") for n, term in values.items()])
-    series = Window.partitionBy(SERIES)
-    before = series.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        *PIECE,
-        *[F.sum(f"__t_{n}").over(before).alias(f"__o_{n}") for n in values],
-        *[F.sum(f"__t_{n}").over(series).alias(f"{n}_total") for n in values],
-    )
-    joined = local.join(offsets, PIECE, "left")
-    running = [(F.col(n) + F.coalesce(F.col(f"__o_{n}"), F.lit(0))).alias(n) for n in values]
-    return joined.select(*df.columns, *running, *[f"{n}_total" for n in values])
-
-
-def piece_count(df: DataFrame, least: int = 64, most: int = 1024, piece_bytes: int = 128 << 20) -> int:
-    """Pieces for one ordered column, growing with the size of the input."""
-    return max(least, min(most, plan_bytes(df) // piece_bytes))
-
-
-def value_edges(df: DataFrame, columns: Sequence[str], buckets: int) -> dict[str, list[float]]:
-    """Approximate quantile edges per numeric column: a few numbers, one pass.
-
-    Edges only balance the pieces; results do not depend on them.
+
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], pieces: int | None = None, fan: int = FAN) -> None:
+        # The keys become one struct, which is never null itself, so that pieces
+        # join by plain equality and rows keep the partitioning of their window.
+        rows = df.withColumns({SERIES: F.struct(*keys) if keys else F.lit(0), TIE: F.monotonically_increasing_id()})
+        by = [SERIES, *order, TIE]
+        ranged = rows.repartitionByRange(pieces, *by) if pieces else rows.repartitionByRange(*by)
+        self.rows = durable(ranged.withColumn(PIECE, F.spark_partition_id()))
+        self.order, self.fan, self.columns = [*order, TIE], fan, list(df.columns)
+        self.most = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.inside = Window.partitionBy(*KEYS).orderBy(*self.order)
+
+    def frame(self) -> DataFrame:
+        return self.rows.select(*self.columns)
+
+    def previous(self, values: Sequence[str], name: str = "prev") -> "Pieces":
+        """Add struct ``name`` with ``values`` of the row before, null for the first."""
+        state = F.struct(*values)
+        tails = self.rows.groupBy(*KEYS).agg(F.max_by(state, F.struct(*self.order)).alias("__tail"))
+        last = {"__tail": lambda rows: F.max_by("__tail", PIECE)}
+        carried = _before(tails, self.most, last, lambda name, above: F.coalesce(name, above), self.fan)
+        local = self.rows.withColumn("__local", F.lag(state).over(self.inside))
+        return self._with(local.join(carried, KEYS, "left").withColumn(name, F.coalesce("__local", "__tail")).drop("__local", "__tail"), [name])
+
+    def running_sums(self, values: dict[str, Column]) -> "Pieces":
+        """Add running sums, the current row included: ``values`` maps name to term.
+
+        The sum over the whole series comes along as ``<name>_total``.
+        """
+        upto = self.inside.rowsBetween(Window.unboundedPreceding, 0)
+        sums = self.rows.groupBy(*KEYS).agg(*[F.sum(term).alias(name) for name, term in values.items()])
+        totals = sums.groupBy(SERIES).agg(*[F.sum(name).alias(f"{name}_total") for name in values])
+        add = lambda name, above: F.coalesce(name, F.lit(0)) + F.coalesce(above, F.lit(0))
+        before = _before(sums, self.most, {name: (lambda rows, name=name: F.sum(name)) for name in values}, add, self.fan)
+        before = before.join(totals, SERIES).withColumnsRenamed({name: f"__o_{name}" for name in values})
+        local = self.rows.select("*", *[F.sum(term).over(upto).alias(name) for name, term in values.items()])
+        joined = local.join(before, KEYS, "left").withColumns({name: F.col(name) + F.coalesce(f"__o_{name}", F.lit(0)) for name in values})
+        return self._with(joined.drop(*[f"__o_{name}" for name in values]), [*values, *[f"{name}_total" for name in values]])
+
+    def _with(self, rows: DataFrame, added: Sequence[str]) -> "Pieces":
+        out = object.__new__(Pieces)
+        out.__dict__.update(self.__dict__)
+        out.rows, out.columns = rows, [*self.columns, *added]
+        return out
+
+
+def _before(states: DataFrame, numbers: int, merge: dict[str, Callable], join: Callable, fan: int) -> DataFrame:
+    """What all pieces of a series before each piece add up to, or null.
+
+    ``numbers`` is above every piece number. Inside blocks of ``fan`` numbers a
+    window does it; the sums of the blocks take the same way, and are joined on.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(*[F.percentile_approx(F.col(f"`{c}`"), probs, 10 * buckets).alias(f"e{i}") for i, c in enumerate(columns)]).first()
-    return {c: sorted(set(row[f"e{i}"] or [])) for i, c in enumerate(columns)}
+    rows = states.withColumn(BLOCK, F.floor(F.col(PIECE) / fan))
+    before = Window.partitionBy(SERIES, BLOCK).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.select(*KEYS, BLOCK, *[made(rows).over(before).alias(name) for name, made in merge.items()])
+    if numbers <= fan:
+        return local.drop(BLOCK)
+    blocks = rows.groupBy(SERIES, BLOCK).agg(*[made(rows).alias(name) for name, made in merge.items()]).withColumnRenamed(BLOCK, PIECE)
+    above = _before(blocks, ceil(numbers / fan), merge, join, fan)
+    above = above.withColumnsRenamed({PIECE: BLOCK, **{name: f"__a_{name}" for name in merge}})
+    return local.join(above, [SERIES, BLOCK], "left").select(*KEYS, *[join(F.col(name), F.col(f"__a_{name}")).alias(name) for name in merge])
+
+
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], name: str = "prev", pieces: int | None = None) -> DataFrame:
+    """Add struct ``name`` with ``values`` of the row before, in ``order`` per key."""
+    return Pieces(df, keys, order, pieces).previous(values, name).frame()
+
+
+def with_running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], pieces: int | None = None) -> DataFrame:
+    """Add running sums in ``order`` per key, and ``<name>_total`` of the series."""
+    return Pieces(df, keys, order, pieces).running_sums(values).frame()
 
 
 def edge_bucket(column: str, edges: Sequence[float]) -> Column:

@@ -192,7 +192,7 @@ CHECKS: tuple[Check, ...] = (
     Check("Label class balance", "Label Quality", _balance_outcome, table=lambda c: statistics.class_balance(c.df, c.target_col), needs=("target_col",)),
     Check("Fairness coverage", "Label Quality", _parity_outcome, table=lambda c: statistics.class_parity(c.df, c.target_col), needs=("target_col",)),
     Check("Time gap autocorrelation", "Time Series: Autocorrelation", _range_outcome("late_share", 0.05, 0.2, "Share of gaps above a day"),
-          table=lambda c: timeseries.time_gaps(c.df, [], c.time_col, c.id_col or c.time_col, 86400.0, "month"), needs=("time_col",)),
+          table=lambda c: timeseries.time_gaps(c.df, [], c.time_col, c.id_col or c.time_col, 86400.0), needs=("time_col",)),
 )
 
 KNOWN_STATUS = tuple(fv.STATUS_SCORE)

@@ -7,7 +7,7 @@ value that holds a third of the rows is one row by then.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.functions.keys import row_key
-from assayer.functions.ordered import edge_bucket, piece_count, value_edges, with_previous, with_running_sums
+from assayer.functions.ordered import Pieces, edge_bucket
 from assayer.operators.statistics import exact_quantiles
 
 
@@ -63,30 +63,23 @@ def share_distances(base: DataFrame, other: DataFrame, value: Column) -> DataFra
     )
 
 
-def distribution_gaps(base: DataFrame, other: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
-    """(value, piece, f, g): both cumulative distributions at each distinct value.
-
-    Values are counted, cut into pieces at approximate quantiles and summed
-    piece by piece.
-    """
-    value = F.col(f"`{column}`").cast("double")
-    both = _sides(base, other, value)
-    edges = value_edges(both, ["value"], buckets or piece_count(both))["value"]
+def distribution_gaps(base: DataFrame, other: DataFrame, column: str, pieces: int | None = None) -> DataFrame:
+    """(value, f, g, prev): both cumulative distributions at each distinct value,
+    and the same of the value before. Values are counted before they are ordered."""
+    both = _sides(base, other, F.col(f"`{column}`").cast("double"))
     counts = both.groupBy("value").agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
-    piece = edge_bucket("value", edges)
-    placed = with_running_sums(counts, [], ["value"], {"cp": F.col("np"), "cq": F.col("nq")}, piece)
-    return placed.select(
-        "value", piece.alias("piece"),
-        (F.col("cp") / F.col("cp_total")).alias("f"), (F.col("cq") / F.col("cq_total")).alias("g"),
-    )
+    placed = Pieces(counts, [], ["value"], pieces).running_sums({"cp": F.col("np"), "cq": F.col("nq")})
+    found = placed.previous(["value", "cp", "cq"]).frame()
+    share = lambda sums, side: F.col(f"{sums}c{side}") / F.col(f"c{side}_total")
+    before = F.when(F.col("prev").isNotNull(), F.struct(F.col("prev.value").alias("value"), share("prev.", "p").alias("f"), share("prev.", "q").alias("g")))
+    return found.select("value", share("", "p").alias("f"), share("", "q").alias("g"), before.alias("prev"))
 
 
-def cdf_distances(base: DataFrame, other: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
+def cdf_distances(base: DataFrame, other: DataFrame, column: str, pieces: int | None = None) -> DataFrame:
     """Wasserstein-1, energy distance and Kolmogorov-Smirnov statistic."""
     # Integrals run over the gap that ends at a value, with both distributions
     # as they were at the value before.
-    at = distribution_gaps(base, other, column, buckets)
-    steps = with_previous(at, [], ["value"], ["value", "f", "g"], F.col("piece"))
+    steps = distribution_gaps(base, other, column, pieces)
     gap = F.col("value") - F.col("prev.value")
     diff = F.abs(F.col("prev.f") - F.col("prev.g"))
     return steps.agg(

@@ -203,9 +203,7 @@ def sample_rows(df: DataFrame, key: str, n: int = fv.SAMPLE_ROWS, seed: int = fv
     keyed = df.withColumn("__digest", F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string"))))
     prefix = F.substring("__digest", 1, 5)
     sizes = keyed.groupBy(prefix.alias("__prefix")).agg(F.count("*").alias("rows"))
-    reach = with_running_sums(
-        sizes, [], ["__prefix"], {"seen": F.col("rows")}, F.substring("__prefix", 1, 2)
-    )
+    reach = with_running_sums(sizes, [], ["__prefix"], {"seen": F.col("rows")})
     last = reach.filter(F.col("seen") >= n).agg(F.min("__prefix").alias("p"))
     near = keyed.filter(prefix <= F.coalesce(last.scalar(), F.lit("fffff")))
     return near.orderBy("__digest", key).limit(n).drop("__digest")

@@ -9,7 +9,7 @@ from assayer import fixed_values as fv
 from assayer.functions.keys import missing, value_key
 from assayer.functions.literal import literal_table
 from assayer.functions.numeric import share_status
-from assayer.functions.ordered import edge_bucket, piece_count, value_edges, with_running_sums
+from assayer.functions.ordered import with_running_sums
 from assayer.operators.profile import numeric_columns
 from assayer.session import spread
 
@@ -32,16 +32,9 @@ def numeric_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-SUB_PIECES = 64
-
-
-def _with_pieces(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, piece): pieces cut at approximate quantiles of each column."""
-    edges = value_edges(df, columns, piece_count(df))
-    piece = F.lit(0)
-    for c in columns:
-        piece = F.when(F.col("column") == c, edge_bucket("value", edges[c])).otherwise(piece)
-    return numeric_long(df, columns).withColumn("piece", piece)
+#: Size of a rank sketch, and the share of ranks on either side of a wanted one that
+#: is looked at exactly; about three times the error such a sketch usually has.
+SKETCH, MARGIN = 2048, 0.004
 
 
 def _doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -49,53 +42,64 @@ def _doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return spread(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]), *columns)
 
 
+def rank_sketches(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, n, sketch): a mergeable rank sketch of each column, from one wide pass.
+
+    Sketches of parts of a table merge with ``kll_merge_agg_double``, so they can be
+    kept with a table instead of being read again.
+    """
+    row = df.agg(*[F.struct(F.lit(c).alias("column"), F.count(number(c)).alias("n"), F.kll_sketch_agg_double(number(c), F.lit(SKETCH)).alias("sketch")).alias(f"s{i}") for i, c in enumerate(columns)])
+    return row.select(F.inline(F.array(*[f"s{i}" for i in range(len(columns))])))
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = (0.25, 0.75)) -> DataFrame:
     """(column, q1, q2, ...): linear-interpolated quantiles, exact at any size."""
     return _quantiles(_doubles(df, columns), columns, probs)
 
 
 def _quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Quantiles by narrowing down to the pieces that hold the wanted ranks.
+    """Quantiles by rank sketches that leave a narrow bracket for each.
 
-    Counting rows per piece tells which pieces hold the wanted ranks; only those
-    rows are counted by value and put in order, again in smaller pieces. No
-    shuffle carries more than that.
+    One wide pass makes the sketches, one counts the rows below the brackets, one
+    counts the values inside, which are put in order in pieces. Should a rank lie
+    outside its bracket, the brackets are widened: the result is exact. Only
+    brackets and results, numbers per column, reach the driver.
     """
-    long = _with_pieces(df, columns)
-    sizes = long.groupBy("column", "piece").agg(F.count("*").alias("size"))
-    column = Window.partitionBy("column")
-    before = F.sum("size").over(column.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
-    placed = sizes.select("*", F.coalesce(before, F.lit(0)).alias("before"), F.sum("size").over(column).alias("total"))
-    ranks = [(F.col("total") - 1) * p for p in probs]
-    wanted = F.lit(False)
-    for rank in ranks:
-        for at in (F.floor(rank), F.ceil(rank)):
-            wanted = wanted | ((F.col("before") <= at) & (at < F.col("before") + F.col("size")))
-    # At most two pieces per probability and column.
-    targets = placed.filter(wanted).drop("size")
-    counts = long.join(F.broadcast(targets), ["column", "piece"]).groupBy("column", "piece", "value").agg(
-        F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("before", "total")]
-    )
-    # Inner pieces are cut by count, so a far value does not fill one of them.
-    cuts = counts.groupBy("column", "piece").agg(F.percentile_approx("value", [i / SUB_PIECES for i in range(1, SUB_PIECES)], 20 * SUB_PIECES).alias("cuts"))
-    counts = counts.join(F.broadcast(cuts), ["column", "piece"])
-    inner = F.size(F.filter("cuts", lambda e: e < F.col("value")))
-    ordered = with_running_sums(counts, ["column", "piece"], ["value"], {"seen": F.col("n")}, inner)
-    parts = []
-    end = F.col("before") + F.col("seen")
-    for i, rank in enumerate(ranks, 1):
-        for side, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            inside = (end - F.col("n") <= at) & (at < end)
-            parts.append(F.max(F.when(inside, F.col("value"))).alias(f"{side}{i}"))
-        parts.append(F.max(rank - F.floor(rank)).alias(f"f{i}"))
-    found = ordered.groupBy("column").agg(*parts)
-    return found.select(
-        "column",
-        *[
-            (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"f{i}")).alias(f"q{i}")
-            for i in range(1, len(probs) + 1)
-        ],
-    )
+    sketches = rank_sketches(df, columns).where("n > 0")
+    margin, found = MARGIN, {}
+    while True:
+        ranks = [min(1.0, max(0.0, p + side)) for p in probs for side in (-margin, margin)]
+        ends = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(r) for r in ranks]))
+        brackets = {r.column: (r.n, list(zip(r.ends[::2], r.ends[1::2], strict=True))) for r in sketches.select("column", "n", ends.alias("ends")).collect() if r.column not in found}
+        found |= _selected(df, brackets, probs) if brackets else {}
+        if set(found) >= set(brackets):
+            break
+        margin *= 16
+    names = ["column", *[f"q{i}" for i in range(1, len(probs) + 1)]]
+    rows = [(c, *found[c]) for c in columns if c in found]
+    return literal_table(df.sparkSession, names, rows) if rows else df.sparkSession.createDataFrame([], "column string, " + ", ".join(f"{n} double" for n in names[1:]))
+
+
+def _selected(df: DataFrame, brackets: dict[str, tuple[int, list[tuple[float, float]]]], probs: Sequence[float]) -> dict[str, list[float]]:
+    """Quantiles of the columns whose ranks all lie in their brackets."""
+    spots = [(c, j, lo, hi) for c, (_, ends) in brackets.items() for j, (lo, hi) in enumerate(ends)]
+    below = df.agg(*[F.count_if(number(c) < lo).alias(f"b{k}") for k, (c, _, lo, _) in enumerate(spots)]).first()
+    inside = [F.when(number(c).between(lo, hi), F.struct(F.lit(k).alias("spot"), number(c).alias("value"))) for k, (c, _, lo, hi) in enumerate(spots)]
+    counts = df.select(F.inline(F.filter(F.array(*inside), lambda x: x.isNotNull()))).groupBy("spot", "value").agg(F.count("*").alias("n"))
+    ordered = with_running_sums(counts, ["spot"], ["value"], {"seen": F.col("n")})
+    wanted = []
+    for k, (c, j, _, _) in enumerate(spots):
+        rank = (brackets[c][0] - 1) * probs[j]
+        wanted += [(k, side, int(at) - below[k]) for side, at in enumerate((np.floor(rank), np.ceil(rank)))]
+    ranks = literal_table(df.sparkSession, ["spot", "side", "at"], wanted)
+    hits = ordered.join(F.broadcast(ranks), "spot").where("seen - n <= at and at < seen").select("spot", "side", "value").collect()
+    values = {(r.spot, r.side): r.value for r in hits}
+    out: dict[str, list[float]] = {}
+    for k, (c, j, _, _) in enumerate(spots):
+        rank = (brackets[c][0] - 1) * probs[j]
+        low, high = values.get((k, 0)), values.get((k, 1))
+        out.setdefault(c, []).append(None if low is None or high is None else low + (high - low) * (rank - np.floor(rank)))
+    return {c: [float(x) for x in q] for c, q in out.items() if None not in q}
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, limits=fv.OUTLIER_PCT) -> DataFrame:

@@ -1,7 +1,7 @@
 """Checks on time-ordered values, per series.
 
-``bucket`` truncates the time; a series is processed bucket by bucket in
-parallel (see functions.ordered), so one busy series does not end in one task.
+A series is processed in pieces of counted rows (see functions.ordered), so one busy
+series, or one busy day of it, does not end in one task.
 """
 
 from collections.abc import Sequence
@@ -12,13 +12,9 @@ from assayer.functions.ordered import with_previous, with_running_sums
 from assayer.functions.times import days_between, seconds_between
 
 
-def time_bucket(time: str, unit: str = "day") -> Column:
-    return F.date_trunc(unit, F.col(time))
-
-
-def time_gaps(df: DataFrame, keys: Sequence[str], time: str, tie: str, late_after: float, bucket: str = "day") -> DataFrame:
+def time_gaps(df: DataFrame, keys: Sequence[str], time: str, tie: str, late_after: float) -> DataFrame:
     """Per series: events, largest gap in seconds, share of gaps above ``late_after``."""
-    seen = with_previous(df.select(*keys, time, tie), keys, [time, tie], [time], time_bucket(time, bucket))
+    seen = with_previous(df.select(*keys, time, tie), keys, [time, tie], [time])
     gap = seconds_between(F.col(time), F.col(f"prev.{time}"))
     return seen.withColumn("gap", gap).groupBy(*keys).agg(
         F.count("*").alias("events"), F.max("gap").alias("max_gap"),
@@ -26,9 +22,9 @@ def time_gaps(df: DataFrame, keys: Sequence[str], time: str, tie: str, late_afte
     )
 
 
-def arrival_order(df: DataFrame, arrival: str, time: str, width: int = 1_000_000) -> DataFrame:
+def arrival_order(df: DataFrame, arrival: str, time: str) -> DataFrame:
     """Rows whose time is before that of the row arriving just before."""
-    seen = with_previous(df.select(arrival, time), [], [arrival], [time], F.floor(F.col(arrival) / width))
+    seen = with_previous(df.select(arrival, time), [], [arrival], [time])
     return seen.agg(F.count("*").alias("rows"), F.count_if(F.col(time) < F.col(f"prev.{time}")).alias("out_of_order"))
 
 
@@ -38,28 +34,28 @@ def freshness(df: DataFrame, time: str, as_of: Column) -> DataFrame:
     return out.withColumn("age_days", days_between(as_of, F.col("newest")))
 
 
-def autocorrelation(df: DataFrame, keys: Sequence[str], time: str, tie: str, value: str, lag: int = 1, bucket: str = "day") -> DataFrame:
+def autocorrelation(df: DataFrame, keys: Sequence[str], time: str, tie: str, value: str, lag: int = 1) -> DataFrame:
     """Correlation of a series with itself ``lag`` rows earlier, per series.
 
     Rows get their position first; the lagged pair is then an equi-join on
     (series, position), whose key is unique and so cannot be skewed.
     """
     rows = df.select(*keys, time, tie, F.col(value).cast("double").alias("x"))
-    placed = with_running_sums(rows, keys, [time, tie], {"pos": F.lit(1)}, time_bucket(time, bucket)).select(*keys, "pos", "x")
+    placed = with_running_sums(rows, keys, [time, tie], {"pos": F.lit(1)}).select(*keys, "pos", "x")
     earlier = placed.select(*keys, (F.col("pos") + lag).alias("pos"), F.col("x").alias("before"))
     return placed.join(earlier, [*keys, "pos"]).groupBy(*keys).agg(
         F.count("*").alias("pairs"), F.corr("x", "before").alias("autocorrelation")
     )
 
 
-def change_point(df: DataFrame, keys: Sequence[str], time: str, tie: str, value: str, bucket: str = "day") -> DataFrame:
+def change_point(df: DataFrame, keys: Sequence[str], time: str, tie: str, value: str) -> DataFrame:
     """Largest absolute cumulative sum of deviations from the mean, and where.
 
     The running count times the mean is subtracted from the running sum; the
     mean comes from the series totals, so no join on the series is needed.
     """
     rows = df.select(*keys, time, tie, F.col(value).cast("double").alias("x")).filter("x IS NOT NULL")
-    sums = with_running_sums(rows, keys, [time, tie], {"s": F.col("x"), "n": F.lit(1)}, time_bucket(time, bucket))
+    sums = with_running_sums(rows, keys, [time, tie], {"s": F.col("x"), "n": F.lit(1)})
     cusum = F.abs(F.col("s") - F.col("n") * F.col("s_total") / F.col("n_total"))
     best = F.max(F.struct(cusum.alias("c"), (-F.col("n")).alias("neg")))
     return sums.groupBy(*keys).agg(best.alias("b"), F.count("*").alias("events")).select(

@@ -316,7 +316,7 @@ QUERIES.add(
 )
 QUERIES.add(
     "arrival_order",
-    lambda spark, d: ts.arrival_order(load(spark, d, "orders"), "o_orderkey", "o_orderdate", 1000),
+    lambda spark, d: ts.arrival_order(load(spark, d, "orders"), "o_orderkey", "o_orderdate"),
     "SELECT count(*) AS rows, count(*) FILTER (o_orderdate < before) AS out_of_order FROM (SELECT o_orderdate, lag(o_orderdate) OVER (ORDER BY o_orderkey) AS before FROM orders)",
 )
 QUERIES.add(

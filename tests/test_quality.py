@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from assayer import fixed_values as fv
 from assayer.functions.numeric import quality_tier
-from assayer.functions.ordered import edge_bucket, with_previous, with_running_sums
+from assayer.functions.ordered import PIECE, Pieces, edge_bucket
 from assayer.operators import categorise, checks, drift, fastscore, profile, redaction, scoring, statistics, textcorpus, timeseries
 
 
@@ -115,9 +115,11 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "k int, t bigint, i int, v double")
 
 
-def test_previous_across_buckets(skewed):
+@pytest.mark.parametrize("pieces", [1, 7, 40])
+def test_previous_across_pieces(skewed, pieces):
     rows, df = skewed
-    got = {r["i"]: (r["prev"]["v"] if r["prev"] else None) for r in with_previous(df, ["k"], ["t", "i"], ["v"], F.floor(F.col("t") / 7)).collect()}
+    cut = Pieces(df, ["k"], ["t", "i"], pieces, fan=3)
+    got = {r["i"]: (r["prev"]["v"] if r["prev"] else None) for r in cut.previous(["v"]).frame().collect()}
     for key in (1, 2, None):
         last = None
         for k, t, i, v in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2])):
@@ -125,9 +127,11 @@ def test_previous_across_buckets(skewed):
             last = v
 
 
-def test_running_sums_across_buckets(skewed):
+@pytest.mark.parametrize("pieces", [1, 7, 40])
+def test_running_sums_across_pieces(skewed, pieces):
     rows, df = skewed
-    got = {r["i"]: r for r in with_running_sums(df, ["k"], ["t", "i"], {"n": F.lit(1), "s": F.col("v")}, F.floor(F.col("t") / 7)).collect()}
+    cut = Pieces(df, ["k"], ["t", "i"], pieces, fan=3)
+    got = {r["i"]: r for r in cut.running_sums({"n": F.lit(1), "s": F.col("v")}).frame().collect()}
     for key in (1, 2, None):
         series = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2]))
         for n, (k, t, i, v) in enumerate(series, 1):
@@ -135,6 +139,29 @@ def test_running_sums_across_buckets(skewed):
             assert math.isclose(got[i]["s"], sum(x[3] for x in series[:n]), abs_tol=1e-9)
 
 
+def test_pieces_are_even_with_one_hot_key_and_one_hot_moment(spark):
+    """Nine tenths of the rows have one key, half of these one time."""
+    rows = spark.range(40_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(-1)).alias("k"), F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.lit(5)).alias("t"))
+    sizes = [r["count"] for r in Pieces(rows, ["k"], ["t"], 40).rows.groupBy(PIECE).count().collect()]
+    assert sum(sizes) == 40_000 and len(sizes) >= 36
+    assert max(sizes) <= 2 * float(np.median(sizes))
+
+
+def test_ordered_work_on_an_empty_table(spark):
+    rows = spark.range(0).select(F.col("id").alias("k"), F.col("id").alias("t"))
+    assert Pieces(rows, ["k"], ["t"]).running_sums({"n": F.lit(1)}).previous(["n"]).frame().count() == 0
+
+
+def test_quantiles_widen_brackets_that_miss(spark, monkeypatch):
+    monkeypatch.setattr(statistics, "SKETCH", 8)
+    monkeypatch.setattr(statistics, "MARGIN", 1e-6)
+    values = np.random.default_rng(8).normal(size=5000)
+    df = spark.createDataFrame([(float(v), float("nan"), None) for v in values], "a double, b double, c double")
+    rows = statistics.exact_quantiles(df, ["a", "b", "c"], (0.1, 0.5, 0.93)).collect()
+    assert [r["column"] for r in rows] == ["a"]
+    assert np.allclose([rows[0][f"q{i}"] for i in (1, 2, 3)], np.quantile(values, (0.1, 0.5, 0.93)), rtol=0, atol=1e-12)
+
+
 def test_quantiles_match_numpy_under_ties(spark):
     rng = np.random.default_rng(1)
     values = np.concatenate([np.full(400, 5.0), rng.normal(size=333)])
@@ -158,7 +185,7 @@ def test_distances_match_numpy(spark):
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 40, 500) / 4, rng.integers(5, 50, 300) / 4
     frames = [spark.createDataFrame([(float(x),) for x in v], "x double") for v in (a, b)]
-    r = one(drift.cdf_distances(*frames, "x", buckets=8))
+    r = one(drift.cdf_distances(*frames, "x", pieces=8))
     grid = np.unique(np.concatenate([a, b]))
     f, g = (np.searchsorted(np.sort(v), grid, side="right") / len(v) for v in (a, b))
     gaps = np.diff(grid)
