@@ -65,6 +65,13 @@ class Pieces:
         joined = local.join(before, KEYS, "left").withColumns({name: F.col(name) + F.coalesce(f"__o_{name}", F.lit(0)) for name in values})
         return self._with(joined.drop(*[f"__o_{name}" for name in values]), [*values, *[f"{name}_total" for name in values]])
 
+    def least_before(self, term: Column, name: str) -> "Pieces":
+        """Add the least ``term`` of all rows before, null if there is none."""
+        least = self.rows.groupBy(*KEYS).agg(F.min(term).alias("__least"))
+        carried = _before(least, self.most, {"__least": lambda rows: F.min("__least")}, F.least, self.fan)
+        local = self.rows.withColumn("__local", F.min(term).over(self.inside.rowsBetween(Window.unboundedPreceding, -1)))
+        return self._with(local.join(carried, KEYS, "left").withColumn(name, F.least("__local", "__least")).drop("__local", "__least"), [name])
+
     def _with(self, rows: DataFrame, added: Sequence[str]) -> "Pieces":
         out = object.__new__(Pieces)
         out.__dict__.update(self.__dict__)

@@ -1,15 +1,13 @@
 """Review intake, visibility, moderation and statistics."""
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer import fixed_values as fv
-from assayer.functions.ordered import with_previous, with_running_sums
+from assayer.functions.ordered import Pieces
 from assayer.functions.text import collapse_spaces, strip
 from assayer.functions.times import instant, micros, months_before
 from assayer.operators.catalog import latest
+from assayer.session import durable
 
 
 def visibility_months(raw: str | None) -> int:
@@ -121,40 +119,52 @@ def rating_stats(reviews: DataFrame, as_of: Column, months: int = fv.REVIEW_MONT
 # ------------------------------------------------------------ rate limit
 
 
-def rate_limit(events: DataFrame, key: str, time: str, tie: str, wait_seconds: int = fv.REVIEW_WAIT_SECONDS, bucket: str = "day") -> DataFrame:
+def _next_moments(moments: DataFrame, wait: int, pieces: int | None) -> DataFrame:
+    """(k, t, jump, accepted): for each moment the first one more than ``wait`` later
+    in ``jump``, and whether it is accepted whatever came before.
+
+    Going back in time over the moments and the ends of their waits, the least
+    moment so far is the next one; that needs no look at more than one row.
+    """
+    ends = moments.select("k", "t", (F.col("t") + wait).alias("at"), F.lit(0).alias("own"))
+    both = moments.select("k", "t", F.col("t").alias("at"), F.lit(1).alias("own")).unionByName(ends).withColumn("back", -F.col("at"))
+    seen = Pieces(both, ["k"], ["back", "own"], pieces).least_before(F.when(F.col("own") == 1, F.col("t")), "next").frame()
+    # behind a pause longer than the wait a moment is accepted, as is the first one
+    free = seen.where((F.col("own") == 1) & (F.col("next") - F.col("t") > wait)).select("k", F.col("next").alias("t"))
+    free = free.unionByName(moments.groupBy("k").agg(F.min("t").alias("t"))).select("k", "t", F.lit(None).cast("bigint").alias("jump"), F.lit(True).alias("accepted"))
+    jumps = seen.where("own = 0").select("k", "t", F.col("next").alias("jump"), F.lit(False).alias("accepted"))
+    nodes = jumps.unionByName(free).groupBy("k", "t").agg(F.max("jump").alias("jump"), F.max("accepted").alias("accepted"))
+    known = free.select("k", F.col("t").alias("jump"), F.lit(True).alias("known"))
+    return nodes.join(known, ["k", "jump"], "left").select("k", "t", F.when(F.col("known").isNull(), F.col("jump")).alias("jump"), "accepted")
+
+
+def _follow(nodes: DataFrame) -> DataFrame:
+    """Accepted moments (k, t): all that jumps reach from accepted ones.
+
+    Each round marks what the accepted moments jump to and doubles the jumps, so
+    a chain of n accepted moments takes about log2(n) rounds.
+    """
+    nodes = durable(nodes)
+    while not nodes.where("jump IS NOT NULL").isEmpty():
+        beyond = nodes.where("jump IS NOT NULL").select("k", F.col("t").alias("jump"), F.col("jump").alias("farther"))
+        reached = nodes.where("accepted AND jump IS NOT NULL").select("k", F.col("jump").alias("t")).distinct().withColumn("reached", F.lit(True))
+        doubled = nodes.join(beyond, ["k", "jump"], "left").select("k", "t", F.col("farther").alias("jump"), "accepted")
+        nodes = durable(doubled.join(reached, ["k", "t"], "left").select("k", "t", "jump", (F.col("accepted") | F.col("reached").isNotNull()).alias("accepted")))
+    return nodes.where("accepted").select("k", "t")
+
+
+def rate_limit(events: DataFrame, key: str, time: str, tie: str, wait_seconds: int = fv.REVIEW_WAIT_SECONDS, pieces: int | None = None) -> DataFrame:
     """Add ``accepted`` to each event: the first of its key, or more than the wait
     after the last accepted one.
 
-    A pause longer than the wait always ends a chain, so chains between pauses
-    are independent. Equal times of a key collapse first (only the first can
-    pass), then each chain streams through a task with one number as state:
-    a busy key is spread over its chains and no group is held in memory.
+    Equal times of a key collapse first (only the first can pass). Each moment
+    points to the next one that could pass after it; what a chain of pointers
+    reaches is accepted. A key whose events never pause is a long chain, spread
+    over tasks like any other rows.
     """
-    wait = wait_seconds * 1_000_000
-    at = micros(F.col(time))
-    moments = events.groupBy(F.col(key).alias("k"), at.alias("t")).agg(F.min(tie).alias("first_tie"))
-    day = F.date_trunc(bucket, F.timestamp_micros("t"))
-    linked = with_previous(moments, ["k"], ["t"], ["t"], day)
-    starts = F.when(F.col("prev.t").isNull() | (F.col("t") - F.col("prev.t") > wait), 1).otherwise(0)
-    chains = with_running_sums(linked.select("k", "t", "first_tie", starts.alias("starts")), ["k"], ["t"], {"chain": F.col("starts")}, day)
-    ordered = chains.select("k", "chain", "t", "first_tie").repartition("k", "chain").sortWithinPartitions("k", "chain", "t")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, last = None, None
-        for batch in batches:
-            passed = []
-            for k, chain, t in zip(batch["k"], batch["chain"], batch["t"]):
-                if (k, chain) != current:
-                    current, last = (k, chain), None
-                ok = last is None or t - last > wait
-                last = t if ok else last
-                passed.append(ok)
-            yield batch.assign(passed=passed)
-
-    kind = events.schema[key].dataType.simpleString()
-    tie_kind = events.schema[tie].dataType.simpleString()
-    judged = ordered.mapInPandas(run, f"k {kind}, chain bigint, t bigint, first_tie {tie_kind}, passed boolean").filter("passed")
-    winners = judged.select(F.col("k").alias("__k"), F.col("first_tie").alias("__tie"), F.lit(True).alias("__passed"))
+    moments = events.groupBy(F.struct(F.col(key).alias("key")).alias("k"), micros(F.col(time)).alias("t")).agg(F.min(tie).alias("first_tie")).where("t IS NOT NULL")
+    passed = _follow(_next_moments(moments.select("k", "t"), wait_seconds * 1_000_000, pieces))
+    winners = moments.join(passed, ["k", "t"]).select(F.col("k.key").alias("__k"), F.col("first_tie").alias("__tie"), F.lit(True).alias("__passed"))
     joined = events.join(winners, F.col(key).eqNullSafe(F.col("__k")) & (F.col(tie) == F.col("__tie")), "left")
     return joined.withColumn("accepted", F.coalesce("__passed", F.lit(False))).drop("__k", "__tie", "__passed")
 

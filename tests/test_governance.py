@@ -186,11 +186,20 @@ def test_rate_limit_against_sequence(spark):
     rng = random.Random(5)
     events = [(rng.choice(["hot", "hot", "hot", "b", "c"]), rng.randrange(0, 4000), i) for i in range(600)] + [("edge", 0, 700), ("edge", 60, 701), ("edge", 61, 702)]
     df = spark.createDataFrame(events, "u string, t long, i int").withColumn("at", F.timestamp_seconds("t"))
-    got = {r["i"]: r["accepted"] for r in rv.rate_limit(df, "u", "at", "i", 60, "hour").collect()}
+    got = {r["i"]: r["accepted"] for r in rv.rate_limit(df, "u", "at", "i", 60, pieces=5).collect()}
     assert got == _brute_limit(events, 60)
     assert [got[i] for i in (700, 701, 702)] == [True, False, True]  # sixty seconds are not enough
 
 
+def test_rate_limit_on_an_endless_chain(spark):
+    """One user sends every half wait, another every second, and neither ever pauses."""
+    events = [("endless", 30 * n, n) for n in range(3000)] + [("dense", n, 10_000 + n) for n in range(1500)] + [(None, 45 * n, 20_000 + n) for n in range(200)]
+    df = spark.createDataFrame(events, "u string, t long, i int").repartition(6).withColumn("at", F.timestamp_seconds("t"))
+    got = {r["i"]: r["accepted"] for r in rv.rate_limit(df, "u", "at", "i", 60, pieces=9).collect()}
+    assert got == _brute_limit(events, 60)
+    assert sum(got.values()) == 1000 + 25 + 100
+
+
 def test_review_upsert(spark):
     schema = "id string, user_id string, review_text string, rating int, status string, created_at timestamp, updated_at timestamp"
     old, base = dt.datetime(2026, 1, 1), dt.datetime(2026, 6, 1)
