@@ -166,6 +166,18 @@ def test_language_model_counts_and_norm(spark, tmp_path):
     assert sum(r.score for r in longer) > 0.8 * sum(r.base_score for r in unseen)
 
 
+@pytest.mark.parametrize(("shortlist", "listed"), [(0, 0), (3, 0), (5, 12), (5, 2000)])
+def test_language_model_counts_at_any_size_of_its_lists(spark, shortlist, listed):
+    rng = random.Random(3)
+    rows = ODD + [(30 + i, _prose(rng, rng.randrange(40))) for i in range(120)]
+    found = neural.score(_frame(spark, [(i, t, "en", "s") for i, t in rows]), shortlist=shortlist, listed=listed).collect()
+    want, _ = _base(rows)
+    order = lambda r: (str(r[0]), r[2], r[5])
+    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in found), key=order)
+    for mine, theirs in zip(got, sorted(want, key=order), strict=True):
+        assert mine[:5] == theirs[:5] and mine[5] == pytest.approx(theirs[5], rel=1e-9)
+
+
 def test_language_model_by_its_definition(spark):
     """One text with a shortlist of two: probabilities of all words and an unseen one sum to 1."""
     learnt, held = ([i for i in range(1, 200) if (zlib.crc32(str(i).encode()) % 5 == 1) == out] for out in (False, True))
