@@ -287,6 +287,27 @@ def test_rate_limit_stream(spark, tmp_path):
     assert got == {"1": True, "2": False, "3": True, "4": True, "5": False, "6": True, "7": True}
 
 
+def test_rate_limit_stream_over_many_batches_forgets_idle_users(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    source, schema = str(tmp_path / "in"), "event_id string, user_id string, at timestamp"
+    batches, at = [], 0
+    for n in range(6):  # batches follow each other in time, rows inside one do not
+        times = at + rng.permutation(400)
+        batches.append([(f"{n}-{k:03d}", "hot" if k % 3 else f"u{n}", int(t)) for k, t in enumerate(times)])
+        at += 400
+    last, want = {}, {}
+    for rows in batches:
+        spark.createDataFrame(rows, "event_id string, user_id string, s long").select("event_id", "user_id", F.timestamp_seconds("s").alias("at")).coalesce(1).write.mode("append").parquet(source)
+        out = limit_stream(spark.readStream.schema(schema).parquet(source), 60, "10 seconds")
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "chk")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        for name, user, t in sorted(rows, key=lambda r: (r[2], r[0])):
+            want[name] = user not in last or t - last[user] > 60
+            last[user] = t if want[name] else last[user]
+    assert {r["event_id"]: r["accepted"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+    kept = spark.read.format("statestore").option("stateVarName", "last").load(str(tmp_path / "chk")).selectExpr("key.user_id").collect()
+    assert {r[0] for r in kept} <= {"hot", "u5"} and kept
+
+
 def test_audit_stream_keeps_late_events(spark, tmp_path):
     source = tmp_path / "in"
     schema = "id string, action string, metadata string, created_at timestamp"
