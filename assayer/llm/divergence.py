@@ -2,19 +2,22 @@
 
 CountVectorizer learns the terms of each language that at least ``least``
 documents hold, without a bound on their number, and turns documents into sparse
-vectors. Sums per group over these vectors hold only the terms that occur; pairs
-of sources are compared block by block of the vocabulary from the sparse sums.
+vectors. Each task sums its vectors by source, as a summarizer does, and holds only
+terms that occur; pairs of sources are compared block by block of the vocabulary
+from the sparse sums.
 
 A language whose vocabulary is over ``PART`` terms is learnt in parts, each of the
 terms with one remainder of their hash, so that neither a vectorizer nor a
 vocabulary grows with the corpus.
 """
 
+from collections.abc import Iterator
 from uuid import uuid4
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -25,7 +28,9 @@ from assayer.session import checkpoint_folder
 TERM_BYTES = np.where(np.arange(256) < 128, 32, np.arange(256)).astype(np.uint8)
 TERM_BYTES[97:123] = TERM_BYTES[65:91] = np.arange(97, 123)
 LEAST, SCALE, ADDED, BEST = 30, 1_000_000_000, 5, 50
-PART, BLOCK, TILE = 1 << 18, 4096, 256
+PART, BLOCK, TILE = 1 << 18, 512, 256
+#: Entries of group sums that a task holds before it passes them on.
+HELD = 1 << 20
 
 
 def _spaced(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -50,8 +55,37 @@ def spaced_texts(docs: DataFrame, folder: str) -> tuple[DataFrame, dict[str, int
     return docs.sparkSession.read.schema("lang string, source string, text string, part_of int").parquet(f"{folder}/texts"), {x: i for i, x in enumerate(langs)}
 
 
+def _group_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of sparse vectors (source, indices, values) by source and index, over as
+    many vectors as ``HELD`` sums allow."""
+    numbers: dict[str, int] = {}
+    keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def passed() -> pa.RecordBatch:
+        own = pa.array(list(numbers)).take(pa.array(keys >> 32))
+        return pa.record_batch([own, pa.array(keys & 0xFFFFFFFF), pa.array(sums)], names=["source", "place", "count"])
+
+    for batch in batches:
+        indices = batch.column("indices")
+        owner = np.array([numbers.setdefault(x, len(numbers)) for x in batch.column("source").to_pylist()], np.int64)
+        sizes = pa.compute.list_value_length(indices).to_numpy(zero_copy_only=False)
+        found = np.repeat(owner, sizes) << 32 | indices.flatten().to_numpy(zero_copy_only=False)
+        counts = batch.column("counts").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        found, counts = np.concatenate([keys, found]), np.concatenate([sums, counts])
+        order = np.argsort(found, kind="stable")
+        found = found[order]
+        first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else np.zeros(0, np.int64)
+        keys, sums = found[first], np.add.reduceat(counts[order], first) if len(first) else counts
+        if len(keys) > HELD:
+            yield passed()
+            keys, sums = keys[:0], sums[:0]
+            numbers.clear()
+    if len(keys):
+        yield passed()
+
+
 def vectorize(texts: DataFrame, langs: dict[str, int], folder: str, least: int = LEAST, part: int = PART) -> tuple[DataFrame, DataFrame] | None:
-    """Vocabulary (lang, term, code) and document vectors (lang, source, codes, counts).
+    """Vocabulary (lang, term, code) and sums of document vectors (lang, source, code, count).
 
     None if no term is in ``least`` documents of its language. Codes number the
     terms of a language; both tables are written below ``folder``.
@@ -63,18 +97,20 @@ def vectorize(texts: DataFrame, langs: dict[str, int], folder: str, least: int =
     for lang, kept in sizes:
         parts = -(-kept // part)
         for number in range(parts):
-            own = found.where(F.col("part_of") == langs[lang])
+            own = found.where(F.col("part_of") == langs[lang]).select("source", "terms")
             if parts > 1:
                 own = own.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(parts)) == number))  # noqa: B023
             model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(least), vocabSize=2**31 - 1).fit(own)
             vector = F.unwrap_udt(F.col("vector"))
-            codes = F.transform(vector["indices"], lambda i: i.cast("bigint") * parts + number)  # noqa: B023
-            model.transform(own).select("lang", "source", codes.alias("codes"), vector["values"].alias("counts")).write.mode("append").parquet(f"{folder}/vectors")
+            vectors = model.transform(own).select("source", vector["indices"].alias("indices"), vector["values"].alias("counts"))
+            sums = words.small_batches(vectors).mapInArrow(_group_sums, "source string, place bigint, count bigint")
+            sums.select(F.lit(lang).alias("lang"), "source", (F.col("place") * parts + number).alias("code"), "count").write.mode("append").parquet(f"{folder}/partial")
             names = spark.createDataFrame([(lang, t, i * parts + number) for i, t in enumerate(model.vocabulary)], "lang string, term string, code bigint")
             names.write.mode("append").parquet(f"{folder}/terms")
     if not sizes:
         return None
-    return spark.read.parquet(f"{folder}/terms"), spark.read.parquet(f"{folder}/vectors")
+    partial = spark.read.parquet(f"{folder}/partial")
+    return spark.read.parquet(f"{folder}/terms"), partial.groupBy("lang", "source", "code").agg(F.sum("count").alias("count"))
 
 
 def _share(count: Column, total: Column, size: Column) -> Column:
@@ -145,20 +181,20 @@ def audit(docs: DataFrame, least: int = LEAST, best: int = BEST, part: int = PAR
     others = others.select("a.lang", "a.source", F.col("b.source").alias("item"), F.least("a.member", "b.member").alias("a"), F.greatest("a.member", "b.member").alias("b"))
     if vectors is None:
         return _ranked(others.select("lang", "source", F.lit("pair").alias("kind"), "item", F.lit(0).cast("bigint").alias("value")))
-    vocabulary, rows = vectors
-    entries = rows.select("lang", "source", F.explode(F.arrays_zip("codes", "counts")).alias("e"))
-    sums = entries.groupBy("lang", "source", F.col("e.codes").alias("code")).agg(F.sum(F.col("e.counts").cast("bigint")).alias("count"))
+    vocabulary, sums = vectors
     sums.write.parquet(f"{folder}/sums")
     sums = spark.read.parquet(f"{folder}/sums")
     sizes = vocabulary.groupBy("lang").agg(F.count("*").alias("size"))
     totals = groups.join(sums.groupBy("lang", "source").agg(F.sum("count").alias("total")), ["lang", "source"], "left").na.fill({"total": 0}).join(F.broadcast(sizes), "lang")
-    shares = sums.join(totals, ["lang", "source"]).withColumn("p", _share(F.col("count"), F.col("total"), F.col("size")))
-    pairs = _pairs(shares, totals, vocabulary, block, tile)
-    valued = others.join(pairs, ["lang", "a", "b"], "left").select("lang", "source", F.lit("pair").alias("kind"), "item", F.coalesce("value", F.lit(0).cast("bigint")).alias("value"))
     whole = sums.groupBy("lang", "code").agg(F.sum("count").alias("all"))
     everything = totals.groupBy("lang").agg(F.sum("total").alias("everything"), F.max("size").alias("size"))
     whole = whole.join(F.broadcast(everything), "lang").select("lang", "code", _share(F.col("all"), F.col("everything"), F.col("size")).alias("q"))
-    own = shares.select("lang", "source", "code", "p").join(whole, ["lang", "code"]).where("p > q").join(vocabulary, ["lang", "code"])
+    shares = sums.join(totals, ["lang", "source"]).withColumn("p", _share(F.col("count"), F.col("total"), F.col("size")))
+    shares.join(whole, ["lang", "code"]).select("lang", "source", "member", "code", "p", "q").write.parquet(f"{folder}/shares")
+    shares = spark.read.parquet(f"{folder}/shares")
+    pairs = _pairs(shares, totals, vocabulary, block, tile)
+    valued = others.join(pairs, ["lang", "a", "b"], "left").select("lang", "source", F.lit("pair").alias("kind"), "item", F.coalesce("value", F.lit(0).cast("bigint")).alias("value"))
+    own = shares.where("p > q").join(vocabulary, ["lang", "code"])
     own = own.select("lang", "source", F.lit("term").alias("kind"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     return _ranked(valued).unionByName(_ranked(own, best))
 
