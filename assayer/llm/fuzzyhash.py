@@ -43,19 +43,11 @@ def _signature(data: np.ndarray, ends: np.ndarray) -> str:
     if not len(ends) or ends[-1] < len(data):
         ends = np.append(ends, len(data))
     starts = np.concatenate(([0], ends[:-1]))
-    letters = np.array([_chunk(data[a:b]) for a, b in zip(starts, ends, strict=True) if b - a > BLOCK or len(data) > BLOCK], np.int64)
     if len(data) <= BLOCK:
-        letters = (words.span_hashes(data, starts, ends) & np.uint64(63)).astype(np.int64)
-    return ALPHABET[letters].tobytes().decode()
-
-
-def _chunk(data: np.ndarray) -> int:
-    """As the hash of a span, over a chunk of any length, in blocks."""
-    state = np.uint64(len(data))
-    for low in range(0, max(len(data), 1), BLOCK):
-        part = data[low : low + BLOCK]
-        state = words.mix(np.array([state]) + words.span_hashes(part, np.array([0]), np.array([len(part)])))[0]
-    return int(state & np.uint64(63))
+        hashes = words.span_hashes(data, starts, ends)
+    else:
+        hashes = np.array([words.long_hash(data[a:b]) for a, b in zip(starts, ends, strict=True)], np.uint64)
+    return ALPHABET[(hashes & np.uint64(63)).astype(np.int64)].tobytes().decode()
 
 
 def fingerprint(raw: bytes) -> str:
@@ -236,4 +228,4 @@ def fingerprints(docs: DataFrame, rows: int = 4096) -> DataFrame:
     ).select("to.bucket", "to.guest", "doc_id", "absent", "text")
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = both.repartition(max(shuffles, 1), "bucket").sortWithinPartitions("bucket", "guest", "doc_id", "text")
-    return words.small_batches(sorted_.select("bucket", "guest", F.when(~F.col("absent"), F.col("doc_id")).alias("doc_id"), "text"), rows=1000).mapInArrow(_compared, FIELDS)
+    return words.small_batches(sorted_.select("bucket", "guest", F.when(~F.col("absent"), F.col("doc_id")).alias("doc_id"), "text")).mapInArrow(_compared, FIELDS)

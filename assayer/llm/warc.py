@@ -16,6 +16,7 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from assayer.llm import words
 from assayer.session import durable
 
 VERSION, END = "WARC/1.1", "\r\n"
@@ -163,9 +164,8 @@ def _read(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.Recor
 
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """All records of the archives under ``path``; payloads only if asked for."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(partial(_read, payload=payload), RECORDS + ", payload binary" * payload)
+    return words.small_batches(files).mapInArrow(partial(_read, payload=payload), RECORDS + ", payload binary" * payload)
 
 
 def transactions(recs: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 A column of texts is looked at as one run of UTF-8 bytes with document offsets.
 Hashes are polynomial prefix sums modulo 2**64 over random byte values, so the
 hash of any span costs one subtraction; work goes in blocks of ``BLOCK`` bytes,
-which bounds memory whatever the length of a text. Null texts count as empty.
+which bounds memory whatever the length of a text. Modulo a power of two, texts of
+``LONG`` bytes or more can be built that agree in any such sum, so longer spans take
+in a second sum modulo a prime. Null texts count as empty.
 """
 
 from collections.abc import Callable, Iterator
@@ -13,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 BLOCK = 1 << 20
+LONG = 512
 _BASE = 0x9E3779B97F4A7C15
+_PRIME, _PRIME_BASE = (1 << 31) - 1, 1_103_515_245
 _cache: dict[str, np.ndarray] = {}
 
 
@@ -45,13 +49,61 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _cache["up"], _cache["down"]
 
 
-def span_hashes(block: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each span [start, end) of a block of bytes; equal bytes, equal hash."""
+def _prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base modulo the prime and of its inverse, in doubled steps."""
+    if len(_cache.get("prime_up", ())) <= n:
+        size = max(n, BLOCK) + 1
+        for name, base in (("prime_up", _PRIME_BASE), ("prime_down", pow(_PRIME_BASE, -1, _PRIME))):
+            p = np.ones(1, np.uint64)
+            while len(p) < size:
+                p = np.concatenate([p, p * np.uint64(pow(base, len(p), _PRIME)) % np.uint64(_PRIME)])
+            _cache[name] = p[:size]
+    return _cache["prime_up"], _cache["prime_down"]
+
+
+def span_sums(block: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sum of value * base**(place in the span) of each span, modulo 2**64."""
     up, down = _powers(len(block))
     sums = np.zeros(len(block) + 1, np.uint64)
     np.cumsum(VALUES[block] * up[: len(block)], out=sums[1:])
-    lengths = (ends - starts).astype(np.uint64)
-    return mix((sums[ends] - sums[starts]) * down[starts] + lengths * np.uint64(0xA0761D6478BD642F))
+    return (sums[ends] - sums[starts]) * down[starts]
+
+
+def prime_sums(block: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """As ``span_sums``, modulo a prime of 31 bits."""
+    up, down = _prime_powers(len(block))
+    prime = np.uint64(_PRIME)
+    sums = np.zeros(len(block) + 1, np.uint64)
+    np.cumsum((VALUES % prime)[block] * up[: len(block)] % prime, out=sums[1:])
+    return (sums[ends] - sums[starts]) % prime * down[starts] % prime
+
+
+def _finished(sums: np.ndarray, primes: np.ndarray | None, lengths: np.ndarray) -> np.ndarray:
+    out = mix(sums + lengths.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    return out if primes is None else mix(out ^ (primes + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def span_hashes(block: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each span [start, end) of a block of bytes; equal bytes, equal hash."""
+    sums, lengths = span_sums(block, starts, ends), ends - starts
+    out = _finished(sums, None, lengths)
+    long = np.flatnonzero(lengths >= LONG)
+    if len(long):
+        out[long] = _finished(sums[long], prime_sums(block, starts[long], ends[long]), lengths[long])
+    return out
+
+
+def long_hash(data: np.ndarray) -> np.uint64:
+    """The hash of all of ``data`` as one span, whatever its length, in blocks."""
+    if len(data) <= BLOCK:
+        return span_hashes(data, np.array([0]), np.array([len(data)]))[0]
+    total, prime = 0, 0
+    for low in range(0, len(data), BLOCK):
+        part = data[low : low + BLOCK]
+        ends = np.array([0]), np.array([len(part)])
+        total += int(span_sums(part, *ends)[0]) * pow(_BASE, low, 1 << 64)
+        prime += int(prime_sums(part, *ends)[0]) * pow(_PRIME_BASE, low, _PRIME)
+    return _finished(np.array([total % (1 << 64)], np.uint64), np.array([prime % _PRIME], np.uint64), np.array([len(data)]))[0]
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +135,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, side="right")))
         low = starts[i]
-        out[i:j] = span_hashes(fold[data[low : ends[j - 1]]], starts[i:j] - low, ends[i:j] - low)
+        folded = fold[data[low : ends[j - 1]]]
+        out[i:j] = long_hash(folded) if j == i + 1 else span_hashes(folded, starts[i:j] - low, ends[i:j] - low)
         i = j
     return out
 
@@ -149,11 +202,17 @@ def map_texts(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return small_batches(df).mapInArrow(run, schema)
 
 
-def small_batches(df: DataFrame, rows: int = 2000, size: int = 4 << 20) -> DataFrame:
-    """Bound what one Arrow batch to a Python worker may hold."""
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bound what one Arrow batch to a Python worker may hold. All operators use the
+    same bounds, and lower ones of the session stay, so no order of calls matters."""
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    for name, most in BATCHES.items():
+        held = conf.get(name) or ""
+        if not (held.isdigit() and 0 < int(held) <= most):
+            conf.set(name, str(most))
     return df
 
 
