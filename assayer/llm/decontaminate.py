@@ -45,6 +45,13 @@ def _near(values: np.ndarray, bits: int, flips: int) -> np.ndarray:
     return (values[:, None] ^ np.array(masks)[None, :]).reshape(-1)
 
 
+class Weights(dict[int, float]):
+    """Weight of each shingle that several items hold; any other weighs 1."""
+
+    def __missing__(self, shingle: int) -> float:
+        return 1.0
+
+
 @dataclass
 class Index:
     """Fingerprints of benchmark items by window size.
@@ -63,7 +70,7 @@ class Index:
     item_ids: list[int]
     lengths: list[int]
     shingles: list[dict[int, float]]
-    weights: dict[int, float]
+    weights: Weights
     sizes: dict[int, list[tuple[int, int, int]]] = field(default_factory=dict)  # size -> (fingerprint, item, offset)
     tables: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     anchors: dict[int, list[int]] = field(default_factory=dict)  # shingle -> items
@@ -77,14 +84,17 @@ def _size(most: float) -> int:
     return size
 
 
-def build(items: list[tuple[int, str]]) -> Index:
-    """Index of (item_id, text); items without words match nothing."""
+def build(items: list[tuple[int, str]], spread: dict[int, int] | None = None) -> Index:
+    """Index of (item_id, text); items without words match nothing. ``spread`` has
+    the number of items for each shingle that several items of the benchmark hold;
+    without it the given items are the whole benchmark."""
     data, offsets = words.text_bytes(pa.array([t for _, t in items], pa.string()))
     starts, ends, bounds = words.find_words(data, offsets, words.ALNUM)
     hashes = words.word_hashes(data, starts, ends)
     lists = [words.shingle_hashes(hashes[a:b], np.array([0, b - a]), SHINGLE)[0].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    spread = Counter(s for one in lists for s in set(one))
-    weights = {s: 1 / (1 + log2(n)) for s, n in spread.items()}
+    if spread is None:
+        spread = {s: n for s, n in Counter(s for one in lists for s in set(one)).items() if n > 1}
+    weights = Weights({s: 1 / (1 + log2(n)) for s, n in spread.items()})
     index = Index([i for i, _ in items], [int(n) for n in np.diff(bounds)], [{s: n * weights[s] for s, n in Counter(one).items()} for one in lists], weights)
     for item, (a, length) in enumerate(zip(bounds[:-1], index.lengths, strict=True)):
         whole = _size(max(1, length * LEAST))
@@ -139,7 +149,7 @@ def similarity(index: Index, item: int, shingles: list[int]) -> float:
     theirs = index.shingles[item]
     mine = Counter(shingles)
     both = sum(min(w, mine[s] * index.weights[s]) for s, w in theirs.items() if s in mine)
-    total = sum(theirs.values()) + sum(n * index.weights.get(s, 1.0) for s, n in mine.items())
+    total = sum(theirs.values()) + sum(n * index.weights[s] for s, n in mine.items())
     return both / (total - both) if total > both else 1.0
 
 
@@ -246,10 +256,25 @@ def _matches(batch: pa.RecordBatch, index: Index) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "similarity", "distance", "first_word", "n_words"])
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def _item_shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The distinct shingles of each item."""
+    data, offsets = words.text_bytes(batch.column("text"))
+    starts, ends, bounds = words.find_words(data, offsets, words.ALNUM)
+    values, _ = words.distinct_per_text(*words.shingle_hashes(words.word_hashes(data, starts, ends), bounds, SHINGLE))
+    return pa.record_batch([pa.array(values.view(np.int64))], names=["shingle"])
+
+
+def shingle_spread(items: DataFrame) -> dict[int, int]:
+    """Number of items for each shingle that several items hold, over the whole
+    benchmark: its items are the stated query set, and this is smaller."""
+    found = words.map_texts(items.select("text").where("text is not null"), _item_shingles, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n"))
+    return {r.shingle % (1 << 64): r.n for r in found.where("n > 1").collect()}
+
+
+def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
     block, size = [], 0
-    for row in items.select(F.col("item_id").cast("bigint"), "text").where("text is not null").toLocalIterator():
-        if block and size + len(row[1]) > ITEM_BLOCK:
+    for row in items.select(F.col("item_id").cast("bigint"), "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
+        if block and size + len(row[1]) > most:
             yield block
             block, size = [], 0
         block.append((row[0], row[1]))
@@ -258,7 +283,7 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, block: int = ITEM_BLOCK) -> DataFrame:
     """Which documents hold which benchmark items.
 
     Words are runs of letters and digits (everything beyond ASCII counts as a
@@ -271,11 +296,14 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     and all with an anchor of the item, so no passage alike by 0.8 is missed.
     Windows are cut at the ends of a document. Null and empty texts on
     either side match nothing; repeated rows each give their rows; other columns
-    are ignored. The items are the stated query set: they are read in blocks of
-    ``ITEM_BLOCK`` characters and each block meets all documents in one pass.
+    are ignored. The items are the stated query set: they are read by item_id in
+    blocks of ``block`` characters and each block meets all documents in one pass.
+    Shingles weigh by the number of items of the whole benchmark that hold them,
+    so results do not depend on the blocks.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
-    parts = [words.map_texts(texts, partial(_matches, index=build(block)), SCHEMA) for block in _blocks(items)]
+    spread = shingle_spread(items)
+    parts = [words.map_texts(texts, partial(_matches, index=build(own, spread)), SCHEMA) for own in _blocks(items, block)]
     if not parts:
         return docs.sparkSession.createDataFrame([], SCHEMA)
     return reduce(DataFrame.union, parts)
