@@ -11,7 +11,7 @@ from assayer.llm import words
 
 CHUNK, STEP = 256, 192
 WIDTH, DEPTH, FILTERS, STRIDE = 8, 4, 24, 2
-SAMPLE, CHUNKS = 4000, 8
+SAMPLE, EPOCHS = 4000, 8
 AT_ONCE = 256
 
 
@@ -32,14 +32,15 @@ class Network:
         view = np.lib.stride_tricks.sliding_window_view(flat, WIDTH * DEPTH, axis=1)[:, :: STRIDE * DEPTH]
         return np.ascontiguousarray(view)
 
-    def pooled(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Largest answer of each filter in each chunk, not below 0; where; the inputs."""
-        x = self.windows(chunks)
-        answers = x.reshape(-1, WIDTH * DEPTH) @ self.filters
-        answers = answers.reshape(len(chunks), -1, FILTERS)
-        at = answers.argmax(axis=1) if len(chunks) <= AT_ONCE else None
-        best = answers.max(axis=1) + self.bias
-        return np.maximum(best, 0), at, x
+    def pooled(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Largest answer of each filter in each chunk, not below 0, and where."""
+        best, at = np.empty((len(chunks), FILTERS), self.filters.dtype), np.empty((len(chunks), FILTERS), np.int64)
+        for low in range(0, len(chunks), AT_ONCE):
+            own = chunks[low : low + AT_ONCE]
+            answers = (self.windows(own).reshape(-1, WIDTH * DEPTH) @ self.filters).reshape(len(own), -1, FILTERS)
+            at[low : low + AT_ONCE] = answers.argmax(axis=1)
+            best[low : low + AT_ONCE] = answers.max(axis=1)
+        return np.maximum(best + self.bias, 0), at
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Probability of good quality of each text."""
@@ -47,10 +48,7 @@ class Network:
         starts, ends, owner = _layout(np.array(rows, np.int64).reshape(-1, 2))
         best = np.empty((len(starts), FILTERS), np.float32)
         for i in range(0, len(starts), AT_ONCE):
-            chunks = _cut(data, starts[i : i + AT_ONCE], ends[i : i + AT_ONCE])
-            x = self.windows(chunks).reshape(-1, WIDTH * DEPTH) @ self.filters
-            best[i : i + AT_ONCE] = x.reshape(len(chunks), -1, FILTERS).max(axis=1)
-        best = np.maximum(best + self.bias, 0)
+            best[i : i + AT_ONCE], _ = self.pooled(_cut(data, starts[i : i + AT_ONCE], ends[i : i + AT_ONCE]))
         features = _combine(best, owner, len(rows))
         return 1 / (1 + np.exp(-np.clip(features @ self.weights + self.offset, -30, 30)))
 
@@ -79,11 +77,36 @@ def _combine(best: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
     return np.concatenate([np.maximum.reduceat(best, first), np.add.reduceat(best, first) / counts], axis=1)
 
 
-def fit(chunks: list[np.ndarray], labels: np.ndarray, epochs: int = 10, rate: float = 0.01, seed: int = 7) -> Network:
-    """Train on the chunks of each text and its label, 1 for good.
-
-    Logistic loss, Adam steps over batches of 32 texts. Only the position at
-    which a filter answers most passes a gradient on.
+def gradients(net: Network, chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean logistic loss of texts, given as chunks with their text's number, and its
+    gradients. Only the place at which a filter answers most passes a gradient on."""
+    best, at = net.pooled(chunks)
+    sizes = np.bincount(owner, minlength=len(labels))
+    features = _combine(best, owner, len(labels))
+    z = np.clip(features @ net.weights + net.offset, -30, 30)
+    loss = float(np.mean(np.logaddexp(0, z) - labels * z))
+    error = ((1 / (1 + np.exp(-z)) - labels) / len(labels)).astype(net.filters.dtype)
+    back = error[:, None] * net.weights
+    top = best == features[owner, :FILTERS]
+    # of equal chunks the first one counts
+    first = np.full(features[:, :FILTERS].shape, len(chunks))
+    np.minimum.at(first, owner, np.where(top, np.arange(len(chunks))[:, None], len(chunks)))
+    top = np.arange(len(chunks))[:, None] == first[owner]
+    grad = (top * back[owner, :FILTERS] + back[owner, FILTERS:] / sizes[owner][:, None]) * (best > 0)
+    spread = chunks[np.arange(len(chunks))[:, None, None], (at * STRIDE)[:, :, None] + np.arange(WIDTH)]
+    inputs = net.embedding[spread].reshape(len(chunks), FILTERS, WIDTH * DEPTH)
+    to_input = (grad[:, :, None] * net.filters.T[None]).reshape(-1, DEPTH)
+    to_byte = np.stack([np.bincount(spread.reshape(-1), to_input[:, d], 256) for d in range(DEPTH)], axis=1)
+    return loss, {
+        "embedding": to_byte.astype(net.filters.dtype), "filters": np.einsum("cfi,cf->if", inputs, grad), "bias": grad.sum(axis=0),
+        "weights": features.T @ error, "offset": float(error.sum()),
+    }
+
+
+def fit(chunks: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, seed: int = 7) -> Network:
+    """Train on all chunks of each text and its label, 1 for good.
+
+    Logistic loss, Adam steps over batches of 32 texts.
     """
     rng = np.random.default_rng(seed)
     f32 = np.float32
@@ -101,23 +124,8 @@ def fit(chunks: list[np.ndarray], labels: np.ndarray, epochs: int = 10, rate: fl
         pace = rate * (1 - epoch / epochs)
         for low in range(0, len(order), 32):
             pick = order[low : low + 32]
-            sizes = np.array([len(chunks[i]) for i in pick])
-            owner = np.repeat(np.arange(len(pick)), sizes)
-            block = np.concatenate([chunks[i] for i in pick])
-            best, at, x = net.pooled(block)
-            features = _combine(best, owner, len(pick))
-            error = (1 / (1 + np.exp(-(features @ net.weights + net.offset))) - labels[pick]).astype(f32) / len(pick)
-            back = error[:, None] * net.weights
-            top = features[:, :FILTERS]
-            to_max = (best == top[owner]) * back[owner, :FILTERS]
-            grad = (to_max + back[owner, FILTERS:] / sizes[owner][:, None]) * (best > 0)
-            grads = {"weights": features.T @ error, "bias": grad.sum(axis=0), "offset": float(error.sum())}
-            inputs = np.take_along_axis(x, at[:, :, None], axis=1)
-            grads["filters"] = np.einsum("cfi,cf->if", inputs, grad)
-            to_input = grad[:, :, None] * net.filters.T[None]
-            spread = block[np.arange(len(block))[:, None, None], (at * STRIDE)[:, :, None] + np.arange(WIDTH)]
-            grads["embedding"] = np.zeros_like(net.embedding)
-            np.add.at(grads["embedding"], spread.reshape(-1), to_input.reshape(-1, DEPTH))
+            owner = np.repeat(np.arange(len(pick)), [len(chunks[i]) for i in pick])
+            _, grads = gradients(net, np.concatenate([chunks[i] for i in pick]), owner, labels[pick])
             step += 1
             for name, g in grads.items():
                 m, v = moments[name]
@@ -132,31 +140,26 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def _sampled(batch: pa.RecordBatch) -> pa.RecordBatch:
-    data, offsets = words.text_bytes(batch.column("text"))
-    out = []
-    for low, high in zip(offsets[:-1], offsets[1:], strict=True):
-        starts, ends, _ = _layout(np.array([[low, high]]))
-        pick = np.unique(np.linspace(0, len(starts) - 1, CHUNKS).round().astype(int))
-        out.append(_cut(data, starts[pick], ends[pick]).tobytes())
-    return pa.record_batch([batch.column("label"), batch.column("doc_id"), pa.array(out, pa.binary())], names=["label", "doc_id", "chunks"])
+def cut_text(raw: bytes) -> np.ndarray:
+    """All overlapping chunks of a text, one at least."""
+    data = np.frombuffer(raw, np.uint8)
+    starts, ends, _ = _layout(np.array([[0, len(data)]], np.int64))
+    return _cut(data, starts, ends)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """Fit a network on at most ``sample`` labelled documents, ``CHUNKS`` chunks of each.
+    """Fit a network on the whole texts of at most ``sample`` labelled documents.
 
     The sample is chosen by a hash of doc_id among the labelled rows that are not
-    held out; both bounds are parameters, so what reaches the driver is at most
-    ``sample * CHUNKS * CHUNK`` bytes. Labels of one document are averaged; null
-    ids and null labels are left out. Without labels of both kinds every score is
-    the same number.
+    held out; its size is a parameter, and its texts are what reaches the driver.
+    Labels of one document are averaged; null ids and null labels are left out.
+    Without labels of both kinds every score is the same number.
     """
-    rows = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
+    rows = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     rows = rows.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("doc_id", "label", "text")
-    got = words.map_texts(picked, _sampled, "label int, doc_id bigint, chunks binary").orderBy("doc_id", "chunks").collect()
-    chunks = [np.frombuffer(bytes(r.chunks), np.uint8).reshape(-1, CHUNK) for r in got]
-    return fit(chunks, np.array([r.label for r in got], np.float32))
+    picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id")
+    got = picked.select("doc_id", "label", "text").orderBy("doc_id", "text").collect()
+    return fit([cut_text(r.text.encode()) for r in got], np.array([r.label for r in got], np.float32))
 
 
 def _scored(batch: pa.RecordBatch, network: Network, name: str) -> pa.RecordBatch:
@@ -170,7 +173,8 @@ def score(docs: DataFrame, network: Network, name: str = "score") -> DataFrame:
     """Add the probability that a text is good; only the bytes of ``text`` count.
 
     The network sees the whole text in overlapping chunks. Null texts count as
-    empty, which is one blank chunk. A column called ``name`` is replaced.
+    empty, which is one blank chunk. Repeated rows each get their score. A column
+    called ``name`` is replaced.
     """
     fields = [f for f in docs.schema.fields if f.name != name]
     schema = T.StructType([*fields, T.StructField(name, T.DoubleType())])
