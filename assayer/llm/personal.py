@@ -1,6 +1,6 @@
 """Personal data: patterns, and contextual extraction bootstrapped from what they find."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer.llm.spans import listed, matches, row_key
 from assayer.session import durable
@@ -37,17 +37,18 @@ def _address(match: Column) -> Column:
 
 
 class _Context:
-    """Lexical pattern around a token or base span: up to two words before and
-    its marks."""
+    """Lexical pattern around a token or base span: up to two words among the
+    ``reach`` characters before it, and the first ``marks`` characters of its shape.
+    Both are part of what a pattern is, not of what is looked at."""
 
     names = ["pattern", "token"]
-    reach = 80
+    reach, marks = 80, 40
 
     def __call__(self, match: Column, before: Column) -> list[Column]:
         words = F.lower(F.regexp_extract(before, r"((?:\S+\s+)?\S+)\s*$", 1))
         shape = F.regexp_replace(match, "[^@+()]+", "x")
         masked = F.regexp_replace(F.regexp_replace(words, "[0-9]", "9"), r"\s+", " ")
-        return [F.concat(masked, F.lit(" | "), F.substring(shape, 1, 40)).alias("pattern"), F.sha1(F.lower(match)).alias("token")]
+        return [F.concat(masked, F.lit(" | "), F.substring(shape, 1, self.marks)).alias("pattern"), F.sha1(F.lower(match)).alias("token")]
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
@@ -72,11 +73,15 @@ def _discovered(scanned: DataFrame, rounds: int) -> DataFrame:
     distinct seeds or more count. Hot patterns and tokens are aggregated by
     (pattern, token) first.
     """
-    spread = scanned.where("size(seeds) + size(tokens) > 0").select("k1", "k2", "seeds", F.explode(F.concat("seeds", "tokens")).alias("x"))
-    context, overlaps = KINDS.index("context"), F.exists("seeds", lambda b: (b["start"] < F.col("x.end")) & (F.col("x.start") < b["end"]))
-    seen = spread.where((F.col("x.kind") != context) | ~overlaps).select(
-        "k1", "k2", _span(F.col("x")).alias("span"), F.col("x.pattern").alias("pattern"), F.col("x.token").alias("token"), (F.col("x.kind") != context).alias("seed")
-    )
+    spread = scanned.where("size(seeds) + size(tokens) > 0").select("k1", "k2", F.explode(F.concat("seeds", "tokens")).alias("x"))
+    seed = F.col("x.kind") != KINDS.index("context")
+    # a token overlaps a seed that began before and ends in it, or begins in it
+    row = Window.partitionBy("k1", "k2")
+    reach = F.max(F.when(seed, F.col("x.end"))).over(row.orderBy("x.start", "x.kind"))
+    ahead = F.min(F.when(seed, F.col("x.start"))).over(row.orderBy(F.desc("x.start"), F.desc("x.kind")))
+    placed = spread.select("k1", "k2", "x", seed.alias("seed"), reach.alias("reach"), ahead.alias("ahead"))
+    overlaps = F.coalesce(F.col("reach") > F.col("x.start"), F.lit(False)) | F.coalesce(F.col("ahead") < F.col("x.end"), F.lit(False))
+    seen = placed.where(F.col("seed") | ~overlaps).select("k1", "k2", _span(F.col("x")).alias("span"), F.col("x.pattern").alias("pattern"), F.col("x.token").alias("token"), "seed")
     graph = durable(seen.groupBy("pattern", "token").agg(F.max(F.col("seed").cast("int")).alias("seed")))
     useful = graph.groupBy("pattern").agg(F.sum("seed").alias("n")).where(F.col("n") >= SEEDS).select("pattern")
     graph = durable(graph.join(useful, "pattern"))
