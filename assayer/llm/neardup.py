@@ -109,7 +109,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     paired out: its most central document is the pivot, all others are compared
     with it, and what that leaves unconnected goes through ``_beside_pivots``.
     """
-    signed = durable(words.map_texts(docs.select("doc_id", "text"), partial(_signed, size=size), "doc_id bigint, n_shingles bigint, s0 bigint, s1 bigint, bands array<bigint>", PIECE))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    signed = durable(words.map_texts(docs, partial(_signed, size=size), "doc_id bigint, n_shingles bigint, s0 bigint, s1 bigint, bands array<bigint>", PIECE))
     named = signed.where("n_shingles > 0 and doc_id is not null")
     equal = durable(named.groupBy("s0", "s1").agg(F.min("doc_id").alias("node")))
     first = equal.select(F.col("node").alias("doc_id"), "s0", "s1")

@@ -185,6 +185,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     bytes stay whole, rows that repeat id and text count as two places; other
     columns are ignored.
     """
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     texts = docs.select(*row_key(), "text")
     piece = {"most": BLOCK}
     samples = words.map_texts(texts.select("text"), _samples, "name bigint, content bigint", **piece)

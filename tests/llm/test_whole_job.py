@@ -1,11 +1,14 @@
 """Training-data operators against brute force on what they once left out."""
 
+import hashlib
 import random
 import re
 from collections import Counter
 from math import log2
 
-from assayer.llm import decontaminate, personal, secrets
+import numpy as np
+
+from assayer.llm import decontaminate, fuzzyhash, neardup, personal, quality, repeats, secrets, words
 
 
 def _runs(words, size=5):
@@ -102,3 +105,171 @@ def test_links_at_all_gaps_and_offsets(spark):
         got = {r.doc_id: (r.base, [tuple(x) for x in r.linked]) for r in found}
         assert len(got) == len(rows)
         assert {i: x[1] for i, x in got.items()} == {i: _linked(t, [tuple(x) for x in got[i][0]], scope) for i, t in rows}
+
+
+def test_many_matches_in_one_text(spark):
+    """100 000 matches in a text of 800 KB: places, overlaps and links in seconds."""
+    text = "1.2.3.4 " * 100_000
+    found = personal.find_personal(spark.createDataFrame([(1, text), (2, "at 1.2.3.4 now")], "doc_id long, text string")).collect()
+    spans = {r.doc_id: [(s.start, s.end) for s in r.base] for r in found}
+    assert spans[1] == [(8 * i, 8 * i + 7) for i in range(100_000)] and spans[2] == [(3, 10)]
+    key = "token=abcdef123 "
+    got = secrets.find_secrets(spark.createDataFrame([(1, key * 60_000)], "doc_id long, text string")).collect()
+    assert [s.start for s in got[0].base] == [16 * i for i in range(60_000)]
+
+
+def test_places_of_matches_at_all_group_sizes(spark):
+    rng = random.Random(9)
+    rows = [(n, "".join(rng.choice(["é", " ", "x", "\U0001F600"]) * rng.randrange(3) + "1.2.3.4" for _ in range(n)) + rng.choice(["", " end"])) for n in range(60)]
+    for r in personal.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        want = [m for m in re.finditer(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", rows[r.doc_id][1]) if all(int(x) <= 255 for x in m[0].split("."))]
+        assert [(s.start, s.end) for s in r.base if s.kind == 1] == [m.span() for m in want]
+
+
+def test_items_in_blocks_of_their_own(spark):
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(16)]
+    items = {j: shared + [f"i{j}w{k}" for k in range(30)] for j in range(6)}
+    docs = {j: [f"d{j}a"] * 3 + _edited(rng, v, 1, True) + ["tail"] * 5 for j, v in items.items()}
+    docs[50] = items[0] + shared + items[5]
+    want = _alike(docs, items)
+    frames = [spark.createDataFrame([(i, " ".join(w)) for i, w in x.items()], f"{name} int, text string") for name, x in (("doc_id", docs), ("item_id", items))]
+    whole, apart = (sorted(map(tuple, decontaminate.contaminated(*frames, block=size).collect())) for size in (4 << 20, 1))
+    assert whole == apart
+    assert {(r[0], r[1]): round(r[2], 9) for r in whole} == {k: round(x, 9) for k, x in want.items() if x >= 0.8}
+
+
+def _thue_morse(n, flip):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_long_words_that_differ_are_not_alike(spark):
+    rows = [(i, _thue_morse(4096, i % 2) + " " + _thue_morse(2048, i % 2)) for i in range(4)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 1}
+
+
+def test_hashes_do_not_depend_on_blocks():
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 256, (1 << 20) + 900, dtype=np.uint8)
+    for size in ((1 << 20) - 1, 1 << 20, (1 << 20) + 1, (1 << 20) + 900):
+        assert words.long_hash(data[:size]) == words.span_hashes(data, np.array([0]), np.array([size]))[0]
+    a, b = (np.frombuffer(_thue_morse(1 << 12, k).encode(), np.uint8) for k in (0, 1))
+    assert words.long_hash(a) != words.long_hash(b) and words.span_sums(a, np.array([0]), np.array([1 << 12])) == words.span_sums(b, np.array([0]), np.array([1 << 12]))
+
+
+def _plain_fingerprint(raw):
+    """Context-triggered piecewise hash by a loop over bytes."""
+    values = [int(x) >> 32 for x in words.VALUES]
+
+    def ends(size):
+        out = []
+        for i in range(len(raw)):
+            h = sum(values[raw[i - k]] * fuzzyhash._FACTORS[k] for k in range(min(i + 1, fuzzyhash.WINDOW))) % 2**32
+            h = (h ^ h >> 15) * 0x85EBCA6B % 2**32
+            if (h ^ h >> 13) % size == size - 1:
+                out.append(i + 1)
+        return out
+
+    def letters(cuts):
+        cuts = cuts[: fuzzyhash.LENGTH - 1]
+        cuts = cuts if cuts and cuts[-1] == len(raw) else [*cuts, len(raw)]
+        return "".join(chr(fuzzyhash.ALPHABET[int(words.long_hash(np.frombuffer(raw[a:b], np.uint8))) % 64]) for a, b in zip([0, *cuts[:-1]], cuts, strict=True))
+
+    if not raw:
+        return "3::"
+    size = 3
+    while size * fuzzyhash.LENGTH < len(raw):
+        size *= 2
+    while size > 3 and len(ends(size)) + 1 < fuzzyhash.LENGTH // 2:
+        size //= 2
+    return f"{size}:{letters(ends(size))}:{letters(ends(2 * size))}"
+
+
+def _plain_likeness(x, y):
+    """Best 1 - edit distance / letters over signatures of equal chunk size that share a gram."""
+    if x == y:
+        return 1.0
+    best, cut = 0.0, [v.split(":") for v in (x, y)]
+    for i in (0, 1):
+        for j in (0, 1):
+            if int(cut[0][0]) << i != int(cut[1][0]) << j:
+                continue
+            a, b = cut[0][1 + i], cut[1][1 + j]
+            rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for p in range(len(a)):
+                for q in range(len(b)):
+                    rows[p + 1][q + 1] = rows[p][q] + 1 if a[p] == b[q] else max(rows[p][q + 1], rows[p + 1][q])
+            grams = {a[k : k + fuzzyhash.GRAM] for k in range(len(a) - fuzzyhash.GRAM + 1)} & {b[k : k + fuzzyhash.GRAM] for k in range(len(b) - fuzzyhash.GRAM + 1)}
+            if grams or min(len(a), len(b)) < fuzzyhash.GRAM:
+                best = max(best, 1.0 if a == b else 2 * rows[-1][-1] / max(len(a) + len(b), 1))
+    return best
+
+
+def test_fingerprint_query_against_brute_force(spark):
+    rng = random.Random(11)
+    texts = ["", "a", "éé", None, "word " * 90, *(" ".join(rng.choices(["lorem", "ipsum", "dolor", "é", "x" * 40], k=rng.randrange(1, 400))) for _ in range(25))]
+    texts += [texts[6], texts[7][:-9] + "changed!!", texts[8] + " more"]
+    rows = [(3 * i % 101, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in fuzzyhash.fingerprints(spark.createDataFrame(rows, "doc_id int, text string").repartition(5), rows=7).collect()}
+    order = sorted((i, t or "") for i, t in rows)
+    positive = 0
+    for n, (i, text) in enumerate(order):
+        following = order[(n + 1) % len(order)][1]
+        quarter = len(text) // 4
+        edited = text[: len(text) - quarter] + following[:quarter]
+        own, other, beyond = (_plain_fingerprint(t.encode()) for t in (text, edited, following))
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), own, other)
+        assert abs(r.near_edited - _plain_likeness(own, other)) < 1e-12 and abs(r.near_next - _plain_likeness(own, beyond)) < 1e-12
+        positive += 0 < r.near_edited < 1
+    assert positive > 10
+
+
+def test_fingerprints_around_the_block_size():
+    """One letter changed in the middle keeps texts of about 1 MB alike, whatever their size."""
+    rng = random.Random(12)
+    text = " ".join(rng.choices([f"w{i}" for i in range(5000)], k=230_000)).encode()
+    assert len(text) > (1 << 20) + 10
+    sizes = [(1 << 20) - 1, 1 << 20, (1 << 20) + 1]
+    prints = [fuzzyhash.fingerprint(text[:n]) for n in sizes]
+    changed = fuzzyhash.fingerprint(text[:500_000] + b"#" + text[500_001 : 1 << 20])
+    for x in prints:
+        assert fuzzyhash.likeness([x], [prints[0]])[0] > 0.9 and fuzzyhash.likeness([x], [changed])[0] > 0.9
+
+
+def test_convolution_against_a_plain_loop_and_gradients_against_differences():
+    rng = np.random.default_rng(3)
+    net = quality.Network(rng.normal(0, 0.5, (256, quality.DEPTH)), rng.normal(0, 0.2, (quality.WIDTH * quality.DEPTH, quality.FILTERS)), rng.normal(0, 0.1, quality.FILTERS), rng.normal(0, 0.3, 2 * quality.FILTERS), 0.2)
+    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (0, 3, 256, 257, 700, 60_000)]
+    offsets = np.r_[0, np.cumsum([len(t) for t in texts])]
+    scores = net.score(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    for text, got in zip(texts[:5], scores, strict=False):
+        pooled = []
+        for low in range(0, max(1, len(text) - (quality.CHUNK - quality.STEP)), quality.STEP):
+            chunk = text[low : low + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+            answers = [np.concatenate([net.embedding[b] for b in chunk[i : i + quality.WIDTH]]) @ net.filters for i in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)]
+            pooled.append(np.maximum(np.max(answers, axis=0) + net.bias, 0))
+        features = np.r_[np.max(pooled, axis=0), np.mean(pooled, axis=0)]
+        assert abs(got - 1 / (1 + np.exp(-(features @ net.weights + net.offset)))) < 1e-5
+    chunks = [quality.cut_text(t) for t in texts]
+    assert len(chunks[-1]) > quality.AT_ONCE
+    block, owner, labels = np.concatenate(chunks), np.repeat(np.arange(len(chunks)), [len(c) for c in chunks]), np.array([0, 1, 1, 0, 1, 0.0])
+    _, found = quality.gradients(net, block, owner, labels)
+    for name in ("embedding", "filters", "bias", "weights"):
+        part = getattr(net, name)
+        for at in map(tuple, rng.integers(0, part.shape, (12, part.ndim))):
+            own = part[at]
+            part[at] = own + 1e-6
+            high, _ = quality.gradients(net, block, owner, labels)
+            part[at] = own - 1e-6
+            low, _ = quality.gradients(net, block, owner, labels)
+            part[at] = own
+            assert abs(found[name][at] - (high - low) / 2e-6) < 1e-5
+
+
+def test_ids_of_32_bits(spark):
+    docs = spark.createDataFrame([(i, f"one two three four five six seven number {i % 3} " * 30) for i in range(9)], "doc_id int, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id int, quality int")
+    assert neardup.near_duplicates(docs).count() == repeats.remove_repeats(docs).count() == 9
+    assert quality.score(docs, quality.train(docs, labels)).count() == 9 and quality.keep_good(docs, labels).count() <= 9
