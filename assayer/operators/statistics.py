@@ -3,9 +3,11 @@
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer import fixed_values as fv
+from assayer.functions.gram import cross_products
 from assayer.functions.keys import missing, value_key
 from assayer.functions.literal import literal_table
 from assayer.functions.numeric import share_status
@@ -141,35 +143,21 @@ def number(c: str) -> Column:
     return F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
 
 
-def _pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
-    return [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-
-
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation of each column pair, all from one aggregate."""
+    """Pearson correlation of each column pair, each over the rows that have both.
+    Pairs without two different values have none."""
     columns = list(columns or numeric_columns(df))
-    pairs = _pairs(columns)
-
-    row = df.agg(*[F.corr(number(a), number(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
-    return row.select(F.inline(F.array(*rows)))
+    r = cross_products(df, columns).correlation()
+    rows = [(a, b, float(r[i, j]) if np.isfinite(r[i, j]) else None) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def covariance(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Mean vector and population covariance; p + p*p numbers reach the driver."""
-    # Rows with a missing value count for no pair, so the matrix stays consistent.
-    whole = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).dropna()
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    row = whole.agg(
-        *[F.avg(F.col(f"`{c}`")) for c in columns], *[F.covar_pop(F.col(f"`{a}`"), F.col(f"`{b}`")) for a, b in pairs]
-    ).first()
-    p = len(columns)
-    mean = np.array(row[:p], dtype=float)
-    cov = np.zeros((p, p))
-    at = {c: i for i, c in enumerate(columns)}
-    for (a, b), v in zip(pairs, row[p:]):
-        cov[at[a], at[b]] = cov[at[b], at[a]] = v
-    return mean, cov
+    """Mean vector and population covariance; rows with a missing value count for no
+    pair, so the matrix stays consistent."""
+    cross = cross_products(df, columns, whole=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return cross.shift + np.diag(cross.sums) / np.diag(cross.n), cross.covariance()
 
 
 def vif(df: DataFrame, columns: Sequence[str], limits=fv.VIF_LIMITS) -> DataFrame:
@@ -195,17 +183,21 @@ def condition_number(df: DataFrame, columns: Sequence[str], limits=fv.CONDITION_
 
 
 def mahalanobis(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows with ``distance2``: squared Mahalanobis distance as a column expression;
-    null where a value is missing."""
+    """Rows with ``distance2``: squared Mahalanobis distance; null where a value is
+    missing. Rows are multiplied with the inverse in batches."""
     mean, cov = covariance(df, columns)
-    inverse = np.linalg.pinv(cov)
-    centred = [F.col(f"`{c}`").cast("double") - float(m) for c, m in zip(columns, mean)]
-    total = F.lit(0.0)
-    for i in range(len(columns)):
-        for j in range(i, len(columns)):
-            weight = float(inverse[i, j]) * (1.0 if i == j else 2.0)
-            total = total + centred[i] * centred[j] * weight
-    return df.withColumn("distance2", total)
+    if not np.isfinite(cov).all():
+        return df.withColumn("distance2", F.lit(None).cast("double"))
+    inverse, size = np.linalg.pinv(cov), len(columns)
+
+    @F.arrow_udf("double")
+    def distance(values: pa.Array) -> pa.Array:
+        x = values.flatten().to_numpy(zero_copy_only=False).reshape(-1, size) - mean
+        found = np.einsum("ni,ij,nj->n", x, inverse, x, optimize=True)
+        return pa.array(found, pa.float64(), mask=np.isnan(found))
+
+    blank = F.lit(float("nan"))
+    return df.withColumn("distance2", distance(F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), blank) for c in columns])))
 
 
 def mahalanobis_outliers(df: DataFrame, columns: Sequence[str], cutoff: float, limits=fv.OUTLIER_PCT) -> DataFrame:
@@ -311,6 +303,29 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     return out.select("h_a", "h_b", "h_ab", (F.col("h_a") + F.col("h_b") - F.col("h_ab")).alias("mutual_information"))
 
 
+def dependence_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Entropies, mutual information in bits and its share of the smaller entropy for
+    every pair of columns, over the rows that have both.
+
+    One pass counts the joint values of all pairs; grouping sets over these counts
+    give the marginals. Counts are taken before rows meet, so a hot value is one row
+    per task. A pair without common rows has nulls.
+    """
+    columns, fields = list(columns), {f.name: f for f in df.schema.fields}
+    values = [F.struct(F.lit(i).alias("c"), value_key(fields[c]).cast("string").alias("v")) for i, c in enumerate(columns)]
+    row = df.select(F.filter(F.array(*values), lambda x: x["v"].isNotNull()).alias("x"))
+    later = lambda x, i: F.transform(F.slice("x", i + 2, F.size("x")), lambda y: F.struct(x["c"].alias("i"), y["c"].alias("j"), x["v"].alias("va"), y["v"].alias("vb")))
+    joint = row.select(F.inline(F.flatten(F.transform("x", later)))).groupBy("i", "j", "va", "vb").agg(F.count("*").cast("double").alias("n"))
+    pair = [F.col("i"), F.col("j")]
+    sets = joint.groupingSets([[*pair, F.col("va"), F.col("vb")], [*pair, F.col("va")], [*pair, F.col("vb")]], "i", "j", "va", "vb").agg(F.sum("n").alias("n"), F.grouping_id().alias("kind"))
+    total = F.sum("n")
+    spread = sets.groupBy("i", "j").pivot("kind", [0, 1, 2]).agg(F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total)
+    names = df.sparkSession.createDataFrame([(i, j, a, b) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j], "i int, j int, a string, b string")
+    found = names.join(spread, ["i", "j"], "left").select("a", "b", F.col("1").alias("h_a"), F.col("2").alias("h_b"), F.col("0").alias("h_ab"))
+    both = F.greatest(F.col("h_a") + F.col("h_b") - F.col("h_ab"), F.lit(0.0))
+    return found.withColumn("mutual_information", both).withColumn("share", F.try_divide("mutual_information", F.least("h_a", "h_b")))
+
+
 def anonymity(df: DataFrame, quasi: Sequence[str], sensitive: str) -> DataFrame:
     """k-anonymity and l-diversity over quasi-identifiers.
 

@@ -85,6 +85,19 @@ QUERIES.add(
     lambda spark, d: rounded(st.correlation_pairs(_lines(spark, d), MEASURES), "r"),
     union(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for a, b in PAIRS),
 )
+LINKED = ("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+_HS = "log2(sum(n)) - sum(n * log2(n)) / sum(n)"
+QUERIES.add(
+    "dependence_pairs",
+    lambda spark, d: rounded(st.dependence_pairs(load(spark, d, "lineitem"), LINKED), "h_a", "h_b", "h_ab", "mutual_information", "share", digits=5),
+    "SELECT a, b, round(h_a, 5) AS h_a, round(h_b, 5) AS h_b, round(h_ab, 5) AS h_ab, round(greatest(h_a + h_b - h_ab, 0), 5) AS mutual_information, round(greatest(h_a + h_b - h_ab, 0) / least(h_a, h_b), 5) AS share FROM ("
+    + union(
+        f"SELECT '{a}' AS a, '{b}' AS b, (SELECT {_HS} FROM (SELECT count(*) AS n FROM lineitem WHERE {b} IS NOT NULL AND {a} IS NOT NULL GROUP BY {a})) AS h_a, "
+        f"(SELECT {_HS} FROM (SELECT count(*) AS n FROM lineitem WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {b})) AS h_b, "
+        f"(SELECT {_HS} FROM (SELECT count(*) AS n FROM lineitem WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a}, {b})) AS h_ab"
+        for i, a in enumerate(LINKED) for b in LINKED[i + 1 :]
+    ) + ")",
+)
 THREE = ("l_quantity", "l_extendedprice", "l_tax")
 _R = ", ".join(f"corr({THREE[i]}, {THREE[j]}) AS r{i}{j}" for i, j in ((0, 1), (0, 2), (1, 2)))
 _DET = "(1 + 2 * r01 * r02 * r12 - r01 * r01 - r02 * r02 - r12 * r12)"

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,6 +211,47 @@ def test_linear_algebra_checks(spark):
     assert np.allclose(got, sorted(d2))
 
 
+def test_linear_algebra_on_500_columns(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(1e6, 1, size=(700, 500))
+    x[:, 7] = x[:, 3] + 0.01 * rng.normal(size=700)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=[f"v{i}" for i in range(500)])).repartition(3)
+    r = np.corrcoef(x.T)
+    found = {(p["a"], p["b"]): p["r"] for p in statistics.correlation_pairs(df).collect()}
+    assert len(found) == 500 * 499 // 2
+    assert all(math.isclose(found[f"v{i}", f"v{j}"], r[i, j], abs_tol=1e-7) for i in range(0, 500, 7) for j in range(i + 1, 500))
+    vif = {p["column"]: p["vif"] for p in statistics.vif(df, df.columns).collect()}
+    assert np.allclose([vif[c] for c in df.columns], np.diag(np.linalg.inv(r)), rtol=1e-4)
+    assert statistics.mahalanobis_outliers(df, df.columns, 1e9).first()["outliers"] == 0
+
+
+def test_correlation_takes_rows_that_have_both(spark):
+    rows = [(1.0, 2.0, None), (2.0, float("nan"), 1.0), (3.0, 1.0, 5.0), (4.0, 5.0, 4.0), (None, 3.0, 2.0), (6.0, 2.0, 9.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").withColumn("d", F.lit(3)).withColumn("e", F.lit(None).cast("double"))
+    got = {(r["a"], r["b"]): r["r"] for r in statistics.correlation_pairs(df, list("abcde")).collect()}
+    for i, a in enumerate("abc"):
+        for j, b in enumerate("abc"):
+            if i < j:
+                x = np.array([(r[i], r[j]) for r in rows if None not in (r[i], r[j]) and not any(map(math.isnan, (r[i], r[j])))])
+                assert math.isclose(got[a, b], np.corrcoef(x.T)[0, 1], rel_tol=1e-9)
+    assert all(v is None for k, v in got.items() if set(k) & set("de"))
+    assert all(r["r"] is None for r in statistics.correlation_pairs(df.where("a > 99"), ["a", "b"]).collect())
+
+
+def test_dependence_of_all_pairs(spark):
+    rng = np.random.default_rng(15)
+    rows = [(int(a), None if a == 3 else f"s{a % 3}", float(b), "hot" if c else f"u{i}") for i, (a, b, c) in enumerate(zip(rng.integers(0, 5, 300), rng.integers(0, 4, 300) / 2, rng.random(300) < 0.9))]
+    df = spark.createDataFrame(rows, "a int, b string, c double, d string").withColumn("e", F.lit(None).cast("string"))
+    got = {(r["a"], r["b"]): r for r in statistics.dependence_pairs(df, list("abcde")).collect()}
+    assert len(got) == 10
+    for x, y in (("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")):
+        one_pair = one(statistics.mutual_information(df, x, y))
+        for name in ("h_a", "h_b", "h_ab"):
+            assert math.isclose(got[x, y][name], one_pair[name], abs_tol=1e-9)
+        assert math.isclose(got[x, y]["mutual_information"], one_pair["mutual_information"], abs_tol=1e-9)
+    assert got["a", "e"]["h_ab"] is None
+
+
 def test_autocorrelation_and_change_point(spark):
     v = [1.0] * 30 + [5.0] * 20
     df = spark.createDataFrame([("s", f"2026-01-{1 + i // 24:02d} {i % 24:02d}:00:00", i, x) for i, x in enumerate(v)], "k string, t string, i int, v double").withColumn("t", F.col("t").cast("timestamp"))
@@ -221,7 +263,7 @@ def test_autocorrelation_and_change_point(spark):
 
 def test_late_arrivals(spark):
     df = spark.createDataFrame([(0, 5), (1, 4), (2, 9), (3, 8)], "n bigint, t int").withColumn("t", F.timestamp_seconds("t"))
-    assert one(timeseries.arrival_order(df, "n", "t", 2))["out_of_order"] == 2
+    assert one(timeseries.arrival_order(df, "n", "t"))["out_of_order"] == 2
 
 
 # ---------------------------------------------------------------------- engine
