@@ -64,3 +64,9 @@ def share_status(pct: Column, limits) -> Column:
 def one_decimal(value: Column) -> Column:
     """Text with one decimal, rounded as Python formats it."""
     return F.format_string("%.1f", half_even(value, 1))
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation as an aggregate; null where one side does not vary."""
+    spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.try_divide(F.covar_pop(a, b), spread)

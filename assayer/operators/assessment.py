@@ -32,6 +32,7 @@ def run_assessment(
         other = files.read_table(spark, compare_path) if compare_path else None
         report = assess_table(make_context(table, other, id_col, time_col, target_col, as_of))
         report = report.withColumn("input_hash", files.table_fingerprint(table).scalar())
+        report = report.withColumn("compare_hash", F.lit(None).cast("string") if other is None else files.table_fingerprint(other).scalar())
     elif chosen in ("image", "text"):
         times = files.list_files(spark, path) if as_of is not None else None
         if chosen == "text":

@@ -10,7 +10,7 @@ from assayer import fixed_values as fv
 from assayer.functions.gram import cross_products
 from assayer.functions.keys import missing, value_key
 from assayer.functions.literal import literal_table
-from assayer.functions.numeric import share_status
+from assayer.functions.numeric import correlation, share_status
 from assayer.functions.ordered import with_running_sums
 from assayer.operators.profile import numeric_columns
 from assayer.session import spread
@@ -342,7 +342,7 @@ def anonymity(df: DataFrame, quasi: Sequence[str], sensitive: str) -> DataFrame:
 
 def target_leakage(df: DataFrame, target: str, columns: Sequence[str], bound: float = 0.99) -> DataFrame:
     """|correlation| of each feature with the target; close to one is a leak."""
-    row = df.agg(*[F.corr(number(c), number(target)).alias(f"r{i}") for i, c in enumerate(columns)])
+    row = df.agg(*[correlation(number(c), number(target)).alias(f"r{i}") for i, c in enumerate(columns)])
     rows = [F.struct(F.lit(c).alias("column"), F.abs(F.col(f"r{i}")).alias("abs_corr")) for i, c in enumerate(columns)]
     r = F.col("abs_corr")
     return row.select(F.inline(F.array(*rows))).withColumn("status", F.when(r.isNull(), "SKIP").when(r >= bound, "FAIL").otherwise("PASS"))

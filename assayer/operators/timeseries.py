@@ -8,7 +8,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assayer.functions.ordered import with_previous, with_running_sums
+from assayer.functions.numeric import correlation
+from assayer.functions.ordered import Pieces, with_previous, with_running_sums
 from assayer.functions.times import days_between, seconds_between
 
 
@@ -28,6 +29,15 @@ def arrival_order(df: DataFrame, arrival: str, time: str) -> DataFrame:
     return seen.agg(F.count("*").alias("rows"), F.count_if(F.col(time) < F.col(f"prev.{time}")).alias("out_of_order"))
 
 
+def gap_autocorrelation(df: DataFrame, time: str, tie: str) -> DataFrame:
+    """Correlation, as its absolute value, of each gap with the gap before; null for
+    fewer than two pairs or gaps that are all alike."""
+    first = Pieces(df.select(time, tie), [], [time, tie]).previous([time])
+    gaps = first.frame().select(time, tie, seconds_between(F.col(time), F.col(f"prev.{time}")).alias("gap"))
+    pairs = with_previous(gaps, [], [time, tie], ["gap"])
+    return pairs.where("gap IS NOT NULL AND prev.gap IS NOT NULL").agg(F.abs(correlation(F.col("gap"), F.col("prev.gap"))).alias("strength"), F.count("*").alias("gaps"))
+
+
 def freshness(df: DataFrame, time: str, as_of: Column) -> DataFrame:
     """Newest time and its age in days at ``as_of``."""
     out = df.agg(F.max(time).alias("newest"))
@@ -44,7 +54,7 @@ def autocorrelation(df: DataFrame, keys: Sequence[str], time: str, tie: str, val
     placed = with_running_sums(rows, keys, [time, tie], {"pos": F.lit(1)}).select(*keys, "pos", "x")
     earlier = placed.select(*keys, (F.col("pos") + lag).alias("pos"), F.col("x").alias("before"))
     return placed.join(earlier, [*keys, "pos"]).groupBy(*keys).agg(
-        F.count("*").alias("pairs"), F.corr("x", "before").alias("autocorrelation")
+        F.count("*").alias("pairs"), correlation(F.col("x"), F.col("before")).alias("autocorrelation")
     )
 
 

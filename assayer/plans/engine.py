@@ -173,18 +173,17 @@ QUERIES.add(
 )
 
 
-def _table_checks(spark, d):
-    """The whole check battery on customers; the comparison is the suppliers."""
+def _table_context(spark, d):
+    """Customers with the suppliers as comparison."""
     def named(name, p):
         t = load(spark, d, name)
         return t.select(F.col(f"{p}_custkey" if p == "c" else f"{p}_suppkey").alias("id"), F.col(f"{p}_nationkey").alias("nation"), F.col(f"{p}_acctbal").alias("balance"))
 
-    ctx = checks.make_context(named("customer", "c"), compare=named("supplier", "s"), id_col="id", target_col="nation", as_of=moment("2026-06-08"))
-    return checks.run_checks(ctx)
+    return checks.make_context(named("customer", "c"), compare=named("supplier", "s"), id_col="id", time_col="joined", target_col="nation", as_of=moment("2026-06-08"))
 
 
 def _table_checks_sql() -> str:
-    """Statuses by plain SQL; drift is that of the worst of nation key and balance."""
+    """Statuses by plain SQL; the only measure without a role is the balance."""
     def three(x, warn, fail):
         return f"CASE WHEN {x} > {fail} THEN 'FAIL' WHEN {x} > {warn} THEN 'WARN' ELSE 'PASS' END"
 
@@ -207,41 +206,68 @@ def _table_checks_sql() -> str:
     overlap = f"(SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM {s} s WHERE s.id = c.id AND s.nation = c.nation AND s.balance = c.balance) THEN 1.0 ELSE 0.0 END) FROM {c} c)"
     distinct = "list_distinct([" + ", ".join(f"e{i}" for i in range(1, 10)) + "])"
 
-    def psi_of(col):
+    def binned_of(col):
         edges = "(SELECT " + ", ".join(f"quantile_cont({col}, {i / 10}) AS e{i}" for i in range(1, 10)) + f" FROM {c})"
         both = f"(SELECT {col} AS v, 1 AS p, 0 AS q FROM {c} UNION ALL SELECT {col}, 0, 1 FROM {s})"
-        binned = f"(SELECT len(list_filter({distinct}, lambda e: e < v)) AS b, sum(p) / (SELECT count(*) FROM {c}) AS p, sum(q) / (SELECT count(*) FROM {s}) AS q FROM {both}, {edges} GROUP BY 1)"
-        return f"(SELECT sum((greatest(q, 1e-4) - greatest(p, 1e-4)) * ln(greatest(q, 1e-4) / greatest(p, 1e-4))) FROM {binned})"
+        return f"(SELECT len(list_filter({distinct}, lambda e: e < v)) AS b, sum(p) / (SELECT count(*) FROM {c}) AS p, sum(q) / (SELECT count(*) FROM {s}) AS q FROM {both}, {edges} GROUP BY 1)"
 
-    def ks_of(col):
+    def gaps_of(col):
         both = f"(SELECT {col} AS v, 1 AS p, 0 AS q FROM {c} UNION ALL SELECT {col}, 0, 1 FROM {s})"
-        return f"(SELECT max(abs(f - g)) FROM (SELECT sum(sum(p)) OVER w / (SELECT count(*) FROM {c}) AS f, sum(sum(q)) OVER w / (SELECT count(*) FROM {s}) AS g FROM {both} GROUP BY v WINDOW w AS (ORDER BY v)))"
-
-    psi, ks = (f"greatest({make('nation')}, {make('balance')})" for make in (psi_of, ks_of))
+        return f"(SELECT v, lead(v) OVER w AS nv, sum(sum(p)) OVER w / (SELECT count(*) FROM {c}) AS f, sum(sum(q)) OVER w / (SELECT count(*) FROM {s}) AS g FROM {both} GROUP BY v WINDOW w AS (ORDER BY v))"
+
+    psi = f"(SELECT sum((greatest(q, 1e-4) - greatest(p, 1e-4)) * ln(greatest(q, 1e-4) / greatest(p, 1e-4))) FROM {binned_of('balance')})"
+    half = "CASE WHEN {0} > 0 THEN {0} * ln({0} / ((p + q) / 2)) ELSE 0 END"
+    shannon = f"(SELECT sum({half.format('p')} + {half.format('q')}) / 2 FROM {binned_of('balance')})"
+    ks = f"(SELECT max(abs(f - g)) FROM {gaps_of('balance')})"
+    moved = f"(SELECT sum(coalesce((nv - v) * abs(f - g), 0)) / (max(v) - min(v)) FROM {gaps_of('balance')})"
+    skew = f"(SELECT abs(avg(power((balance - m) / sd, 3))) FROM {c}, (SELECT avg(balance) AS m, stddev_pop(balance) AS sd FROM {c}))"
+    rare = (
+        f"(SELECT 100.0 * sum(n) FILTER (-ln(CAST(n AS DOUBLE) / top) > 4.605) / sum(n) FROM (SELECT count(*) AS n, max(count(*)) OVER () AS top FROM {c}, "
+        f"(SELECT min(balance) AS lo, max(balance) AS hi FROM {c}) GROUP BY least(floor((balance - lo) / (hi - lo) * 10), 9)))"
+    )
+    leak = f"(SELECT abs(corr(balance, nation)) FROM {c})"
     statuses = {
         "PSI drift": f"CASE WHEN {psi} > 0.25 THEN 'FAIL' WHEN {psi} > 0.1 THEN 'WARN' ELSE 'PASS' END", "Kolmogorov-Smirnov shift": three(ks, 0.1, 0.25),
         "Missing value ratio": "'PASS'", "Blank string format": "'PASS'", "Duplicate row ratio": "'PASS'", "PII pattern scan": "'PASS'", "Text encoding": "'PASS'",
         "Timeliness freshness": "'SKIP'", "Primary-key uniqueness": f"CASE WHEN (SELECT count(*) - count(DISTINCT id) FROM {c}) = 0 THEN 'PASS' ELSE 'FAIL' END",
         "IQR outlier share": three(f"greatest({iqr('nation')}, {iqr('balance')})", 10, 30), "Z-score outlier share": three(f"greatest({z('nation')}, {z('balance')})", 10, 30),
         "Row leakage overlap": three(overlap, 0, 0.05), "Label class balance": f"CASE WHEN {balance} >= 70 THEN 'PASS' WHEN {balance} >= 40 THEN 'WARN' ELSE 'FAIL' END",
-        "Fairness coverage": f"CASE WHEN {parity} >= 0.5 THEN 'PASS' ELSE 'WARN' END", "Time gap autocorrelation": "'SKIP'",
+        "Fairness coverage": f"CASE WHEN {parity} >= 0.5 THEN 'PASS' ELSE 'WARN' END", "Jensen-Shannon divergence": three(shannon, 0.05, 0.2),
+        "Wasserstein shift": three(moved, 0.05, 0.2), "Skewness of distributions": three(skew, 2, 10), "Histogram outlier share": three(f"coalesce({rare}, 0)", 10, 30), "Target leakage": three(leak, 0.95, 0.99),
     }
     groups = [(d, w) for d, w in fv.DIMENSION_KEYWORDS]
     parts = []
     for i, check in enumerate(checks.CHECKS, 1):
         default = q.quote(fv.CHECK_CATEGORY_DIMENSION[check.category])
-        parts.append(f"SELECT {i} AS \"index\", {q.quote(check.name)} AS test, {statuses[check.name]} AS status, {q.first_group(q.quote(check.name.lower()), groups)} ELSE {default} END AS dimension")
+        parts.append(f"SELECT {i} AS \"index\", {q.quote(check.name)} AS test, {statuses.get(check.name, "'SKIP'")} AS status, {q.first_group(q.quote(check.name.lower()), groups)} ELSE {default} END AS dimension")
     return " UNION ALL ".join(parts)
 
 
+_TABLE_CHECKS = _table_checks_sql()
 QUERIES.add(
     "table_checks",
-    lambda spark, d: _table_checks(spark, d).select("index", "test", "status", "dimension"),
-    _table_checks_sql(),
+    lambda spark, d: checks.run_checks(_table_context(spark, d)).select("index", "test", "status", "dimension"),
+    _TABLE_CHECKS,
 )
+
+
+def _table_report(spark, d):
+    row = checks.assess_table(_table_context(spark, d))
+    return row.select(
+        "overall_score", "quality_tier", F.array_join("fix_actions", "|").alias("fix_actions"), "n_rows", "n_columns", F.array_join("warnings", "|").alias("warnings"),
+        F.col("roles")["id_col"].alias("id_col"), F.col("roles")["time_col"].alias("time_col"), F.col("roles")["target_col"].alias("target_col"),
+        *[F.col(f"summary.{s}").alias(s) for s in ("total_tests", "pass", "warn", "fail", "skip")],
+    )
+
+
+_TABLE_SCORES = SCORES.replace(f"({RESULTS})", "results")
 QUERIES.add(
-    "table_assessment",
-    lambda spark, d: checks.report_results(_table_checks(spark, d)).select("overall_score", "quality_tier", F.array_join("fix_actions", "|").alias("fix_actions"), "summary"),
+    "table_assessment", _table_report,
+    f"WITH results AS ({_TABLE_CHECKS}) SELECT * FROM (SELECT {q.py_round('overall', 2)} AS overall_score, {_tier('overall')} AS quality_tier FROM (SELECT {OVERALL} AS overall FROM ({_TABLE_SCORES}))), "
+    f"(SELECT coalesce(string_agg(action, '|' ORDER BY first_index), {q.quote(fv.REMEDIATION_NONE)}) AS fix_actions FROM (SELECT {ACTION} AS action, min(\"index\") AS first_index FROM results WHERE status IN ('FAIL', 'WARN') GROUP BY 1) WHERE action IS NOT NULL), "
+    "(SELECT count(*) AS n_rows, CAST(3 AS BIGINT) AS n_columns FROM customer), "
+    "(SELECT 'time_col=joined not found; its checks are skipped.' AS warnings, 'id' AS id_col, CAST(NULL AS VARCHAR) AS time_col, 'nation' AS target_col), "
+    "(SELECT count(*) AS total_tests, " + ", ".join(f"count(*) FILTER (status = '{s.upper()}') AS \"{s}\"" for s in ("pass", "warn", "fail", "skip")) + " FROM results)",
 )
 QUERIES.add(
     "fairness_coverage",

@@ -357,3 +357,46 @@ def test_empty_nan_and_constant_input(spark):
     assert vif["k"]["vif"] is None and vif["k"]["status"] == "SKIP" and vif["a"]["vif"] > 1
     far = spark.createDataFrame([(float(i),) for i in range(400)] + [(1e300,)], "v double")
     assert [round(x, 6) for x in statistics.exact_quantiles(far, ["v"]).first()[1:]] == [100.0, 300.0]
+
+
+def test_a_check_that_fails_while_it_runs_leaves_the_others(spark):
+    """Two checks share a failing pass, one a failing plan: each failure is its own row."""
+    df = spark.createDataFrame([(1, 2.0, "x"), (2, 3.0, "y")], "i int, v double, s string")
+    boom = lambda: F.raise_error(F.lit("boom at run time"))
+    count = checks.Check("Rows", "Unknown", lambda c: checks.Outcome(F.lit("PASS"), F.lit("fine"), {"n": F.col("n")}), lambda c: {"n": F.count("*")})
+    broken = checks.Check("Broken pass", "Unknown", lambda c: checks.Outcome(F.lit("PASS"), F.lit(""), {"b": F.col("b")}), lambda c: {"b": F.max(boom().cast("int"))})
+
+    def plan(ctx):
+        return ctx.df.agg(F.count("*").alias("n"))
+
+    good = checks.Check("Good judge", "Unknown", lambda c: checks.Outcome(F.lit("PASS"), F.lit("")), table=plan)
+    bad = checks.Check("Bad judge", "Unknown", lambda c: checks.Outcome(F.when(F.col("n") > 0, boom()).cast("string"), F.lit("")), table=plan)
+    rows = checks.run_checks(checks.make_context(df), (checks.CHECKS[0], broken, count, good, bad)).orderBy("index").collect()
+    assert [r["status"] for r in rows] == ["PASS", "FAIL", "PASS", "PASS", "FAIL"]
+    assert "boom" in rows[1]["interpretation"] and "boom" in rows[4]["metric"]["error"] and rows[2]["metric"] == {"n": "2"}
+
+
+def test_battery_on_series_groups_and_drift(spark):
+    rng = np.random.default_rng(21)
+    n = 400
+    rows = [(i, f"2026-01-{1 + i // 24:02d} {i % 24:02d}:00:00", float(i > 300) * 9 + rng.normal(), float(v), "ab"[i % 2], "xy"[i % 2]) for i, v in enumerate(rng.normal(size=n))]
+    df = spark.createDataFrame(rows, "id int, t string, jump double, v double, g string, h string").withColumn("t", F.col("t").cast("timestamp")).withColumn("w", F.col("v") * 2)
+    other = df.where("id < 100").withColumn("h", F.lit("x")).withColumn("v", F.col("v") + 50)
+    ctx = checks.make_context(df, other, id_col="id", time_col="t", target_col="w")
+    got = {r["test"]: r for r in checks.run_checks(ctx).collect()}
+    assert not [r for r in got.values() if "Exception" in r["interpretation"]]
+    want = {
+        "Change point": "FAIL", "Category coverage": "FAIL", "Wasserstein shift": "FAIL", "Jensen-Shannon divergence": "FAIL", "PSI drift": "FAIL", "Dependent column pairs": "FAIL",
+        "Target leakage": "FAIL", "Time gap lateness": "PASS", "Time gap autocorrelation": "SKIP", "Variance inflation": "PASS", "Correlated column pairs": "PASS", "k-anonymity": "PASS",
+    }
+    assert {k: got[k]["status"] for k in want} == want
+    assert got["PSI drift"]["metric"]["psi_column"] == "v" and got["Change point"]["metric"]["column"] == "jump" and got["Dependent column pairs"]["metric"]["pair"] == "g / h"
+    row = one(checks.assess_table(ctx))
+    assert (row["n_rows"], row["n_columns"], row["roles"]["target_col"], row["warnings"]) == (n, 7, "w", [])
+
+
+def test_comparison_without_shared_numbers_is_skipped(spark):
+    left = spark.createDataFrame([(1.0, "a")], "x double, s string")
+    right = spark.createDataFrame([("1", "a")], "x string, s string")
+    got = {r["test"]: r["status"] for r in checks.run_checks(checks.make_context(left, right)).collect()}
+    assert got["PSI drift"] == got["Kolmogorov-Smirnov shift"] == got["Wasserstein shift"] == "SKIP"
