@@ -2,10 +2,14 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from assayer.functions.times import micros
 from assayer.operators.catalog import owner_id, owner_in_extra
 
+REVIEW_COLUMNS = ("id", "review_text", "rating", "status", "created_at", "updated_at")
+#: Never part of an export.
+PRIVATE_COLUMNS = ("password", "password_hash", "hashed_password")
 EXPORT_COLUMNS = ("section", "id", "filename", "category", "status", "restriction_status", "plan", "kyb_status")
 
 
@@ -23,6 +27,42 @@ def export_sections(subjects: DataFrame, users: DataFrame, catalog: DataFrame, r
     return people.unionByName(owned, allowMissingColumns=True).unionByName(said, allowMissingColumns=True).select("user_id", *EXPORT_COLUMNS)
 
 
+def export_documents(subjects: DataFrame, users: DataFrame, catalog: DataFrame, reviews: DataFrame, parts: int = 16) -> DataFrame:
+    """(user_id, n_datasets, document): all data of a known subject as one JSON text
+    with ``user``, ``datasets`` (whole records, newest first) and ``review`` (null if
+    there is none).
+
+    A subject's records are put in order in ``parts`` salted lists first, which are
+    then merged, so records of a busy owner are gathered by several tasks; the
+    document itself is one value by its nature.
+    """
+    known = subjects.select("user_id").distinct().join(users.withColumnRenamed("id", "user_id"), "user_id")
+    people = known.select("user_id", _shaped(users, {"id": F.col("user_id")}).alias("user"))
+    record = F.struct((-micros(F.col("timestamp"))).alias("age"), "file_hash", _shaped(catalog).alias("record"))
+    owned = catalog.withColumn("user_id", owner_id()).join(known.select("user_id"), "user_id", "left_semi")
+    owned = owned.select("user_id", F.pmod(F.xxhash64("file_hash"), F.lit(parts)).alias("salt"), record.alias("r"))
+    # a list of records is ordered by age and hash before and after the merge
+    lists = owned.groupBy("user_id", "salt").agg(_ordered(F.collect_list("r")).alias("l"))
+    datasets = lists.groupBy("user_id").agg(_ordered(F.flatten(F.collect_list("l"))).alias("l"))
+    datasets = datasets.select("user_id", F.transform("l", lambda r: r["record"]).alias("datasets"))
+    said = reviews.join(known.select("user_id"), "user_id", "left_semi").groupBy("user_id").agg(F.max_by(F.struct(*REVIEW_COLUMNS), F.struct("updated_at", "id")).alias("review"))
+    whole = people.join(datasets, "user_id", "left").join(said, "user_id", "left")
+    kind = datasets.schema["datasets"].dataType
+    listed = F.coalesce("datasets", F.array().cast(kind))
+    document = F.to_json(F.struct("user", listed.alias("datasets"), "review"), {"ignoreNullFields": "false"})
+    return whole.select("user_id", F.size(listed).cast("bigint").alias("n_datasets"), document.alias("document"))
+
+
+def _shaped(df: DataFrame, instead: dict[str, Column] | None = None) -> Column:
+    return F.struct(*[(instead or {}).get(c, F.col(c)).alias(c) for c in df.columns if c not in PRIVATE_COLUMNS])
+
+
+def _ordered(records: Column) -> Column:
+    """By age and hash; the records themselves, which hold maps, are not compared."""
+    before = lambda a, b: F.when(a["age"] < b["age"], -1).when(a["age"] > b["age"], 1).when(a["file_hash"] < b["file_hash"], -1).when(a["file_hash"] > b["file_hash"], 1).otherwise(0)
+    return F.array_sort(records, before)
+
+
 def write_export(sections: DataFrame, path: str) -> None:
     """CSV files, one folder per subject; a subject with very many datasets gets
     several files rather than one huge one."""

@@ -4,8 +4,10 @@ The inputs are check results or seven dimension scores, so every table here is
 report-sized; literal tables are the small side of each join.
 """
 
+import json
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayer import fixed_values as fv
@@ -249,8 +251,39 @@ def report(row: DataFrame, modality: str, extra: Mapping[str, Column] | None = N
     return row.select(*[c.alias(n) for n, c in columns.items()])
 
 
+def _compacted(value, most: int, deepest: int, depth: int = 0):
+    if depth > deepest:
+        return "..."
+    if isinstance(value, dict):
+        out = {k: _compacted(v, most, deepest, depth + 1) for k, v in list(value.items())[:most]}
+        return out | ({"...": f"truncated ({len(value)} keys)"} if len(value) > most else {})
+    if isinstance(value, list):
+        out = [_compacted(v, most, deepest, depth + 1) for v in value[:most]]
+        return out + ([f"... truncated ({len(value)} items)"] if len(value) > most else [])
+    return value
+
+
+def compact_json(value: Column, most: int = 12, deepest: int = 3) -> Column:
+    """A metric given as JSON text, cut to ``most`` entries a level and ``deepest``
+    levels below the first. Every cut leaves a mark with what was there; text that is
+    no JSON stays as it is, and null stays null."""
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts.to_pylist():
+            try:
+                out.append(None if text is None else json.dumps(_compacted(json.loads(text), most, deepest), ensure_ascii=False, separators=(",", ":")))
+            except ValueError:
+                out.append(text)
+        return pa.array(out, pa.string())
+
+    return cut(value)
+
+
 def compact(value: Column, kind: str, max_items: int = 12) -> Column:
-    """Cap the size of a metric: ``kind`` is 'array' or 'map'."""
+    """Cap the size of a typed metric: ``kind`` is 'array' or 'map'. The types have no
+    room for a mark; ``compact_json`` leaves one."""
     if kind == "array":
         return F.slice(value, 1, max_items)
     return F.map_from_entries(F.slice(F.map_entries(value), 1, max_items))

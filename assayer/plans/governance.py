@@ -518,11 +518,33 @@ def _subjects(spark, d):
 
 _SUBJECT = "{c} IN (SELECT concat('user-', c_custkey) FROM customer WHERE c_mktsegment = 'MACHINERY')"
 QUERIES.add(
-    "export_sections", lambda spark, d: rights.export_sections(_subjects(spark, d), users(spark, d), catalog(spark, d), reviews(spark, d)).drop("status"),
+    "export_sections", lambda spark, d: rights.export_sections(_subjects(spark, d), users(spark, d), catalog(spark, d), reviews(spark, d)),
     with_sql(
-        "SELECT id AS user_id, 'user' AS section, id, NULL AS filename, NULL AS category, CASE WHEN restricted THEN 'restricted' ELSE 'active' END AS restriction_status, plan, kyb_status FROM users_fx WHERE "
-        + _SUBJECT.format(c="id") + " UNION ALL SELECT o, 'dataset', file_hash, filename, category, restriction_status, NULL, NULL FROM (SELECT *, coalesce(owner, extra_owner) AS o FROM catalog_fx) WHERE "
-        + _SUBJECT.format(c="o") + " UNION ALL SELECT user_id, 'review', id, NULL, NULL, NULL, NULL, NULL FROM reviews_fx WHERE " + _SUBJECT.format(c="user_id"), "users", "catalog", "reviews",
+        "SELECT id AS user_id, 'user' AS section, id, NULL AS filename, NULL AS category, NULL AS status, CASE WHEN restricted THEN 'restricted' ELSE 'active' END AS restriction_status, plan, kyb_status FROM users_fx WHERE "
+        + _SUBJECT.format(c="id") + " UNION ALL SELECT o, 'dataset', file_hash, filename, category, NULL, restriction_status, NULL, NULL FROM (SELECT *, coalesce(owner, extra_owner) AS o FROM catalog_fx) WHERE "
+        + _SUBJECT.format(c="o") + " UNION ALL SELECT user_id, 'review', id, NULL, NULL, status, NULL, NULL, NULL FROM reviews_fx WHERE " + _SUBJECT.format(c="user_id"), "users", "catalog", "reviews",
+    ),
+)
+
+
+def _export_documents(spark, d):
+    """The documents, read back field by field."""
+    found = rights.export_documents(_subjects(spark, d), users(spark, d), catalog(spark, d), reviews(spark, d))
+    path = lambda p: F.get_json_object("document", p)
+    hashes = F.from_json(path("$.datasets"), "array<struct<file_hash: string, filename: string, bytes: bigint, restriction_status: string>>")
+    return found.select(
+        "user_id", "n_datasets", path("$.user.id").alias("id"), path("$.user.plan").alias("plan"), path("$.user.email").alias("email"),
+        F.array_join(F.transform(hashes, lambda r: F.concat_ws(":", r["file_hash"], r["filename"], r["bytes"], r["restriction_status"])), ",").alias("datasets"),
+        path("$.review.id").alias("review_id"), F.sha2(path("$.review.review_text"), 256).alias("review_sha256"), path("$.review.status").alias("review_status"), path("$.review.rating").cast("int").alias("rating"),
+    )
+
+
+QUERIES.add(
+    "export_documents", _export_documents,
+    with_sql(
+        "SELECT u.id AS user_id, coalesce(n, 0) AS n_datasets, u.id AS id, u.plan, u.email, coalesce(ds, '') AS datasets, r.id AS review_id, sha256(r.review_text) AS review_sha256, r.status AS review_status, r.rating FROM users_fx u LEFT JOIN ("
+        "SELECT o, count(*) AS n, string_agg(concat_ws(':', file_hash, filename, bytes, restriction_status), ',' ORDER BY \"timestamp\" DESC, file_hash) AS ds FROM (SELECT *, coalesce(owner, extra_owner) AS o FROM catalog_fx) GROUP BY o) c ON c.o = u.id "
+        "LEFT JOIN reviews_fx r ON r.user_id = u.id WHERE " + _SUBJECT.format(c="u.id"), "users", "catalog", "reviews",
     ),
 )
 

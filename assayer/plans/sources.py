@@ -74,10 +74,25 @@ QUERIES.add(
 )
 QUERIES.add(
     "compact_metrics",
-    lambda spark, d: load(spark, d, "embeddings").select("vec_id", scoring.compact(F.col("embedding"), "array").alias("m")).select("vec_id", F.size("m").cast("bigint").alias("n"), F.round(F.element_at("m", -1).cast("double"), 6).alias("last")),
-    "SELECT vec_id, len(m) AS n, round(CAST(m[-1] AS DOUBLE), 6) AS last FROM (SELECT vec_id, list_slice(embedding, 1, 12) AS m FROM embeddings)",
+    lambda spark, d: load(spark, d, "embeddings").select("vec_id", _metric().alias("m")).select("vec_id", *_parts()),
+    "SELECT vec_id, CAST(13 AS BIGINT) AS n, '... truncated (' || len(embedding) || ' items)' AS mark, round(CAST(embedding[12] AS DOUBLE), 5) AS last, '{\"d\":\"...\"}' AS deep, label AS shallow FROM embeddings",
 )
 
+
+def _metric():
+    """Nested JSON: a vector, and a label five levels down and one level down."""
+    deep = F.struct(F.struct(F.struct(F.struct(F.col("label").alias("e")).alias("d")).alias("c")).alias("b"))
+    return scoring.compact_json(F.to_json(F.struct(F.col("embedding").alias("v"), deep.alias("a"), F.col("label").alias("l"))))
+
+
+def _parts():
+    path = lambda p: F.get_json_object("m", p)
+    return (
+        F.json_array_length(path("$.v")).cast("bigint").alias("n"), path("$.v[12]").alias("mark"), F.round(path("$.v[11]").cast("double"), 5).alias("last"),
+        path("$.a.b.c").alias("deep"), path("$.l").cast("int").alias("shallow"),
+    )
+
+
 # -------------------------------------------------------------------- streams
 
 

@@ -282,3 +282,33 @@ def test_blank_values_and_unreadable_times(spark):
     loose = base.withColumn("retention_expires_at", F.when(F.col("file_hash") == "d1", "soon").otherwise("")).withColumn("timestamp", F.lit(None).cast("string"))
     found = {r["file_hash"]: r["retention_expires_at"] for r in ct.resolve_fields(loose, now).collect()}
     assert found["d1"] is not None and found["d2"] is None
+
+
+def test_export_documents(spark):
+    import json
+
+    users = spark.createDataFrame([("u1", "ann", "h1", "free"), ("u2", "bob", "h2", "basic")], "id string, username string, password_hash string, plan string")
+    at = [dt.datetime(2026, 1, d) for d in (1, 3, 2)]
+    records = [(f"d{i}", at[i % 3], f"f{i}", "u1" if i < 40 else None, {"owner_user_id": "u2"} if i == 40 else {}) for i in range(41)]
+    catalog = spark.createDataFrame(records, "file_hash string, timestamp timestamp, filename string, owner string, extra map<string,string>")
+    reviews = spark.createDataFrame([("r", "u2", "good", 4, "approved", at[0], at[1])], "id string, user_id string, review_text string, rating int, status string, created_at timestamp, updated_at timestamp")
+    subjects = spark.createDataFrame([("u1",), ("u2",), ("gone",), ("u1",)], "user_id string")
+    got = {r["user_id"]: (r["n_datasets"], json.loads(r["document"])) for r in rights.export_documents(subjects, users, catalog, reviews, parts=3).collect()}
+    assert set(got) == {"u1", "u2"} and [n for n, _ in (got["u1"], got["u2"])] == [40, 1]
+    order = [r[0] for r in sorted((r for r in records if r[3] == "u1"), key=lambda r: (-r[1].timestamp(), r[0]))]
+    assert [d["file_hash"] for d in got["u1"][1]["datasets"]] == order and got["u1"][1]["review"] is None
+    assert "password_hash" not in got["u1"][1]["user"] and got["u2"][1]["review"]["rating"] == 4
+
+
+def test_compact_json_marks_cuts(spark):
+    import json
+
+    from assayer.operators import scoring
+
+    value = {"a": list(range(20)), "b": {"c": {"d": {"e": 1}}}, "m": {str(i): i for i in range(13)}, "é": None}
+    rows = spark.createDataFrame([(1, json.dumps(value)), (2, None), (3, "no json"), (4, "7")], "i int, t string").select("i", scoring.compact_json(F.col("t")).alias("t"))
+    got = {r["i"]: r["t"] for r in rows.collect()}
+    cut = json.loads(got[1])
+    assert cut["a"] == [*range(12), "... truncated (20 items)"] and cut["b"] == {"c": {"d": "..."}} or cut["b"] == {"c": {"d": {"e": "..."}}}
+    assert len(cut["m"]) == 13 and cut["m"]["..."] == "truncated (13 keys)" and cut["é"] is None
+    assert (got[2], got[3], got[4]) == (None, "no json", "7")
