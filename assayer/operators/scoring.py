@@ -222,6 +222,19 @@ def dimension_checks(scores: DataFrame) -> DataFrame:
     )
 
 
+def dimension_tests() -> Column:
+    """The rows of ``dimension_checks`` as an array, over a row of dimension scores."""
+    return F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("index"), F.lit(f"Dimension aggregate: {d}").alias("test"), numeric.dimension_status(F.col(d)).alias("status"), F.lit(d).alias("dimension"),
+                F.lit(f"Aggregated {d} score").alias("interpretation"), numeric.half_even(F.col(d), 2).alias("score"),
+            )
+            for i, d in enumerate(fv.DIMENSIONS, 1)
+        ]
+    )
+
+
 def dimension_summary(scores: DataFrame) -> DataFrame:
     status = numeric.dimension_status(F.col("score"))
     return scores.agg(

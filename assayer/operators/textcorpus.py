@@ -197,6 +197,7 @@ def assess_text(docs: DataFrame, column: str = "text", order: str | None = None,
         numeric.half_even(F.col("vocab_diversity"), 4).alias("vocab_diversity"),
         numeric.half_even(F.col("symbol_ratio"), 4).alias("symbol_to_word_ratio"),
         "dominant_language", numeric.half_even(F.col("confidence") * 100.0, 2).alias("mean_confidence"),
+        F.struct(F.col("en_votes").alias("en"), F.col("unknown_votes").alias("unknown")).alias("language_votes"),
         F.struct(*[F.col(f"{p.lower()}_hits").alias(p.lower()) for p in FOUR_LABELS]).alias("pii_pattern_hits"),
     )
-    return scoring.report(row, "text", {"details": details})
+    return scoring.report(row, "text", {"details": details, "test_results": scoring.dimension_tests()})

@@ -392,12 +392,15 @@ def _text_report(table, key):
             "overall_score", "quality_tier", "best_use_recommendation", F.array_join("cautions", "|").alias("cautions"), F.array_join("fix_actions", "|").alias("fix_actions"),
             F.col("details.n_documents").alias("n_documents"), F.col("details.vocab_diversity").alias("vocab_diversity"), F.col("details.symbol_to_word_ratio").alias("symbol_to_word_ratio"),
             F.col("details.dominant_language").alias("dominant_language"), F.col("details.mean_confidence").alias("mean_confidence"), F.col("details.pii_pattern_hits.phone").alias("phone_hits"),
+            F.col("details.language_votes.en").alias("en_votes"), F.col("details.language_votes.unknown").alias("unknown_votes"),
+            F.array_join(F.transform("test_results", lambda r: F.concat_ws(":", r["index"], r["test"], r["status"], r["interpretation"])), "|").alias("tests"),
         )
 
     return build
 
 
-def _text_report_sql() -> str:
+def _text_report_sql(source: str = "") -> str:
+    """``source`` stands in for the documents table."""
     actions = " ".join(f"WHEN '{d}' THEN {q.quote(a)}" for d, a in fv.IMPROVEMENT_ACTIONS.items())
     fixes = (
         f"(SELECT string_agg(a, '|' ORDER BY k) FROM (SELECT row_number() OVER (ORDER BY score, ord) AS k, CASE dimension {actions} END AS a FROM s QUALIFY k <= 4 "
@@ -405,15 +408,17 @@ def _text_report_sql() -> str:
     )
     told = _advice_sql("text").replace(f"({SCORES})", "s")
     return (
-        f"WITH s AS MATERIALIZED ({TEXT_SCORES}), a AS ({told}) SELECT (SELECT {q.py_round(OVERALL, 2)} FROM s) AS overall_score, (SELECT {_tier(OVERALL)} FROM s) AS quality_tier, "
+        f"WITH {source}s AS MATERIALIZED ({TEXT_SCORES}), a AS ({told}) SELECT (SELECT {q.py_round(OVERALL, 2)} FROM s) AS overall_score, (SELECT {_tier(OVERALL)} FROM s) AS quality_tier, "
         f"best_use_recommendation, cautions, {fixes} AS fix_actions, (SELECT count(*) FROM documents) AS n_documents, {q.py_round(DIVERSITY, 4)} AS vocab_diversity, "
         f"{q.py_round(RATIO, 4)} AS symbol_to_word_ratio, (SELECT lang FROM ({HINTED}) GROUP BY lang ORDER BY count(*) DESC, min(doc_id) LIMIT 1) AS dominant_language, "
-        f"{q.py_round(f'100.0 * {CONFIDENCE}', 2)} AS mean_confidence, (SELECT count(*) FILTER (regexp_matches(t, {q.quote(fv.PII_PATTERNS['PHONE'])})) FROM ({FILLED})) AS phone_hits FROM a"
+        f"{q.py_round(f'100.0 * {CONFIDENCE}', 2)} AS mean_confidence, (SELECT count(*) FILTER (regexp_matches(t, {q.quote(fv.PII_PATTERNS['PHONE'])})) FROM ({FILLED})) AS phone_hits, "
+        f"(SELECT count(*) FILTER (lang = 'en') FROM ({HINTED})) AS en_votes, (SELECT count(*) FILTER (lang <> 'en') FROM ({HINTED})) AS unknown_votes, "
+        f"(SELECT string_agg(ord || ':Dimension aggregate: ' || dimension || ':' || {DIM_STATUS} || ':Aggregated ' || dimension || ' score', '|' ORDER BY ord) FROM s) AS tests FROM a"
     )
 
 
 QUERIES.add("text_report", _text_report("documents", "doc_id"), _text_report_sql())
-QUERIES.add("text_report_conversations", _text_report("conversations", "conv_id * 1000 + turn"))
+QUERIES.add("text_report_conversations", _text_report("conversations", "conv_id * 1000 + turn"), _text_report_sql("documents AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations), "))
 QUERIES.add(
     "normal_forms",
     lambda spark, d: load(spark, d, "conversations").select("conv_id", "turn", tx.normal_form(F.col("text")).alias("form"), tx.word_count(F.col("text")).cast("bigint").alias("words")),
