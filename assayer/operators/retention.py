@@ -34,6 +34,13 @@ def sweep_items(catalog: DataFrame, as_of: Column, dry_run: bool = True, limit:
     )
 
 
+def sweep_summary(catalog: DataFrame, as_of: Column, dry_run: bool = True, limit: int | None = None) -> DataFrame:
+    """One row for a sweep: whether it only looks, when it was, how many are due."""
+    return due_records(catalog, as_of, limit).agg(
+        F.lit(True).alias("ok"), F.lit(dry_run).alias("dry_run"), iso_utc(as_of).alias("processed_at"), F.count("*").alias("due_count")
+    )
+
+
 def apply_sweep(catalog: DataFrame, as_of: Column, limit: int | None = None, delete_objects: bool = False) -> DataFrame:
     """Catalogue after an executed sweep.
 
@@ -86,3 +93,39 @@ def restrict_users(users: DataFrame, catalog: DataFrame, requests: DataFrame) ->
         }
     ).select(*catalog.columns)
     return next_users, next_catalog
+
+
+def restriction_decisions(users: DataFrame, catalog: DataFrame, requests: DataFrame) -> DataFrame:
+    """Outcome of restriction requests (user_id, requester_id, restricted, reason),
+    which only the user may make: result, HTTP code, the number of datasets that
+    follow, their status, and the metadata of the audit event.
+
+    ``accepted_restrictions`` keeps what ``restrict_users`` may apply.
+    """
+    owned = catalog.select(owner_id().alias("user_id")).groupBy("user_id").agg(F.count("*").alias("__n"))
+    known = users.select(F.col("id").alias("user_id"), F.lit(True).alias("__known"))
+    joined = requests.join(known, "user_id", "left").join(owned, "user_id", "left")
+    own = F.coalesce(F.nullif("requester_id", F.lit("")) == F.col("user_id"), F.lit(False))
+    result = F.when(~own, "DENIED").when(F.col("__known").isNull(), "NOT_FOUND").otherwise("SUCCESS")
+    done = result == "SUCCESS"
+    count = F.when(done, F.coalesce("__n", F.lit(0)))
+    metadata = F.when(result == "DENIED", F.create_map(F.lit("reason"), F.lit("not_owner"))).when(
+        done, F.create_map(F.lit("restricted"), F.col("restricted").cast("string"), F.lit("dataset_count"), count.cast("string"), F.lit("reason"), F.col("reason"))
+    ).otherwise(F.create_map(F.lit("reason"), F.lit("User not found")))
+    return joined.select(
+        "user_id", "requester_id", "restricted", "reason", result.alias("result"), F.when(done, 200).when(result == "DENIED", 403).otherwise(404).alias("code"),
+        count.alias("dataset_count"), F.when(done, F.when(F.col("restricted"), "restricted").otherwise("active")).alias("restriction_status"), metadata.alias("metadata"),
+    )
+
+
+def accepted_restrictions(decisions: DataFrame) -> DataFrame:
+    return decisions.filter("result = 'SUCCESS'").select("user_id", "restricted", "reason")
+
+
+def restriction_log(decisions: DataFrame, at: Column) -> DataFrame:
+    """Audit events of restriction requests; a denied one is the requester's."""
+    actor = F.when(F.col("result") == "DENIED", F.col("requester_id")).otherwise(F.col("user_id"))
+    return decisions.select(
+        F.lit("RESTRICT_USER_PROCESSING").alias("action"), actor.alias("actor_id"), F.col("user_id").alias("resource"),
+        F.lit("data_subject_restriction_request").alias("purpose"), "result", "metadata", at.alias("created_at"),
+    )

@@ -80,6 +80,11 @@ def archived_list(reviews: DataFrame, as_of: Column, limit: int = 200, months: i
     return _newest(reviews.filter(is_archived(cutoff(as_of, months))), limit)
 
 
+def own_reviews(reviews: DataFrame, user_ids: DataFrame) -> DataFrame:
+    """The review of each given user (user_id), whatever its status; a user has one."""
+    return reviews.join(user_ids.select("user_id").distinct(), "user_id", "left_semi").select(*reviews.columns)
+
+
 def by_status(reviews: DataFrame, status: str) -> DataFrame:
     return _newest(reviews.filter(F.col("status") == status), None)
 

@@ -465,6 +465,12 @@ QUERIES.add(
 )
 
 
+QUERIES.add(
+    "retention_summary", lambda spark, d: retention.sweep_summary(catalog(spark, d), moment(AS_OF_CATALOG), dry_run=False),
+    with_sql(f"SELECT true AS ok, false AS dry_run, strftime(TIMESTAMP '{AS_OF_CATALOG}', '%Y-%m-%dT%H:%M:%SZ') AS processed_at, count(*) AS due_count FROM (SELECT 1 {_DUE})", "catalog"),
+)
+
+
 def _swept(limit):
     def build(spark, d):
         return retention.apply_sweep(catalog(spark, d), moment(AS_OF_CATALOG), limit).select(
@@ -508,6 +514,46 @@ QUERIES.add(
     ),
 )
 
+
+
+def _restriction_requests(spark, d):
+    """Customers ask for themselves, for a neighbour, without a name, or are unknown."""
+    key = F.col("c_custkey")
+    name = lambda k: F.concat(F.lit("user-"), k.cast("string"))
+    return load(spark, d, "customer").select(
+        F.when(key % 7 == 0, F.concat(F.lit("gone-"), key.cast("string"))).otherwise(name(key)).alias("user_id"),
+        F.when(key % 5 == 0, name(key + 1)).when(key % 11 == 0, F.lit(None).cast("string")).when(key % 7 == 0, F.concat(F.lit("gone-"), key.cast("string"))).otherwise(name(key)).alias("requester_id"),
+        (F.col("c_acctbal") < 0).alias("restricted"), F.lit("asked").alias("reason"),
+    )
+
+
+def _restriction_decisions(spark, d):
+    return retention.restriction_decisions(users(spark, d), catalog(spark, d), _restriction_requests(spark, d))
+
+
+_REQUESTED = (
+    "SELECT CASE WHEN c_custkey % 7 = 0 THEN 'gone-' ELSE 'user-' END || c_custkey AS user_id, CASE WHEN c_custkey % 5 = 0 THEN 'user-' || (c_custkey + 1) WHEN c_custkey % 11 = 0 THEN NULL "
+    "WHEN c_custkey % 7 = 0 THEN 'gone-' || c_custkey ELSE 'user-' || c_custkey END AS requester_id, c_acctbal < 0 AS restricted, 'asked' AS reason FROM customer"
+)
+_RESTRICTED = (
+    f"SELECT r.*, CASE WHEN requester_id IS NULL OR requester_id <> user_id THEN 'DENIED' WHEN u.id IS NULL THEN 'NOT_FOUND' ELSE 'SUCCESS' END AS result, coalesce(n, 0) AS n FROM ({_REQUESTED}) r "
+    "LEFT JOIN users_fx u ON u.id = user_id LEFT JOIN (SELECT coalesce(owner, extra_owner) AS o, count(*) AS n FROM catalog_fx GROUP BY 1) c ON c.o = user_id"
+)
+QUERIES.add(
+    "restriction_decisions", lambda spark, d: _restriction_decisions(spark, d).select("user_id", "requester_id", "restricted", "reason", "result", F.col("code").cast("bigint").alias("code"), "dataset_count", "restriction_status"),
+    with_sql(
+        "SELECT user_id, requester_id, restricted, reason, result, CAST(CASE result WHEN 'SUCCESS' THEN 200 WHEN 'DENIED' THEN 403 ELSE 404 END AS BIGINT) AS code, CASE WHEN result = 'SUCCESS' THEN n END AS dataset_count, "
+        f"CASE WHEN result = 'SUCCESS' THEN CASE WHEN restricted THEN 'restricted' ELSE 'active' END END AS restriction_status FROM ({_RESTRICTED})", "users", "catalog",
+    ),
+)
+QUERIES.add(
+    "restriction_log", lambda spark, d: retention.restriction_log(_restriction_decisions(spark, d), moment(AS_OF_CATALOG)).select("action", "actor_id", "resource", "purpose", "result", F.col("metadata")["dataset_count"].alias("dataset_count"), F.col("metadata")["reason"].alias("why")),
+    with_sql(
+        "SELECT 'RESTRICT_USER_PROCESSING' AS action, CASE WHEN result = 'DENIED' THEN requester_id ELSE user_id END AS actor_id, user_id AS resource, 'data_subject_restriction_request' AS purpose, result, "
+        f"CASE WHEN result = 'SUCCESS' THEN CAST(n AS VARCHAR) END AS dataset_count, CASE result WHEN 'SUCCESS' THEN 'asked' WHEN 'DENIED' THEN 'not_owner' ELSE 'User not found' END AS why FROM ({_RESTRICTED})", "users", "catalog",
+    ),
+)
+
 # --------------------------------------------------------------------- rights
 
 
@@ -645,6 +691,10 @@ _CHAIN = (
     "WITH RECURSIVE ev AS (SELECT {k} AS k, epoch_us(ts) AS t, min(event_id) AS e FROM events GROUP BY ALL), acc AS (SELECT k, min(t) AS t FROM ev GROUP BY k "
     "UNION ALL SELECT acc.k, (SELECT min(ev.t) FROM ev WHERE ev.k = acc.k AND ev.t > acc.t + {w}) FROM acc WHERE acc.t IS NOT NULL) "
 )
+QUERIES.add(
+    "review_own", lambda spark, d: rv.own_reviews(reviews(spark, d), load(spark, d, "customer").select(F.concat(F.lit("user-"), F.col("c_custkey").cast("string")).alias("user_id"))).select("id", "user_id", "rating", "status"),
+    with_sql("SELECT id, user_id, rating, status FROM reviews_fx WHERE user_id IN (SELECT concat('user-', c_custkey) FROM customer)", "reviews"),
+)
 QUERIES.add(
     "review_rate_limit", lambda spark, d: rv.rate_limit(load(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 43200).select("event_id", "user_id", "accepted"),
     _CHAIN.format(k="user_id", w=43200 * 1_000_000)
