@@ -22,9 +22,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that many sites share; no document is dropped."""
+    """Documents without lines that many sites share. A document that loses its last
+    line with text goes: of copies on so many sites the one that keeps the lines is
+    the only one left. Documents that had no text stay, and rows that lose nothing
+    keep their ``n_chars`` as it is."""
     cleaned = lines.remove_boilerplate(docs.select(*COLUMNS))
-    return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    lost = F.col("n_removed") > 0
+    left = cleaned.where(~lost | F.col("text").rlike(r"\S"))
+    return left.withColumn("n_chars", F.when(lost, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
