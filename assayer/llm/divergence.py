@@ -84,6 +84,20 @@ def _group_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield passed()
 
 
+def _term_spread(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(lang, term, held): documents of the batch that hold each term."""
+    langs = batch.column("lang").dictionary_encode()
+    data, offsets = words.text_bytes(batch.column("text"))
+    raw = data.tobytes()
+    tokens = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    terms = pa.array([t for own in tokens for t in own], pa.binary()).dictionary_encode()
+    size = max(len(terms.dictionary), 1)
+    owner = np.repeat(np.arange(len(tokens)), [len(own) for own in tokens])
+    pairs = np.unique(owner * size + terms.indices.to_numpy(zero_copy_only=False))
+    groups, held = np.unique(langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[pairs // size] * size + pairs % size, return_counts=True)
+    return pa.record_batch([langs.dictionary.take(pa.array(groups // size)), terms.dictionary.cast(pa.string()).take(pa.array(groups % size)), pa.array(held)], names=["lang", "term", "held"])
+
+
 def vectorize(texts: DataFrame, langs: dict[str, int], folder: str, least: int = LEAST, part: int = PART) -> tuple[DataFrame, DataFrame] | None:
     """Vocabulary (lang, term, code) and sums of document vectors (lang, source, code, count).
 
@@ -92,7 +106,7 @@ def vectorize(texts: DataFrame, langs: dict[str, int], folder: str, least: int =
     """
     spark = texts.sparkSession
     found = texts.select("part_of", "lang", "source", F.array_remove(F.split("text", " "), "").alias("terms"))
-    spread = found.select("lang", F.explode(F.array_distinct("terms")).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("held")).where(F.col("held") >= least)
+    spread = words.map_texts(texts.select("lang", "text"), _term_spread, "lang string, term string, held bigint").groupBy("lang", "term").agg(F.sum("held").alias("held")).where(F.col("held") >= least)
     sizes = spread.groupBy("lang").agg(F.count("*").alias("kept")).orderBy("lang").collect()
     for lang, kept in sizes:
         parts = -(-kept // part)
