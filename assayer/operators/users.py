@@ -31,14 +31,47 @@ def public_view(users: DataFrame) -> DataFrame:
     return filled.orderBy(*order).select(*PUBLIC_COLUMNS)
 
 
+def _won(requests: DataFrame) -> DataFrame:
+    """Open requests with ``__wins``: accepted whatever becomes of the others.
+
+    A request that is first for its name and its e-mail wins. One with a single
+    earlier rival wins if that rival does not, so along a chain of such requests
+    the outcome alternates from its end; pointers to the rival are doubled, which
+    takes a logarithmic number of steps for a chain of any length.
+    """
+    ranked = requests
+    for field in ("username", "email"):
+        first = ranked.groupBy(field).agg(F.min("__at").alias(f"__1_{field}"))
+        ranked = ranked.join(first, field)
+        second = ranked.groupBy(field).agg(F.min(F.when(F.col("__at") > F.col(f"__1_{field}"), F.col("__at"))).alias(f"__2_{field}"))
+        ranked = ranked.join(second, field)
+    own = {(n, field): F.col("__at").eqNullSafe(F.col(f"__{n}_{field}")) for n in (1, 2) for field in ("username", "email")}
+    rival = (
+        F.when(own[1, "username"] & own[2, "email"], F.col("__1_email")).when(own[2, "username"] & own[1, "email"], F.col("__1_username"))
+        .when(own[2, "username"] & own[2, "email"] & (F.col("__1_username") == F.col("__1_email")), F.col("__1_username"))
+    )
+    ranked = durable(ranked.withColumns({"__wins": own[1, "username"] & own[1, "email"], "__rival": rival}).select(*requests.columns, "__wins", "__rival"))
+    links = ranked.where("__rival IS NOT NULL").select("__at", F.col("__rival").alias("end"), F.lit(True).alias("odd"))
+    while True:
+        onward = links.select(F.col("__at").alias("end"), F.col("end").alias("beyond"), F.col("odd").alias("flip"))
+        longer = durable(links.join(onward, "end", "left"))
+        if longer.where("beyond IS NOT NULL").isEmpty():
+            break
+        links = longer.select("__at", F.coalesce("beyond", "end").alias("end"), (F.col("odd") != F.coalesce("flip", F.lit(False))).alias("odd"))
+    sure = ranked.where("__wins").select(F.col("__at").alias("end"))
+    through = links.where("NOT odd").join(sure, "end", "left_semi").select("__at", F.lit(True).alias("__through"))
+    return ranked.drop("__rival").join(through, "__at", "left").withColumn("__wins", F.col("__wins") | F.col("__through").isNotNull()).drop("__through")
+
+
 def register(requests: DataFrame, users: DataFrame, order: Sequence[str]) -> DataFrame:
     """Registrations (id, username, email, plan) with ``reason``, null when accepted.
 
     Requests count in ``order``: a name or e-mail belongs to the first request
     accepted with it, and a refused request blocks nobody. Requests that share
     neither are settled at once. The contested ones are settled in rounds: the
-    earliest open request of both its name and its e-mail is accepted, those
-    that clash with it are refused, and the rest goes on.
+    earliest open request of both its name and its e-mail is accepted, and so is
+    every request that the chain of single rivals behind it lets through; those that
+    clash with an accepted one are refused, and the rest goes on.
     """
     clean = requests.withColumns(
         {
@@ -61,11 +94,7 @@ def register(requests: DataFrame, users: DataFrame, order: Sequence[str]) -> Dat
     refused = judged.filter("reason IS NOT NULL")
     open_ones, accepted, clashed = judged.filter("reason IS NULL"), [], []
     while True:
-        by_name = open_ones.groupBy("username").agg(F.min("__at").alias("__first_name"))
-        by_mail = open_ones.groupBy("email").agg(F.min("__at").alias("__first_mail"))
-        met = open_ones.join(by_name, "username").join(by_mail, "email")
-        wins = (F.col("__at") == F.col("__first_name")) & (F.col("__at") == F.col("__first_mail"))
-        met = durable(met.withColumn("__wins", wins).select(*judged.columns, "__wins"))
+        met = durable(_won(open_ones).select(*judged.columns, "__wins"))
         winners = met.filter("__wins").select(*judged.columns)
         rest = (
             met.filter(~F.col("__wins"))

@@ -753,7 +753,18 @@ def _signups(spark, d):
     )
 
 
-QUERIES.add("user_register", lambda spark, d: us.register(_signups(spark, d), users(spark, d), ["seq"]).select("id", "username", "email", "plan", "reason"))
+QUERIES.add("user_register", lambda spark, d: us.register(_signups(spark, d), users(spark, d), ["seq"]).select("id", "username", "email", "plan", "reason"),
+    with_sql(
+        "SELECT * FROM (WITH RECURSIVE asked AS (SELECT 'new-' || c_custkey AS id, CASE WHEN c_custkey % 50 = 0 THEN '' ELSE 'n' || c_custkey % 400 END AS username, 'm' || c_custkey % 600 || '@example.com' AS email, "
+        "CASE WHEN c_custkey % 2 = 0 THEN 'business' ELSE 'free' END AS plan, row_number() OVER (ORDER BY c_custkey) AS seq FROM customer), "
+        "base AS (SELECT a.*, CASE WHEN username = '' THEN 'username_required' WHEN username IN (SELECT username FROM users_fx) THEN 'username_exists' WHEN email IN (SELECT email FROM users_fx) THEN 'email_exists' END AS refused FROM asked a), "
+        "step AS (SELECT CAST(0 AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS reason, CAST([] AS VARCHAR[]) AS names, CAST([] AS VARCHAR[]) AS mails UNION ALL "
+        "SELECT seq, id, reason, CASE WHEN reason IS NULL THEN list_append(names, username) ELSE names END, CASE WHEN reason IS NULL THEN list_append(mails, email) ELSE mails END FROM ("
+        "SELECT b.seq, b.id, b.username, b.email, names, mails, CASE WHEN refused IS NOT NULL AND refused <> 'email_exists' THEN refused WHEN list_contains(names, b.username) THEN 'username_exists' "
+        "WHEN refused IS NOT NULL OR list_contains(mails, b.email) THEN 'email_exists' END AS reason FROM step s JOIN base b ON b.seq = s.seq + 1)) "
+        "SELECT a.id, username, email, plan, reason FROM asked a JOIN step s ON s.id = a.id)", "users",
+    ),
+)
 
 
 def _plain_signups(spark, d):

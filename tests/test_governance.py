@@ -240,6 +240,19 @@ def test_registration_against_sequence(spark):
     assert {r["plan"] for r in added.select("plan").distinct().collect()} <= {"free", "business"}
 
 
+def test_registration_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """Each request shares its mail with the one before or its name with the one after."""
+    n = 10_000
+    asked = [(i, f"n{(i + 1) // 2}", f"m{i // 2}@x") for i in range(n)]
+    df = spark.createDataFrame([(str(i), a, m, "free", i) for i, a, m in asked], "id string, username string, email string, plan string, seq int").repartition(4)
+    steps = []
+    kept = us.durable
+    monkeypatch.setattr(us, "durable", lambda frame: steps.append(1) or kept(frame))
+    users = spark.createDataFrame([], USER)
+    assert {int(r["id"]): r["reason"] for r in us.register(df, users, ["seq"]).collect()} == _brute_register(asked, [], [])
+    assert len(steps) < 25
+
+
 def test_user_fields(spark):
     users = spark.createDataFrame([("u1", "alice", "alice@example.com", "business", "pending", False)], USER)
     asked = spark.createDataFrame([("u1", " Verified ", 1), ("u1", "odd", 2), ("ghost", "verified", 3)], "user_id string, value string, seq int")
