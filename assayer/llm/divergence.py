@@ -11,6 +11,7 @@ terms with one remainder of their hash, so that neither a vectorizer nor a
 vocabulary grows with the corpus.
 """
 
+from collections import Counter
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -29,7 +30,7 @@ TERM_BYTES = np.where(np.arange(256) < 128, 32, np.arange(256)).astype(np.uint8)
 TERM_BYTES[97:123] = TERM_BYTES[65:91] = np.arange(97, 123)
 LEAST, SCALE, ADDED, BEST = 30, 1_000_000_000, 5, 50
 PART, BLOCK, TILE = 1 << 18, 512, 256
-#: Entries of group sums that a task holds before it passes them on.
+#: Terms or entries of group sums that a task holds before it passes them on.
 HELD = 1 << 20
 
 
@@ -84,18 +85,23 @@ def _group_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield passed()
 
 
-def _term_spread(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(lang, term, held): documents of the batch that hold each term."""
-    langs = batch.column("lang").dictionary_encode()
-    data, offsets = words.text_bytes(batch.column("text"))
-    raw = data.tobytes()
-    tokens = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    terms = pa.array([t for own in tokens for t in own], pa.binary()).dictionary_encode()
-    size = max(len(terms.dictionary), 1)
-    owner = np.repeat(np.arange(len(tokens)), [len(own) for own in tokens])
-    pairs = np.unique(owner * size + terms.indices.to_numpy(zero_copy_only=False))
-    groups, held = np.unique(langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[pairs // size] * size + pairs % size, return_counts=True)
-    return pa.record_batch([langs.dictionary.take(pa.array(groups // size)), terms.dictionary.cast(pa.string()).take(pa.array(groups % size)), pa.array(held)], names=["lang", "term", "held"])
+def _term_spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, term, held): documents that hold each term, counted over as many as
+    ``HELD`` terms allow."""
+    counts: dict[str, Counter] = {}
+
+    def passed() -> Iterator[pa.RecordBatch]:
+        for lang, own in counts.items():
+            terms = pa.array(list(own), pa.binary()).cast(pa.string())
+            yield pa.record_batch([pa.repeat(lang, len(own)), terms, pa.array(list(own.values()), pa.int64())], names=["lang", "term", "held"])
+
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            counts.setdefault(lang, Counter()).update(set(text.encode().split()))
+        if sum(map(len, counts.values())) > HELD:
+            yield from passed()
+            counts.clear()
+    yield from passed()
 
 
 def vectorize(texts: DataFrame, langs: dict[str, int], folder: str, least: int = LEAST, part: int = PART) -> tuple[DataFrame, DataFrame] | None:
@@ -106,7 +112,7 @@ def vectorize(texts: DataFrame, langs: dict[str, int], folder: str, least: int =
     """
     spark = texts.sparkSession
     found = texts.select("part_of", "lang", "source", F.array_remove(F.split("text", " "), "").alias("terms"))
-    spread = words.map_texts(texts.select("lang", "text"), _term_spread, "lang string, term string, held bigint").groupBy("lang", "term").agg(F.sum("held").alias("held")).where(F.col("held") >= least)
+    spread = words.small_batches(texts.select("lang", "text")).mapInArrow(_term_spread, "lang string, term string, held bigint").groupBy("lang", "term").agg(F.sum("held").alias("held")).where(F.col("held") >= least)
     sizes = spread.groupBy("lang").agg(F.count("*").alias("kept")).orderBy("lang").collect()
     for lang, kept in sizes:
         parts = -(-kept // part)
