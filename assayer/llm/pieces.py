@@ -18,6 +18,7 @@ path of finite weight, and the shortest path is the model's segmentation.
 import hashlib
 from dataclasses import dataclass, field
 from functools import partial
+from itertools import pairwise
 from struct import pack, unpack
 
 import numpy as np
@@ -32,6 +33,11 @@ BYTE, UNKNOWN, CONTROL, UNIGRAM, BPE = 6, 2, 3, 1, 2
 INFINITE = float("inf")
 #: Weight of an arc that no piece has; neighbours whose test a worker remembers.
 FALLBACK_WEIGHT, REMEMBERED = 1e3, 1 << 19
+#: Characters of words that are composed at once; a longer word is composed alone.
+AT_ONCE = 1 << 17
+#: Bytes of texts that are encoded at once. What a worker has taken it keeps for the
+#: next stage, beside the heap of its executor.
+PIECE = 1 << 20
 NOTHING, FOREIGN = -2, -1
 
 
@@ -299,8 +305,17 @@ class Transducer:
         order = np.argsort(start, kind="stable")
         return word[order], start[order], symbol[order]
 
-    def words_to_ids(self, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words, given as characters, and the number of ids of each."""
+    def words_to_ids(self, codes: np.ndarray, bounds: np.ndarray, most: int = AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, given as characters, and the number of ids of each; words
+        are taken in blocks of ``most`` characters, which bounds the arcs held."""
+        edges = np.flatnonzero(np.diff(bounds[:-1] // most)) + 1
+        parts = []
+        for low, high in pairwise([0, *edges.tolist(), len(bounds) - 1]):
+            own = bounds[low : high + 1]
+            parts.append(self._block_to_ids(codes[own[0] : own[-1]], own - own[0]))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _block_to_ids(self, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         word, start, symbol = self.paths(codes, bounds)
         spare = (symbol < 0) | (symbol >= len(self.pieces))
         sizes = np.ones(len(symbol), np.int64)
@@ -418,4 +433,4 @@ def encode(docs: DataFrame, path: str = MODEL, with_ids: bool = True) -> DataFra
     extra = "n_tokens bigint, n_byte_tokens bigint, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
     made = {x.split()[0] for x in extra.split(", ")}
     kept = [f"`{n}` {t}" for n, t in docs.dtypes if n != "text" and n not in made]
-    return words.map_texts(docs, partial(_encoded, path=path, with_ids=with_ids), ", ".join([*kept, extra]))
+    return words.map_texts(docs, partial(_encoded, path=path, with_ids=with_ids), ", ".join([*kept, extra]), PIECE)

@@ -3,12 +3,13 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 from math import log2
 
 import numpy as np
 
-from assayer.llm import decontaminate, fuzzyhash, neardup, personal, quality, repeats, secrets, words
+from assayer.llm import decontaminate, fuzzyhash, neardup, personal, pieces, quality, repeats, secrets, words
 
 
 def _runs(words, size=5):
@@ -273,3 +274,18 @@ def test_ids_of_32_bits(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id int, quality int")
     assert neardup.near_duplicates(docs).count() == repeats.remove_repeats(docs).count() == 9
     assert quality.score(docs, quality.train(docs, labels)).count() == 9 and quality.keep_good(docs, labels).count() <= 9
+
+
+def test_pieces_memory_does_not_grow_with_the_distinct_words():
+    model, rng = pieces.compile_model(), random.Random(5)
+    made = ["".join(rng.choices("etaoin shrdlu", k=8)) for _ in range(50_000)]
+    words_ = [np.frombuffer((pieces.MARK + w.replace(" ", "x")).encode("utf-32-le"), np.uint32).astype(np.int64) for w in made]
+    codes, bounds = np.concatenate(words_), np.r_[0, np.cumsum([len(w) for w in words_])]
+    model.words_to_ids(codes, bounds)  # from here on the neighbours are remembered
+    tracemalloc.start()
+    found = model.words_to_ids(codes, bounds)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # 82 MB for all words at once
+    for most in (1000, len(codes) + 1):
+        assert all(np.array_equal(a, b) for a, b in zip(found, model.words_to_ids(codes, bounds, most), strict=True))
