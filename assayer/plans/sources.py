@@ -42,7 +42,7 @@ def _fingerprints(spark, d):
     lines = load(spark, d, "lineitem")
     return (
         files.table_fingerprint(lines).select(F.col("fingerprint").alias("f"), F.lit("plain").alias("version"))
-        .union(files.table_fingerprint(lines.repartition(5, "l_partkey")).select("fingerprint", F.lit("moved")))
+        .union(files.table_fingerprint(lines.repartition(*lines.columns)).select("fingerprint", F.lit("moved")))
         .union(files.table_fingerprint(lines.union(lines)).select("fingerprint", F.lit("doubled")))
         .groupBy("f").agg(F.array_join(F.sort_array(F.collect_list("version")), ",").alias("versions")).select("versions")
     )

@@ -355,3 +355,13 @@ def test_assessment_by_path(spark, tmp_path, data):
     assert r["modality"] == "tabular" and len(r["input_hash"]) == 64
     with pytest.raises(ValueError):
         run_assessment(spark, str(tmp_path), modality="graph")
+
+
+def test_moved_rows_of_the_fingerprints_go_to_any_number_of_tasks(spark, tmp_path):
+    from assayer.plans.sources import QUERIES
+
+    spark.range(50).selectExpr("id l_orderkey", "id % 7 l_partkey", "if(id % 9 = 0, null, id / 4) l_tax").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = QUERIES["table_fingerprints"].build(spark, str(tmp_path))
+    assert sorted(r.versions for r in df.collect()) == ["doubled", "moved,plain"]
+    plan = df._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_COL" in plan and "REPARTITION_BY_NUM" not in plan
