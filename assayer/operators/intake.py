@@ -1,8 +1,9 @@
 """Upload intake: many delimited files assessed, scrubbed and catalogued at once.
 
 Files are read as lines, so one huge file is many tasks and thousands of small
-ones are a few. Rows meet the facts of their file by (file, block), so a huge file
-stays spread; everything per file is an aggregate that is combined before its shuffle.
+ones are a few. Rows meet the facts of their file by (file, block, slice), so a huge
+file stays spread; everything per file is an aggregate that is combined before its
+shuffle.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -15,10 +16,12 @@ from assayer.operators.access import intake_gate
 from assayer.operators.audit import AUDIT_COLUMNS, audit_rows
 from assayer.operators.catalog import build_records, mime_choice, safe_name, upsert
 from assayer.operators.fastscore import assess_unread, detail_lines, with_quality_score
-from assayer.session import durable, spread
+from assayer.session import durable
 from assayer.sources.files import cell_kinds, null_spellings
 
 KINDS = ("bigint", "double", "boolean")
+#: Slices of a block: a file that comes as one block still goes to many tasks.
+SLICES = 256
 
 
 def read_lines(spark: SparkSession, paths) -> DataFrame:
@@ -38,16 +41,26 @@ def split_line(line: Column) -> Column:
     )
 
 
+PLACE = ["file", "__block", "__slice"]
+
+
+def _placed(lines: DataFrame) -> DataFrame:
+    """Lines with their place as columns, which stay as they are if they are there."""
+    if set(PLACE) <= set(lines.columns):
+        return lines
+    return lines.withColumns({"__block": F.col("at.block"), "__slice": F.pmod(F.xxhash64("at"), F.lit(SLICES))})
+
+
 def parse_files(lines: DataFrame) -> DataFrame:
-    """(file, head_at, header, blocks, kinds): header cells, the blocks that the file
-    was read in, and promoted column types.
+    """(file, head_at, header, places, kinds): header cells, the blocks that the file
+    was read in with their slices that have lines, and promoted column types.
 
     The header line takes part in the counts and is taken off again, so that no
     join is needed to skip it. The counts are plain numbers per (file, column)
     and are combined before the shuffle.
     """
-    heads = lines.groupBy("file").agg(F.min(F.struct("at", "line")).alias("h"), F.collect_set("at.block").alias("blocks"))
-    heads = heads.select("file", F.col("h.at").alias("head_at"), split_line(F.col("h.line")).alias("header"), "blocks")
+    heads = _placed(lines).groupBy("file").agg(F.min(F.struct("at", "line")).alias("h"), F.collect_set(F.struct("__block", "__slice")).alias("places"))
+    heads = heads.select("file", F.col("h.at").alias("head_at"), split_line(F.col("h.line")).alias("header"), "places")
     cells = lines.select("file", F.posexplode(split_line(F.col("line"))).alias("pos", "raw"))
     cells = cells.select("file", "pos", null_spellings(F.col("raw")).alias("cell"))
     fits = cell_kinds(F.col("cell"))
@@ -64,7 +77,7 @@ def parse_files(lines: DataFrame) -> DataFrame:
         )
 
     own_columns = F.slice("columns", F.lit(1), F.size("header"))
-    return heads.join(by_file, "file").select("file", "head_at", "header", "blocks", F.zip_with("header", own_columns, kind).alias("kinds"))
+    return heads.join(by_file, "file").select("file", "head_at", "header", "places", F.zip_with("header", own_columns, kind).alias("kinds"))
 
 
 def _typed_text(cell: Column, kind: Column) -> Column:
@@ -78,13 +91,14 @@ def _typed_text(cell: Column, kind: Column) -> Column:
 
 def scrub_files(lines: DataFrame, facts: DataFrame) -> DataFrame:
     """(file, at, header, clean, key, missing, redacted): data rows with string
-    cells scrubbed. ``facts`` has one row per file, and goes to each of its blocks."""
+    cells scrubbed. ``facts`` has one row per file, and goes to each of its places."""
     width = F.size("header")
     cells = F.transform(split_line(F.col("line")), null_spellings)
     # Short rows are filled with nulls, as readers do.
     padded = F.slice(F.concat(cells, F.array_repeat(F.lit(None).cast("string"), width)), F.lit(1), width)
-    by_block = facts.select("file", "head_at", "header", "kinds", F.explode("blocks").alias("__block"))
-    joined = lines.withColumn("__block", F.col("at.block")).join(by_block, ["file", "__block"]).filter("at > head_at").select("file", "at", "header", "kinds", padded.alias("cells"))
+    by_place = facts.select("file", "head_at", "header", "kinds", F.inline("places").alias("__block", "__slice"))
+    # Compressed lines can pass for a small side; broadcast, they would all meet the facts in one task.
+    joined = _placed(lines).join(by_place.hint("merge"), PLACE).filter("at > head_at").select("file", "at", "header", "kinds", padded.alias("cells"))
     clean = F.zip_with(
         "cells", "kinds",
         lambda c, k: F.when(k == "string", pii.scrub(F.coalesce(c, F.lit("")))).otherwise(_typed_text(c, k)),
@@ -107,9 +121,10 @@ def assess_files(lines: DataFrame, names: DataFrame) -> DataFrame:
 
     Counts and distinct rows are partial aggregates; the first ten rows come from
     a ranked window whose limit Spark applies before the shuffle, and only those
-    are scrubbed for the category.
+    are scrubbed for the category. Lines are dealt out once, by the places at which
+    they meet the facts.
     """
-    lines = spread(lines, "file", "at")
+    lines = _placed(lines.select("file", "at", "line")).repartition(*PLACE)
     facts = parse_files(lines)
     rows = scrub_files(lines, facts)
     stats = rows.groupBy("file").agg(

@@ -357,6 +357,22 @@ def test_assessment_by_path(spark, tmp_path, data):
         run_assessment(spark, str(tmp_path), modality="graph")
 
 
+def test_one_file_of_one_block_is_scrubbed_in_many_tasks(spark):
+    rows = [("a", (0, 0), "id,mail")] + [("a", (1, i), f"{i},m{i}@b.com") for i in range(1, 400)] + [("b", (7, 0), "x"), ("b", (7, 3), "1")]
+    lines = spark.createDataFrame(rows, "file string, at struct<block: bigint, row: bigint>, line string")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for key, value in zip(held, ("false", "-1", "8"), strict=True):
+            spark.conf.set(key, value)
+        got = intake.scrub_files(lines, intake.parse_files(lines)).select("file", "clean", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+    assert sorted(tuple(r.clean) for r in got if r.file == "a") == sorted((str(i), "[EMAIL_REDACTED]") for i in range(1, 400))
+    assert [r.clean for r in got if r.file == "b"] == [["1"]]
+    assert len({r.task for r in got if r.file == "a"}) == 8
+
+
 def test_moved_rows_of_the_fingerprints_go_to_any_number_of_tasks(spark, tmp_path):
     from assayer.plans.sources import QUERIES
 
